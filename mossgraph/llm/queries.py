@@ -5,17 +5,34 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ftrl, subwords, url_templates
+from . import automaton, fingerprints, ftrl, raking, subwords, topk_blocks, url_templates
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_blocks.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subwords.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return automaton.secrets(table(spark, sf_dir, "documents"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raking.probabilities(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ftrl.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -25,9 +42,9 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = {f.__name__: f for f in (op3_quality, op7_toxicity, op8_url_filter)}
+    found = {f.__name__: f for f in (op2_topk, op3_quality, op4_fingerprints, op5_secrets, op6_mixing, op7_toxicity, op8_url_filter)}
     return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_filter": url_templates.oracle()}
+    return {"op2_topk": topk_blocks.ORACLE, "op6_mixing": raking.oracle(), "op8_url_filter": url_templates.oracle()}

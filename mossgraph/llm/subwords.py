@@ -210,17 +210,17 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", fold: i
     return train([(y, np.frombuffer(s, np.uint32), np.frombuffer(x, np.float32)) for y, s, x in data], share, bits)
 
 
-def score(documents: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``columns`` of every document and its ``score`` for class 1, from its text alone."""
+def score(documents: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
+    """``columns`` of every document and its score for class 1 as ``name``, from its text alone."""
     kept = documents.select(*columns, F.coalesce(F.col("text"), F.lit("")).alias("__text"))
-    schema = kept.select(*columns).schema.add("score", "double")
+    schema = kept.select(*columns).schema.add(name, "double")
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = shared.value.scorer()
         for batch in batches:
             got = scorer(batch.column("__text").to_pylist())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(got)], [*columns, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(got)], [*columns, name])
 
     return kept.mapInArrow(run, schema)
 
@@ -234,4 +234,4 @@ def quality(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, **o
 def accepted(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
     """All columns of the documents that score ``threshold`` or more."""
     columns = tuple(documents.columns)
-    return score(documents, fit(documents, labels, **options), columns).where(F.col("score") >= threshold).select(*columns)
+    return score(documents, fit(documents, labels, **options), columns, "__score").where(F.col("__score") >= threshold).select(*columns)
