@@ -132,12 +132,12 @@ def canonical_texts(documents: DataFrame, among: np.ndarray | None = None) -> Da
 def compared(documents: DataFrame, names: DataFrame) -> DataFrame:
     """digest, doc_id, sha of the documents in buckets that hold different canonical bytes. ``names`` has every row's digest."""
     slot = F.shiftright(F.conv(F.substr("digest", F.lit(1), F.lit(6)), 16, 10).cast("long"), 24 - BITS)
-    several = names.groupBy("digest").count().where("count > 1").select(slot.alias("slot"))
+    several = names.groupBy("digest").count().where("count > 1").select((slot + 1).alias("slot"))  # bits count from 1
     maps = several.groupBy(F.bitmap_bucket_number("slot").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).collect()  # 2 ** BITS bits at most
     among = np.zeros(1 << BITS, bool)
     for k, bits in maps:
-        got = np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little")) + (k - 1) * len(bits) * 8
-        among[got[got < len(among)]] = True  # bucket 1 begins at slot 0 
+        got = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little")
+        among[(k - 1) * len(got) : k * len(got)] |= got.astype(bool)
     forms = canonical_texts(documents, among)
     mixed = forms.groupBy("digest").agg(F.min("form").alias("least"), F.max("form").alias("most")).where("least <> most").select("digest")
     return forms.join(mixed, "digest").select("digest", "doc_id", F.sha2("form", 256).alias("sha")).distinct()

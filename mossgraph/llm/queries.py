@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import automaton, fingerprints, ftrl, raking, subwords, topk_blocks, url_templates
+from . import automaton, fingerprints, ftrl, minhash, raking, subwords, topk_blocks, url_templates
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,8 +41,12 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_templates.judge(table(spark, sf_dir, "pages"))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    found = {f.__name__: f for f in (op2_topk, op3_quality, op4_fingerprints, op5_secrets, op6_mixing, op7_toxicity, op8_url_filter)}
+    found = {f.__name__: f for f in (op2_topk, op3_quality, op4_fingerprints, op5_secrets, op6_mixing, op7_toxicity, op8_url_filter, op9_near_duplicates)}
     return found
 
 

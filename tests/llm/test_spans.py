@@ -89,7 +89,13 @@ def test_fingerprints_of_odd_tables(spark):
 
 def test_unequal_bytes_in_a_bucket(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "A")], "doc_id long, text string")
-    names = spark.createDataFrame([("00", 1), ("00", 2)], "digest string, doc_id long")
     forms = spark.createDataFrame([("00", 1, b"a"), ("00", 2, b"b"), ("11", 3, b"a"), ("11", 4, b"a")], "digest string, doc_id long, form binary")
+    names = spark.createDataFrame([(plain(t), i) for i, t in enumerate(["a", "A", "b", "c", "C "])], "digest string, doc_id long")
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(["a", "A", "b", "c", "C "])], "doc_id long, text string")
+    seen = []
+    real = fingerprints.canonical_texts
+    monkeypatch.setattr(fingerprints, "canonical_texts", lambda d, among=None: seen.append(real(d, among)) or seen[0])
+    assert fingerprints.compared(table, names).count() == 0
+    assert sorted(r.doc_id for r in seen[0].collect()) == [0, 1, 3, 4]  # only texts of buckets with several rows travel
     monkeypatch.setattr(fingerprints, "canonical_texts", lambda d, among=None: forms)
     assert sorted(r.doc_id for r in fingerprints.compared(docs, names).collect()) == [1, 2]
