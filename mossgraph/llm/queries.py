@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import automaton, fingerprints, ftrl, minhash, raking, subwords, topk_blocks, url_templates
+from . import automaton, ctw, fingerprints, ftrl, minhash, raking, subwords, topk_blocks, url_templates
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.scores(table(spark, sf_dir, "documents"))
+
+
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_blocks.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -46,7 +50,7 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = {f.__name__: f for f in (op2_topk, op3_quality, op4_fingerprints, op5_secrets, op6_mixing, op7_toxicity, op8_url_filter, op9_near_duplicates)}
+    found = {f.__name__: f for f in (op1_ctw, op2_topk, op3_quality, op4_fingerprints, op5_secrets, op6_mixing, op7_toxicity, op8_url_filter, op9_near_duplicates)}
     return found
 
 
