@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import automaton, ctw, fingerprints, ftrl, minhash, raking, subwords, topk_blocks, url_templates
+from . import automaton, ctw, fingerprints, ftrl, minhash, pieces, raking, subwords, topk_blocks, url_templates
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,9 +49,19 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.summaries(table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
-    found = {f.__name__: f for f in (op1_ctw, op2_topk, op3_quality, op4_fingerprints, op5_secrets, op6_mixing, op7_toxicity, op8_url_filter, op9_near_duplicates)}
-    return found
+    every = (op1_ctw, op2_topk, op3_quality, op4_fingerprints, op5_secrets, op6_mixing, op7_toxicity, op8_url_filter, op9_near_duplicates, op10_sentencepiece, pipeline)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
