@@ -44,16 +44,17 @@ def characters(text: Column) -> Column:
     return F.filter(F.split(text, ""), lambda c: c != "")
 
 
-def ngrams(clean: Column, sizes: tuple[int, ...] = SIZES) -> Column:
-    """Words, then all character n-grams, of normalised text."""
-    words = F.filter(F.split(clean, " "), lambda w: w != "")
-    c = characters(clean)
+def gram_rows(documents: DataFrame, sizes: tuple[int, ...] = SIZES) -> DataFrame:
+    """doc_id, gram: words, then all character n-grams, of normalised text. Characters are split once, in a column of their own."""
+    clean = documents.select("doc_id", normalised(F.col("text")).alias("clean"))
+    rows = clean.select("doc_id", F.filter(F.split("clean", " "), lambda w: w != "").alias("w"), characters(F.col("clean")).alias("c"))
+    c = F.col("c")
 
     def of(n: int) -> Column:
         steps = F.when(F.size(c) >= n, F.sequence(F.lit(1), F.size(c) - n + 1)).otherwise(F.array().cast("array<int>"))
         return F.transform(steps, lambda i: F.concat(*[F.element_at(c, i + k) for k in range(n)]))
 
-    return F.concat(words, *[of(n) for n in sizes])
+    return rows.select("doc_id", F.explode(F.concat("w", *[of(n) for n in sizes])).alias("gram"))
 
 
 def cues(documents: DataFrame) -> DataFrame:
@@ -73,7 +74,7 @@ def normalise(rows: DataFrame, key: str, value: str) -> DataFrame:
 
 def hashed(documents: DataFrame, dim: int = DIM, seed: int = SEED, exact: bool = False) -> DataFrame:
     """doc_id, slot, value: signed hashing of words and n-grams with cues, of unit length. ``exact``: by BLAKE2b instead of MD5."""
-    grams = documents.select("doc_id", F.explode(ngrams(normalised(F.col("text")))).alias("gram")).groupBy("doc_id", "gram").agg(F.count("*").alias("n"))
+    grams = gram_rows(documents).groupBy("doc_id", "gram").agg(F.count("*").alias("n"))
     named = F.concat(F.lit(f"{seed}:"), F.col("gram"))
     h = blake2b_64(named) if exact else md5_bits(named)
     slots = grams.select("doc_id", "n", h.alias("h")).select("doc_id", (F.col("h") % dim).cast("int").alias("slot"), (F.when(F.floor(F.col("h") / dim if exact else F.expr(f"h div {dim}")) % 2 == 0, 1.0).otherwise(-1.0) * F.col("n")).alias("value"))
