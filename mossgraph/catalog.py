@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import graph_queries, text_queries  # noqa: F401  (registers the queries)
+from .plans import graph_queries, model_queries, text_queries  # noqa: F401  (registers the queries)
 from .registry import ORACLES, QUERIES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["pii_cues"](spark, sf_dir)
+    return QUERIES["per_class_metrics"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

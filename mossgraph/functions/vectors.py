@@ -9,6 +9,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(body, **values: Column) -> Column:
+    """``body`` of values that are computed once, however often it uses them."""
+    one = F.array(F.struct(*[v.alias(k) for k, v in values.items()]))
+    return F.element_at(F.transform(one, lambda s: body(*[s[k] for k in values])), 1)
+
+
 def dot(a: Column, b: Column) -> Column:
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
     return F.aggregate(products, F.lit(0.0), lambda s, x: s + x)
@@ -32,16 +38,16 @@ def rms(a: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    n = norm(a)
-    return F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(0.0))
+    scaled = lambda v, n: F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(0.0))
+    return let(lambda v: let(scaled, v=v, n=norm(v)), v=a)
 
 
 def softmax(scores: Column, temperature: float = 1.0) -> Column:
     """The temperature multiplies the scores."""
-    top = F.array_max(scores)
-    e = F.transform(scores, lambda x: F.exp((x - top) * temperature))
-    total = F.aggregate(e, F.lit(0.0), lambda s, x: s + x)
-    return F.transform(e, lambda x: x / total)
+    shares = lambda e, total: F.transform(e, lambda x: x / total)
+    powers = lambda v, top: F.transform(v, lambda x: F.exp((x - top) * temperature))
+    summed = lambda e: let(shares, e=e, total=F.aggregate(e, F.lit(0.0), lambda s, x: s + x))
+    return let(lambda v: let(summed, e=let(powers, v=v, top=F.array_max(v))), v=scores)
 
 
 def activation(x: Column, kind: str = "tanh") -> Column:

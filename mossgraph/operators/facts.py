@@ -87,15 +87,14 @@ def encoded(cases: DataFrame) -> DataFrame:
     parts = []
     for f in FIELDS:
         h = fnv1a(F.lower(F.concat(F.lit(f"{f}:"), F.coalesce(f, F.lit("unknown")))))
-        parts.append(h.alias(f"h_{f}"))
-    rows = cases.select("case_id", F.array(*parts).alias("h"))
+        parts.append(h)
     sign = lambda h, bit, size: F.when(F.shiftright(h, bit).bitwiseAND(F.lit(1).cast("long")) == 1, size).otherwise(-size)
 
-    def slot(j: Column) -> Column:
-        return F.aggregate("h", F.lit(0.0), lambda s, h: s + F.when(h % DIM == j, sign(h, BITS[0], 1.0)).otherwise(0.0) + F.when((h % DIM + SHIFT) % DIM == j, sign(h, BITS[1], SECOND)).otherwise(0.0))
+    def slot(hashes: Column, j: Column) -> Column:
+        return F.aggregate(hashes, F.lit(0.0), lambda s, h: s + F.when(h % DIM == j, sign(h, BITS[0], 1.0)).otherwise(0.0) + F.when((h % DIM + SHIFT) % DIM == j, sign(h, BITS[1], SECOND)).otherwise(0.0))
 
-    u = F.transform(F.sequence(F.lit(0), F.lit(DIM - 1)), slot)
-    return rows.select("case_id", vectors.unit(u).alias("u"))
+    u = vectors.let(lambda hashes: F.transform(F.sequence(F.lit(0), F.lit(DIM - 1)), lambda j: slot(hashes, j)), hashes=F.array(*parts))
+    return cases.select("case_id", vectors.unit(u).alias("u"))
 
 
 def centroids(vectors_: DataFrame, label: str = "label", vector: str = "u") -> DataFrame:

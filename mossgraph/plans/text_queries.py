@@ -167,4 +167,4 @@ def canonical_json_hash(spark, sf_dir):
 @query("SELECT doc_id, sha256(text) AS sha256, base64(unhex(md5(text))) AS md5_base64, strlen(text) AS bytes FROM documents")
 def content_digest(spark, sf_dir):
     raw = F.col("text").cast("binary")
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(raw, 256).alias("sha256"), F.base64(F.unhex(F.md5(raw))).alias("md5_base64"), F.octet_length("text").alias("bytes"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(raw, 256).alias("sha256"), F.base64(F.unhex(F.md5(raw))).alias("md5_base64"), F.octet_length("text").cast("long").alias("bytes"))
