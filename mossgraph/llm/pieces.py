@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spans, stored
+from .common import frugal, spans, stored
 
 CHUNK = 1 << 16
 BATCH = 1 << 21
@@ -259,7 +259,7 @@ def _giant(documents: DataFrame, path: str, columns: list[str]) -> DataFrame:
         at = borders(flat.reshape(-1, w, w))
         return pa.table([rows.column("__row"), rows.column("part"), pa.array(at[:-1], pa.int32()), pa.array(at[1:], pa.int32())], ["__row", "part", "enter", "leave"])
 
-    made = chunks.select("__row", "part", "own", "ahead").repartition(F.col("__row"), F.col("part")).mapInArrow(matrices, "__row long, part int, m binary")
+    made = chunks.select("__row", "part", "own", "ahead").repartition(F.col("__row"), F.col("part")).mapInArrow(frugal(matrices), "__row long, part int, m binary")
     found = made.groupBy("__row").applyInArrow(combined, "__row long, part int, enter int, leave int")
     return chunks.join(found, ["__row", "part"]).select("__row", *columns, "part", "own", "ahead", "enter", "leave")
 
@@ -269,6 +269,12 @@ def encoded(documents: DataFrame, path: str | None = None, columns: tuple[str, .
 
     With ``digests``: n_pieces, ids_sha256 and round_trip (whether the ids decode to the text) in place of ids.
     """
+    small, giant = _encoded(documents, path, columns, digests)
+    return small.unionAll(giant)
+
+
+def _encoded(documents: DataFrame, path: str | None, columns: tuple[str, ...], digests: bool) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``encoded`` for documents of one chunk, and for those of several."""
     path = path or default_model()
     columns = list(columns)
     docs = documents.select(*columns, F.coalesce("text", F.lit("")).alias("__text"))
@@ -304,10 +310,10 @@ def encoded(documents: DataFrame, path: str | None = None, columns: tuple[str, .
                 got.append(row(code, code.trace(own, ahead, enter, leave), (own + ahead)[enter : len(own) + leave]))
             yield batch_of(batch, batch.column("part").to_pylist(), batch.column("parts").to_pylist(), got)
 
-    small = docs.where(F.length("__text") < CHUNK).mapInArrow(whole, schema)
+    small = docs.where(F.length("__text") < CHUNK).mapInArrow(frugal(whole), schema)
     giant = _giant(docs, path, columns)
     counted = giant.join(giant.groupBy("__row").agg(F.count("*").cast("int").alias("parts")), "__row").drop("__row")
-    return small.unionAll(counted.mapInArrow(traced, schema))
+    return small, counted.mapInArrow(frugal(traced), schema)
 
 
 def decoded(rows: DataFrame, path: str | None = None, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -323,7 +329,7 @@ def decoded(rows: DataFrame, path: str | None = None, columns: tuple[str, ...] =
             got = [code.decode(np.array(x.as_py(), np.uint32).tobytes()) for x in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in [*columns, "part"]), pa.array(got, pa.binary())], [*columns, "part", "raw"])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(frugal(run), schema)
 
 
 def summaries(documents: DataFrame, path: str | None = None) -> DataFrame:
@@ -331,8 +337,8 @@ def summaries(documents: DataFrame, path: str | None = None) -> DataFrame:
 
     Rows of documents of one chunk stand as they are; parts of giant documents are put together by doc_id.
     """
-    rows = encoded(documents, path, digests=True)
+    small, parts = _encoded(documents, path, ("doc_id",), True)
     digest = lambda c: F.sha2(c.cast("binary"), 256)
-    single = rows.where("parts = 1").select("doc_id", "n_pieces", digest(F.col("ids_sha256")).alias("ids_sha256"), "round_trip")
-    giant = rows.where("parts > 1").groupBy("doc_id").agg(F.sum("n_pieces").alias("n_pieces"), digest(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "ids_sha256"))), lambda x: x["ids_sha256"]), "")).alias("ids_sha256"), F.bool_and("round_trip").alias("round_trip"))
+    single = small.select("doc_id", "n_pieces", digest(F.col("ids_sha256")).alias("ids_sha256"), "round_trip")
+    giant = parts.groupBy("doc_id").agg(F.sum("n_pieces").alias("n_pieces"), digest(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "ids_sha256"))), lambda x: x["ids_sha256"]), "")).alias("ids_sha256"), F.bool_and("round_trip").alias("round_trip"))
     return single.unionAll(giant)
