@@ -7,6 +7,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 #: Offset basis and prime of 32-bit FNV-1a; multiplier and increment of the 32-bit congruential generator.
 FNV_BASIS, FNV_PRIME = 2166136261, 16777619
@@ -30,7 +31,7 @@ def md5_bits(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-@F.pandas_udf("decimal(20,0)")
+@F.pandas_udf(DecimalType(20, 0))
 def blake2b_64(text: pd.Series) -> pd.Series:
     """BLAKE2b of 8 bytes, little-endian and unsigned (there is no such builtin, and BIGINT is signed)."""
     from decimal import Decimal

@@ -72,14 +72,15 @@ def degree_preserving(edges: DataFrame, seed: int = 0, rounds: int = 6) -> DataF
         half = F.floor((F.col("rn") - 1) / 2)
         a = rows.where("rn % 2 = 1").select(half.alias("p"), F.col("src").alias("a"), F.col("dst").alias("b"), F.col("w").alias("w1"))
         c = rows.where("rn % 2 = 0").select(half.alias("p"), F.col("src").alias("c"), F.col("dst").alias("d"), F.col("w").alias("w2"))
-        pairs = a.join(c, "p", "left")
+        pairs = checkpointed(a.join(c, "p", "left"))
         swap = pairs.where("c IS NOT NULL AND a <> d AND c <> b AND a <> c AND b <> d")
         made = swap.select("p", F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("d").alias("dst")), F.struct(F.col("c").alias("src"), F.col("b").alias("dst")))).alias("e")).select("p", "e.src", "e.dst")
+        made = checkpointed(made)
         present = made.join(now.select("src", "dst"), ["src", "dst"], "left_semi").select("p")
         twice = made.groupBy("src", "dst").agg(F.count("*").alias("n"), F.min("p").alias("first")).where("n > 1")
         clash = made.join(twice, ["src", "dst"]).where("p <> first").select("p")
         ok = swap.select("p").join(present.unionAll(clash).distinct(), "p", "left_anti").withColumn("ok", F.lit(True))
-        both = pairs.join(ok, "p", "left")
+        both = pairs.join(checkpointed(ok), "p", "left")
         first = both.select(F.col("a").alias("src"), F.when(F.col("ok"), F.col("d")).otherwise(F.col("b")).alias("dst"), F.col("w1").alias("w"))
         second = both.where("c IS NOT NULL").select(F.col("c").alias("src"), F.when(F.col("ok"), F.col("b")).otherwise(F.col("d")).alias("dst"), F.col("w2").alias("w"))
         now = checkpointed(first.unionAll(second))
