@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spans
+from .common import frugal, spans
 
 #: Kind, expression, least length of the whole match, and an expression whose group 1 has 6 characters at least.
 BASE_RULES = (
@@ -37,7 +37,7 @@ MORE_RULES = (
     ("chat", r"xox[abprs]-[A-Za-z0-9-]+", 15, ""),
     ("maps", r"AIza[0-9A-Za-z_-]+", 39, ""),
 )
-LANE, BATCH = 1024, 8 << 20
+LANE, BATCH = 1024, 4 << 20
 END = 0xFF  # stands between texts; never part of UTF-8
 
 
@@ -388,7 +388,7 @@ def find(documents: DataFrame, more=MORE_RULES) -> DataFrame:
 
     rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     kind = rows.select("doc_id").schema.fields[0].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, spans array<struct<kind:string,start:bigint,end:bigint>>")
+    return rows.mapInArrow(frugal(run), f"doc_id {kind}, spans array<struct<kind:string,start:bigint,end:bigint>>")
 
 
 def secrets(documents: DataFrame, more=MORE_RULES) -> DataFrame:
@@ -421,4 +421,4 @@ def redacted(documents: DataFrame, more=MORE_RULES) -> DataFrame:
             i = batch.schema.get_field_index("text")
             yield batch.set_column(i, batch.schema.field(i), pa.array(cleaned, batch.schema.field(i).type))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(frugal(run), documents.schema)

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,13 +77,29 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Bytes of text that a Python worker takes up at once (a longer text comes alone).
+PORTION = 4 << 20
+_LARGE = ("text", "__text", "own", "items")
+
+
+def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that their largest column's values sum to ``PORTION`` bytes at most."""
+    for batch in batches:
+        name = next((c for c in _LARGE if c in batch.schema.names), None)
+        if name is None or batch.num_rows == 0:
+            yield batch
+        else:
+            for a, b in spans(pc.fill_null(pc.binary_length(batch.column(name)), 0).to_pylist(), PORTION):
+                yield batch.slice(a, b - a)
+
+
 def frugal(run: Callable) -> Callable:
-    """A function for mapInArrow that hands its memory back when a task ends, as Python workers live on for the next one."""
+    """A function for mapInArrow that takes its batches in portions and hands its memory back when a task ends, as Python workers live on for the next one."""
 
     @functools.wraps(run)
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            yield from run(batches)
+            yield from run(portions(batches))
         finally:
             gc.collect()
             pa.default_memory_pool().release_unused()

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, remainder, stored
+from .common import frugal, mix64, remainder, stored
 
 DEPTH = 5
 CHUNK = 12 << 20
@@ -161,7 +161,7 @@ def chunks(documents: DataFrame, held_out, buckets: int) -> DataFrame:
             yield from flush()
 
     rows = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), F.coalesce("text", F.lit("")).alias("text"), (~F.coalesce(held_out, F.lit(False))).alias("train"))
-    return rows.mapInArrow(run, _ROWS)
+    return rows.mapInArrow(frugal(run), _ROWS)
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:

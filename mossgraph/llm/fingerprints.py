@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import frugal, stored
 
 ROWS = 4096
 BITS = 23
@@ -94,7 +94,7 @@ def neighbours(documents: DataFrame) -> DataFrame:
                     yield names()
         yield names()
 
-    return both.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, digest string, edited_digest string, next_digest string")
+    return both.mapInArrow(frugal(run), "doc_id long, n_chars long, edited_sha256 string, digest string, edited_digest string, next_digest string")
 
 
 def _rank(marks: list[int]) -> Column:
@@ -126,7 +126,7 @@ def canonical_texts(documents: DataFrame, among: np.ndarray | None = None) -> Da
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.binary()), strict=True)], ["doc_id", "digest", "form"])
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, digest string, form binary")
+    return rows.mapInArrow(frugal(run), "doc_id long, digest string, form binary")
 
 
 def compared(documents: DataFrame, names: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, remainder, spans
+from .common import frugal, mix64, remainder, spans
 from .subwords import WordHasher, labelled_sample, ranges
 
 SLICE = 1 << 20
@@ -147,7 +147,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", fold: int
             out = [np.unique(np.concatenate([grams(*joined([p]))[0] for p in (pieces(t) if len(t) > SLICE else [t])])).astype(np.uint32).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(out, pa.binary())], ["y", "slots"])
 
-    got = rows.mapInArrow(hashed, "y int, slots binary").toArrow()
+    got = rows.mapInArrow(frugal(hashed), "y int, slots binary").toArrow()
     data = sorted(zip(got.column("y").to_pylist(), got.column("slots").to_pylist(), strict=True))
     return train([(y, np.frombuffer(s, np.uint32)) for y, s in data], bits)
 
@@ -162,7 +162,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scorer(batch.column("text").to_pylist()))], ["doc_id", "score"])
 
     rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(run, rows.select("doc_id").schema.add("score", "double"))
+    return rows.mapInArrow(frugal(run), rows.select("doc_id").schema.add("score", "double"))
 
 
 def toxicity(documents: DataFrame, labels: DataFrame, threshold: float = 0.7, **options) -> DataFrame:

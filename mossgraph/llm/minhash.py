@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, stored
+from .common import frugal, mix64, stored
 
 WORDS, NEAR = 5, 75
 H, LEAST = 32, 12
@@ -75,7 +75,7 @@ def signatures(documents: DataFrame) -> DataFrame:
                 sigs.append(signature(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(sigs, pa.binary())], ["id", "n_shingles", "cls", "sig"])
 
-    return _texts(documents).mapInArrow(run, "id long, n_shingles long, cls binary, sig binary")
+    return _texts(documents).mapInArrow(frugal(run), "id long, n_shingles long, cls binary, sig binary")
 
 
 def _texts(documents: DataFrame) -> DataFrame:
@@ -132,7 +132,7 @@ def sets(documents: DataFrame, ids: DataFrame, members: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(keys[some], pa.int64()), pa.array([xxhash.xxh3_128_digest(got[i].tobytes()) for i in some], pa.binary()), pa.array([signature(got[i]).tobytes() for i in some], pa.binary()), pa.array([got[i].tobytes() for i in some], pa.binary())], ["id", "cls", "sig", "items"])
 
     slots = _texts(documents).withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(1 << BITS)))
-    made = slots.mapInArrow(run, "id long, cls binary, sig binary, items binary")
+    made = slots.mapInArrow(frugal(run), "id long, cls binary, sig binary, items binary")
     wanted = members.select("id", "cls").join(ids.distinct(), "id", "left_semi")
     return made.join(wanted, ["id", "cls"], "left_semi").dropDuplicates(["id"])
 
@@ -235,7 +235,7 @@ def links(members: DataFrame, contents: DataFrame) -> DataFrame:
         found = over()
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(frugal(run), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:

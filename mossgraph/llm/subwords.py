@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, remainder, spans
+from .common import frugal, mix64, remainder, spans
 
 SIZES = (3, 4)
 SLICE = 1 << 19
@@ -205,7 +205,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", fold: i
                 out.append((slots.tobytes(), (count[slots] / max(count[slots].sum(), 1)).astype(np.float32).tobytes()))
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], ["y", "slots", "x"])
 
-    got = rows.mapInArrow(hashed, "y int, slots binary, x binary").toArrow()
+    got = rows.mapInArrow(frugal(hashed), "y int, slots binary, x binary").toArrow()
     data = sorted(zip(got.column("y").to_pylist(), got.column("slots").to_pylist(), got.column("x").to_pylist(), strict=True))
     return train([(y, np.frombuffer(s, np.uint32), np.frombuffer(x, np.float32)) for y, s, x in data], share, bits)
 
@@ -222,7 +222,7 @@ def score(documents: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_i
             got = scorer(batch.column("__text").to_pylist())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(got)], [*columns, name])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(frugal(run), schema)
 
 
 def quality(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
