@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..operators import evaluation, facts, guards
+from ..operators.reservoir import checkpointed
 from ..registry import query, table
 from .text_queries import fnv_sql
 
@@ -69,7 +70,7 @@ adv AS (SELECT case_id, forced_choice, p1 AS confidence, p1 - p2 AS margin, CASE
 
 def _advice(spark, sf_dir):
     c = cases(spark, sf_dir)
-    u = facts.encoded(c).join(c.select("case_id", "label", "split"), "case_id")
+    u = checkpointed(facts.encoded(c).join(c.select("case_id", "label", "split"), "case_id"))  # used twice, and costly to make
     readout = facts.centroids(u.where("split = 'teach'"))
     scores = facts.scored(u.where("split = 'holdout'").select("case_id", "u"), readout, "case_id")
     return c, facts.recommended(scores.withColumn("p", F.round("p", 12)), "case_id")

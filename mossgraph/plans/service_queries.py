@@ -84,7 +84,7 @@ def lesion_study(spark, sf_dir):
 def twin_classification(spark, sf_dir):
     """Each held-out case by rules, by facts alone and by hashed nearest label, with whether they agree."""
     c = cases(spark, sf_dir)
-    u = facts.encoded(c).join(c.select("case_id", "label", "split"), "case_id")
+    u = reservoir.checkpointed(facts.encoded(c).join(c.select("case_id", "label", "split"), "case_id"))
     advice = facts.recommended(facts.scored(u.where("split = 'holdout'").select("case_id", "u"), facts.centroids(u.where("split = 'teach'")), "case_id"), "case_id")
     return c.where("split = 'holdout'").select("case_id", F.col("label").alias("rules")).join(advice.select("case_id", F.col("forced_choice").alias("facts"), "action"), "case_id", "left").withColumn("agree", F.col("rules").eqNullSafe(F.col("facts")))
 
