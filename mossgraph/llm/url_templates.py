@@ -1,7 +1,7 @@
 """URL filter by a path-template tree. DataFrame operations only.
 
 Per host, paths become shapes: each segment's digit runs turn into ``{n}`` and long hexadecimal runs into ``{h}``. The
-tree over the shapes is then generalised level by level. A position with more than ``max_children`` different segments
+tree over the shapes is then generalised level by level, down to the longest path. A position with more than ``max_children`` different segments
 under its parent becomes ``*``; so do sibling branches whose labelled share of bad pages is within ``z`` standard errors
 of their parent's. What is left are templates; one whose smoothed share of good labelled pages (its purity) is below
 ``least_purity`` is rejected, and its pages with it.
@@ -9,12 +9,15 @@ of their parent's. What is left are templates; one whose smoothed share of good
 Labels are the pages that a rule fits: block means bad, allow good. A rule's own verdict always stands.
 
 Skew: pages are aggregated to (host, shape) before anything is shuffled by host, and each level works on these counts.
+There are as many rounds as the longest path has segments; a path takes part until the round after its last segment.
 Nulls: a null url, or one without ``://``, has an empty host and path, and no rule fits it. Repeated rows count each and
 return each. An empty table gives an empty result. Other columns of ``pages`` are ignored.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +25,7 @@ from .common import ascii_lower, stored
 
 #: Fixed values: (verdict, host and path).
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
+#: Levels of ``oracle`` unless told otherwise: the given tables' longest paths. ``judge`` has no such bound.
 DEPTH = 3
 
 
@@ -57,8 +61,12 @@ def judge(pages: DataFrame, rules=RULES, max_children: int = 50, z: float = 2.0,
     sums = [F.sum(x).alias(x) for x in ("n", "labelled", "bad")]
     shapes = seen.groupBy("host", "shape").agg(F.count("*").alias("n"), F.count("ruled").alias("labelled"), F.count(F.when(F.col("ruled") == "block", 1)).alias("bad"))
     parts = F.split(F.expr("substring(shape, 2)"), "/")
-    tree = shapes.select("*", F.lit("").alias("template"), F.when(F.col("shape").startswith("/"), F.when(F.size(parts) > DEPTH, F.concat(F.slice(parts, 1, DEPTH - 1), F.array(F.lit("**")))).otherwise(parts)).otherwise(F.array()).alias("parts"))
-    for level in range(1, DEPTH + 1):
+    tree = stored(shapes.select("*", F.lit("").alias("template"), F.when(F.col("shape").startswith("/"), parts).otherwise(F.array()).alias("parts")))
+    ended, columns = [], ["host", "shape", "template", "labelled", "bad"]
+    for level in range(1, (tree.agg(F.max(F.size("parts"))).first()[0] or 0) + 1):
+        if level > 1:
+            ended.append(tree.where(F.size("parts") < level - 1).select(columns))
+            tree = tree.where(F.size("parts") >= level - 1)
         seg = F.try_element_at("parts", F.lit(level))
         tree = tree.withColumn("seg", F.coalesce(seg, F.lit("\x00")))
         children = tree.groupBy("host", "template", "seg").agg(*sums)
@@ -68,8 +76,8 @@ def judge(pages: DataFrame, rules=RULES, max_children: int = 50, z: float = 2.0,
         similar = F.coalesce(F.when((F.col("labelled") > 0) & (F.col("labelled") < F.col("p_labelled")), near), F.lit(False))
         wild = children.join(parents, ["host", "template"]).select("host", "template", "seg", ((F.col("width") > max_children) | similar).alias("wild"))
         step = F.when(F.col("seg") == "\x00", "").otherwise(F.concat(F.lit("/"), F.when(F.col("wild"), "*").otherwise(F.col("seg"))))
-        tree = tree.join(wild, ["host", "template", "seg"]).select("host", "shape", "n", "labelled", "bad", F.concat("template", step).alias("template"), "parts")
-    found = stored(tree.select("host", "shape", "template", "labelled", "bad"))
+        tree = stored(tree.join(wild, ["host", "template", "seg"]).select("host", "shape", "n", "labelled", "bad", F.concat("template", step).alias("template"), "parts"))
+    found = stored(reduce(DataFrame.unionAll, ended, tree.select(columns)))
     leaves = found.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
     purity = (F.col("labelled") - F.col("bad") + strength * prior) / (F.col("labelled") + strength)
     leaves = leaves.select("host", "template", F.round(purity, 6).alias("purity"))

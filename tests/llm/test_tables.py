@@ -87,3 +87,20 @@ def test_templates_learn_from_rules(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string")
     got = {r.page_id: r for r in url_templates.judge(pages).collect()}
     assert got[1].verdict == "block" and got[0].verdict == "allow" and got[100].template == "/*/z"
+
+
+def test_templates_part_at_deep_segments(spark):
+    names = [x + y for x in "abcde" for y in "fghi"]
+    rows = [(f"{kind}{n}", f"http://s.com/a/b/c/{kind}/k{n}/z") for kind in ("spam", "good") for n in names] + [("u", "http://s.com/a/b/c/spam/other/z"), ("v", "http://s.com/a/b/c/good/other/z"), ("w", "http://s.com/a/b/c")]
+    pages = spark.createDataFrame(rows, "page_id string, url string")
+    rules = (("block", "s.com/a/b/c/spam/k"), ("allow", "s.com/a/b/c/good/k"))
+    got = {r.page_id: (r.verdict, r.template) for r in url_templates.judge(pages, rules, max_children=10).collect()}
+    assert got["u"] == ("block", "/a/b/c/spam/*/z") and got["v"] == ("allow", "/a/b/c/good/*/z") and got["w"][1] == "/a/b/c"
+
+
+def test_deep_paths_against_sql(spark):
+    rng = random.Random(5)
+    urls = [f"http://{rng.choice(['a.net', 'www.example.net', 'example.com', 'b.org'])}/{rng.choice(['en', 'de', 'fr', 'xx'])}" + "".join(f"/{rng.choice(['p', 'q', '7', ''])}{k}" for k in range(rng.randrange(7))) for _ in range(400)]
+    pages = spark.createDataFrame(list(enumerate([*urls, "http://c.info", None])), "page_id long, url string")
+    for limit in (50, 2):
+        same(url_templates.judge(pages, max_children=limit), url_templates.oracle(depth=8, max_children=limit), pages=pages.toPandas())
