@@ -1,8 +1,8 @@
 """MinHash near-dedup by a signature-coordinate inverted join.
 
 A document's set holds its distinct shingles of ``WORDS`` words (a shorter document: its whole sequence). Its signature has
-``H`` coordinates, each the least value of the set under one scrambling. Equal sets are one class, represented by its
-smallest doc_id, so copies are never paired. Classes are posted under (coordinate, value) pairs. Two sets of similarity
+``H`` coordinates, each the least value of the set under one scrambling. Equal sets are one class with a number of
+its own, so copies are never paired; its smallest doc_id stands for it among the components. Classes are posted under (coordinate, value) pairs. Two sets of similarity
 0.75 agree in fewer than ``LEAST`` of 32 coordinates with a probability of about 3 in a million; a pair that agrees in
 ``LEAST`` shares, by the prefix principle, one of the ``m - LEAST + 1`` rarest of its m shared pairs, so only those are
 posted: pairs that many documents have through a common passage stay out unless nothing rarer is there. Lists of the
@@ -15,7 +15,7 @@ and of a cell's links fewer leave than it has members. Sets are built again from
 which a bit map of ``2 ** BITS`` bits tells. Lineage is cut by tables in the shared folder.
 
 Null and empty texts, or such without words, have no shingles, link with nothing and are kept. A null doc_id counts as
-the smallest id, and rows with one doc_id (repeated rows) are one node. Very long texts are read whole. An empty table
+the smallest id, and rows with one doc_id (repeated rows) are one node, which links with the near copies of each of their texts. Very long texts are read whole. An empty table
 gives an empty result. Other columns are ignored, or carried along by ``deduplicated``.
 """
 
@@ -118,9 +118,9 @@ def bitmap(ids: DataFrame, column: str) -> np.ndarray:
     return out
 
 
-def sets(documents: DataFrame, ids: DataFrame, members: DataFrame) -> DataFrame:
-    """id, sig, items of the classes whose smallest id is among ``ids``; ``members`` has every row's id and class."""
-    among = documents.sparkSession.sparkContext.broadcast(bitmap(ids, "id"))
+def sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """id (the class's number), doc (its smallest doc_id), sig, items of the classes ``wanted`` (number, id: smallest doc_id, cls)."""
+    among = documents.sparkSession.sparkContext.broadcast(bitmap(wanted, "id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chosen = among.value
@@ -133,8 +133,7 @@ def sets(documents: DataFrame, ids: DataFrame, members: DataFrame) -> DataFrame:
 
     slots = _texts(documents).withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(1 << BITS)))
     made = slots.mapInArrow(frugal(run), "id long, cls binary, sig binary, items binary")
-    wanted = members.select("id", "cls").join(ids.distinct(), "id", "left_semi")
-    return made.join(wanted, ["id", "cls"], "left_semi").dropDuplicates(["id"])
+    return made.join(wanted.hint("merge"), ["id", "cls"]).dropDuplicates(["number"]).select(F.col("number").alias("id"), F.col("id").alias("doc"), "sig", "items")
 
 
 class _Forest:
@@ -203,12 +202,12 @@ def cell_links(ids: np.ndarray, sig: np.ndarray, masks: np.ndarray, items: list[
 
 
 def links(members: DataFrame, contents: DataFrame) -> DataFrame:
-    """a, b: links between classes, enough of them for the same components. ``members``: id, key, n, mask; ``contents``: id, sig, items."""
+    """a, b: links between classes by their doc_ids, enough of them for the same components. ``members``: id, key, n, mask; ``contents``: id, doc, sig, items."""
     width = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
     block = F.pmod(F.xxhash64("id", F.lit(5)), width.cast("long")).cast("int")
-    rows = members.join(contents, "id").select("key", "id", "mask", "sig", "items", block.alias("block"), width.alias("width"))
+    rows = members.join(contents, "id").select("key", "id", "doc", "mask", "sig", "items", block.alias("block"), width.alias("width"))
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("other"))
-    cells = rows.select("key", "id", "mask", "sig", "items", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    cells = rows.select("key", "id", "doc", "mask", "sig", "items", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     dealt = cells.repartition(F.col("key"), F.col("i"), F.col("j")).sortWithinPartitions("key", "i", "j", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +221,7 @@ def links(members: DataFrame, contents: DataFrame) -> DataFrame:
             return cell_links(ids, sig, np.array([r[1] for r in held], np.uint64), [np.frombuffer(r[3], np.uint64) for r in held], np.array([r[4] for r in held]), cell[1], cell[2], cell[0] >> 32)
 
         for batch in batches:
-            cols = [batch.column(c) for c in ("key", "i", "j", "id", "mask", "sig", "items", "block")]
+            cols = [batch.column(c) for c in ("key", "i", "j", "doc", "mask", "sig", "items", "block")]
             keys, i, j, ids, masks = (c.to_pylist() for c in cols[:5])
             blocks = cols[7].to_pylist()
             found = []
@@ -258,10 +257,10 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of ``documents`` (doc_id, text)."""
     rows = stored(signatures(documents))
     members = rows.where("cls is not null")
-    classes = stored(members.groupBy("cls").agg(F.min("id").alias("id"), F.first("sig").alias("sig")))
-    found = stored(lists(posted(classes.select("id", "sig").dropDuplicates(["id", "sig"]))))
-    contents = stored(sets(documents, found.select("id"), classes.select("id", "cls")))
-    near = links(found, contents)
+    classes = stored(members.groupBy("cls").agg(F.min("id").alias("id"), F.first("sig").alias("sig")).withColumn("number", F.monotonically_increasing_id()))  # several classes can have one smallest id
+    found = stored(lists(posted(classes.select(F.col("number").alias("id"), "sig"))))
+    wanted = stored(classes.select("number", "id", "cls").join(found.select(F.col("id").alias("number")).distinct(), "number", "left_semi"))
+    near = stored(links(found, stored(sets(documents, wanted))))
     # a doc_id with several texts connects their classes; a class connects its doc_ids
     named = members.select("id", "cls").join(classes.select("cls", F.col("id").alias("rep")), "cls")
     edges = near.unionAll(named.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct())

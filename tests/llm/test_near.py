@@ -73,3 +73,20 @@ def test_null_ids_and_empty_tables(spark):
     assert got == {None: (None, True), 3: (None, False), 4: (4, True)}
     assert [r.doc_id for r in minhash.deduplicated(df).orderBy("doc_id").collect()] == [None, 4]
     assert minhash.near_duplicates(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("shared", [5, None])
+def test_near_copies_of_every_text_under_one_id(spark, shared):
+    rng = random.Random(8)
+    bases = [[f"t{k}_{i}" for i in range(120)] for k in range(6)]
+    rows = [(shared, " ".join(b)) for b in bases]
+    for k, b in enumerate(bases):
+        copy = list(b)
+        copy[rng.randrange(120)] = "changed"
+        rows.append((100 + k, " ".join(copy)))
+    rows.append((200, "quite another text of seven words"))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.component_id, r.kept) for r in minhash.near_duplicates(df).collect()}
+    assert got == {shared: (shared, True), 200: (200, True)} | {100 + k: (shared, False) for k in range(6)}
+    if shared is not None:
+        check(spark, rows)
