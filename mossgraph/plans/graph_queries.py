@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import draw, uniform
 from ..operators import controls, graph, reservoir
-from ..registry import query, table
+from ..registry import ORACLES, query, table
 
 EDGES = """e AS (SELECT src, dst, count(*)::DOUBLE AS w FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS dst FROM lineitem) WHERE dst IS NOT NULL AND src <> dst GROUP BY ALL)"""
 NODES = "n AS (SELECT p_partkey AS node, p_brand AS region FROM part)"
@@ -202,7 +202,7 @@ def power_iteration(spark, sf_dir):
     return reservoir.spectral_scale(e, n.select("node", F.lit(1.0).alias("x")), 0.9, 6).select(F.round("radius", 4).alias("radius"), F.round("factor", 8).alias("factor"))
 
 
-@query()
+@query(ORACLES["reservoir_4step"])
 def reservoir_vectorised(spark, sf_dir):
     """The 4-step states by the broadcast form, of two drives side by side."""
     import numpy as np
@@ -215,8 +215,8 @@ def reservoir_vectorised(spark, sf_dir):
     win = np.array([[0.5 + (k % 10) / 20.0 if k % 7 == 0 else 0.0] for k in names])
     rows = spark.createDataFrame([(1, [1.0]), (2, [0.5])], "id long, u array<double>")
     got = reservoir.batch_states(rows, g, win, 4, LEAK, SCALE, np.arange(len(names)))
-    node = F.element_at(F.array(*map(F.lit, names)), F.col("pos") + 1) if len(names) < 3000 else F.col("pos")
-    return got.where("id = 1").select(F.posexplode("last").alias("pos", "x")).select(node.alias("node"), F.round("x", 6).alias("x"))
+    places = spark.createDataFrame(list(enumerate(names)), "pos int, node long")
+    return got.where("id = 1").select(F.posexplode("last").alias("pos", "x")).join(places, "pos").select("node", F.round("x", 6).alias("x"))
 
 
 # --- controls and lesions ---

@@ -1,5 +1,6 @@
 """Invariants: direction, controls, lesions, both forms of propagation, files, generators, streams."""
 
+import re
 import struct
 
 import numpy as np
@@ -173,3 +174,11 @@ def test_generations(spark, tmp_path):
     g = streams.Generations()
     old, new = g.begin(), g.begin()
     assert not g.publish(old, spark.range(1), str(tmp_path)) and g.publish(new, spark.range(1), str(tmp_path))
+
+
+def test_vectorised_states_belong_to_their_nodes(spark):
+    from mossgraph import catalog
+
+    got, want = ({r.node: r.x for r in catalog.queries()[q](spark, "/root/testdata/sf0.1").collect()} for q in ("reservoir_vectorised", "reservoir_4step"))
+    assert len(want) > 3000 and got.keys() == want.keys()
+    assert max(abs(got[k] - want[k]) for k in want) < 2e-6
