@@ -149,6 +149,13 @@ def format_noise(spark, sf_dir):
     return table(spark, sf_dir, "documents").where(~F.col("text").contains("ß")).select("doc_id", mode.alias("mode"), F.sha2(text.noise(F.col("text"), mode).cast("binary"), 256).alias("noisy_sha256"))
 
 
+@query()
+def format_noise_all(spark, sf_dir):
+    """Format noise in all eight modes by the id's remainder, of every document. Its SQL would differ on the upper case of a sharp s."""
+    mode = F.element_at(F.array(*map(F.lit, ("upper", "lower", "double", "punct", "tab", "nbsp", "zwsp", "none"))), F.pmod("doc_id", F.lit(8)).cast("int") + 1)
+    return table(spark, sf_dir, "documents").select("doc_id", mode.alias("mode"), F.sha2(text.noise(F.col("text"), mode).cast("binary"), 256).alias("noisy_sha256"))
+
+
 _SAY = "p_partkey::VARCHAR"
 for _d, _n in enumerate(text.SPOKEN):
     _SAY = f"replace({_SAY}, '{_d}', ' {_n}')"
