@@ -93,6 +93,12 @@ def region_classify(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), graph.region_of(t).alias("region"))
 
 
+@query(f"SELECT p_partkey AS node, CASE {_CASES} ELSE '{graph.OTHER_REGION}' END AS region FROM (SELECT p_partkey, upper(coalesce(nullif(p_name, ''), 'unknown')) AS t FROM part)")
+def region_classify_name(spark, sf_dir):
+    """Regions by whole part names."""
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), graph.region_of(F.col("p_name")).alias("region"))
+
+
 @query(f"{WITH} SELECT (SELECT count(*) FROM n) AS n_nodes, (SELECT count(DISTINCT region) FROM n) AS n_regions, count(*) AS n_edges, sum(w) AS total_weight FROM e")
 def graph_summary(spark, sf_dir):
     return graph.summary(edges(spark, sf_dir), nodes(spark, sf_dir))

@@ -101,6 +101,12 @@ def fnv1a_title(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", hashing.fnv1a(F.substring("text", 1, 64)).alias("h"))
 
 
+@query()
+def fnv1a_document(spark, sf_dir):
+    """Hash of each document's whole text."""
+    return table(spark, sf_dir, "documents").select("doc_id", hashing.fnv1a(F.col("text")).alias("h"))
+
+
 @query(f"SELECT p_partkey, {fnv_sql('p_name')} AS h FROM part")
 def fnv1a(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", hashing.fnv1a(F.col("p_name")).alias("h"))

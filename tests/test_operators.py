@@ -182,3 +182,24 @@ def test_vectorised_states_belong_to_their_nodes(spark):
     got, want = ({r.node: r.x for r in catalog.queries()[q](spark, "/root/testdata/sf0.1").collect()} for q in ("reservoir_vectorised", "reservoir_4step"))
     assert len(want) > 3000 and got.keys() == want.keys()
     assert max(abs(got[k] - want[k]) for k in want) < 2e-6
+
+
+def test_whole_texts_in_noise_and_hashes(spark, tmp_path):
+    import hashlib
+
+    from mossgraph import catalog
+
+    texts = ["x" * 64 + "a", "x" * 64 + "b", "Straße. Ab  c,d"] + ["Ab  c,d. é ß"] * 8
+    spark.createDataFrame([*enumerate(texts), (99, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    hashed = {r.doc_id: r.h for r in catalog.queries()["fnv1a_document"](spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        h = 2166136261
+        for c in t:
+            h = ((h ^ ord(c)) * 16777619) & 0xFFFFFFFF
+        assert hashed[i] == h
+    assert hashed[0] != hashed[1] and hashed[99] is None
+    plain = [str.upper, str.lower, lambda t: t.replace(" ", "  "), lambda t: re.sub("([.,])", r" \1 ", t), lambda t: t.replace(" ", "\t"), lambda t: t.replace(" ", "\u00a0"), lambda t: re.sub(r"(\w)(\w)", "\\1\u200b\\2", t, flags=re.ASCII), str]
+    noisy = {r.doc_id: r for r in catalog.queries()["format_noise_all"](spark, str(tmp_path)).collect()}
+    assert len(noisy) == len(texts) + 1 and len({r.mode for r in noisy.values()}) == 8
+    for i, t in enumerate(texts):
+        assert noisy[i].noisy_sha256 == hashlib.sha256(plain[i % 8](t).encode()).hexdigest(), noisy[i].mode
