@@ -203,3 +203,11 @@ def test_whole_texts_in_noise_and_hashes(spark, tmp_path):
     assert len(noisy) == len(texts) + 1 and len({r.mode for r in noisy.values()}) == 8
     for i, t in enumerate(texts):
         assert noisy[i].noisy_sha256 == hashlib.sha256(plain[i % 8](t).encode()).hexdigest(), noisy[i].mode
+
+
+def test_every_vector_is_scored(spark, sf):
+    from mossgraph import catalog
+
+    want = {r.vec_id for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id").collect()}
+    for name in ("cosine_scores_all", "margin_all"):
+        assert {r.vec_id for r in catalog.queries()[name](spark, sf).select("vec_id").collect()} == want
