@@ -8,7 +8,7 @@ is a parameter. With a file of the merging kind these are the best-scoring segme
 Segmentations are best paths, so a stretch of text is a matrix over (max, +): its entry (i, j) is the best score from
 entering the stretch i characters late, as the last piece before it overhung, to overhanging its end by j. Giant
 documents are split into chunks, each chunk's matrix is computed by itself, matrices are combined by an associative scan,
-which tells where each chunk is entered and left, and every chunk is then backtraced independently. Inside a chunk the
+which tells where each chunk is entered and left (equal ways by the same tie rule), and every chunk is then backtraced independently. Inside a chunk the
 best paths of its words, between which no piece crosses, are computed side by side, once for each distinct word.
 
 Scale: chunks are rows, so a giant document is spread over tasks; what meets in one task for a document is W * W numbers
@@ -111,14 +111,44 @@ def scanned(matrices: np.ndarray) -> np.ndarray:
 
 
 def borders(matrices: np.ndarray) -> list[int]:
-    """How far pieces overhang the borders before, between and after the stretches of ``matrices`` on a best path that ends at 0."""
-    ways = scanned(matrices)[:, 0, :]
+    """How far pieces overhang the borders before, between and after the stretches of ``matrices`` (scores and ranks of each) on the best path that ends at 0; of equal ways in, the one of least rank."""
+    scores, ranks = matrices[:, 0], matrices[:, 1]
+    ways = scanned(scores)[:, 0, :]
     state = [0]
     for k in range(len(matrices) - 1, 0, -1):
-        state.append(int(np.argmax(ways[k - 1] + matrices[k][:, state[-1]])))
+        total = ways[k - 1] + scores[k][:, state[-1]]
+        state.append(int(np.argmin(np.where(total == total.max(), ranks[k][:, state[-1]], np.inf))))
     return [0, *reversed(state)]
 
 
+def preferred(last: np.ndarray, entries: list[int], end: int, known: dict[int, list[int]]) -> list[int]:
+    """The entries, those first whose path to ``end`` goes before by the tie rule: at the first difference from the end the shorter piece. A path that has come to its entry goes after those that go on. ``known``: orders by place, kept for other ends."""
+    passed, place, group, late = [], end, np.arange(len(entries)), []
+    while len(group) > 1 and place not in known:
+        if len(group) == len(entries):
+            passed.append(place)
+        here = [int(e) for e in group if entries[e] == place]
+        if here:
+            late = here + late
+            group = group[[entries[e] != place for e in group]]
+            continue
+        sizes = last[place, group]
+        if (sizes == sizes[0]).all():
+            place -= int(sizes[0])
+            continue
+        early = []
+        for size in np.unique(sizes):
+            part = [int(e) for e in group[sizes == size]]
+            early += [part[k] for k in preferred(last[:, part], [entries[e] for e in part], place - int(size), {})]
+        group = np.array(early)
+        break
+    if len(group) == len(entries) and place in known:
+        group = np.array(known[place])
+    order = [*(int(e) for e in group), *late]
+    known.update(dict.fromkeys(passed, order))
+    return order
+
+
 class Encoder:
     def __init__(self, vocab: Vocabulary) -> None:
         self.vocab, self.kept = vocab, {}
@@ -192,25 +222,33 @@ class Encoder:
         return self.forward(np.tile(one, (len(entries), 1)), np.full(len(entries), len(one)), np.array(entries))
 
     def matrix(self, own: str, ahead: str) -> np.ndarray:
-        """The chunk's matrix; ``ahead`` is the text after it, as far as pieces reach."""
+        """The chunk's matrix, and the entries' ranks by the tie rule for each end; ``ahead`` is the text after it, as far as pieces reach."""
         w = self.vocab.width
         p, q = self.edges(own)
-        out = np.full((w, w), _NONE)
+        both = np.zeros((2, w, w))
+        out, ranks = both
+        out[:] = _NONE
         tail = slice(len(own), len(own) + min(w, len(ahead) + 1))
         if q == 0:
             entries = list(range(min(w, len(own) + 1)))
-            best, _ = self.stretch(own + ahead, entries)
+            best, last = self.stretch(own + ahead, entries)
             out[: len(entries), : tail.stop - tail.start] = best[tail].T
-            return np.maximum(out, _NONE)
+            known = {}
+            for j in range(tail.stop - tail.start):
+                ranks[preferred(last, entries, len(own) + j, known), j] = np.arange(len(entries))
+            np.maximum(out, _NONE, out=out)
+            return both
         entries = list(range(min(w, p + 1)))
-        head, _ = self.stretch(own[:p], entries)
+        head, last = self.stretch(own[:p], entries)
+        ranks[preferred(last, entries, p, {})] = np.arange(len(entries))[:, None]  # after p all paths are the same
         words = self.vocab.words.findall(own[p:q])
         self.learn(set(words))
         middle = sum(self.kept[x][1] for x in words)
         best, _ = self.stretch(own[q:] + ahead, [0])
         end = best[tail.start - q : tail.stop - q, 0]
         out[: len(entries), : len(end)] = head[p][:, None] + middle + end[None, :]
-        return np.maximum(out, _NONE)
+        np.maximum(out, _NONE, out=out)
+        return both
 
     def trace(self, own: str, ahead: str, enter: int, leave: int) -> bytes:
         """Ids of a chunk between its known borders."""
@@ -255,8 +293,8 @@ def _giant(documents: DataFrame, path: str, columns: list[str]) -> DataFrame:
     def combined(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("part")
         flat = np.array([np.frombuffer(x.as_py()) for x in rows.column("m")])
-        w = round(flat.shape[1] ** 0.5)
-        at = borders(flat.reshape(-1, w, w))
+        w = round((flat.shape[1] / 2) ** 0.5)
+        at = borders(flat.reshape(-1, 2, w, w))
         return pa.table([rows.column("__row"), rows.column("part"), pa.array(at[:-1], pa.int32()), pa.array(at[1:], pa.int32())], ["__row", "part", "enter", "leave"])
 
     made = chunks.select("__row", "part", "own", "ahead").repartition(F.col("__row"), F.col("part")).mapInArrow(frugal(matrices), "__row long, part int, m binary")
@@ -270,11 +308,11 @@ def encoded(documents: DataFrame, path: str | None = None, columns: tuple[str, .
     With ``digests``: n_pieces, ids_sha256 and round_trip (whether the ids decode to the text) in place of ids.
     """
     small, giant = _encoded(documents, path, columns, digests)
-    return small.unionAll(giant)
+    return small.unionAll(giant.drop("__row"))
 
 
 def _encoded(documents: DataFrame, path: str | None, columns: tuple[str, ...], digests: bool) -> tuple[DataFrame, DataFrame]:
-    """The rows of ``encoded`` for documents of one chunk, and for those of several."""
+    """The rows of ``encoded`` for documents of one chunk, and for those of several; these with __row, the document's number among them."""
     path = path or default_model()
     columns = list(columns)
     docs = documents.select(*columns, F.coalesce("text", F.lit("")).alias("__text"))
@@ -308,12 +346,13 @@ def _encoded(documents: DataFrame, path: str | None, columns: tuple[str, ...], d
             for own, ahead, enter, leave in zip(*(batch.column(c).to_pylist() for c in ("own", "ahead", "enter", "leave")), strict=True):
                 ahead = ahead[: code.vocab.width - 1]
                 got.append(row(code, code.trace(own, ahead, enter, leave), (own + ahead)[enter : len(own) + leave]))
-            yield batch_of(batch, batch.column("part").to_pylist(), batch.column("parts").to_pylist(), got)
+            made = batch_of(batch, batch.column("part").to_pylist(), batch.column("parts").to_pylist(), got)
+            yield pa.RecordBatch.from_arrays([*made.columns, batch.column("__row")], [*made.schema.names, "__row"])
 
     small = docs.where(F.length("__text") < CHUNK).mapInArrow(frugal(whole), schema)
     giant = _giant(docs, path, columns)
-    counted = giant.join(giant.groupBy("__row").agg(F.count("*").cast("int").alias("parts")), "__row").drop("__row")
-    return small, counted.mapInArrow(frugal(traced), schema)
+    counted = giant.join(giant.groupBy("__row").agg(F.count("*").cast("int").alias("parts")), "__row")
+    return small, counted.mapInArrow(frugal(traced), schema + ", __row long")
 
 
 def decoded(rows: DataFrame, path: str | None = None, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -335,10 +374,10 @@ def decoded(rows: DataFrame, path: str | None = None, columns: tuple[str, ...] =
 def summaries(documents: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_pieces, ids_sha256 (of the parts' digests in order), round_trip of every document.
 
-    Rows of documents of one chunk stand as they are; parts of giant documents are put together by doc_id.
+    Rows of documents of one chunk stand as they are; parts of giant documents are put together by row, so repeated rows and null ids keep a row each.
     """
     small, parts = _encoded(documents, path, ("doc_id",), True)
     digest = lambda c: F.sha2(c.cast("binary"), 256)
     single = small.select("doc_id", "n_pieces", digest(F.col("ids_sha256")).alias("ids_sha256"), "round_trip")
-    giant = parts.groupBy("doc_id").agg(F.sum("n_pieces").alias("n_pieces"), digest(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "ids_sha256"))), lambda x: x["ids_sha256"]), "")).alias("ids_sha256"), F.bool_and("round_trip").alias("round_trip"))
+    giant = parts.groupBy("__row").agg(F.first("doc_id").alias("doc_id"), F.sum("n_pieces").alias("n_pieces"), digest(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "ids_sha256"))), lambda x: x["ids_sha256"]), "")).alias("ids_sha256"), F.bool_and("round_trip").alias("round_trip")).drop("__row")
     return single.unionAll(giant)

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
 from mossgraph.llm import pieces
@@ -90,3 +90,30 @@ def test_tables(spark, sf, monkeypatch):
     chunked = {r.doc_id: r.n_pieces for r in got}
     monkeypatch.setattr(pieces, "CHUNK", 1 << 16)
     assert {r.doc_id: r.n_pieces for r in pieces.summaries(docs).collect()} == pytest.approx(chunked, rel=0.002)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from("abthe  \n▁é.日quicknasios"), max_size=60).filter(lambda t: len(t) > 3), st.integers(1, 12))
+@example("x" * 48, 1)
+@example("a    aaa   a aaaa a      a aaa", 1)
+@example("a" * 18, 1)
+def test_chunks_break_ties_as_whole_texts(text, size):
+    code, v = pieces.Encoder(pieces.vocabulary(MODEL)), pieces.vocabulary(MODEL)
+    size = max(size, v.width - 1)
+    raw = " " + text * 3
+    cuts = [(raw[a : a + size], raw[a + size : a + size + v.width - 1]) for a in range(0, len(raw), size)]
+    at = pieces.borders(np.array([code.matrix(*c) for c in cuts]))
+    got = b"".join(code.trace(o, a, e, f) for (o, a), e, f in zip(cuts, at[:-1], at[1:], strict=True))
+    assert np.frombuffer(got, np.uint32).tolist() == plain(text * 3)[1]
+
+
+def test_repeated_and_null_ids_of_giant_rows(spark, monkeypatch):
+    rng = random.Random(2)
+    one, two = (" ".join(rng.choices(["the", "quickest", "aaaaaaaaaaaaaaaaaaaaaaa", "日本"], k=300)) for _ in range(2))
+    rows = [(7, one), (7, one), (7, two), (None, one), (None, two), (8, "short"), (8, "short")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = sorted((str(i), len(plain(t)[1])) for i, t in rows)
+    for size in (100, 300, 1 << 16):
+        monkeypatch.setattr(pieces, "CHUNK", size)
+        got = pieces.summaries(docs).collect()
+        assert sorted((str(r.doc_id), r.n_pieces) for r in got) == want and all(r.round_trip for r in got)
