@@ -49,6 +49,14 @@ def _delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def spare(columns: Sequence[str], name: str) -> str:
+    """``name``, with underscores after it until it is none of ``columns`` (letter case doesn't count)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
@@ -79,17 +87,16 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 #: Bytes of text that a Python worker takes up at once (a longer text comes alone).
 PORTION = 4 << 20
-_LARGE = ("text", "__text", "own", "items")
 
 
 def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that their largest column's values sum to ``PORTION`` bytes at most."""
+    """Batches cut so that the values of their largest string or binary column sum to ``PORTION`` bytes at most."""
     for batch in batches:
-        name = next((c for c in _LARGE if c in batch.schema.names), None)
-        if name is None or batch.num_rows == 0:
+        wide = [c for c in batch.columns if pa.types.is_string(c.type) or pa.types.is_large_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_binary(c.type)]
+        if not wide or batch.num_rows == 0:
             yield batch
         else:
-            for a, b in spans(pc.fill_null(pc.binary_length(batch.column(name)), 0).to_pylist(), PORTION):
+            for a, b in spans(pc.fill_null(pc.binary_length(max(wide, key=lambda c: c.nbytes)), 0).to_pylist(), PORTION):
                 yield batch.slice(a, b - a)
 
 

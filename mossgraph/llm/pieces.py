@@ -1,20 +1,24 @@
 """SentencePiece encoding and decoding by a max-plus parallel scan.
 
-The encoding of a text is its segmentation into the vocabulary's pieces with the greatest sum of scores (ties: the shorter
-last piece); a character in no piece is spelt in byte pieces, at a fixed cost. One space is put in front, and decoding gives
-the text back exactly (spaces are U+2581 in pieces; a U+2581 of the text itself is spelt in bytes). The vocabulary's file
-is a parameter. With a file of the merging kind these are the best-scoring segmentations under its scores, not the result of its merges.
-
-Segmentations are best paths, so a stretch of text is a matrix over (max, +): its entry (i, j) is the best score from
-entering the stretch i characters late, as the last piece before it overhung, to overhanging its end by j. Giant
-documents are split into chunks, each chunk's matrix is computed by itself, matrices are combined by an associative scan,
-which tells where each chunk is entered and left (equal ways by the same tie rule), and every chunk is then backtraced independently. Inside a chunk the
-best paths of its words, between which no piece crosses, are computed side by side, once for each distinct word.
-
-Scale: chunks are rows, so a giant document is spread over tasks; what meets in one task for a document is W * W numbers
-for each chunk (W: the longest piece), not text. Only the vocabulary's path goes to tasks.
-
-Null texts count as empty; an empty text has no pieces. Repeated rows are encoded each, very long words go by the same
+The encoding of a text is that of the vocabulary's own merges (a file of the merging kind): neighbouring symbols whose
+concatenation is a piece are joined, the best score first, equal ones from the left. One space is put in front, and
+decoding gives the text back exactly (spaces are U+2581 in pieces; a U+2581 of the text itself, and every character in
+no piece, is spelt in byte pieces). The vocabulary's file is a parameter.
+
+A segmentation is the merges' result if, and only if, the merges keep each two neighbouring pieces apart when they are
+given just these two; so every prefix has one last piece. That makes the encoding a path over places whose steps depend
+on the piece before, and a stretch of text a matrix over (max, +): its entry (i, j) is minus the number of pieces from
+entering the stretch behind the i-th piece that can cross its first border to leaving it by the j-th that can cross its
+last one, or minus infinity where the merges would join what the path keeps apart. Giant documents are split into chunks, each chunk's
+matrix is computed by itself, matrices are combined by an associative scan, which tells by which piece each border is
+crossed, and every chunk is then backtraced independently. Between two word borders inside a chunk, which no piece
+crosses, words are merged side by side, once for each distinct word; so are documents of one chunk. Both ways
+give the same pieces at every size of chunks.
+
+Scale: chunks are rows, so a giant document is spread over tasks; what meets in one task for a document is a small matrix
+for each chunk (a row and a column for each piece that fits over a border), not text. Only the vocabulary's path goes to tasks.
+
+Null texts count as empty; an empty text has no pieces. Repeated rows and null ids are encoded each, very long words go by the same
 matrices, an empty table gives an empty result, and other columns are carried along by ``encoded`` only if asked for.
 """
 
@@ -27,15 +31,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frugal, spans, stored
+from .common import frugal, spans, spare, stored
 
-CHUNK = 1 << 16
+#: Characters of a chunk; a document of less than two chunks isn't split.
+CHUNK = 1 << 14
 BATCH = 1 << 21
 KEPT = 1 << 18
+BLOCK = 16
 _NONE = -1e30
+_NO_RANK = 1 << 30
 
 
 def default_model() -> str:
@@ -46,7 +54,7 @@ def default_model() -> str:
 
 
 class Vocabulary:
-    """Pieces (with spaces as such), their scores and ids, and a trie of them as one sorted array of (state, character)."""
+    """Pieces (with spaces as such), their ids and ranks (by score, the best first), and the pairs of symbols that merge, as one sorted array."""
 
     def __init__(self, path: str) -> None:
         import sentencepiece
@@ -56,39 +64,61 @@ class Vocabulary:
         text = [sp.id_to_piece(i).replace("▁", " ") for i in range(n)]
         self.bytes_of = [t.encode() for t in text]
         self.byte_id = [0] * 256
-        self.best: dict[str, tuple[float, int]] = {}
+        self.ids: dict[str, int] = {}
         for i in range(n):
             if sp.is_byte(i):
                 self.byte_id[int(text[i][3:5], 16)] = i
                 self.bytes_of[i] = bytes([int(text[i][3:5], 16)])
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
-                self.best[text[i]] = (float(sp.get_score(i)), i)
-        scores = [s for s, _ in self.best.values() if s > -1e8]
-        self.width = max(map(len, self.best), default=1)
-        self.unknown = min(scores, default=0.0) - 10.0
-        states, edges = {"": 0}, {}
-        for piece in sorted(self.best):
-            for k in range(1, len(piece) + 1):
-                if piece[:k] not in states:
-                    states[piece[:k]] = len(states)
-                    edges[states[piece[: k - 1]] << 32 | ord(piece[k - 1])] = states[piece[:k]]
-        names = sorted(edges)
-        self.edges, self.to = np.array(names or [0], np.int64), np.array([edges[k] for k in names] or [-1], np.int64)
-        self.value = np.full(len(states), _NONE)
-        for piece, (score, _) in self.best.items():
-            self.value[states[piece]] = score
-        inside = {c for p in self.best if len(p) > 1 for c in p}
+                self.ids[text[i]] = i
+        places = {s: k for k, s in enumerate(sorted({sp.get_score(i) for i in self.ids.values()}, reverse=True))}
+        self.rank = {p: places[sp.get_score(i)] for p, i in self.ids.items()}
+        self.width = max(map(len, self.ids), default=1)
+        names = sorted(self.ids, key=len)
+        names += sorted({c for p in names for c in p} - self.ids.keys())
+        number = {s: k for k, s in enumerate(names, 1)}  # 0: a character in no piece
+        self.id_of = np.array([-1, *(self.ids.get(s, -1) for s in names)], np.int64)
+        self.symbol = np.zeros(0x110000, np.int32)
+        for s, k in number.items():
+            if len(s) == 1:
+                self.symbol[ord(s)] = k
+        pairs = {}
+        for p in self.ids:
+            for k in range(1, len(p)):
+                if p[:k] in number and p[k:] in number:
+                    pairs[number[p[:k]] << 32 | number[p[k:]]] = (self.rank[p], number[p])
+        keys = sorted(pairs)
+        self.pairs = np.array([*keys, 1 << 62], np.int64)
+        self.pair_rank = np.array([*(pairs[k][0] for k in keys), _NO_RANK], np.int64)
+        self.pair_to = np.array([*(pairs[k][1] for k in keys), 0], np.int64)
+        inside = {c for p in self.ids if len(p) > 1 for c in p}
         alone = "".join(c for c in "\n\t\r" if c not in inside)
-        assert not any(" " in p.lstrip(" ") for p in self.best), "a piece crosses words"
+        assert not any(" " in p.lstrip(" ") for p in self.ids), "a piece crosses words"
         #: Words: spaces with what follows them, or a character that no longer piece holds. No piece crosses their borders.
         self.words = re.compile(f" +[^ {alone}]*|[^ {alone}]+" + (f"|[{alone}]" if alone else ""))
-        self.cut = re.compile(f"(?<=[^ ])(?= )" + (f"|(?<=[{alone}])|(?=[{alone}])" if alone else ""))
-
-    def walk(self, state: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        """Next trie states, -1 where there is none."""
-        name = (state << 32) | codes
-        at = np.minimum(np.searchsorted(self.edges, name), len(self.edges) - 1)
-        return np.where(self.edges[at] == name, self.to[at], -1)
+        self.cut = re.compile("(?<=[^ ])(?= )" + (f"|(?<=[{alone}])|(?=[{alone}])" if alone else ""))
+
+    def merging(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and number of what pairs of symbols merge to."""
+        name = (left.astype(np.int64) << 32) | right
+        at = np.searchsorted(self.pairs, name)
+        at[self.pairs[at] != name] = len(self.pairs) - 1
+        return self.pair_rank[at], self.pair_to[at]
+
+    def merged(self, text: str) -> list[str]:
+        """The merges' result for a short text."""
+        parts = list(text)
+        while len(parts) > 1:
+            ranks = [self.rank.get(a + b, _NO_RANK) for a, b in zip(parts[:-1], parts[1:], strict=True)]
+            best = min(ranks)
+            if best == _NO_RANK:
+                break
+            k = ranks.index(best)
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        return parts
+
+    def spelt(self, piece: str) -> list[int]:
+        return [self.ids[piece]] if piece in self.ids else [self.byte_id[b] for b in piece.encode("utf-8", "surrogatepass")]
 
 
 @lru_cache(maxsize=4)
@@ -110,98 +140,83 @@ def scanned(matrices: np.ndarray) -> np.ndarray:
     return out
 
 
-def borders(matrices: np.ndarray) -> list[int]:
-    """How far pieces overhang the borders before, between and after the stretches of ``matrices`` (scores and ranks of each) on the best path that ends at 0; of equal ways in, the one of least rank."""
-    scores, ranks = matrices[:, 0], matrices[:, 1]
-    ways = scanned(scores)[:, 0, :]
-    state = [0]
+def borders(matrices: list[np.ndarray]) -> list[int]:
+    """The states by which the borders before, between and after the stretches of ``matrices`` are crossed on the best path. A block of products is held at a time."""
+    size = max(max(m.shape) for m in matrices)
+    way, ways = np.full(size, _NONE), []
+    way[0] = 0.0
+    for at in range(0, len(matrices), BLOCK):
+        some = np.full((min(BLOCK, len(matrices) - at), size, size), _NONE)
+        for k, m in enumerate(matrices[at : at + BLOCK]):
+            some[k, : m.shape[0], : m.shape[1]] = m
+        ways += list((way[None, :, None] + scanned(some)).max(1))
+        way = ways[-1]
+    state = [int(np.argmax(ways[-1]))]
+    assert ways[-1][state[0]] > _NONE / 2, "no path"
     for k in range(len(matrices) - 1, 0, -1):
-        total = ways[k - 1] + scores[k][:, state[-1]]
-        state.append(int(np.argmin(np.where(total == total.max(), ranks[k][:, state[-1]], np.inf))))
+        m = matrices[k]
+        state.append(int(np.argmax(ways[k - 1][: len(m)] + m[:, state[-1]])))
     return [0, *reversed(state)]
 
 
-def preferred(last: np.ndarray, entries: list[int], end: int, known: dict[int, list[int]]) -> list[int]:
-    """The entries, those first whose path to ``end`` goes before by the tie rule: at the first difference from the end the shorter piece. A path that has come to its entry goes after those that go on. ``known``: orders by place, kept for other ends."""
-    passed, place, group, late = [], end, np.arange(len(entries)), []
-    while len(group) > 1 and place not in known:
-        if len(group) == len(entries):
-            passed.append(place)
-        here = [int(e) for e in group if entries[e] == place]
-        if here:
-            late = here + late
-            group = group[[entries[e] != place for e in group]]
-            continue
-        sizes = last[place, group]
-        if (sizes == sizes[0]).all():
-            place -= int(sizes[0])
-            continue
-        early = []
-        for size in np.unique(sizes):
-            part = [int(e) for e in group[sizes == size]]
-            early += [part[k] for k in preferred(last[:, part], [entries[e] for e in part], place - int(size), {})]
-        group = np.array(early)
-        break
-    if len(group) == len(entries) and place in known:
-        group = np.array(known[place])
-    order = [*(int(e) for e in group), *late]
-    known.update(dict.fromkeys(passed, order))
-    return order
-
-
 class Encoder:
     def __init__(self, vocab: Vocabulary) -> None:
-        self.vocab, self.kept = vocab, {}
-
-    def forward(self, codes: np.ndarray, lens: np.ndarray, entries: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """For rows of character codes, each entered at its own place: best scores up to each place, and the length of the last piece there."""
-        v, (n, width) = self.vocab, codes.shape
-        best, last = np.full((width + 1, n), _NONE), np.ones((width + 1, n), np.int16)
-        best[0 if entries is None else entries, np.arange(n)] = 0.0
-        for at in range(width):
-            rows = np.flatnonzero((best[at] > _NONE / 2) & (at < lens))
-            if not len(rows):
-                continue
-            base, state = best[at, rows], np.zeros(len(rows), np.int64)
-            on = base + v.unknown >= best[at + 1, rows]
-            best[at + 1, rows[on]], last[at + 1, rows[on]] = base[on] + v.unknown, 1
-            for k in range(min(v.width, width - at)):
-                to = v.walk(state, codes[rows, at + k])
-                some = np.flatnonzero((to >= 0) & (at + k < lens[rows]))
-                if not len(some):
-                    break
-                rows, base, state = rows[some], base[some], to[some]
-                score = base + v.value[state]
-                on = score >= np.maximum(best[at + k + 1, rows], _NONE / 2)
-                best[at + k + 1, rows[on]], last[at + k + 1, rows[on]] = score[on], k + 1
-        return best, last
-
-    def ids(self, text: str, last: np.ndarray, start: int, end: int) -> list[int]:
-        """The pieces on the way back from ``end`` to ``start``, in order."""
-        v, out = self.vocab, []
-        while end > start:
-            piece = text[end - int(last[end]) : end]
-            if piece in v.best:
-                out.append(v.best[piece][1])
-            else:
-                out.extend(v.byte_id[b] for b in reversed(piece.encode("utf-8", "surrogatepass")))
-            end -= int(last[end])
-        return out[::-1]
+        self.vocab, self.kept, self.pairs = vocab, {}, {}
 
+    # --- words, side by side ---
     def learn(self, words: set[str]) -> None:
-        """Encodes new words side by side, by length."""
+        """Merges new words and keeps their ids."""
         if len(self.kept) > KEPT:
             self.kept.clear()
-        todo = sorted((w for w in words if w not in self.kept), key=len)
-        for a, b in spans([len(w) * 16 for w in todo], 1 << 22):
-            part = todo[a:b]
-            lens = np.array([len(w) for w in part])
-            codes = np.zeros((len(part), lens.max()), np.int64)
-            codes[np.arange(lens.max())[None, :] < lens[:, None]] = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32)
-            best, last = self.forward(codes, lens)
-            back = np.ascontiguousarray(last.T)
-            for r, w in enumerate(part):
-                self.kept[w] = np.array(self.ids(w, back[r], 0, len(w)), np.uint32).tobytes(), float(best[len(w), r])
+        todo = [w for w in words if w not in self.kept]
+        for a, b in spans([len(w) for w in todo], 1 << 18):
+            self.kept.update(zip(todo[a:b], self.merge(todo[a:b]), strict=True))
+
+    def merge(self, words: list[str]) -> list[bytes]:
+        """Ids (unsigned 32-bit) of words; every round merges one pair of each word that has one."""
+        v, n = self.vocab, len(words)
+        lens = np.array([len(w) for w in words])
+        symbol = v.symbol[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        word, start = np.repeat(np.arange(n), lens), np.arange(len(symbol))
+        rank, to = np.full(len(symbol), _NO_RANK), np.zeros(len(symbol), np.int64)
+        inner = np.flatnonzero(word[1:] == word[:-1])
+        rank[inner], to[inner] = v.merging(symbol[inner], symbol[inner + 1])
+        done = []
+        while len(symbol):
+            first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+            best = np.minimum.reduceat(rank, first)
+            counts = np.diff(np.append(first, len(symbol)))
+            over = np.repeat(best == _NO_RANK, counts)
+            if over.any():
+                done.append((start[over], symbol[over], word[over]))
+                live = ~over
+                symbol, word, start, rank, to = symbol[live], word[live], start[live], rank[live], to[live]
+                best, counts = best[best < _NO_RANK], counts[best < _NO_RANK]
+            at = np.flatnonzero(rank == np.repeat(best, counts))
+            at = at[np.concatenate(([True], word[at][1:] != word[at][:-1]))] if len(at) else at
+            symbol[at] = to[at]
+            keep = np.ones(len(symbol), bool)
+            keep[at + 1] = False
+            at = at - np.arange(len(at))  # places after the joined ones are gone
+            symbol, word, start, rank, to = symbol[keep], word[keep], start[keep], rank[keep], to[keep]
+            rank[at] = _NO_RANK
+            near = np.concatenate([at, at[at > 0] - 1])
+            near = near[near < len(symbol) - 1]
+            near = near[word[near] == word[near + 1]]
+            rank[near], to[near] = v.merging(symbol[near], symbol[near + 1])
+        start, symbol, word = (np.concatenate(x) for x in zip(*done, strict=True)) if done else (np.zeros(0, int),) * 3
+        order = np.argsort(start)
+        start, ids, word = start[order], v.id_of[symbol[order]], word[order]
+        cuts = np.searchsorted(word, np.arange(n + 1)).tolist()
+        raw = ids.astype(np.uint32).tobytes()
+        out = [raw[4 * a : 4 * b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        begins = np.cumsum(lens) - lens
+        for k in np.unique(word[ids < 0]).tolist():  # words with characters that are no piece
+            own, places = [], [*(start[cuts[k] : cuts[k + 1]] - begins[k]).tolist(), len(words[k])]
+            for a, b in zip(places[:-1], places[1:], strict=True):
+                own += v.spelt(words[k][a:b])
+            out[k] = np.array(own, np.uint32).tobytes()
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids (unsigned 32-bit) of whole texts."""
@@ -209,60 +224,125 @@ class Encoder:
         for a, b in spans([len(t) for t in texts], BATCH):
             words = [self.vocab.words.findall(" " + t) if t else [] for t in texts[a:b]]
             self.learn(set().union(*words))
-            out += [b"".join([self.kept[w][0] for w in ws]) for ws in words]
+            out += [b"".join([self.kept[w] for w in ws]) for ws in words]
+        return out
+
+    # --- chunks ---
+    def apart(self, before: str, piece: str) -> bool:
+        """Whether the merges leave these two pieces as they are (``before`` may be empty)."""
+        key = before, piece
+        found = self.pairs.get(key)
+        if found is None:
+            if len(self.pairs) > KEPT:
+                self.pairs.clear()
+            found = self.pairs[key] = self.vocab.merged(before + piece) == ([before, piece] if before else [piece])
+        return found
+
+    def crossing(self, text: str, border: int, last: bool = False) -> list[tuple[int, int]]:
+        """States of a border: (overhang, length) of the pieces that fit over it or end at it, each beginning before it. The text's own end (``last``) is crossed by none."""
+        v, out = self.vocab, []
+        for over in range(1 if last else v.width):
+            for size in range(over + 1, v.width + 1):
+                a, b = border + over - size, border + over
+                if a >= 0 and b <= len(text) and (size == 1 or text[a:b] in v.ids):
+                    out.append((over, size))
         return out
 
-    def edges(self, own: str) -> tuple[int, int]:
-        """The first and the last place in a chunk, after its start, that no piece crosses; (0, 0) if there is none."""
-        found = [m.start() for m in self.vocab.cut.finditer(own, 1)]
+    def path(self, text: str, at: int, size: int, stop: int, like: list[int] | None = None) -> list[int]:
+        """For every place the length of the last piece there, from ``at``, where a piece of ``size`` ends (0: nothing goes before); 0 where there is none. ``like``: another path, which is followed from where both have been the same for the width of a piece."""
+        v, last, same = self.vocab, [0] * (stop + 1), 0
+        last[at] = size or -1
+        for i in range(at + 1, stop + 1):
+            for k in range(1, min(v.width, i - at) + 1):
+                before = last[i - k]
+                if before and (k == 1 or text[i - k : i] in v.ids) and self.apart(text[i - k - before : i - k] if before > 0 else "", text[i - k : i]):
+                    last[i] = k
+                    break
+            if like is not None:
+                same = same + 1 if like[i] == last[i] else 0
+                if same >= v.width:
+                    last[i:] = like[i:]
+                    break
+        return last
+
+    @staticmethod
+    def back(last: list[int], at: int, end: int) -> list[int]:
+        """Ends of the pieces from ``at`` to ``end``, in order."""
+        out = []
+        while end > at:
+            out.append(end)
+            end -= last[end]
+        return out[::-1]
+
+    def cuts(self, own: str) -> tuple[int, int]:
+        """The first and the last place inside a chunk that no piece crosses; (0, 0) if there is none."""
+        found = [m.start() for m in self.vocab.cut.finditer(own, 1) if m.start() < len(own)]
         return (found[0], found[-1]) if found else (0, 0)
 
-    def stretch(self, text: str, entries: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        one = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        return self.forward(np.tile(one, (len(entries), 1)), np.full(len(entries), len(one)), np.array(entries))
-
-    def matrix(self, own: str, ahead: str) -> np.ndarray:
-        """The chunk's matrix, and the entries' ranks by the tie rule for each end; ``ahead`` is the text after it, as far as pieces reach."""
-        w = self.vocab.width
-        p, q = self.edges(own)
-        both = np.zeros((2, w, w))
-        out, ranks = both
-        out[:] = _NONE
-        tail = slice(len(own), len(own) + min(w, len(ahead) + 1))
-        if q == 0:
-            entries = list(range(min(w, len(own) + 1)))
-            best, last = self.stretch(own + ahead, entries)
-            out[: len(entries), : tail.stop - tail.start] = best[tail].T
-            known = {}
-            for j in range(tail.stop - tail.start):
-                ranks[preferred(last, entries, len(own) + j, known), j] = np.arange(len(entries))
-            np.maximum(out, _NONE, out=out)
-            return both
-        entries = list(range(min(w, p + 1)))
-        head, last = self.stretch(own[:p], entries)
-        ranks[preferred(last, entries, p, {})] = np.arange(len(entries))[:, None]  # after p all paths are the same
-        words = self.vocab.words.findall(own[p:q])
-        self.learn(set(words))
-        middle = sum(self.kept[x][1] for x in words)
-        best, _ = self.stretch(own[q:] + ahead, [0])
-        end = best[tail.start - q : tail.stop - q, 0]
-        out[: len(entries), : len(end)] = head[p][:, None] + middle + end[None, :]
-        np.maximum(out, _NONE, out=out)
-        return both
-
-    def trace(self, own: str, ahead: str, enter: int, leave: int) -> bytes:
-        """Ids of a chunk between its known borders."""
-        p, q = self.edges(own)
-        whole = own + ahead
-        if q == 0:
-            _, last = self.stretch(whole, [enter])
-            return np.array(self.ids(whole, last[:, 0], enter, len(own) + leave), np.uint32).tobytes()
-        _, head = self.stretch(own[:p], [enter])
-        words = self.vocab.words.findall(own[p:q])
-        self.learn(set(words))
-        _, last = self.stretch(whole[q:], [0])
-        first = np.array(self.ids(own[:p], head[:, 0], enter, p), np.uint32).tobytes()
-        return b"".join([first, *(self.kept[x][0] for x in words), np.array(self.ids(whole[q:], last[:, 0], 0, len(own) - q + leave), np.uint32).tobytes()])
+    def exits(self, text: str, last: list[int], states: list[tuple[int, int]], border: int) -> list[bool]:
+        """Which states follow on a path."""
+        out = []
+        for over, size in states:
+            a = border + over - size
+            before = last[a] if a >= 0 else 0
+            out.append(before != 0 and self.apart(text[a - before : a] if before > 0 else "", text[a : a + size]))
+        return out
+
+    def matrix(self, behind: str, own: str, ahead: str) -> np.ndarray:
+        """A chunk's matrix between the states of its borders; a text begins without ``behind`` and ends without ``ahead``."""
+        text, b0 = behind + own + ahead, len(behind)
+        b1 = b0 + len(own)
+        enter, leave = self.crossing(text, b0) if behind else [(0, 0)], self.crossing(text, b1, not ahead)
+        out = np.full((len(enter), len(leave)), _NONE)
+        p, q = self.cuts(own)
+        if q:
+            tail = self.path(text, b0 + q, 0, b1)
+            words = self.vocab.words.findall(own[p:q])
+            self.learn(set(words))
+            middle = sum(len(self.kept[w]) for w in words) // 4
+            ok = self.exits(text, tail, leave, b1)
+            behind_it = [middle + len(self.back(tail, b0 + q, b1 + o - s)) + 1 if on else 0 for (o, s), on in zip(leave, ok, strict=True)]
+        first = None
+        for i, (over, size) in enumerate(enter):
+            at = b0 + over
+            if q:
+                if at <= b0 + p:
+                    head = self.path(text, at, size, b0 + p)
+                    if head[b0 + p]:
+                        lead = len(self.back(head, at, b0 + p))
+                        out[i, ok] = [-float(lead + n) for n, on in zip(behind_it, ok, strict=True) if on]
+                continue
+            last = self.path(text, at, size, b1, first)
+            first = first or last
+            for j, on in enumerate(self.exits(text, last, leave, b1)):
+                if on:
+                    out[i, j] = -float(len(self.back(last, at, b1 + leave[j][0] - leave[j][1])) + 1)
+        return out
+
+    def trace(self, behind: str, own: str, ahead: str, enter: int, leave: int) -> tuple[bytes, str]:
+        """Ids of a chunk between its known states, and the text that they stand for."""
+        v, text, b0 = self.vocab, behind + own + ahead, len(behind)
+        b1 = b0 + len(own)
+        over, size = self.crossing(text, b0)[enter] if behind else (0, 0)
+        beyond, final = self.crossing(text, b1, not ahead)[leave]
+        at, stop = b0 + over, b1 + beyond - final
+        p, q = self.cuts(own)
+        out: list[bytes] = []
+
+        def along(last: list[int], a: int, b: int) -> None:
+            for end in self.back(last, a, b):
+                out.append(np.array(v.spelt(text[end - last[end] : end]), np.uint32).tobytes())
+
+        if q:
+            along(self.path(text, at, size, b0 + p), at, b0 + p)
+            words = v.words.findall(own[p:q])
+            self.learn(set(words))
+            out += [self.kept[w] for w in words]
+            along(self.path(text, b0 + q, 0, b1), b0 + q, stop)
+        else:
+            along(self.path(text, at, size, b1), at, stop)
+        out.append(np.array(v.spelt(text[stop : stop + final]), np.uint32).tobytes())
+        return b"".join(out), text[at : b1 + beyond]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.vocab.bytes_of.__getitem__, np.frombuffer(ids, np.uint32).tolist()))
@@ -277,107 +357,142 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def _giant(documents: DataFrame, path: str, columns: list[str]) -> DataFrame:
-    """Chunks of the documents of several chunks: ``columns``, part, own, ahead, enter, leave."""
-    size = F.length("__text") + 1
-    rows = documents.where(size > CHUNK).withColumn("__row", F.monotonically_increasing_id()).withColumn("__text", F.concat(F.lit(" "), "__text"))
-    parts = rows.select("__row", *columns, F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.length("__text") - 1) / CHUNK).cast("int")), lambda k: F.struct(F.substr("__text", k * CHUNK + 1, F.lit(CHUNK)).alias("own"), F.substr("__text", (k + 1) * CHUNK + 1, F.lit(63)).alias("ahead")))).alias("part", "c"))
-    chunks = stored(parts.select("__row", *columns, "part", "c.own", "c.ahead"))
+def _types(df: DataFrame, columns: list[str]) -> str:
+    return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.select(*columns).schema)
 
-    def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = encoder(path)
-        for batch in batches:
-            got = [code.matrix(o, a[: code.vocab.width - 1]).tobytes() for o, a in zip(batch.column("own").to_pylist(), batch.column("ahead").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("__row"), batch.column("part"), pa.array(got, pa.binary())], ["__row", "part", "m"])
 
-    def combined(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("part")
-        flat = np.array([np.frombuffer(x.as_py()) for x in rows.column("m")])
-        w = round((flat.shape[1] / 2) ** 0.5)
-        at = borders(flat.reshape(-1, 2, w, w))
-        return pa.table([rows.column("__row"), rows.column("part"), pa.array(at[:-1], pa.int32()), pa.array(at[1:], pa.int32())], ["__row", "part", "enter", "leave"])
+class _Parts:
+    """Documents in two tables, with names that their own columns don't have."""
 
-    made = chunks.select("__row", "part", "own", "ahead").repartition(F.col("__row"), F.col("part")).mapInArrow(frugal(matrices), "__row long, part int, m binary")
-    found = made.groupBy("__row").applyInArrow(combined, "__row long, part int, enter int, leave int")
-    return chunks.join(found, ["__row", "part"]).select("__row", *columns, "part", "own", "ahead", "enter", "leave")
+    def __init__(self, documents: DataFrame, path: str | None, columns: tuple[str, ...]) -> None:
+        self.path, self.columns = path or default_model(), list(columns)
+        self.text, self.row, self.m = (spare(columns, n) for n in ("__text", "__row", "__m"))
+        docs = documents.select(*columns, F.coalesce(F.col("text"), F.lit("")).alias(self.text))
+        self.types = _types(docs, self.columns)
+        self.small = docs.where(F.length(self.text) < 2 * CHUNK)
+        self.large = docs.where(F.length(self.text) >= 2 * CHUNK)
 
+    def chunks(self) -> DataFrame:
+        """row (the document's number), ``columns``, part, parts, behind, own, ahead, enter, leave of the documents of several chunks."""
+        path, columns, text, row, m = self.path, self.columns, self.text, self.row, self.m
+        size = CHUNK
 
-def encoded(documents: DataFrame, path: str | None = None, columns: tuple[str, ...] = ("doc_id",), digests: bool = False) -> DataFrame:
-    """``columns``, part, parts and ids of every document; a document of several chunks has a row for each, part 0, 1, ... .
+        def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            number, reach = TaskContext.get().partitionId() << 33, vocabulary(path).width
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    whole = " " + batch.column(text)[i].as_py()
+                    parts = len(whole) // size
+                    for k in range(parts):
+                        a, b = k * size, (k + 1) * size if k + 1 < parts else len(whole)
+                        own = [whole[max(0, a - reach) : a], whole[a:b], whole[b : b + reach]]
+                        yield pa.RecordBatch.from_arrays([pa.array([number]), *(batch.column(c).slice(i, 1) for c in columns), pa.array([k], pa.int32()), pa.array([parts], pa.int32()), *(pa.array([x], pa.string()) for x in own)], [row, *columns, "__part", "__parts", "__behind", "__own", "__ahead"])
+                    number += 1
 
-    With ``digests``: n_pieces, ids_sha256 and round_trip (whether the ids decode to the text) in place of ids.
-    """
-    small, giant = _encoded(documents, path, columns, digests)
-    return small.unionAll(giant.drop("__row"))
+        def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            code = encoder(path)
+            for batch in batches:
+                got = [code.matrix(*x) for x in zip(*(batch.column(c).to_pylist() for c in ("__behind", "__own", "__ahead")), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(row), batch.column("__part"), pa.array([x.shape[1] for x in got], pa.int32()), pa.array([x.tobytes() for x in got], pa.binary())], [row, "__part", "__width", m])
 
+        def combined(rows: pa.Table) -> pa.Table:
+            rows = rows.sort_by("__part")
+            at = borders([np.frombuffer(x.as_py()).reshape(-1, w) for x, w in zip(rows.column(m), rows.column("__width").to_pylist(), strict=True)])
+            return pa.table([rows.column(row), rows.column("__part"), pa.array(at[:-1], pa.int32()), pa.array(at[1:], pa.int32())], [row, "__part", "__enter", "__leave"])
 
-def _encoded(documents: DataFrame, path: str | None, columns: tuple[str, ...], digests: bool) -> tuple[DataFrame, DataFrame]:
-    """The rows of ``encoded`` for documents of one chunk, and for those of several; these with __row, the document's number among them."""
-    path = path or default_model()
-    columns = list(columns)
-    docs = documents.select(*columns, F.coalesce("text", F.lit("")).alias("__text"))
-    more = "n_pieces long, ids_sha256 string, round_trip boolean" if digests else "ids array<int>"
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema) + f", part int, parts int, {more}"
-
-    def row(code: Encoder, ids: bytes, text: str) -> tuple:
-        if digests:
-            return len(ids) // 4, hashlib.sha256(ids).hexdigest(), code.decode(ids) == text.encode("utf-8", "surrogatepass")
-        return (np.frombuffer(ids, np.int32),)
-
-    def batch_of(batch: pa.RecordBatch, parts: list, count: list, rows: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.string(), pa.bool_()) if digests else (pa.list_(pa.int32()),)
-        names = ["n_pieces", "ids_sha256", "round_trip"] if digests else ["ids"]
-        cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(kinds), kinds, strict=True)]
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(parts, pa.int32()), pa.array(count, pa.int32()), *cols], [*columns, "part", "parts", *names])
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = encoder(path)
-        for batch in batches:
-            for a, b in spans([len(x.as_buffer()) if x.is_valid else 0 for x in batch.column("__text")], BATCH):
-                part = batch.slice(a, b - a)
-                texts = part.column("__text").to_pylist()
-                got = [row(code, ids, " " + t if t else "") for ids, t in zip(code.encode(texts), texts, strict=True)]
-                yield batch_of(part, [0] * len(texts), [1] * len(texts), got)
+        made = stored(self.large.mapInArrow(frugal(split), f"`{row}` long, {self.types}__part int, __parts int, __behind string, __own string, __ahead string"))
+        each = made.select(row, "__part", "__behind", "__own", "__ahead").repartition(F.col(row), F.col("__part")).mapInArrow(frugal(matrices), f"`{row}` long, __part int, __width int, `{m}` binary")
+        found = each.groupBy(row).applyInArrow(combined, f"`{row}` long, __part int, __enter int, __leave int")
+        return made.join(found, [row, "__part"])
 
-    def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = encoder(path)
-        for batch in batches:
-            got = []
-            for own, ahead, enter, leave in zip(*(batch.column(c).to_pylist() for c in ("own", "ahead", "enter", "leave")), strict=True):
-                ahead = ahead[: code.vocab.width - 1]
-                got.append(row(code, code.trace(own, ahead, enter, leave), (own + ahead)[enter : len(own) + leave]))
-            made = batch_of(batch, batch.column("part").to_pylist(), batch.column("parts").to_pylist(), got)
-            yield pa.RecordBatch.from_arrays([*made.columns, batch.column("__row")], [*made.schema.names, "__row"])
+    def whole(self, schema: str, names: list[str], make) -> DataFrame:
+        """Rows of documents of one chunk: ``columns`` and what ``make`` gives for encoder, ids and text, as ``names``."""
+        path, columns, text = self.path, self.columns, self.text
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            code = encoder(path)
+            for batch in batches:
+                for a, b in spans([len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(text)], BATCH):
+                    part = batch.slice(a, b - a)
+                    texts = part.column(text).to_pylist()
+                    yield _batch(part, columns, [make(code, ids, " " + t if t else "", 0, 1) for ids, t in zip(code.encode(texts), texts, strict=True)], names)
+
+        return self.small.mapInArrow(frugal(run), self.types + schema)
 
-    small = docs.where(F.length("__text") < CHUNK).mapInArrow(frugal(whole), schema)
-    giant = _giant(docs, path, columns)
-    counted = giant.join(giant.groupBy("__row").agg(F.count("*").cast("int").alias("parts")), "__row")
-    return small, counted.mapInArrow(frugal(traced), schema + ", __row long")
+    def traced(self, schema: str, names: list[str], make) -> DataFrame:
+        """Rows of chunks: row, ``columns`` and what ``make`` gives, as ``names``."""
+        path, columns = self.path, [self.row, *self.columns]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            code = encoder(path)
+            for batch in batches:
+                got = []
+                for behind, own, ahead, enter, leave, k, n in zip(*(batch.column(c).to_pylist() for c in ("__behind", "__own", "__ahead", "__enter", "__leave", "__part", "__parts")), strict=True):
+                    got.append(make(code, *code.trace(behind, own, ahead, enter, leave), k, n))
+                yield _batch(batch, columns, got, names)
+
+        return self.chunks().mapInArrow(frugal(run), f"`{self.row}` long, {self.types}{schema}")
+
+
+_KINDS = {"part": pa.int32(), "parts": pa.int32(), "ids": pa.list_(pa.int32()), "n_pieces": pa.int64(), "raw": pa.binary(), "ids_sha256": pa.string(), "round_trip": pa.bool_()}
+
+
+def _batch(batch: pa.RecordBatch, columns: list[str], rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
+    return pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *(pa.array(c, _KINDS[n]) for c, n in zip(cols, names, strict=True))], [*columns, *names])
+
+
+def encoded(documents: DataFrame, path: str | None = None, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``columns``, part, parts and ids of every document; a document of several chunks has a row for each, part 0, 1, ... . ``columns`` must not be named like these three."""
+    parts = _Parts(documents, path, columns)
+    make = lambda code, ids, text, k, n: (k, n, np.frombuffer(ids, np.int32))
+    schema, names = "part int, parts int, ids array<int>", ["part", "parts", "ids"]
+    return parts.whole(schema, names, make).unionAll(parts.traced(schema, names, make).drop(parts.row))
 
 
 def decoded(rows: DataFrame, path: str | None = None, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``columns``, part and the bytes of every row of ``encoded``; a document's text is that of its parts in order, less the space in front."""
     path = path or default_model()
-    columns = list(columns)
-    kept = rows.select(*columns, "part", "ids")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.drop("ids").schema) + ", raw binary"
+    columns = [*columns, "part"]
+    kept = rows.select(*columns, "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(path)
         for batch in batches:
-            got = [code.decode(np.array(x.as_py(), np.uint32).tobytes()) for x in batch.column("ids")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in [*columns, "part"]), pa.array(got, pa.binary())], [*columns, "part", "raw"])
+            yield _batch(batch, columns, [(code.decode(np.array(x.as_py() or [], np.uint32).tobytes()),) for x in batch.column("ids")], ["raw"])
 
-    return kept.mapInArrow(frugal(run), schema)
+    return kept.mapInArrow(frugal(run), _types(kept, columns) + "raw binary")
 
 
 def summaries(documents: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_pieces, ids_sha256 (of the parts' digests in order), round_trip of every document.
+    """doc_id, n_pieces, ids_sha256 (of the document's ids, each of 4 bytes, little-endian, whatever its number of chunks), round_trip (whether the ids decode to the text) of every document.
 
-    Rows of documents of one chunk stand as they are; parts of giant documents are put together by row, so repeated rows and null ids keep a row each.
+    Rows of documents of one chunk stand as they are; parts of giant documents are put together by row and run through
+    the digest in order, batch by batch, so repeated rows and null ids keep a row each.
     """
-    small, parts = _encoded(documents, path, ("doc_id",), True)
-    digest = lambda c: F.sha2(c.cast("binary"), 256)
-    single = small.select("doc_id", "n_pieces", digest(F.col("ids_sha256")).alias("ids_sha256"), "round_trip")
-    giant = parts.groupBy("__row").agg(F.first("doc_id").alias("doc_id"), F.sum("n_pieces").alias("n_pieces"), digest(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "ids_sha256"))), lambda x: x["ids_sha256"]), "")).alias("ids_sha256"), F.bool_and("round_trip").alias("round_trip")).drop("__row")
-    return single.unionAll(giant)
+    parts = _Parts(documents, path, ("doc_id",))
+    right = lambda code, ids, text: code.decode(ids) == text.encode("utf-8", "surrogatepass")
+    one = parts.whole("n_pieces long, ids_sha256 string, round_trip boolean", ["n_pieces", "ids_sha256", "round_trip"], lambda code, ids, text, k, n: (len(ids) // 4, hashlib.sha256(ids).hexdigest(), right(code, ids, text)))
+    several = parts.traced("part int, raw binary, round_trip boolean", ["part", "raw", "round_trip"], lambda code, ids, text, k, n: (k, ids, right(code, ids, text)))
+    row = parts.row
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, doc, digest, n, right_ = None, None, None, 0, True
+
+        def over() -> pa.RecordBatch:
+            return _batch(doc, ["doc_id"], [(n, digest.hexdigest(), right_)], ["n_pieces", "ids_sha256", "round_trip"])
+
+        for batch in batches:
+            for i, at in enumerate(batch.column(row).to_pylist()):
+                if at != now:
+                    if doc is not None:
+                        yield over()
+                    now, doc, digest, n, right_ = at, batch.select(["doc_id"]).slice(i, 1), hashlib.sha256(), 0, True
+                ids = batch.column("raw")[i].as_py()
+                digest.update(ids)
+                n, right_ = n + len(ids) // 4, right_ and batch.column("round_trip")[i].as_py()
+        if doc is not None:
+            yield over()
+
+    together = several.repartition(F.col(row)).sortWithinPartitions(row, "part").mapInArrow(frugal(joined), parts.types + "n_pieces long, ids_sha256 string, round_trip boolean")
+    return one.unionAll(together)
