@@ -2,14 +2,14 @@
 
 Words and character n-grams are hashed into ``2 ** bits`` rows of a learned matrix; a document is the mean of its rows,
 and a softmax layer over two classes gives its score. The matrix and the layer are trained on the driver by mini-batch
-stochastic gradient descent in numpy, on at most ``sample`` labelled documents of each class (those with the smallest
-hash of their id): a fit on a bounded sample, its bound being that parameter. Losses are weighted so that the sample's
+stochastic gradient descent in numpy, on at most ``sample`` labelled documents of each class and ``chars`` code points
+(those with the smallest hash of their id): a fit on a bounded sample, its bounds being those parameters. Losses are weighted so that the sample's
 classes count as in all training labels. As the layer is linear, scoring needs one number for each hashed row, so what
 is broadcast has ``2 ** bits`` floats at any size of the input.
 
 Whole texts are read, in slices of ``SLICE`` code points for bounded memory; n-grams run across the slices' ends, words
-longer than a slice are hashed in parts. Null texts score as empty ones, by the bias alone. Null labels are left out,
-repeated rows are scored each, an empty table gives an empty result and without labels every score is 0.5. Other columns
+longer than a slice are hashed in parts. Null texts score as empty ones, by the bias alone; rows with a null doc_id are
+scored like others and count as not held out. Null labels are left out, repeated rows are scored each, an empty table gives an empty result and without labels every score is 0.5. Other columns
 are ignored.
 """
 
@@ -23,15 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frugal, mix64, remainder, spans
+from .common import frugal, mix64, remainder, spans, spare
 
 SIZES = (3, 4)
 SLICE = 1 << 19
-_BASE = 0x9E3779B97F4A7C15 | 1
+BASE = 0x9E3779B97F4A7C15 | 1
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], np.uint32)
 
 
-def powers(n: int, base: int = _BASE) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int, base: int = BASE) -> tuple[np.ndarray, np.ndarray]:
     """base ** i and base ** -i modulo 2 ** 64, for i below n."""
     up, down = np.full(n, base, np.uint64), np.full(n, pow(base, -1, 1 << 64), np.uint64)
     up[0] = down[0] = 1
@@ -45,11 +45,15 @@ class WordHasher:
         self.up, self.down = powers(1024)
 
     def __call__(self, codes: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        return mix64(self.sums(codes, starts, stops))
+
+    def sums(self, codes: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """The ranges' polynomials before they are scrambled: that of a range in two parts is the first's plus ``BASE`` to the power of its length times the second's."""
         if len(codes) > len(self.up):
             self.up, self.down = powers(len(codes) * 5 // 4)
         sums = np.zeros(len(codes) + 1, np.uint64)
         np.cumsum(mix64(codes.astype(np.uint64) + np.uint64(1)) * self.up[: len(codes)], out=sums[1:])
-        return mix64((sums[stops] - sums[starts]) * self.down[starts])
+        return (sums[stops] - sums[starts]) * self.down[starts]
 
 
 def code_points(text: str) -> np.ndarray:
@@ -177,19 +181,31 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], share: float, bits: in
     return Model(bits, (v @ (w[1] - w[0])).astype(np.float32), float(b[1] - b[0]))
 
 
-def labelled_sample(labels: DataFrame, documents: DataFrame, label: str, fold: int, held_out: int, sample: int) -> tuple[DataFrame, float]:
-    """Text and label of up to ``sample`` documents of each class outside the held-out fold, and the share of class 1 among all such labels."""
+def labelled_sample(labels: DataFrame, documents: DataFrame, label: str, fold: int, held_out: int, sample: int, chars: int) -> tuple[DataFrame, float]:
+    """y and text of up to ``sample`` labelled documents of each class outside the held-out fold, with ``chars`` / 2 code points at most in each class, and the share of class 1 among all such labels.
+
+    Documents are taken in the order of a hash of their id, without those that would exceed the code points left. Of rows with one doc_id the text of the least hash stands for it.
+    """
     rows = labels.where((remainder("doc_id", fold) != held_out) & F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("y"))
     share = rows.agg(F.avg("y")).first()[0]
     order = [F.xxhash64("doc_id"), "doc_id"]
-    parts = [rows.where(F.col("y") == y).orderBy(*order).limit(sample) for y in (0, 1)]
+    parts = [rows.where(F.col("y") == y).distinct().orderBy(*order).limit(sample) for y in (0, 1)]
     chosen = F.broadcast(parts[0].unionAll(parts[1]))  # 2 * sample rows of two numbers at most
-    return documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id").select("y", "text"), 0.5 if share is None else share
-
-
-def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", fold: int = 5, held_out: int = 0, sample: int = 1500, bits: int = 17) -> Model:
+    texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    sizes = texts.select("doc_id", F.length("text").alias("n")).join(chosen, "doc_id").groupBy("doc_id", "y").agg(F.max("n").alias("n")).select("*", order[0].alias("h")).collect()  # a row for each chosen one
+    kept, left = [], [chars // 2, chars // 2]
+    for r in sorted(sizes, key=lambda r: (r["h"], r["doc_id"])):
+        if r["n"] <= left[r["y"]]:
+            left[r["y"]] -= r["n"]
+            kept.append((r["doc_id"], r["y"]))
+    few = F.broadcast(documents.sparkSession.createDataFrame(kept, chosen.schema))
+    one = texts.join(few, "doc_id").groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    return one.select("y", "text"), 0.5 if share is None else share
+
+
+def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", fold: int = 5, held_out: int = 0, sample: int = 1500, chars: int = 1 << 25, bits: int = 17) -> Model:
     """A model of ``labels``.``label``, from rows whose crc32(doc_id as text) mod ``fold`` is not ``held_out``."""
-    rows, share = labelled_sample(labels, documents, label, fold, held_out, sample)
+    rows, share = labelled_sample(labels, documents, label, fold, held_out, sample, chars)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(bits)
@@ -212,14 +228,15 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", fold: i
 
 def score(documents: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
     """``columns`` of every document and its score for class 1 as ``name``, from its text alone."""
-    kept = documents.select(*columns, F.coalesce(F.col("text"), F.lit("")).alias("__text"))
+    body = spare([*columns, name], "__text")
+    kept = documents.select(*columns, F.coalesce(F.col("text"), F.lit("")).alias(body))
     schema = kept.select(*columns).schema.add(name, "double")
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = shared.value.scorer()
         for batch in batches:
-            got = scorer(batch.column("__text").to_pylist())
+            got = scorer(batch.column(body).to_pylist())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(got)], [*columns, name])
 
     return kept.mapInArrow(frugal(run), schema)
@@ -228,10 +245,11 @@ def score(documents: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_i
 def quality(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     scored = score(documents, fit(documents, labels, **options))
-    return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def accepted(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
     """All columns of the documents that score ``threshold`` or more."""
     columns = tuple(documents.columns)
-    return score(documents, fit(documents, labels, **options), columns, "__score").where(F.col("__score") >= threshold).select(*columns)
+    name = spare(columns, "__score")
+    return score(documents, fit(documents, labels, **options), columns, name).where(F.col(name) >= threshold).select(*columns)
