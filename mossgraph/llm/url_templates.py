@@ -6,10 +6,16 @@ under its parent becomes ``*``; so do sibling branches whose labelled share of b
 of their parent's. What is left are templates; one whose smoothed share of good labelled pages (its purity) is below
 ``least_purity`` is rejected, and its pages with it.
 
-Labels are the pages that a rule fits: block means bad, allow good. A rule's own verdict always stands.
-
-Skew: pages are aggregated to (host, shape) before anything is shuffled by host, and each level works on these counts.
-There are as many rounds as the longest path has segments; a path takes part until the round after its last segment.
+Labels are the pages that a rule fits: block means bad, allow good. A rule's own verdict always stands. Every share is
+smoothed by ``strength`` pages of a prior share. Of the whole table it is ``prior``, of a host that of the whole table, of a branch
+that of the branch it springs from (of the first ones: the host's). A template's prior is the mean of two shares: that of
+the branch it springs from, and that of its shapes over all hosts. So a template without labels of its own is judged by its host
+and by its likes elsewhere, and one without either by the whole.
+
+Skew: pages are aggregated to (host, shape) before anything is shuffled by host, and each level works on these counts by
+joins, which Spark splits where one host or template has most of the rows; no window or group holds a host.
+There are as many rounds as the longest prefix that two shapes of a host share has segments, and one or two more; of a branch with a single shape the rest follows at once,
+so one very long path costs nothing. Paths count whole, however many segments they have.
 Nulls: a null url, or one without ``://``, has an empty host and path, and no rule fits it. Repeated rows count each and
 return each. An empty table gives an empty result. Other columns of ``pages`` are ignored.
 """
@@ -58,56 +64,80 @@ def judge(pages: DataFrame, rules=RULES, max_children: int = 50, z: float = 2.0,
     general = F.regexp_replace(F.regexp_replace("path", "[0-9a-f]{16,}", "{h}"), "[0-9]+", "{n}")
     seen = stored(base.select("*", rule.alias("rule"), ruled.alias("ruled"), general.alias("shape")))
 
-    sums = [F.sum(x).alias(x) for x in ("n", "labelled", "bad")]
-    shapes = seen.groupBy("host", "shape").agg(F.count("*").alias("n"), F.count("ruled").alias("labelled"), F.count(F.when(F.col("ruled") == "block", 1)).alias("bad"))
+    sums = [F.sum(x).alias(x) for x in ("labelled", "bad")]
+    share = lambda before: (F.col("labelled") - F.col("bad") + strength * before) / (F.col("labelled") + strength)
+    shapes = seen.groupBy("host", "shape").agg(F.count("ruled").alias("labelled"), F.count(F.when(F.col("ruled") == "block", 1)).alias("bad"))
     parts = F.split(F.expr("substring(shape, 2)"), "/")
-    tree = stored(shapes.select("*", F.lit("").alias("template"), F.when(F.col("shape").startswith("/"), parts).otherwise(F.array()).alias("parts")))
-    ended, columns = [], ["host", "shape", "template", "labelled", "bad"]
-    for level in range(1, (tree.agg(F.max(F.size("parts"))).first()[0] or 0) + 1):
-        if level > 1:
-            ended.append(tree.where(F.size("parts") < level - 1).select(columns))
-            tree = tree.where(F.size("parts") >= level - 1)
+    shapes = stored(shapes.select("*", F.when(F.col("shape").startswith("/"), parts).otherwise(F.array()).alias("parts")))
+    total = shapes.agg(*sums).first()
+    whole = ((total["labelled"] or 0) - (total["bad"] or 0) + strength * prior) / ((total["labelled"] or 0) + strength)
+    roots = shapes.groupBy("host").agg(*sums).select("host", share(F.lit(whole)).alias("here"))
+    tree = shapes.join(roots, "host").select("host", "shape", F.lit("").alias("template"), "labelled", "bad", "parts", F.col("here").alias("above"), "here")
+    ended, columns, level = [], ["host", "shape", "template", "labelled", "bad", "above"], 0
+    while True:
+        level += 1
         seg = F.try_element_at("parts", F.lit(level))
-        tree = tree.withColumn("seg", F.coalesce(seg, F.lit("\x00")))
+        tree = stored(tree.withColumn("seg", F.coalesce(seg, F.lit("\x00"))))
+        if tree.isEmpty():
+            break
         children = tree.groupBy("host", "template", "seg").agg(*sums)
         parents = children.groupBy("host", "template").agg(F.count("*").alias("width"), F.sum("labelled").alias("p_labelled"), F.sum("bad").alias("p_bad"))
         rate, pooled = F.col("bad") / F.col("labelled"), F.col("p_bad") / F.col("p_labelled")
         near = F.abs(rate - pooled) <= z * F.sqrt(pooled * (1 - pooled) / F.col("labelled"))
         similar = F.coalesce(F.when((F.col("labelled") > 0) & (F.col("labelled") < F.col("p_labelled")), near), F.lit(False))
         wild = children.join(parents, ["host", "template"]).select("host", "template", "seg", ((F.col("width") > max_children) | similar).alias("wild"))
-        step = F.when(F.col("seg") == "\x00", "").otherwise(F.concat(F.lit("/"), F.when(F.col("wild"), "*").otherwise(F.col("seg"))))
-        tree = stored(tree.join(wild, ["host", "template", "seg"]).select("host", "shape", "n", "labelled", "bad", F.concat("template", step).alias("template"), "parts"))
-    found = stored(reduce(DataFrame.unionAll, ended, tree.select(columns)))
-    leaves = found.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
-    purity = (F.col("labelled") - F.col("bad") + strength * prior) / (F.col("labelled") + strength)
-    leaves = leaves.select("host", "template", F.round(purity, 6).alias("purity"))
+        goes_on = F.col("seg") != "\x00"
+        step = F.when(~goes_on, "").otherwise(F.concat(F.lit("/"), F.when(F.col("wild"), "*").otherwise(F.col("seg"))))
+        moved = stored(tree.join(wild, ["host", "template", "seg"]).select("host", "shape", "labelled", "bad", F.concat("template", step).alias("template"), "parts", goes_on.alias("goes_on"), "above", "here"))
+        branches = moved.groupBy("host", "template", "goes_on").agg(*sums, F.max("here").alias("before"), F.count("*").alias("shapes")).select("host", "template", "goes_on", "shapes", share(F.col("before")).alias("share"))
+        pick = lambda new, old: F.when(F.col("goes_on"), new).otherwise(F.col(old)).alias(old)
+        after = moved.join(branches, ["host", "template", "goes_on"]).select("host", "shape", "template", "labelled", "bad", "parts", pick(F.col("here"), "above"), pick(F.col("share"), "here"), (~F.col("goes_on")).alias("over"), (F.col("shapes") == 1).alias("alone"))
+        after = stored(after)
+        # a branch of a single shape has nothing to merge: the rest of its path stands as it is, its shares follow in one step
+        left = F.size("parts") - level
+        own = (F.col("labelled") - F.col("bad")) / F.greatest(F.col("labelled"), F.lit(1))
+        fade = F.pow(strength / (F.col("labelled") + strength), left - 1)
+        rest = F.concat("template", F.lit("/"), F.array_join(F.slice("parts", level + 1, left), "/")).alias("template")
+        ended.append(after.where("over").select(columns))
+        alone = after.where("NOT over AND alone").select("host", "shape", F.when(left > 0, rest).otherwise(F.col("template")).alias("template"), "labelled", "bad", F.when(left > 0, own + (F.col("here") - own) * fade).otherwise(F.col("above")).alias("above"))
+        ended.append(alone)
+        tree = after.where("NOT over AND NOT alone").drop("over", "alone")
+    found = stored(reduce(DataFrame.unionAll, ended)) if ended else shapes.select("host", "shape", F.lit("").alias("template"), "labelled", "bad", F.lit(0.0).alias("above"))
+    likes = shapes.groupBy("shape").agg(*sums).select("shape", share(F.lit(whole)).alias("elsewhere"))
+    leaves = found.join(likes, "shape").groupBy("host", "template").agg(*sums, F.max("above").alias("above"), F.avg("elsewhere").alias("elsewhere"))
+    leaves = leaves.select("host", "template", F.round(share((F.col("above") + F.col("elsewhere")) / 2), 6).alias("purity"))
     verdicts = found.select("host", "shape", "template").join(leaves, ["host", "template"])
     learnt = F.when(F.col("purity") < least_purity, "block").otherwise("allow")
     return seen.join(verdicts, ["host", "shape"]).select("page_id", "host", "path", "rule", F.coalesce("ruled", learnt).alias("verdict"), "template", "purity")
 
 
-def oracle(depth: int = DEPTH, max_children: int = 50, z: float = 2.0) -> str:
-    """The same over all of ``pages`` in DuckDB's SQL, with the default rules and limits."""
-    order = sorted(RULES, key=lambda r: (-len(r[1]), r[1]))
+def oracle(depth: int = DEPTH, max_children: int = 50, z: float = 2.0, strength: float = 2.0, prior: float = 0.5, least_purity: float = 0.5, rules=RULES) -> str:
+    """The same over all of ``pages`` in DuckDB's SQL, for paths of ``depth`` segments at most."""
+    order = sorted(rules, key=lambda r: (-len(r[1]), r[1]))
     fits = lambda t: (lambda at, tail: f"((host = '{at}' OR ends_with(host, '.{at}')) AND starts_with(path, '/{tail}'))")(*t.split("/", 1))
     case = lambda i: "CASE " + " ".join(f"WHEN {fits(r[1])} THEN '{r[i]}'" for r in order) + " END"
+    share = lambda labelled, bad, before: f"(({labelled} - {bad} + {strength}::DOUBLE * {before}) / ({labelled} + {strength}::DOUBLE))"
     levels, last = [], "t0"
-    for k in range(1, depth + 1):
+    for k in range(1, depth + 2):
         levels.append(f"""
-        s{k} AS (SELECT *, coalesce(parts[{k}], '\\0') AS seg FROM {last}),
+        s{k} AS (SELECT *, coalesce(parts[{k}], '\0') AS seg FROM {last}),
         c{k} AS (SELECT host, template, seg, sum(labelled) AS l, sum(bad) AS b FROM s{k} GROUP BY ALL),
         p{k} AS (SELECT host, template, count(*) AS width, sum(l) AS pl, sum(b) AS pb FROM c{k} GROUP BY ALL),
         w{k} AS (SELECT host, template, seg, width > {max_children} OR CASE WHEN l > 0 AND l < pl THEN abs(b / l - pb / pl) <= {z} * sqrt((pb / pl) * (1 - pb / pl) / l) ELSE false END AS wild
             FROM c{k} JOIN p{k} USING (host, template)),
-        t{k} AS (SELECT host, shape, labelled, bad, parts, template || CASE WHEN seg = '\\0' THEN '' WHEN wild THEN '/*' ELSE '/' || seg END AS template FROM s{k} JOIN w{k} USING (host, template, seg))""")
+        m{k} AS (SELECT host, shape, labelled, bad, parts, above, here, seg <> '\0' AS goes_on, template || CASE WHEN seg = '\0' THEN '' WHEN wild THEN '/*' ELSE '/' || seg END AS template FROM s{k} JOIN w{k} USING (host, template, seg)),
+        b{k} AS (SELECT host, template, goes_on, {share("sum(labelled)", "sum(bad)", "max(here)")} AS share FROM m{k} GROUP BY ALL),
+        t{k} AS (SELECT host, shape, labelled, bad, parts, template, CASE WHEN goes_on THEN here ELSE above END AS above, CASE WHEN goes_on THEN share ELSE here END AS here FROM m{k} JOIN b{k} USING (host, template, goes_on))""")
         last = f"t{k}"
     return f"""
     WITH r AS (SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
     h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{"ABCDEFGHIJKLMNOPQRSTUVWXYZ"}', '{"abcdefghijklmnopqrstuvwxyz"}') AS host, regexp_extract(regexp_replace(rest, '^[^/?#]*', ''), '^[^?#]*') AS path FROM r),
     seen AS (SELECT *, {case(1)} AS rule, {case(0)} AS ruled, regexp_replace(regexp_replace(path, '[0-9a-f]{{16,}}', '{{h}}', 'g'), '[0-9]+', '{{n}}', 'g') AS shape FROM h),
-    t0 AS (SELECT host, shape, count(ruled)::DOUBLE AS labelled, count(*) FILTER (ruled = 'block')::DOUBLE AS bad, '' AS template,
-        CASE WHEN NOT starts_with(shape, '/') THEN []::VARCHAR[] WHEN len(string_split(substr(shape, 2), '/')) > {depth} THEN list_append(string_split(substr(shape, 2), '/')[1:{depth - 1}], '**') ELSE string_split(substr(shape, 2), '/') END AS parts
-        FROM seen GROUP BY host, shape),{",".join(levels)},
-    leaves AS (SELECT host, template, round((sum(labelled) - sum(bad) + 1) / (sum(labelled) + 2), 6) AS purity FROM {last} GROUP BY ALL)
-    SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN purity < 0.5 THEN 'block' ELSE 'allow' END) AS verdict, template, purity
+    shapes AS (SELECT host, shape, count(ruled)::DOUBLE AS labelled, count(*) FILTER (ruled = 'block')::DOUBLE AS bad,
+        CASE WHEN starts_with(shape, '/') THEN string_split(substr(shape, 2), '/') ELSE []::VARCHAR[] END AS parts FROM seen GROUP BY host, shape),
+    g AS (SELECT {share("sum(labelled)", "sum(bad)", f"{prior}::DOUBLE")} AS g FROM shapes),
+    t0 AS (SELECT host, shape, labelled, bad, parts, '' AS template, here AS above, here FROM shapes JOIN (SELECT host, {share("sum(labelled)", "sum(bad)", "max(g)")} AS here FROM shapes, g GROUP BY host) USING (host)),{",".join(levels)},
+    likes AS (SELECT shape, {share("sum(labelled)", "sum(bad)", "max(g)")} AS elsewhere FROM shapes, g GROUP BY shape),
+    leaves AS (SELECT host, template, round({share("sum(labelled)", "sum(bad)", "((max(above) + avg(elsewhere)) / 2)")}, 6) AS purity FROM {last} JOIN likes USING (shape) GROUP BY host, template)
+    SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN purity < {least_purity} THEN 'block' ELSE 'allow' END) AS verdict, template, purity
     FROM seen JOIN {last} USING (host, shape) JOIN leaves USING (host, template)"""

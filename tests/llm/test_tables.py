@@ -1,6 +1,7 @@
 """Top-k search, raking and the url filter: SQL on small tables, and odd rows."""
 
 import random
+import zlib
 
 import duckdb
 import pytest
@@ -98,6 +99,36 @@ def test_templates_part_at_deep_segments(spark):
     assert got["u"] == ("block", "/a/b/c/spam/*/z") and got["v"] == ("allow", "/a/b/c/good/*/z") and got["w"][1] == "/a/b/c"
 
 
+def test_templates_without_labels_follow_branch_host_and_likes(spark):
+    rows = [("net", f"http://h{k % 3}.bad.net/{'spam' if k % 2 else 'news'}/{k}") for k in range(60)]
+    rows += [("org", f"http://o{k % 3}.good.org/news/{k}") for k in range(20)]
+    rows += [("a", "http://new.info/spam/1"), ("b", "http://new.info/news/1"), ("c", "http://h1.bad.net/other/x"), ("d", "http://o1.good.org/other/x"), ("e", "http://elsewhere.info/z")]
+    pages = spark.createDataFrame([(f"{i}{n}" if len(i) > 1 else i, u) for n, (i, u) in enumerate(rows)], "page_id string, url string")
+    rules = [("block", f"h{k}.bad.net/spam/") for k in range(3)] + [("allow", f"o{k}.good.org/news/") for k in range(3)]
+    got = {r.page_id: (r.verdict, r.purity) for r in url_templates.judge(pages, rules).collect()}
+    assert got["a"][0] == "block" and got["b"][0] == "allow"  # the same shapes elsewhere
+    assert got["c"][0] == "block" and got["d"][0] == "allow"  # their hosts
+    assert 0.3 < got["e"][1] < 0.5  # the whole table
+
+
+def test_held_out_pages(spark, sf):
+    """The method's verdicts on pages with a rule, learnt from other pages."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    every = url_templates.judge(pages).collect()
+    assert {r.verdict for r in every if r.rule is None} == {"allow", "block"}
+    hidden = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    shown = pages.where(F.crc32(F.col("page_id").cast("string")) % 5 != 0)
+    learnt = {(r.host, r.template): "block" if r.purity < 0.5 else "allow" for r in url_templates.judge(shown).collect()}
+    pairs = [(learnt[r.host, r.template], r.verdict) for r in every if r.rule is not None and hidden(r.page_id) and (r.host, r.template) in learnt]
+    assert len(pairs) > 100 and sum(a == b for a, b in pairs) > 0.95 * len(pairs)
+
+
+def test_one_very_long_path(spark):
+    rows = [(1, "http://a.info" + "/s" * 3000), (2, "http://a.info/s/t"), (3, "http://b.org/fr/" + "q" * 100_000), (4, "http://b.org/x" + "/7" * 500)]
+    got = {r.page_id: r for r in url_templates.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert got[1].template == "/s" * 3000 and got[2].template == "/s/t" and got[3].verdict == "allow" and got[4].template == "/x" + "/{n}" * 500
+
+
 def test_deep_paths_against_sql(spark):
     rng = random.Random(5)
     urls = [f"http://{rng.choice(['a.net', 'www.example.net', 'example.com', 'b.org'])}/{rng.choice(['en', 'de', 'fr', 'xx'])}" + "".join(f"/{rng.choice(['p', 'q', '7', ''])}{k}" for k in range(rng.randrange(7))) for _ in range(400)]
