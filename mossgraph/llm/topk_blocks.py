@@ -7,10 +7,12 @@ stop when the next bound is below their k-th score so far; blocks whose bound eq
 
 Scale: queries and candidates are packed into groups of bounded size, and each pair of groups is one task's cell: a
 stated set of queries against all rows, in blocks. A cell returns k rows a query; a window then merges the cells' lists,
-of which Spark drops all but k before the shuffle. Groups follow from a count, so no group grows with the input.
+of which Spark drops all but k before the shuffle. Groups of candidates are ranges of ids, by a count; a range that holds
+more rows than ``CANDIDATES``, as many rows share an id, is dealt out further by row number, so no group grows with the input.
 
 Vectors that are null or hold a null or non-finite component take no part, nor do rows with a null id. Vectors of
-unequal length are compared over the shorter's components. Repeated rows are candidates each; a query's own id never is.
+unequal length are compared over the shorter's components. Scores beyond a long's range count as its nearest end, whatever the
+components' size. Repeated rows are candidates each, and queries each under one query_id, of which the k best remain; a query's own id never is a candidate.
 An empty table gives an empty result. Other columns are ignored.
 """
 
@@ -20,45 +22,58 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
 
 BLOCK, CANDIDATES, QUERIES = 256, 16384, 4096
-_LONG = 1 << 62
+SCALE = 64
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
+#: Products below this bound are exact in float64.
+EXACT = 1 << 52
 
 
-def quantised(vectors: DataFrame, column: str = "embedding", scale: int = 64) -> DataFrame:
-    """vec_id and ``v``, the components as floor(scale * x)."""
-    limit = F.lit(float(1 << 62))
+def quantised(vectors: DataFrame, column: str = "embedding") -> DataFrame:
+    """vec_id, ``v``: the components as floor(SCALE * x) / SCALE (exact, as SCALE is a power of two; large doubles stand as they are), and ``row``, a number for each."""
     ok = F.col("vec_id").isNotNull() & F.col(column).isNotNull() & F.forall(column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    cut = lambda x: F.floor(F.greatest(-limit, F.least(limit, x.cast("double") * scale)))
-    return vectors.where(F.coalesce(ok, F.lit(False))).select("vec_id", F.transform(column, cut).alias("v"))
+    cut = lambda x: F.when(F.abs(x) < float(1 << 52), F.floor(x.cast("double") * SCALE) / SCALE).otherwise(x.cast("double"))
+    return vectors.where(F.coalesce(ok, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(column, cut).alias("v"), F.monotonically_increasing_id().alias("row"))
 
 
-def _matrix(rows: list[list[int]], width: int) -> np.ndarray:
-    """Rows as float64 where all inner products are exact in it, else as Python integers."""
-    out = np.zeros((len(rows), width), object)
-    for i, r in enumerate(rows):
-        out[i, : len(r)] = r
+def packed(lists: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Lists of numbers as rows, with zeros after the shorter ones."""
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    lens = np.diff(lists.offsets.to_numpy())
+    out = np.zeros((len(lists), lens.max(initial=0)))
+    out[np.arange(out.shape[1])[None, :] < lens[:, None]] = lists.flatten().to_numpy()
     return out
 
 
-def search_cell(query_ids: np.ndarray, queries: list, ids: np.ndarray, candidates: list, k: int, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def integers(m: np.ndarray, exact: bool) -> np.ndarray:
+    """SCALE times the numbers: as float64, or as Python integers."""
+    if exact:
+        return m * SCALE
+    whole = lambda x: int(x) * SCALE if abs(x) >= 1 << 52 else int(x * SCALE)
+    return np.array([[whole(x) for x in r] for r in m.tolist()], object).reshape(m.shape)
+
+
+def search_cell(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, candidates: np.ndarray, k: int, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Query id, candidate id and score of the k best candidates of each query; candidates in ascending order of id."""
-    width = max((len(v) for v in (*queries, *candidates)), default=0)
-    q, c = _matrix(queries, width), _matrix(candidates, width)
-    top = lambda m: max((abs(x) for x in (m.max(), m.min())), default=0) if m.size else 0
-    exact = top(q) * top(c) * max(width, 1) < 1 << 52
+    width = min(queries.shape[1], candidates.shape[1])
+    queries, candidates = queries[:, :width], candidates[:, :width]
+    top = lambda m: float(np.abs(m).max(initial=0)) * SCALE
+    exact = top(queries) * top(candidates) * max(width, 1) < EXACT
+    q, c = integers(queries, exact), integers(candidates, exact)
     kind = np.float64 if exact else object
-    q, c = q.astype(kind), c.astype(kind)
     cuts = np.arange(0, len(ids), block)
     high, low = np.array([c[x : x + block].max(0) for x in cuts], kind), np.array([c[x : x + block].min(0) for x in cuts], kind)
     positive, negative = np.where(q > 0, q, 0), np.where(q > 0, 0, q)
     bounds = positive.dot(high.T) + negative.dot(low.T)
+    if not exact:
+        bounds = np.minimum(np.maximum(bounds, LEAST), MOST)
     turn = np.argsort(-bounds, axis=1, kind="stable")
-    worst = -(1 << 53) if exact else -(1 << 200)
+    worst = -2 * EXACT if exact else LEAST - 1
     best = np.full((len(q), k), worst, kind)
     who = np.full((len(q), k), np.iinfo(np.int64).max, np.int64)
     for r in range(len(cuts)):
@@ -70,6 +85,8 @@ def search_cell(query_ids: np.ndarray, queries: list, ids: np.ndarray, candidate
             mine = live[at[live] == b]
             own = slice(cuts[b], cuts[b] + block)
             score = q[mine].dot(c[own].T)
+            if not exact:
+                score = np.minimum(np.maximum(score, LEAST), MOST)
             score[ids[own][None, :] == query_ids[mine][:, None]] = worst
             score = np.concatenate([best[mine], score], 1)
             names = np.concatenate([who[mine], np.where(score[:, k:] == worst, np.iinfo(np.int64).max, ids[own][None, :])], 1)
@@ -86,40 +103,39 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, column: str = "embe
     rows = stored(quantised(vectors, column))
     n, m = rows.agg(F.count("*"), F.count(F.when(is_query, 1))).first()
     across, down = max(1, -(-n // CANDIDATES)), max(1, -(-m // QUERIES))
-    # groups of candidates are ranges of ids (document ranges); a hash splits ids that many rows share
     marks = sorted(set(rows.agg(F.percentile_approx("vec_id", [i / across for i in range(1, across)] or [0.5], 10_000)).first()[0] or [])) if across > 1 else []
-    here = F.lit(0)
-    for mark in marks:
-        here = here + (F.col("vec_id") >= mark).cast("int")
-    each = F.sequence(F.lit(0), F.lit(down - 1)), F.sequence(F.lit(0), F.lit(across - 1))
-    c = rows.select("vec_id", "v", here.alias("c"), F.explode(each[0]).alias("q"), F.lit(False).alias("asks"))
-    q = rows.where(is_query).select("vec_id", "v", F.explode(each[1]).alias("c"), F.pmod(F.xxhash64("vec_id", "v"), F.lit(down)).cast("int").alias("q"), F.lit(True).alias("asks"))
+
+    def ranged(first: list[int] | None = None, deals: list[int] | None = None) -> DataFrame:
+        """Rows with the number of their range of ids, or of their group in it."""
+        cuts = np.array(marks, np.int64)
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = np.searchsorted(cuts, batch.column("vec_id").to_numpy(), side="right")
+                if deals:
+                    at = np.array(first)[at] + batch.column("row").to_numpy() % np.array(deals)[at]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at.astype(np.int32))], [*batch.schema.names, "c"])
+
+        return rows.mapInArrow(place, "vec_id long, v array<double>, row long, c int")
+
+    counts = dict(ranged().groupBy("c").count().collect())  # a number for each range
+    deals = [-(-counts.get(r, 1) // (2 * CANDIDATES)) for r in range(len(marks) + 1)]  # above 1: a range with more rows than a group may have
+    first = np.cumsum([0, *deals]).tolist()
+    each = F.sequence(F.lit(0), F.lit(down - 1)), F.sequence(F.lit(0), F.lit(first[-1] - 1))
+    c = ranged(first, deals).select("vec_id", "v", "c", F.explode(each[0]).alias("q"), F.lit(False).alias("asks"))
+    q = rows.where(is_query).select("vec_id", "v", F.explode(each[1]).alias("c"), F.pmod("row", F.lit(down)).cast("int").alias("q"), F.lit(True).alias("asks"))
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked, held, kept = [], [], []
-
-        def search() -> None:
-            if held and asked:
-                held.sort(key=lambda r: r[0])
-                ids = np.array([r[0] for r in held], np.int64)
-                got = search_cell(np.array([r[0] for r in asked], np.int64), [r[1] for r in asked], ids, [r[1] for r in held], k)
-                kept.append(pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(got[1]), pa.array([int(x) for x in got[2].ravel()], pa.int64())], ["query_id", "vec_id", "score"]))
-            held.clear()
-
-        for batch in batches:
-            for vec_id, v, asks in zip(batch.column("vec_id").to_pylist(), batch.column("v").to_pylist(), batch.column("asks").to_pylist(), strict=True):
-                (asked if asks else held).append((vec_id, v))
-        rest = held[:]
-        held.clear()
-        for at in range(0, len(rest), 2 * CANDIDATES):
-            held.extend(rest[at : at + 2 * CANDIDATES])
-            search()
-        yield from kept
+        parts = list(batches)
+        rows = pa.Table.from_batches(parts)
+        asks = rows.column("asks").to_numpy()
+        asked, held = rows.filter(pa.array(asks)), rows.filter(pa.array(~asks)).sort_by("vec_id")
+        if asked.num_rows and held.num_rows:
+            got = search_cell(asked.column("vec_id").to_numpy(), packed(asked.column("v")), held.column("vec_id").to_numpy(), packed(held.column("v")), k)
+            yield pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(got[1]), pa.array([int(x) for x in got[2].ravel()], pa.int64())], ["query_id", "vec_id", "score"])
 
     cells = q.unionAll(c.select(q.columns)).groupBy("q", "c")
     found = cells.applyInArrow(run, "query_id long, vec_id long, score long")
-    from pyspark.sql import Window
-
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.select("query_id", rank.cast("int").alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
 

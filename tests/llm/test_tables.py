@@ -1,7 +1,9 @@
 """Top-k search, raking and the url filter: SQL on small tables, and odd rows."""
 
+import math
 import random
 import zlib
+from fractions import Fraction
 
 import duckdb
 import pytest
@@ -48,10 +50,31 @@ def test_top_k_with_ties_and_odd_vectors(spark, monkeypatch):
     assert topk_blocks.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def brute_top(rows, k=20):
+    """Every query row against all rows of other ids; scores kept within a long."""
+    whole = [(i, [math.floor(Fraction(x) * 64) for x in v]) for i, v in rows]
+    scores = {}
+    for q, v in whole:
+        if q % 20 == 0:
+            scores.setdefault(q, []).extend((max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(v, w, strict=False)))), i) for i, w in whole if i != q)
+    return sorted((q, r, i, s) for q, got in scores.items() for r, (s, i) in enumerate(sorted(got, key=lambda x: (-x[0], x[1]))[:k], 1))
+
+
 def test_large_components(spark):
-    df = spark.createDataFrame([(0, [3e7, 1.0]), (1, [2e7, 5.0]), (2, [-3e7, 5.0])], "vec_id long, embedding array<double>")
-    got = topk_blocks.top_k(df, F.col("vec_id") == 0).collect()
-    assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank)] == [(1, 64 * 64 * (600000000000000 + 5)), (2, 64 * 64 * (-900000000000000 + 5))]
+    rows = [(0, [3e7, 1.0]), (1, [2e7, 5.0]), (2, [-3e7, 5.0]), (20, [1e20, 1.0]), (3, [1e20, -1e20]), (4, [1.7e308, 1.0]), (5, [-1.7e308, 1e-300]), (6, [2.0**52, 0.3]), (7, [0.3, 2.0**53 + 2]), (8, []), (40, [0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk_blocks.top_k(df, F.col("vec_id") % 20 == 0).collect()
+    assert sorted(tuple(r) for r in got) == brute_top(rows)
+
+
+def test_one_id_of_many_rows(spark, monkeypatch):
+    monkeypatch.setattr(topk_blocks, "CANDIDATES", 16)
+    monkeypatch.setattr(topk_blocks, "QUERIES", 7)
+    rng = random.Random(9)
+    rows = [(i if i % 3 else 40, [float(rng.randrange(-9, 9)) for _ in range(4)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = topk_blocks.top_k(df, F.col("vec_id") % 20 == 0)
+    assert sorted(tuple(r) for r in got.collect()) == brute_top(rows)
 
 
 def test_raking_reaches_margins(spark):
