@@ -4,7 +4,7 @@ The rules' regular expressions (bytes; literals, classes, groups, alternation, `
 nondeterministic automaton, joined, made deterministic by subset construction over classes of equal bytes, minimised by
 partition refinement and laid out as one transition array. A single pass over the bytes runs all rules at once, in many
 lanes side by side: joined texts are cut at bytes from which every state returns to the start, so that no lane depends
-on another. The pass tells where matches end; a match's start comes from the rule's reversed automaton and its end from
+on another; a long run without such a byte is cut anyhow, its lanes are run as functions of the state before them, and these are composed. The pass tells where matches end; a match's start comes from the rule's reversed automaton and its end from
 the anchored one, walked over the few bytes of that match, leftmost and longest, without overlaps within a kind.
 """
 
@@ -37,7 +37,7 @@ MORE_RULES = (
     ("chat", r"xox[abprs]-[A-Za-z0-9-]+", 15, ""),
     ("maps", r"AIza[0-9A-Za-z_-]+", 39, ""),
 )
-LANE, BATCH = 1024, 4 << 20
+LANE, CHAIN, BATCH = 1024, 4096, 4 << 20
 END = 0xFF  # stands between texts; never part of UTF-8
 
 
@@ -259,6 +259,18 @@ def compiled(trees: list, searching: bool) -> Automaton:
     return Automaton(np.ascontiguousarray(small[:, kinds]).astype(np.uint32).ravel(), accepts[one].astype(np.uint32), dead)
 
 
+class _Images(dict):
+    """By byte: the states that any state can go to with it, and which of them each state goes to."""
+
+    def __init__(self, automaton: Automaton) -> None:
+        self.step = automaton.step.reshape(-1, 256)
+
+    def __missing__(self, byte: int) -> tuple[np.ndarray, np.ndarray]:
+        found, back = np.unique(self.step[:, byte], return_inverse=True)
+        self[byte] = found, back.ravel()
+        return self[byte]
+
+
 class Scanner:
     """All rules compiled together, and each forwards and backwards."""
 
@@ -268,9 +280,39 @@ class Scanner:
         self.all = compiled(trees, True)
         self.onward = [compiled([t], False) for t in trees]
         self.back = [compiled([mirrored(t)], False) for t in trees]
+        self.images = _Images(self.all)
+        self.onward_steps, self.back_steps = ([x.step.tolist() for x in xs] for xs in (self.onward, self.back))
         self.inner = [re.compile(r[3].encode()) if r[3] else None for r in rules]
         assert self.all.resets[END]
 
+    def entered(self, raw: np.ndarray, starts: np.ndarray, stops: np.ndarray, follows: np.ndarray) -> np.ndarray:
+        """States in which lanes are entered. A lane that ``follows`` the one before it is entered in that one's last state, else at the start.
+
+        Such chains are long runs without a reset. Each of their lanes is run from all states at once; states that have come
+        together go on as one, so few are left after some bytes. The lanes' functions are then composed in order.
+        """
+        step, states = self.all.step, len(self.all.accepts)
+        out = np.zeros(len(starts), np.uint32)
+        chained = np.flatnonzero(follows | np.append(follows[1:], False))
+        for at in range(0, len(chained), 64):
+            some = chained[at : at + 64]
+            begin, length = starts[some], (stops - starts)[some]
+            after = [self.images[b] for b in raw[begin].tolist()]  # states after a lane's first byte, and which entry leads to which
+            size = np.array([len(x) for x, _ in after])
+            lane, state = np.repeat(np.arange(len(some)), size), np.concatenate([x for x, _ in after])
+            shift, to = np.cumsum(size) - size, np.arange(size.sum())
+            for t in range(1, int(length.max())):
+                name = (state << np.uint32(8)) | raw[np.minimum(begin + t, len(raw) - 1)][lane]
+                state = step[name] if t < length.min() else np.where(t < length[lane], step[name], state)
+                if t < 64 and t % 4 == 0 or t == 256:
+                    both, back = np.unique(lane.astype(np.int64) * states + state, return_inverse=True)
+                    if len(both) < len(state):
+                        lane, state, to = both // states, (both % states).astype(np.uint32), back.ravel()[to]
+            for k, i in enumerate(some.tolist()):
+                if i + 1 < len(starts) and follows[i + 1]:
+                    out[i + 1] = state[to[shift[k] + after[k][1][out[i]]]]
+        return out
+
     def ends(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The byte pass over joined texts: where runs of accepting states end, and the rules' bits there."""
         step, accepts = self.all.step, self.all.accepts
@@ -279,10 +321,16 @@ class Scanner:
         starts = np.unique(np.concatenate(([0], cuts[wanted[wanted < len(cuts)]])))
         starts = starts[starts < len(raw)]
         lengths = np.diff(np.append(starts, len(raw)))
+        pieces = np.where(lengths < 2 * CHAIN, 1, lengths // CHAIN)
+        offset = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        starts, follows = np.repeat(starts, pieces) + offset * CHAIN, offset > 0
+        stops = np.append(starts[1:], len(raw))
+        state = self.entered(raw, starts, stops, follows) if follows.any() else np.zeros(len(starts), np.uint32)
+        lengths = stops - starts
         order = np.argsort(-lengths, kind="stable")
-        starts, lengths = starts[order], lengths[order]
+        starts, lengths, state = starts[order], lengths[order], state[order]
         live = np.searchsorted(-lengths, -np.arange(lengths[0] if len(lengths) else 0), side="left")
-        state, before = np.zeros(len(starts), np.uint32), np.zeros(len(starts), np.uint32)
+        before = accepts[state]
         where, what = [], []
         for t, k in enumerate(live):
             at = starts[:k] + t
@@ -298,12 +346,14 @@ class Scanner:
         if not where:
             return np.zeros(0, np.int64), np.zeros(0, np.uint32)
         where, what = np.concatenate(where), np.concatenate(what)
-        order = np.argsort(where)
+        order = np.argsort(where, kind="stable")
         return where[order], what[order]
 
     def matches(self, rule: int, text: bytes, ends: list[int]) -> list[tuple[int, int]]:
         """Spans of one rule in one text, from where its accepting runs end."""
         onward, back = self.onward[rule], self.back[rule]
+        forth_step, back_step = self.onward_steps[rule], self.back_steps[rule]
+        goes, comes = onward.accepts.tolist(), back.accepts.tolist()
         least, inner = self.rules[rule][2], self.inner[rule]
         found, pos = [], 0
         for end in ends:
@@ -311,21 +361,21 @@ class Scanner:
                 continue
             state, start, i = 0, -1, end - 1
             while i >= pos:
-                state = int(back.step[state * 256 + text[i]])
+                state = back_step[state * 256 + text[i]]
                 if state == back.dead:
                     break
-                if back.accepts[state]:
+                if comes[state]:
                     start = i
                 i -= 1
             if start < 0:
                 continue
             state, stop, i = 0, end, start
             while i < len(text):
-                state = int(onward.step[state * 256 + text[i]])
+                state = forth_step[state * 256 + text[i]]
                 if state == onward.dead:
                     break
                 i += 1
-                if onward.accepts[state]:
+                if goes[state]:
                     stop = i
             pos = stop
             whole = text[start:stop]

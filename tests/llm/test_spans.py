@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import unicodedata
 
 import xxhash
@@ -37,13 +38,23 @@ def test_one_text_against_regexes(parts):
 def test_many_texts_and_lanes(monkeypatch):
     rng = random.Random(5)
     texts = ["".join(rng.choices(PARTS, k=rng.randrange(60))) for _ in range(700)] + ["", "f" * 5000, "token=" + "x" * 9000]
+    texts += ["password=" + "a" * 700 + "AKIA" * 90 + "f" * 300, "eyJ" + "a" * 200 + ".eyJ" + "b" * 200 + "." + "c" * 300 + "token:" * 60]
     want = [brute(t) for t in texts]
-    for lane, batch in ((1024, 8 << 20), (16, 2000)):
+    for lane, chain, batch in ((1024, 4096, 8 << 20), (16, 16, 2000), (16, 100, 1 << 20), (700, 33, 1 << 20)):
         monkeypatch.setattr(automaton, "LANE", lane)
+        monkeypatch.setattr(automaton, "CHAIN", chain)
         monkeypatch.setattr(automaton, "BATCH", batch)
         assert automaton.scanner(RULES).scan(texts) == want
 
 
+def test_long_runs_without_a_reset():
+    rng = random.Random(2)
+    texts = ["f" * 300_000, "api_key=" + "".join(rng.choices("abcdefXYZ0123456789+/", k=200_000)), "AKIA" * 40_000, "A" * 100_000 + "token:secret99"]
+    began = time.time()
+    assert automaton.scanner(RULES).scan(texts) == [brute(t) for t in texts]
+    assert time.time() - began < 30
+
+
 def test_secrets_query(spark):
     rows = [(1, None, "a"), (2, "", "b"), (3, "é token: 'abcdef' x", "c"), (3, "é token: 'abcdef' x", "c"), (None, "d" * 24, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, spans string")
