@@ -41,6 +41,14 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def replaced(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``new`` as a table, written before ``old`` (a table of ``stored`` that nothing else reads) is deleted: for iterations."""
+    out = stored(new)
+    for where in {f.rsplit("/", 1)[0] for f in old.inputFiles()}:
+        _delete(old.sparkSession, where)
+    return out
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     sc = spark.sparkContext
     if sc._jsc is None:  # the session has ended before

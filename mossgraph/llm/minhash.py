@@ -2,7 +2,7 @@
 
 A document's set holds its distinct shingles of ``WORDS`` words (a shorter document: its whole sequence). Its signature has
 ``H`` coordinates, each the least value of the set under one scrambling. Equal sets are one class with a number of
-its own, so copies are never paired; its smallest doc_id stands for it among the components. Classes are posted under (coordinate, value) pairs. Two sets of similarity
+its own, so copies are never paired; components are of classes. Classes are posted under (coordinate, value) pairs. Two sets of similarity
 0.75 agree in fewer than ``LEAST`` of 32 coordinates with a probability of about 3 in a million; a pair that agrees in
 ``LEAST`` shares, by the prefix principle, one of the ``m - LEAST + 1`` rarest of its m shared pairs, so only those are
 posted: pairs that many documents have through a common passage stay out unless nothing rarer is there. Lists of the
@@ -14,8 +14,10 @@ Scale: no group of copies, hot pair or list is ever gathered in one task; lists
 and of a cell's links fewer leave than it has members. Sets are built again from the text only for the posted classes,
 which a bit map of ``2 ** BITS`` bits tells. Lineage is cut by tables in the shared folder.
 
-Null and empty texts, or such without words, have no shingles, link with nothing and are kept. A null doc_id counts as
-the smallest id, and rows with one doc_id (repeated rows) are one node, which links with the near copies of each of their texts. Very long texts are read whole. An empty table
+Null and empty texts, or such without words, have no shingles, link with nothing and are kept. Rows with one doc_id
+(repeated rows) are one node, which links with the near copies of each of their texts. Every row with a null doc_id is a node
+of its own: it links by its text alone, takes its group's smallest doc_id and isn't kept beside it; of a group without any doc_id the component_id is null and
+one row is kept. Very long texts are read whole. An empty table
 gives an empty result. Other columns are ignored, or carried along by ``deduplicated``.
 """
 
@@ -29,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frugal, mix64, stored
+from .common import frugal, mix64, replaced, spare, stored
 
 WORDS, NEAR = 5, 75
 H, LEAST = 32, 12
@@ -37,7 +39,6 @@ BLOCK = 512
 BITS = 23
 _SALTS = mix64(np.arange(1, H + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _PLACES = mix64(np.arange(101, 101 + WORDS, dtype=np.uint64)) | np.uint64(1)
-_NULL = -(1 << 63)
 
 
 def shingles(text: str) -> np.ndarray:
@@ -63,7 +64,7 @@ def signature(s: np.ndarray) -> np.ndarray:
 
 
 def signatures(documents: DataFrame) -> DataFrame:
-    """id (doc_id, null as the smallest), n_shingles, cls (digest of the set) and sig of every row."""
+    """id (doc_id), mark (of rows without an id: a digest of the text), n_shingles, cls (digest of the set) and sig of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -73,13 +74,14 @@ def signatures(documents: DataFrame) -> DataFrame:
                 sizes.append(len(s))
                 names.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 sigs.append(signature(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(sigs, pa.binary())], ["id", "n_shingles", "cls", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("mark"), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(sigs, pa.binary())], ["id", "mark", "n_shingles", "cls", "sig"])
 
-    return _texts(documents).mapInArrow(frugal(run), "id long, n_shingles long, cls binary, sig binary")
+    return _texts(documents).mapInArrow(frugal(run), "id long, mark string, n_shingles long, cls binary, sig binary")
 
 
 def _texts(documents: DataFrame) -> DataFrame:
-    return documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    return documents.select(F.col("doc_id").cast("long").alias("id"), F.when(F.col("doc_id").isNull(), F.sha2(text, 256)).alias("mark"), text.alias("text"))
 
 
 def posted(classes: DataFrame) -> DataFrame:
@@ -107,10 +109,10 @@ def lists(rows: DataFrame) -> DataFrame:
     return chosen.join(masks, "id")
 
 
-def bitmap(ids: DataFrame, column: str) -> np.ndarray:
-    """A bit for each slot (scrambled id modulo 2 ** BITS) of ``ids``; its size doesn't depend on the data."""
-    slot = F.pmod(F.xxhash64(column), F.lit(1 << BITS)) + 1  # these functions count bits from 1
-    rows = ids.groupBy(F.bitmap_bucket_number(slot).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect()
+def bitmap(slots: DataFrame) -> np.ndarray:
+    """A bit for each of 2 ** BITS slots; its size doesn't depend on the data."""
+    slot = F.col("slot") + 1  # these functions count bits from 1
+    rows = slots.groupBy(F.bitmap_bucket_number(slot).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect()
     out = np.zeros(1 << BITS, bool)
     for k, bits in rows:
         got = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little")
@@ -119,21 +121,20 @@ def bitmap(ids: DataFrame, column: str) -> np.ndarray:
 
 
 def sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """id (the class's number), doc (its smallest doc_id), sig, items of the classes ``wanted`` (number, id: smallest doc_id, cls)."""
-    among = documents.sparkSession.sparkContext.broadcast(bitmap(wanted, "id"))
+    """id (the class's number), sig, items of the classes ``wanted`` (number, cls, and id and mark of one of its rows)."""
+    slot = F.pmod(F.xxhash64("id", "mark"), F.lit(1 << BITS)).alias("slot")
+    among = documents.sparkSession.sparkContext.broadcast(bitmap(wanted.select(slot)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chosen = among.value
         for batch in batches:
-            on = np.flatnonzero(chosen[batch.column("slot").to_numpy()])
-            keys = batch.column("id").to_numpy()[on]
-            got = [shingles(batch.column("text")[int(i)].as_py()) for i in on]
-            some = [i for i, s in enumerate(got) if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys[some], pa.int64()), pa.array([xxhash.xxh3_128_digest(got[i].tobytes()) for i in some], pa.binary()), pa.array([signature(got[i]).tobytes() for i in some], pa.binary()), pa.array([got[i].tobytes() for i in some], pa.binary())], ["id", "cls", "sig", "items"])
+            got = [shingles(batch.column("text")[int(i)].as_py()) for i in np.flatnonzero(chosen[batch.column("slot").to_numpy()])]
+            got = [s for s in got if len(s)]
+            yield pa.RecordBatch.from_arrays([pa.array([f(s) for s in got], pa.binary()) for f in (lambda s: xxhash.xxh3_128_digest(s.tobytes()), lambda s: signature(s).tobytes(), lambda s: s.tobytes())], ["cls", "sig", "items"])
 
-    slots = _texts(documents).withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(1 << BITS)))
-    made = slots.mapInArrow(frugal(run), "id long, cls binary, sig binary, items binary")
-    return made.join(wanted.hint("merge"), ["id", "cls"]).dropDuplicates(["number"]).select(F.col("number").alias("id"), F.col("id").alias("doc"), "sig", "items")
+    made = _texts(documents).select(slot, "text").mapInArrow(frugal(run), "cls binary, sig binary, items binary")
+    one = made.groupBy("cls").agg(F.first("sig").alias("sig"), F.first("items").alias("items"))  # copies meet in each task first
+    return one.join(wanted.select("cls", "number").hint("merge"), "cls").select(F.col("number").alias("id"), "sig", "items")
 
 
 class _Forest:
@@ -202,12 +203,12 @@ def cell_links(ids: np.ndarray, sig: np.ndarray, masks: np.ndarray, items: list[
 
 
 def links(members: DataFrame, contents: DataFrame) -> DataFrame:
-    """a, b: links between classes by their doc_ids, enough of them for the same components. ``members``: id, key, n, mask; ``contents``: id, doc, sig, items."""
+    """a, b: links between classes, enough of them for the same components. ``members``: id, key, n, mask; ``contents``: id, sig, items."""
     width = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
     block = F.pmod(F.xxhash64("id", F.lit(5)), width.cast("long")).cast("int")
-    rows = members.join(contents, "id").select("key", "id", "doc", "mask", "sig", "items", block.alias("block"), width.alias("width"))
+    rows = members.join(contents, "id").select("key", "id", "mask", "sig", "items", block.alias("block"), width.alias("width"))
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("other"))
-    cells = rows.select("key", "id", "doc", "mask", "sig", "items", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    cells = rows.select("key", "id", "mask", "sig", "items", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     dealt = cells.repartition(F.col("key"), F.col("i"), F.col("j")).sortWithinPartitions("key", "i", "j", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +222,7 @@ def links(members: DataFrame, contents: DataFrame) -> DataFrame:
             return cell_links(ids, sig, np.array([r[1] for r in held], np.uint64), [np.frombuffer(r[3], np.uint64) for r in held], np.array([r[4] for r in held]), cell[1], cell[2], cell[0] >> 32)
 
         for batch in batches:
-            cols = [batch.column(c) for c in ("key", "i", "j", "doc", "mask", "sig", "items", "block")]
+            cols = [batch.column(c) for c in ("key", "i", "j", "id", "mask", "sig", "items", "block")]
             keys, i, j, ids, masks = (c.to_pylist() for c in cols[:5])
             blocks = cols[7].to_pylist()
             found = []
@@ -250,27 +251,52 @@ def components(edges: DataFrame) -> DataFrame:
         near = both.join(state.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
         spread = state.join(near, "node").select("node", F.least("component", "m").alias("label"))
         up = state.select(F.col("node").alias("label"), F.col("component").alias("upper"))
-        state = stored(spread.join(up, "label", "left").select("node", F.least("label", F.coalesce("upper", "label")).alias("component")))
+        state = replaced(state, spread.join(up, "label", "left").select("node", F.least("label", F.coalesce("upper", "label")).alias("component")))
 
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of ``documents`` (doc_id, text)."""
-    rows = stored(signatures(documents))
+def verdicts(documents: DataFrame) -> DataFrame:
+    """id, mark, n_shingles, component, kept of every row of ``documents`` (doc_id, text)."""
+    rows = stored(signatures(documents).withColumn("row", F.monotonically_increasing_id()))
     members = rows.where("cls is not null")
-    classes = stored(members.groupBy("cls").agg(F.min("id").alias("id"), F.first("sig").alias("sig")).withColumn("number", F.monotonically_increasing_id()))  # several classes can have one smallest id
+    nameless = F.when(F.col("id").isNull(), F.col("row"))
+    classes = members.groupBy("cls").agg(F.min("id").alias("id"), F.min("mark").alias("mark"), F.first("sig").alias("sig"), F.min(nameless).alias("first"), F.count("*").alias("rows"))
+    classes = stored(classes.withColumn("mark", F.when(F.col("id").isNull(), F.col("mark"))).withColumn("number", F.monotonically_increasing_id()))
     found = stored(lists(posted(classes.select(F.col("number").alias("id"), "sig"))))
-    wanted = stored(classes.select("number", "id", "cls").join(found.select(F.col("id").alias("number")).distinct(), "number", "left_semi"))
-    near = stored(links(found, stored(sets(documents, wanted))))
-    # a doc_id with several texts connects their classes; a class connects its doc_ids
-    named = members.select("id", "cls").join(classes.select("cls", F.col("id").alias("rep")), "cls")
-    edges = near.unionAll(named.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct())
-    labels = components(edges)
-    real = lambda c: F.when(F.col(c) != _NULL, F.col(c))
-    out = rows.join(labels, (F.col("id") == F.col("node")) & F.col("cls").isNotNull(), "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component"))
-    return out.select(real("id").alias("doc_id"), "n_shingles", real("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+    wanted = stored(classes.select("number", "id", "mark", "cls").join(found.select(F.col("id").alias("number")).distinct(), "number", "left_semi"))
+    near = links(found, stored(sets(documents, wanted)))
+    # a doc_id with several texts connects their classes
+    h, t = F.xxhash64("cls"), F.xxhash64("cls", F.lit(1))
+    named = members.where("id IS NOT NULL").groupBy("id").agg(F.min(h).alias("a"), F.max(h).alias("b"), F.min(t).alias("c"), F.max(t).alias("d")).where("a <> b OR c <> d").select("id")
+    several = stored(members.join(named, "id", "left_semi").select("id", "cls").distinct().join(classes.select("cls", "number"), "cls").select("id", "number"))
+    least = several.groupBy("id").agg(F.min("number").alias("least"))
+    labels = components(near.unionAll(several.join(least, "id").select(F.col("number").alias("a"), F.col("least").alias("b"))))
+    linked = classes.join(labels, F.col("number") == F.col("node"), "left").where("rows > 1 OR node IS NOT NULL").select("cls", "id", "first", F.coalesce("component", "number").alias("group"))
+    groups = linked.groupBy("group").agg(F.min("id").alias("component"), F.min("first").alias("first"))
+    of = stored(linked.select("cls", "group").join(groups, "group").select("cls", "component", "first", F.lit(True).alias("grouped")))
+    stays = F.when(F.col("component").isNotNull(), F.col("id").eqNullSafe(F.col("component"))).otherwise(F.col("row") == F.col("first"))
+    alone = F.col("grouped").isNull()
+    return rows.join(of, "cls", "left").select("id", "mark", "n_shingles", F.when(alone, F.col("id")).otherwise(F.col("component")).alias("component"), F.when(alone, True).otherwise(stays).alias("kept"))
+
+
+def near_duplicates(documents: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row of ``documents`` (doc_id, text)."""
+    return verdicts(documents).select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "kept")
 
 
 def deduplicated(documents: DataFrame) -> DataFrame:
-    """The rows of ``documents`` of one document of each group of near-duplicates, that of the smallest doc_id, with all columns. Rows that share that doc_id stay together."""
-    gone = stored(near_duplicates(documents).where("not kept").select(F.col("doc_id").alias("__id")).distinct())
-    return documents.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    """The rows of ``documents`` of one document of each group of near-duplicates, that of the smallest doc_id, with all columns.
+
+    Rows that share that doc_id stay together. Of a group without any doc_id one row stays.
+    """
+    id_, mark = spare(documents.columns, "__id"), spare(documents.columns, "__mark")
+    found = stored(verdicts(documents))
+    gone = found.where("id IS NOT NULL AND NOT kept").select(F.col("id").alias(id_)).distinct()
+    named = documents.where(F.col("doc_id").isNotNull()).join(gone, F.col("doc_id").cast("long") == F.col(id_), "left_anti")
+    if found.where("id IS NULL").isEmpty():
+        return named
+    text = F.coalesce("text", F.lit(""))
+    nameless = documents.where(F.col("doc_id").isNull()).withColumn(mark, F.sha2(text, 256))
+    has_words = text.rlike(r"[^\x20\x09-\x0D]")
+    stay = found.where("id IS NULL AND n_shingles > 0 AND kept").select(F.col("mark").alias(mark)).distinct()
+    one = nameless.where(has_words).dropDuplicates([mark]).join(stay, mark, "left_semi")
+    return named.unionByName(nameless.where(~has_words).drop(mark)).unionByName(one.drop(mark))

@@ -68,16 +68,29 @@ def test_chains_and_repeated_ids(spark):
 
 
 def test_null_ids_and_empty_tables(spark):
-    df = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (4, "z")], "doc_id long, text string")
+    df = spark.createDataFrame([(None, "a b c d e f", "x"), (3, "a b c d e f", "y"), (4, "z", "z")], "doc_id long, text string, __id string")
     got = {r.doc_id: (r.component_id, r.kept) for r in minhash.near_duplicates(df).collect()}
-    assert got == {None: (None, True), 3: (None, False), 4: (4, True)}
-    assert [r.doc_id for r in minhash.deduplicated(df).orderBy("doc_id").collect()] == [None, 4]
-    assert minhash.near_duplicates(df.limit(0)).count() == 0
-
-
-@pytest.mark.parametrize("shared", [5, None])
-def test_near_copies_of_every_text_under_one_id(spark, shared):
-    rng = random.Random(8)
+    assert got == {None: (3, False), 3: (3, True), 4: (4, True)}
+    kept = minhash.deduplicated(df)
+    assert kept.columns == df.columns and [r.doc_id for r in kept.orderBy("doc_id").collect()] == [3, 4]
+    assert minhash.near_duplicates(df.limit(0)).count() == 0 and minhash.deduplicated(df.limit(0)).count() == 0
+
+
+def test_null_ids_are_nodes_of_their_own(spark):
+    one, two, three = (" ".join(f"{w}{i}" for i in range(40)) for w in "abc")
+    near = one.replace("a39", "other")
+    rows = [(4, one), (5, two), (None, one), (None, two), (None, three), (None, three), (None, three.upper()), (None, None), (None, " "), (None, ""), (6, near)]
+    df = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, mark string").repartition(3)
+    got = sorted((str(r.doc_id), r.n_shingles > 0, str(r.component_id), r.kept) for r in minhash.near_duplicates(df).collect())
+    nameless = [("None", False, "None", True)] * 3 + [("None", True, "4", False), ("None", True, "5", False)] + [("None", True, "None", False)] * 2 + [("None", True, "None", True)]
+    assert got == sorted([("4", True, "4", True), ("5", True, "5", True), ("6", True, "4", False), *nameless])
+    kept = minhash.deduplicated(df).collect()
+    assert sorted(str(r.doc_id) for r in kept) == ["4", "5", *["None"] * 4]
+    assert sum((r.text or "").lower() == three for r in kept) == 1
+
+
+def test_near_copies_of_every_text_under_one_id(spark):
+    rng, shared = random.Random(8), 5
     bases = [[f"t{k}_{i}" for i in range(120)] for k in range(6)]
     rows = [(shared, " ".join(b)) for b in bases]
     for k, b in enumerate(bases):
@@ -88,5 +101,4 @@ def test_near_copies_of_every_text_under_one_id(spark, shared):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = {r.doc_id: (r.component_id, r.kept) for r in minhash.near_duplicates(df).collect()}
     assert got == {shared: (shared, True), 200: (200, True)} | {100 + k: (shared, False) for k in range(6)}
-    if shared is not None:
-        check(spark, rows)
+    check(spark, rows)
