@@ -9,6 +9,7 @@ import unicodedata
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from mossgraph.llm import automaton, fingerprints
 
@@ -98,6 +99,19 @@ def test_fingerprints_of_odd_tables(spark):
     assert fingerprints.fingerprints(same).count() == 52
 
 
+def test_one_id_of_many_texts(spark):
+    rows = [(None, f"text {k % 150} of many") for k in range(300)] + [(k, f"other {k}") for k in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = fingerprints.neighbours(docs)
+    ranges = got.groupBy(F.spark_partition_id().alias("p")).agg(F.count_if(F.col("doc_id").isNull()).alias("n")).where("n > 0").collect()
+    assert got.count() == 400 and len(ranges) > 2
+    by = {}
+    for r in got.collect():
+        by.setdefault(r.digest, []).append(r.like_next)
+    for k in range(150):  # a repeated text comes next to its copy, and then to another text
+        assert sorted(by[plain(f"text {k} of many")]) == [False, True]
+
+
 def test_unequal_bytes_in_a_bucket(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "A")], "doc_id long, text string")
     forms = spark.createDataFrame([("00", 1, b"a"), ("00", 2, b"b"), ("11", 3, b"a"), ("11", 4, b"a")], "digest string, doc_id long, form binary")
