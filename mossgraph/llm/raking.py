@@ -1,29 +1,33 @@
 """Mixing sources to target weights by iterative proportional fitting. DataFrame operations only.
 
 Documents' tokens are summed to cells (source, language, topic). Starting from the cells' tokens, weights are scaled in
-turn so that each margin (sources, languages, topics) gets its target total, ``rounds`` times over. A document is then
-sampled with the probability min(1, rate * weight * scale / tokens) of its cell, by a hash of its id, so the choice can be repeated.
-Targets are given by margin, or else each margin's totals raised to ``temper`` (below 1: small sources gain).
+turn so that each margin (sources, languages, topics) gets its target total, ``rounds`` times over; the totals of a margin sum to
+``rate`` of all tokens. A weight is what the cell is to keep, so after every step it is cut to the cell's own tokens, and the next
+steps make up for that from other cells. A document is then sampled with the probability weight / tokens of its cell, by a hash of
+its id, so the choice can be repeated. Targets are given by margin, or else each margin's totals raised to ``temper`` (below
+1: small sources gain). A target beyond all of a value's tokens can't be met; ``margins`` tells targets and what is expected.
 
-Topics come from ``topic``, an expression over the text. Tokens are maximal runs without ASCII white space.
+Topics come from ``topic``, by default the text's form: the first of some marks that it holds. Any expression over the text can stand for it. Tokens are maximal runs without ASCII white space.
 
 Scale: texts are read once and only features are kept; everything after works on cells, which are summed in each task
 before they are shuffled. The cells' windows are over a few numbers for each cell, and documents find their cell by a join whose skew Spark splits.
 Nulls: null text has no tokens; null source, language or doc_id are values of their own (empty text for the first two).
-Cells without tokens keep weight 0 and probability 1; an empty text in another cell is drawn like the rest of it. Repeated rows count and return each, very long texts count
+Cells without tokens keep weight 0 and probability 1; an empty text in another cell is drawn like the rest of it. Rows with one doc_id are drawn alike. Repeated rows count and return each, very long texts count
 whole, an empty table gives an empty result, other columns are carried along by ``mixed`` and ignored by ``probabilities``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import spare, stored
 
 MARGINS = ("source", "lang", "topic")
 TOKEN = r"[^\x20\x09-\x0D]+"
-ROUNDS, RATE, TEMPER = 6, 0.6, 0.7
+ROUNDS, RATE, TEMPER = 12, 0.6, 0.7
 
 
 def topic(text: Column) -> Column:
@@ -31,9 +35,9 @@ def topic(text: Column) -> Column:
     return F.when(text.contains(" | "), "table").when(text.contains("!! "), "shout").when(text.contains("*** ") | text.contains("%%% "), "noise").when(text.contains("\n"), "prose").otherwise("line")
 
 
-def features(documents: DataFrame) -> DataFrame:
+def features(documents: DataFrame, topic_of: Callable[[Column], Column] = topic) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    return documents.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), topic(text).alias("topic"), F.regexp_count(text, F.lit(TOKEN)).cast("long").alias("n_tokens"))
+    return documents.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), topic_of(text).alias("topic"), F.regexp_count(text, F.lit(TOKEN)).cast("long").alias("n_tokens"))
 
 
 def draw(doc_id: Column, seed: int) -> Column:
@@ -43,39 +47,50 @@ def draw(doc_id: Column, seed: int) -> Column:
 
 
 def raked(cells: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, rate: float = RATE, temper: float = TEMPER) -> DataFrame:
-    """source, lang, topic, tokens, weight, probability of cells (source, lang, topic, tokens). A target table has the margin's column and ``share``."""
-    w = cells.withColumn("w", F.col("tokens").cast("double"))
+    """source, lang, topic, tokens, weight, probability of cells (source, lang, topic, tokens), and t_source, t_lang, t_topic, the margins' targets in tokens. A target table has the margin's column and ``share``."""
+    every = F.sum("tokens").over(Window.partitionBy())  # a row for each cell
+    w = cells.withColumn("w", F.col("tokens").cast("double")).withColumn("all", every.cast("double"))
     for m in MARGINS:
         total = F.sum("tokens").over(Window.partitionBy(m)).cast("double")
         if targets and m in targets:
-            w = w.join(targets[m].select(m, F.col("share").cast("double").alias(f"t_{m}")), m, "left").fillna({f"t_{m}": 0.0})
+            w = w.join(targets[m].select(m, F.col("share").cast("double").alias("s")), m, "left").fillna({"s": 0.0})
         else:
-            w = w.withColumn(f"t_{m}", F.when(total > 0, F.pow(total, F.lit(temper))).otherwise(0.0))
+            w = w.withColumn("s", F.when(total > 0, F.pow(total, F.lit(temper))).otherwise(0.0))
+        w = w.withColumn("first", F.row_number().over(Window.partitionBy(m).orderBy(*MARGINS)) == 1)
+        whole = F.sum(F.when(F.col("first"), F.col("s"))).over(Window.partitionBy())
+        w = w.withColumn(f"t_{m}", F.when(whole > 0, F.col("s") * F.col("all") * rate / whole).otherwise(0.0)).drop("s", "first")
     for _ in range(rounds):
         for m in MARGINS:
             over = F.sum("w").over(Window.partitionBy(m))
-            w = w.withColumn("w", F.when(over > 0, F.col("w") * F.col(f"t_{m}") / over).otherwise(0.0))
-    w = stored(w)
-    tokens, weights = w.agg(F.sum("tokens"), F.sum("w")).first()
-    scale = float(tokens or 0) / weights if weights else 0.0
-    chance = F.when(F.col("tokens") > 0, F.least(F.lit(1.0), rate * F.col("w") * scale / F.col("tokens"))).otherwise(1.0)
-    return w.select(*MARGINS, "tokens", F.round(F.col("w") * scale, 3).alias("weight"), F.round(chance, 6).alias("probability"))
+            w = w.withColumn("w", F.when(over > 0, F.least(F.col("tokens").cast("double"), F.col("w") * F.col(f"t_{m}") / over)).otherwise(0.0))
+    chance = F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens")).otherwise(1.0)
+    return stored(w.select(*MARGINS, "tokens", F.round("w", 3).alias("weight"), F.round(chance, 6).alias("probability"), *(f"t_{m}" for m in MARGINS)))
+
+
+def margins(cells: DataFrame) -> DataFrame:
+    """margin, value, tokens, target, expected (tokens to keep by the cells' probabilities) of the cells of ``raked``."""
+    out = None
+    for m in MARGINS:
+        part = cells.groupBy(F.lit(m).alias("margin"), F.col(m).alias("value")).agg(F.sum("tokens").alias("tokens"), F.max(f"t_{m}").alias("target"), F.sum(F.col("probability") * F.col("tokens")).alias("expected"))
+        out = part if out is None else out.unionAll(part)
+    return out
 
 
-def probabilities(documents: DataFrame, seed: int = 17, **options) -> DataFrame:
+def probabilities(documents: DataFrame, seed: int = 17, topic_of: Callable[[Column], Column] = topic, **options) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, weight, probability, sampled of every row."""
-    rows = stored(features(documents))
-    cells = raked(rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")), **options)
-    return rows.join(cells.drop("tokens"), list(MARGINS)).select("doc_id", *MARGINS, "n_tokens", "weight", "probability", (draw(F.coalesce("doc_id", F.lit(-1)), seed) < F.col("probability")).alias("sampled"))
+    rows = stored(features(documents, topic_of))
+    cells = raked(rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")), **options).select(*MARGINS, "weight", "probability")
+    return rows.join(cells, list(MARGINS)).select("doc_id", *MARGINS, "n_tokens", "weight", "probability", (draw(F.coalesce("doc_id", F.lit(-1)), seed) < F.col("probability")).alias("sampled"))
 
 
-def mixed(documents: DataFrame, seed: int = 17, **options) -> DataFrame:
+def mixed(documents: DataFrame, seed: int = 17, topic_of: Callable[[Column], Column] = topic, **options) -> DataFrame:
     """The sampled rows of ``documents``, with all their columns."""
-    own = [F.coalesce("source", F.lit("")).alias("__source"), F.coalesce("lang", F.lit("")).alias("__lang"), topic(F.coalesce("text", F.lit(""))).alias("__topic")]
-    cells = raked(features(documents).groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")), **options)
-    cells = cells.select(*(F.col(m).alias(f"__{m}") for m in MARGINS), F.col("probability").alias("__p"))
-    rows = documents.select("*", *own).join(cells, [f"__{m}" for m in MARGINS])
-    return rows.where(draw(F.coalesce("doc_id", F.lit(-1)), seed) < F.col("__p")).select(*documents.columns)
+    names = {m: spare(documents.columns, f"__{m}") for m in (*MARGINS, "p")}
+    values = F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), topic_of(F.coalesce("text", F.lit("")))
+    cells = raked(features(documents, topic_of).groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")), **options)
+    cells = cells.select(*(F.col(m).alias(names[m]) for m in MARGINS), F.col("probability").alias(names["p"]))
+    rows = documents.select("*", *(v.alias(names[m]) for m, v in zip(MARGINS, values, strict=True))).join(cells, [names[m] for m in MARGINS])
+    return rows.where(draw(F.coalesce("doc_id", F.lit(-1)), seed) < F.col(names["p"])).select(*documents.columns)
 
 
 def oracle(rounds: int = ROUNDS, rate: float = RATE, temper: float = TEMPER, seed: int = 17) -> str:
@@ -83,16 +98,15 @@ def oracle(rounds: int = ROUNDS, rate: float = RATE, temper: float = TEMPER, see
     for k in range(rounds):
         for m in MARGINS:
             name = f"w{k}_{m}"
-            steps.append(f"{name} AS (SELECT * EXCLUDE (w), CASE WHEN sum(w) OVER (PARTITION BY {m}) > 0 THEN w * t_{m} / sum(w) OVER (PARTITION BY {m}) ELSE 0 END AS w FROM {last})")
+            steps.append(f"{name} AS (SELECT * EXCLUDE (w), CASE WHEN sum(w) OVER (PARTITION BY {m}) > 0 THEN least(tokens::DOUBLE, w * t_{m} / sum(w) OVER (PARTITION BY {m})) ELSE 0 END AS w FROM {last})")
             last = name
-    targets = ", ".join(f"CASE WHEN sum(tokens) OVER (PARTITION BY {m}) > 0 THEN pow((sum(tokens) OVER (PARTITION BY {m}))::DOUBLE, {temper}) ELSE 0 END AS t_{m}" for m in MARGINS)
+    shares = ", ".join(f"s_{m} AS (SELECT {m}, CASE WHEN sum(tokens) > 0 THEN pow(sum(tokens)::DOUBLE, {temper}) ELSE 0 END AS s FROM c GROUP BY {m}), t_{m} AS (SELECT {m}, CASE WHEN sum(s) OVER () > 0 THEN s * (SELECT sum(tokens)::DOUBLE FROM c) * {rate}::DOUBLE / sum(s) OVER () ELSE 0 END AS t_{m} FROM s_{m})" for m in MARGINS)
     return rf"""
     WITH f AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens,
         CASE WHEN contains(text, ' | ') THEN 'table' WHEN contains(text, '!! ') THEN 'shout' WHEN contains(text, '*** ') OR contains(text, '%%% ') THEN 'noise' WHEN contains(text, chr(10)) THEN 'prose' ELSE 'line' END AS topic FROM documents),
-    c AS (SELECT source, lang, topic, sum(n_tokens)::BIGINT AS tokens FROM f GROUP BY ALL),
-    w0 AS (SELECT *, {targets}, tokens::DOUBLE AS w FROM c),
+    c AS (SELECT source, lang, topic, sum(n_tokens)::BIGINT AS tokens FROM f GROUP BY ALL), {shares},
+    w0 AS (SELECT c.*, t_source, t_lang, t_topic, tokens::DOUBLE AS w FROM c JOIN t_source USING (source) JOIN t_lang USING (lang) JOIN t_topic USING (topic)),
     {", ".join(steps)},
-    s AS (SELECT sum(tokens)::DOUBLE / sum(w) AS scale FROM {last}),
-    p AS (SELECT source, lang, topic, round(w * scale, 3) AS weight, round(CASE WHEN tokens > 0 THEN least(1.0::DOUBLE, {rate}::DOUBLE * w * scale / tokens) ELSE 1 END, 6) AS probability FROM {last}, s)
+    p AS (SELECT source, lang, topic, round(w, 3) AS weight, round(CASE WHEN tokens > 0 THEN w / tokens ELSE 1 END, 6) AS probability FROM {last})
     SELECT doc_id, source, lang, topic, n_tokens, weight, probability,
         ('0x' || substr(md5(concat_ws(':', '{seed}', coalesce(doc_id, -1))), 1, 13))::BIGINT::DOUBLE / {16**13} < probability AS sampled FROM f JOIN p USING (source, lang, topic)"""
