@@ -7,9 +7,9 @@ no piece, is spelt in byte pieces). The vocabulary's file is a parameter.
 
 A segmentation is the merges' result if, and only if, the merges keep each two neighbouring pieces apart when they are
 given just these two; so every prefix has one last piece. That makes the encoding a path over places whose steps depend
-on the piece before, and a stretch of text a matrix over (max, +): its entry (i, j) is minus the number of pieces from
-entering the stretch behind the i-th piece that can cross its first border to leaving it by the j-th that can cross its
-last one, or minus infinity where the merges would join what the path keeps apart. Giant documents are split into chunks, each chunk's
+on the piece before, and a stretch of text a matrix over (max, +): its entry (i, j) is 0 where a path leads from
+behind the i-th piece that can cross the stretch's first border to the j-th that can cross its last one, and minus
+infinity where the merges would join what every such path keeps apart. Giant documents are split into chunks, each chunk's
 matrix is computed by itself, matrices are combined by an associative scan, which tells by which piece each border is
 crossed, and every chunk is then backtraced independently. Between two word borders inside a chunk, which no piece
 crosses, words are merged side by side, once for each distinct word; so are documents of one chunk. Both ways
@@ -296,27 +296,17 @@ class Encoder:
         out = np.full((len(enter), len(leave)), _NONE)
         p, q = self.cuts(own)
         if q:
-            tail = self.path(text, b0 + q, 0, b1)
-            words = self.vocab.words.findall(own[p:q])
-            self.learn(set(words))
-            middle = sum(len(self.kept[w]) for w in words) // 4
-            ok = self.exits(text, tail, leave, b1)
-            behind_it = [middle + len(self.back(tail, b0 + q, b1 + o - s)) + 1 if on else 0 for (o, s), on in zip(leave, ok, strict=True)]
+            tail = self.exits(text, self.path(text, b0 + q, 0, b1), leave, b1)
         first = None
         for i, (over, size) in enumerate(enter):
             at = b0 + over
             if q:
-                if at <= b0 + p:
-                    head = self.path(text, at, size, b0 + p)
-                    if head[b0 + p]:
-                        lead = len(self.back(head, at, b0 + p))
-                        out[i, ok] = [-float(lead + n) for n, on in zip(behind_it, ok, strict=True) if on]
-                continue
-            last = self.path(text, at, size, b1, first)
-            first = first or last
-            for j, on in enumerate(self.exits(text, last, leave, b1)):
-                if on:
-                    out[i, j] = -float(len(self.back(last, at, b1 + leave[j][0] - leave[j][1])) + 1)
+                if at <= b0 + p and self.path(text, at, size, b0 + p)[b0 + p]:
+                    out[i, tail] = 0.0
+            else:
+                last = self.path(text, at, size, b1, first)
+                first = first or last
+                out[i, self.exits(text, last, leave, b1)] = 0.0
         return out
 
     def trace(self, behind: str, own: str, ahead: str, enter: int, leave: int) -> tuple[bytes, str]:
