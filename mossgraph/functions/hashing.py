@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DecimalType
 
 #: Offset basis and prime of 32-bit FNV-1a; multiplier and increment of the 32-bit congruential generator.
 FNV_BASIS, FNV_PRIME = 2166136261, 16777619
@@ -31,12 +30,11 @@ def md5_bits(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-@F.pandas_udf(DecimalType(20, 0))
-def blake2b_64(text: pd.Series) -> pd.Series:
-    """BLAKE2b of 8 bytes, little-endian and unsigned (there is no such builtin, and BIGINT is signed)."""
-    from decimal import Decimal
-
-    return text.map(lambda t: None if t is None else Decimal(int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "little")))
+def gram_hash(seed: int, exact: bool) -> Callable[[str], int]:
+    """For tasks: BLAKE2b of 8 bytes, little-endian and unsigned (there is no such builtin), or else the 60 bits of ``md5_bits``, of seed and gram."""
+    if exact:
+        return lambda gram: int.from_bytes(hashlib.blake2b(f"{seed}:{gram}".encode(), digest_size=8).digest(), "little")
+    return lambda gram: int(hashlib.md5(f"{seed}:{gram}".encode()).hexdigest()[:15], 16)
 
 
 def short_digest(text: Column) -> Column:

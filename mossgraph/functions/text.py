@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import blake2b_64, fnv1a, md5_bits
+from .hashing import fnv1a, gram_hash
+from .vectors import let
 
 #: Patterns of the redaction, and what stands for them.
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
@@ -17,6 +23,8 @@ CUE_WEIGHT = 2.5
 PATTERN_CUES = ((r"\b\d{3}[-.\s]?\d{3}[-.\s]?\d{4}\b", 3, 2.0), (r"\b\d{3}-\d{2}-\d{4}\b", 5, 2.5), (r"\b(?:\d[ -]*?){13,19}\b", 19, 2.0))
 DIM, SEED, SIZES = 384, 42, (3, 4, 5)
 WORD_DIM, TRIGRAM_WEIGHT = 64, 0.18
+#: Hashes of grams that a task keeps at a time.
+MOST_KNOWN = 1 << 19
 WORD = r"[\p{L}\p{N}]+"
 
 
@@ -44,26 +52,28 @@ def characters(text: Column) -> Column:
     return F.filter(F.split(text, ""), lambda c: c != "")
 
 
-def gram_rows(documents: DataFrame, sizes: tuple[int, ...] = SIZES) -> DataFrame:
-    """doc_id, gram: words, then all character n-grams, of normalised text. Characters are split once, in a column of their own."""
-    clean = documents.select("doc_id", normalised(F.col("text")).alias("clean"))
-    rows = clean.select("doc_id", F.filter(F.split("clean", " "), lambda w: w != "").alias("w"), characters(F.col("clean")).alias("c"))
-    c = F.col("c")
+def grams(clean: Column, sizes: tuple[int, ...] = SIZES) -> Column:
+    """Words, then all character n-grams, of normalised text."""
+    starts = lambda c, n: F.when(F.size(c) >= n, F.sequence(F.lit(1), F.size(c) - n + 1)).otherwise(F.array().cast("array<int>"))
+    of = lambda c, n: F.transform(starts(c, n), lambda i: F.array_join(F.slice(c, i, n), ""))
+    return let(lambda c: F.concat(F.filter(F.split(clean, " "), lambda w: w != ""), *[of(c, n) for n in sizes]), c=characters(clean))
 
-    def of(n: int) -> Column:
-        steps = F.when(F.size(c) >= n, F.sequence(F.lit(1), F.size(c) - n + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(steps, lambda i: F.concat(*[F.element_at(c, i + k) for k in range(n)]))
 
-    return rows.select("doc_id", F.explode(F.concat("w", *[of(n) for n in sizes])).alias("gram"))
+def cue_weights(text: Column) -> Column:
+    """slot and weight of the keywords and patterns that a text holds, one entry a slot."""
+    low = F.lower(text)
+    by: dict[int, list[Column]] = {}
+    for i, c in enumerate(CUES):
+        by.setdefault(i, []).append(F.when(low.contains(c), CUE_WEIGHT).otherwise(0.0))
+    for p, slot, w in PATTERN_CUES:
+        by.setdefault(slot, []).append(F.when(text.rlike(p), w).otherwise(0.0))
+    pairs = [F.struct(F.lit(slot).alias("slot"), sum(parts[1:], parts[0]).alias("weight")) for slot, parts in by.items()]
+    return F.filter(F.array(*pairs), lambda x: x["weight"] > 0)
 
 
 def cues(documents: DataFrame) -> DataFrame:
     """doc_id, slot, weight of the keywords and patterns that a text holds."""
-    low = F.lower("text")
-    found = [F.when(low.contains(c), F.struct(F.lit(i).alias("slot"), F.lit(CUE_WEIGHT).alias("weight"))) for i, c in enumerate(CUES)]
-    found += [F.when(F.col("text").rlike(p), F.struct(F.lit(slot).alias("slot"), F.lit(w).alias("weight"))) for p, slot, w in PATTERN_CUES]
-    rows = documents.select("doc_id", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("c"))
-    return rows.groupBy("doc_id", "c.slot").agg(F.sum("c.weight").alias("weight"))
+    return documents.select("doc_id", F.explode(cue_weights(F.col("text"))).alias("c")).select("doc_id", "c.slot", "c.weight")
 
 
 def normalise(rows: DataFrame, key: str, value: str) -> DataFrame:
@@ -72,14 +82,40 @@ def normalise(rows: DataFrame, key: str, value: str) -> DataFrame:
     return rows.join(norms, key).withColumn(value, F.when(F.col("norm") > 0, F.col(value) / F.col("norm")).otherwise(0.0)).drop("norm")
 
 
-def hashed(documents: DataFrame, dim: int = DIM, seed: int = SEED, exact: bool = False) -> DataFrame:
-    """doc_id, slot, value: signed hashing of words and n-grams with cues, of unit length. ``exact``: by BLAKE2b instead of MD5."""
-    grams = gram_rows(documents).groupBy("doc_id", "gram").agg(F.count("*").alias("n"))
-    named = F.concat(F.lit(f"{seed}:"), F.col("gram"))
-    h = blake2b_64(named) if exact else md5_bits(named)
-    slots = grams.select("doc_id", "n", h.alias("h")).select("doc_id", (F.col("h") % dim).cast("int").alias("slot"), (F.when(F.floor(F.col("h") / dim if exact else F.expr(f"h div {dim}")) % 2 == 0, 1.0).otherwise(-1.0) * F.col("n")).alias("value"))
-    both = slots.unionAll(cues(documents).select("doc_id", "slot", F.col("weight").alias("value")))
-    return normalise(both.groupBy("doc_id", "slot").agg(F.sum("value").alias("value")), "doc_id", "value")
+def hashed(documents: DataFrame, dim: int = DIM, seed: int = SEED, exact: bool = False, key: str = "doc_id") -> DataFrame:
+    """key, slot, value: signed hashing of words and n-grams with cues, of unit length. ``exact``: by BLAKE2b instead of MD5.
+
+    Grams are cut and counted text by text in Arrow batches, and each different one is hashed once in a batch; neither
+    grams nor slots are shuffled, and a row's slots leave it as one small array.
+    """
+    rows = documents.select(key, normalised(F.coalesce("text", F.lit(""))).alias("clean"), cue_weights(F.coalesce("text", F.lit(""))).alias("cues"))
+    hash_of = gram_hash(seed, exact)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[int, float]] = {}
+        for batch in batches:
+            out = []
+            for clean, found in zip(batch.column("clean").to_pylist(), batch.column("cues").to_pylist(), strict=True):
+                count = Counter(w for w in clean.split(" ") if w)
+                for n in SIZES:
+                    count.update(clean[i : i + n] for i in range(len(clean) - n + 1))
+                values: dict[int, float] = {}
+                for gram, n in count.items():
+                    at = known.get(gram)
+                    if at is None:
+                        if len(known) > MOST_KNOWN:
+                            known.clear()
+                        h = hash_of(gram)
+                        at = known[gram] = h % dim, 1.0 if (h // dim) % 2 == 0 else -1.0
+                    values[at[0]] = values.get(at[0], 0.0) + at[1] * n
+                for c in found:
+                    values[c["slot"]] = values.get(c["slot"], 0.0) + c["weight"]
+                norm = math.sqrt(math.fsum(v * v for v in values.values()))
+                out.append([{"slot": s, "value": v / norm if norm else 0.0} for s, v in values.items()])
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(out, pa.list_(pa.struct([("slot", pa.int32()), ("value", pa.float64())])))], [key, "v"])
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.mapInArrow(run, f"{key} {kind}, v array<struct<slot:int,value:double>>").select(key, F.explode("v").alias("v")).select(key, "v.slot", "v.value")
 
 
 def words(text: Column) -> Column:
@@ -96,12 +132,14 @@ def word_trigrams(documents: DataFrame, key: str = "doc_id", dim: int = WORD_DIM
     w = documents.select(key, F.explode(words(F.col("text"))).alias("w")).groupBy(key, "w").agg(F.count("*").alias("n"))
     c = characters(F.col("w"))
     tri = F.when(F.length("w") > 3, F.transform(F.sequence(F.lit(1), F.size(c) - 2), lambda i: F.struct(F.concat(F.lit("#"), F.element_at(c, i), F.element_at(c, i + 1), F.element_at(c, i + 2)).alias("t"), F.lit(TRIGRAM_WEIGHT).alias("weight")))).otherwise(F.array().cast("array<struct<t:string,weight:double>>"))
-    tokens = w.select(key, "n", F.explode(F.concat(F.array(F.struct(F.col("w").alias("t"), F.lit(1.0).alias("weight"))), tri)).alias("x"))
-    tokens = tokens.groupBy(key, F.col("x.t").alias("t"), F.col("x.weight").alias("weight")).agg(F.sum("n").alias("n"))
-    h = tokens.select(key, fnv1a(F.col("t")).alias("h"), (F.col("weight") * F.col("n")).alias("w"))
-    sign = F.when(F.shiftright("h", 8).bitwiseAND(F.lit(1).cast("long")) == 1, 1.0).otherwise(-1.0)
-    slots = h.groupBy(key, (F.col("h") % dim).cast("int").alias("slot")).agg(F.sum(sign * F.col("w")).alias("value"))
-    return normalise(slots, key, "value")
+    tokens = F.concat(F.array(F.struct(F.col("w").alias("t"), F.lit(1.0).alias("weight"))), tri)
+    signed = lambda h, weight: F.struct((h % dim).cast("int").alias("slot"), F.when(F.shiftright(h, 8).bitwiseAND(F.lit(1).cast("long")) == 1, weight).otherwise(-weight).alias("v"))
+    # every different word is hashed once, whatever its number of documents
+    known = w.select("w").distinct().select("w", F.transform(tokens, lambda x: let(signed, h=fnv1a(x["t"]), weight=x["weight"])).alias("s"))
+    slots = w.join(known, "w").select(key, "n", F.explode("s").alias("s")).groupBy(key, "s.slot").agg(F.sum(F.col("s.v") * F.col("n")).alias("value"))
+    packed = slots.groupBy(key).agg(F.collect_list(F.struct("slot", "value")).alias("v"))  # dim entries at most
+    size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x["value"] * x["value"]))
+    return packed.select(key, size.alias("size"), F.explode("v").alias("x")).select(key, "x.slot", F.when(F.col("size") > 0, F.col("x.value") / F.col("size")).otherwise(0.0).alias("value"))
 
 
 NOISE = ("upper", "lower", "double", "punct", "tab", "nbsp", "zwsp", "none")
@@ -110,7 +148,7 @@ NOISE = ("upper", "lower", "double", "punct", "tab", "nbsp", "zwsp", "none")
 def noise(text: Column, mode: Column) -> Column:
     """Format noise by mode: letter case, doubled spaces, spaced punctuation, tabs, no-break and zero-width spaces."""
     return (
-        F.when(mode == "upper", F.upper(text))
+        F.when(mode == "upper", F.upper(F.replace(text, F.lit("ß"), F.lit("SS"))))
         .when(mode == "lower", F.lower(text))
         .when(mode == "double", F.replace(text, F.lit(" "), F.lit("  ")))
         .when(mode == "punct", F.regexp_replace(text, r"([.,])", " $1 "))

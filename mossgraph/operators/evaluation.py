@@ -39,10 +39,10 @@ def chosen(scores: DataFrame, key: str, threshold: float = 0.5, gap: float = 0.2
 
 
 def chosen_or_best(scores: DataFrame, key: str, threshold: float = 0.5) -> DataFrame:
-    """key, labels: all of at least the threshold in the domain's order, else the best one."""
-    all_ = F.array_sort(F.collect_list(F.struct("idx", "label", "score")))
+    """key, labels: all but NONE of at least the threshold in the domain's order, else the best one, which may be NONE."""
+    all_ = F.array_sort(F.collect_list(F.struct("idx", "label", "score")))  # one entry a label
     rows = scores.groupBy(key).agg(all_.alias("s"), F.max_by("label", F.struct("score", -F.col("idx"))).alias("best"))
-    over = F.transform(F.filter("s", lambda x: x["score"] >= threshold), lambda x: x["label"])
+    over = F.transform(F.filter("s", lambda x: (x["score"] >= threshold) & (x["label"] != "NONE")), lambda x: x["label"])
     return rows.select(key, F.when(F.size(over) > 0, over).otherwise(F.array("best")).alias("labels"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from ..functions.hashing import fnv1a
+from ..functions.hashing import FNV_BASIS, FNV_PRIME, MASK, fnv1a
 
 #: Facts and what each may be.
 DOMAIN = {
@@ -36,6 +36,8 @@ NO_ACTION = "Abstain."
 DIM, SHIFT, SECOND, BITS = 96, 31, 0.38, (9, 13)
 STEPS, LEAK, INPUT_SCALE, FEATURES = 4, 0.28, 1.15, 256
 TEMPERATURE, CONFIDENCE, MARGIN, QUIET = 4.0, 0.28, 0.045, 1e-5
+#: Readouts above this many numbers (32 MB) aren't sent to every task.
+MOST_NUMBERS = 1 << 22
 
 
 def stand_in(orders: DataFrame, customers: DataFrame) -> DataFrame:
@@ -82,19 +84,37 @@ def violations(cases: DataFrame) -> DataFrame:
     return rows.where(~F.coalesce(inside, F.lit(False)))
 
 
-def encoded(cases: DataFrame) -> DataFrame:
-    """case_id and ``u``, the unit vector of hashed facts. Each row's vector is built in place, without a shuffle of cases."""
-    parts = []
-    for f in FIELDS:
-        h = fnv1a(F.lower(F.concat(F.lit(f"{f}:"), F.coalesce(f, F.lit("unknown")))))
-        parts.append(h)
+def _slots(token: Column) -> Column:
+    """A token's two signed weights as a vector of DIM slots."""
     sign = lambda h, bit, size: F.when(F.shiftright(h, bit).bitwiseAND(F.lit(1).cast("long")) == 1, size).otherwise(-size)
+    places = F.sequence(F.lit(0), F.lit(DIM - 1))
+    return vectors.let(lambda h: F.transform(places, lambda j: F.when(h % DIM == j, sign(h, BITS[0], 1.0)).otherwise(0.0) + F.when((h % DIM + SHIFT) % DIM == j, sign(h, BITS[1], SECOND)).otherwise(0.0)), h=fnv1a(F.lower(token)))
+
+
+def _known(field: str, value: str) -> list[float]:
+    h = FNV_BASIS
+    for c in f"{field}:{value}".lower():
+        h = ((h ^ ord(c)) * FNV_PRIME) & MASK
+    out = [0.0] * DIM
+    for slot, bit, size in ((h % DIM, BITS[0], 1.0), ((h % DIM + SHIFT) % DIM, BITS[1], SECOND)):
+        out[slot] += size if h >> bit & 1 else -size
+    return out
 
-    def slot(hashes: Column, j: Column) -> Column:
-        return F.aggregate(hashes, F.lit(0.0), lambda s, h: s + F.when(h % DIM == j, sign(h, BITS[0], 1.0)).otherwise(0.0) + F.when((h % DIM + SHIFT) % DIM == j, sign(h, BITS[1], SECOND)).otherwise(0.0))
 
-    u = vectors.let(lambda hashes: F.transform(F.sequence(F.lit(0), F.lit(DIM - 1)), lambda j: slot(hashes, j)), hashes=F.array(*parts))
-    return cases.select("case_id", vectors.unit(u).alias("u"))
+def encoded(cases: DataFrame) -> DataFrame:
+    """case_id and ``u``, the unit vector of hashed facts.
+
+    The domain's values are hashed once, on the driver, and looked up; only values outside it are hashed row by row. No shuffle.
+    """
+    parts = []
+    for f in FIELDS:
+        value = F.coalesce(f, F.lit("unknown"))
+        known = F.create_map(*[x for v in (*DOMAIN[f], "unknown") for x in (F.lit(v), F.lit(_known(f, v)))])
+        parts.append(F.coalesce(F.try_element_at(known, value), _slots(F.concat(F.lit(f"{f}:"), value))))
+    total = parts[0]
+    for p in parts[1:]:
+        total = F.zip_with(total, p, lambda x, y: x + y)
+    return cases.select("case_id", vectors.unit(total).alias("u"))
 
 
 def centroids(vectors_: DataFrame, label: str = "label", vector: str = "u") -> DataFrame:
@@ -104,19 +124,48 @@ def centroids(vectors_: DataFrame, label: str = "label", vector: str = "u") -> D
     return packed.select(label, F.transform("c", lambda x: x["v"]).alias("centroid"))
 
 
+def scored_arrays(examples: DataFrame, readout: DataFrame, key: str, vector: str = "u", temperature: float = TEMPERATURE) -> DataFrame:
+    """key and scores: an array of label, score (cosine) and p (softmax) for each label, in the labels' order. One row holds all centroids; a readout above ``MOST_NUMBERS`` numbers is refused."""
+    size = readout.agg(F.sum(F.size("centroid"))).first()[0] or 0
+    if size > MOST_NUMBERS:
+        raise ValueError("the readout is too large to go to every task; use scored_rows")
+    packed = readout.agg(F.array_sort(F.collect_list(F.struct("label", "centroid", vectors.dot(F.col("centroid"), F.col("centroid")).alias("qq")))).alias("q"))
+    rows = examples.select(key, F.col(vector).alias("v"), vectors.dot(F.col(vector), F.col(vector)).alias("uu")).join(F.broadcast(packed))
+    cosines = rows.select(key, F.transform("q", lambda q: F.struct(q["label"].alias("label"), (vectors.dot(F.col("v"), q["centroid"]) / F.greatest(F.lit(1e-12), F.sqrt(q["qq"] * F.col("uu")))).alias("score"))).alias("s"))
+    p = cosines.withColumn("p", vectors.softmax(F.transform("s", lambda x: x["score"]), temperature))
+    return p.select(key, F.zip_with("s", "p", lambda s, p: F.struct(s["label"].alias("label"), s["score"].alias("score"), p.alias("p"))).alias("scores"))
+
+
 def scored(examples: DataFrame, readout: DataFrame, key: str, vector: str = "u", temperature: float = TEMPERATURE) -> DataFrame:
-    """key, label, score (cosine), p (softmax): every example against every centroid; centroids are few (one a label) and broadcast."""
-    rows = examples.join(F.broadcast(readout)).select(key, "label", vectors.cosine(F.col(vector), F.col("centroid")).alias("score"))
+    """key, label, score (cosine), p (softmax): every example against every centroid, without a shuffle of examples."""
+    return scored_arrays(examples, readout, key, vector, temperature).select(key, F.explode("scores").alias("x")).select(key, "x.label", "x.score", "x.p")
+
+
+def scored_rows(examples: DataFrame, readout: DataFrame, key: str, vector: str = "u", temperature: float = TEMPERATURE) -> DataFrame:
+    """The same for readouts of any size: products are joined by position and summed. Keys must be unique."""
+    flat = lambda df, name, v: df.select(name, F.posexplode(v).alias("pos", "x"))
+    dots = flat(examples, key, vector).join(flat(readout, "label", "centroid").withColumnRenamed("x", "y"), "pos").groupBy(key, "label").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
+    sizes = dots.join(examples.select(key, vectors.dot(F.col(vector), F.col(vector)).alias("uu")), key).join(readout.select("label", vectors.dot(F.col("centroid"), F.col("centroid")).alias("qq")), "label")
+    rows = sizes.select(key, "label", (F.col("dot") / F.greatest(F.lit(1e-12), F.sqrt(F.col("uu") * F.col("qq")))).alias("score"))
     best = rows.groupBy(key).agg(F.max("score").alias("top"))
     e = rows.join(best, key).withColumn("e", F.exp(temperature * (F.col("score") - F.col("top"))))
-    total = e.groupBy(key).agg(F.sum("e").alias("total"))
-    return e.join(total, key).select(key, "label", "score", (F.col("e") / F.col("total")).alias("p"))
+    return e.join(e.groupBy(key).agg(F.sum("e").alias("total")), key).select(key, "label", "score", (F.col("e") / F.col("total")).alias("p"))
+
+
+def advised(scores: DataFrame, key: str, energies: DataFrame | None = None, digits: int | None = None) -> DataFrame:
+    """As ``recommended``, of ``scored_arrays``: nothing is shuffled. ``digits``: likelihoods are rounded before they are compared."""
+    p = lambda x: x["p"] if digits is None else F.round(x["p"], digits)
+    order = F.array_sort(F.transform("scores", lambda x: F.struct((-p(x)).alias("p"), x["label"].alias("label"))))
+    return _decided(scores.select(key, F.slice(order, 1, 2).alias("r")), key, energies)
 
 
 def recommended(scores: DataFrame, key: str, energies: DataFrame | None = None) -> DataFrame:
     """key, action, forced_choice, confidence, margin, reason: the most likely action, or abstention where it is unclear or the state silent. Ties go to the earlier action."""
     order = F.struct((-F.col("p")).alias("p"), "label")
-    two = scores.groupBy(key).agg(F.slice(F.array_sort(F.collect_list(order)), 1, 2).alias("r"))  # one entry a label
+    return _decided(scores.groupBy(key).agg(F.slice(F.array_sort(F.collect_list(order)), 1, 2).alias("r")), key, energies)  # one entry a label
+
+
+def _decided(two: DataFrame, key: str, energies: DataFrame | None) -> DataFrame:
     rows = two.select(key, F.element_at("r", 1)["label"].alias("forced_choice"), (-F.element_at("r", 1)["p"]).alias("confidence"), (F.coalesce(F.try_element_at("r", F.lit(2))["p"], F.lit(0.0)) - F.element_at("r", 1)["p"]).alias("margin"))
     rows = rows.join(energies, key, "left") if energies is not None else rows.withColumn("energy", F.lit(1.0))
     quiet = F.coalesce("energy", F.lit(0.0)) < QUIET

@@ -87,18 +87,19 @@ def role_flags(spark, sf_dir):
 _CASES = " ".join(f"WHEN regexp_matches(t, '{p}') THEN '{r}'" for r, p in graph.REGIONS)
 
 
-@query(f"SELECT p_partkey AS node, CASE {_CASES} ELSE '{graph.OTHER_REGION}' END AS region FROM (SELECT p_partkey, upper(coalesce(nullif(substr(p_name, 1 + (p_partkey % 5)::INTEGER, 12), ''), 'unknown')) AS t FROM part)")
-def region_classify(spark, sf_dir):
-    t = F.expr("substr(p_name, 1 + cast(p_partkey % 5 as int), 12)")
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), graph.region_of(t).alias("region"))
-
-
 @query(f"SELECT p_partkey AS node, CASE {_CASES} ELSE '{graph.OTHER_REGION}' END AS region FROM (SELECT p_partkey, upper(coalesce(nullif(p_name, ''), 'unknown')) AS t FROM part)")
-def region_classify_name(spark, sf_dir):
+def region_classify(spark, sf_dir):
     """Regions by whole part names."""
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), graph.region_of(F.col("p_name")).alias("region"))
 
 
+@query(f"SELECT label, count(*) AS n, list_sort(list(DISTINCT CASE {_CASES} ELSE '{graph.OTHER_REGION}' END)) AS regions FROM (SELECT label, upper(label) AS t FROM (SELECT unnest(['KCab', 'mbon3', 'APL', 'epg', 'Delta7', 'ELLx', 'T4a', 'LPi', 'xOLy', 'orn', 'ALp', 'DNs1', 'MN', 'SMP', '']) AS label)) GROUP BY label")
+def region_rules(spark, sf_dir):
+    """Every rule of the classifier on cell types that meet it."""
+    kinds = spark.createDataFrame([(k,) for k in ("KCab", "mbon3", "APL", "epg", "Delta7", "ELLx", "T4a", "LPi", "xOLy", "orn", "ALp", "DNs1", "MN", "SMP", "")], "label string")
+    return kinds.groupBy("label").agg(F.count("*").alias("n"), F.sort_array(F.collect_set(graph.region_of(F.col("label")))).alias("regions"))
+
+
 @query(f"{WITH} SELECT (SELECT count(*) FROM n) AS n_nodes, (SELECT count(DISTINCT region) FROM n) AS n_regions, count(*) AS n_edges, sum(w) AS total_weight FROM e")
 def graph_summary(spark, sf_dir):
     return graph.summary(edges(spark, sf_dir), nodes(spark, sf_dir))

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..operators import evaluation, facts, guards
 from ..operators.reservoir import checkpointed
-from ..registry import ORACLES, query, table
+from ..registry import query, table
 from .text_queries import fnv_sql
 
 _DOM = {f: "[" + ", ".join(f"'{v}'" for v in vs) + "]" for f, vs in facts.DOMAIN.items()}
@@ -74,8 +72,8 @@ def _advice(spark, sf_dir):
     c = cases(spark, sf_dir)
     u = checkpointed(facts.encoded(c).join(c.select("case_id", "label", "split"), "case_id"))  # used twice, and costly to make
     readout = facts.centroids(u.where("split = 'teach'"))
-    scores = facts.scored(u.where("split = 'holdout'").select("case_id", "u"), readout, "case_id")
-    return c, facts.recommended(scores.withColumn("p", F.round("p", 12)), "case_id")
+    scores = facts.scored_arrays(u.where("split = 'holdout'").select("case_id", "u"), readout, "case_id")
+    return c, facts.advised(scores, "case_id", digits=12)
 
 
 @query(f"{_SCORED} SELECT case_id, action, forced_choice, round(confidence, 6) AS confidence, round(margin, 6) AS margin FROM adv")
@@ -100,26 +98,25 @@ def authored_notes(spark, sf_dir):
 
 # --- vectors and readouts over embeddings ---
 _LONG = "v AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings)"
-_CENT = f"{_LONG}, q AS (SELECT label, pos, avg(x) AS c FROM v WHERE vec_id % 4 <> 0 GROUP BY ALL)"
-_COS = f"""{_CENT}, cs AS (SELECT vec_id, q.label, sum(x * c) / greatest(1e-12, sqrt(sum(x * x) * sum(c * c))) AS score FROM v JOIN q USING (pos) WHERE vec_id % 4 = 0 GROUP BY vec_id, q.label)"""
+_CENT = f"{_LONG}, q AS (SELECT label, pos, avg(x) AS c FROM v GROUP BY ALL)"
+_COS = f"""{_CENT}, cs AS (SELECT vec_id, q.label, sum(x * c) / greatest(1e-12, sqrt(sum(x * x) * sum(c * c))) AS score FROM v JOIN q USING (pos) GROUP BY vec_id, q.label)"""
 
 
 def _emb(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").withColumnRenamed("embedding", "u")
 
 
-def _readout(spark, sf_dir, every=False):
-    return facts.centroids(_emb(spark, sf_dir) if every else _emb(spark, sf_dir).where("vec_id % 4 <> 0"))
+def _readout(spark, sf_dir):
+    return facts.centroids(_emb(spark, sf_dir))
 
 
-def _cosines(spark, sf_dir, temperature=4.0, every=False):
-    rows = _emb(spark, sf_dir) if every else _emb(spark, sf_dir).where("vec_id % 4 = 0")
-    return facts.scored(rows.select("vec_id", "u"), _readout(spark, sf_dir, every), "vec_id", temperature=temperature)
+def _cosines(spark, sf_dir, temperature=4.0):
+    return facts.scored(_emb(spark, sf_dir).select("vec_id", "u"), _readout(spark, sf_dir), "vec_id", temperature=temperature)
 
 
 @query(f"WITH {_CENT} SELECT label, pos::INTEGER AS pos, round(c, 6) AS value FROM q")
-def centroids(spark, sf_dir, every=False):
-    return _readout(spark, sf_dir, every).select("label", F.posexplode("centroid").alias("pos", "v")).select("label", "pos", F.round("v", 6).alias("value"))
+def centroids(spark, sf_dir):
+    return _readout(spark, sf_dir).select("label", F.posexplode("centroid").alias("pos", "v")).select("label", "pos", F.round("v", 6).alias("value"))
 
 
 @query(f"WITH {_CENT} SELECT label, pos::INTEGER AS pos, round(c / sqrt(sum(c * c) OVER (PARTITION BY label)), 6) AS value FROM q")
@@ -128,30 +125,30 @@ def centroids_l2(spark, sf_dir):
 
 
 @query(f"WITH {_COS} SELECT vec_id, label, round(score, 6) AS score FROM cs")
-def cosine_scores(spark, sf_dir, every=False):
-    return _cosines(spark, sf_dir, every=every).select("vec_id", "label", F.round("score", 6).alias("score"))
+def cosine_scores(spark, sf_dir):
+    return _cosines(spark, sf_dir).select("vec_id", "label", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {_COS}, e AS (SELECT *, exp(4 * (score - max(score) OVER (PARTITION BY vec_id))) AS e FROM cs) SELECT vec_id, label, round(e / sum(e) OVER (PARTITION BY vec_id), 6) AS p FROM e")
-def softmax_scores(spark, sf_dir, every=False):
-    return _cosines(spark, sf_dir, every=every).select("vec_id", "label", F.round("p", 6).alias("p"))
+def softmax_scores(spark, sf_dir):
+    return _cosines(spark, sf_dir).select("vec_id", "label", F.round("p", 6).alias("p"))
 
 
 _RANK = "k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, label) AS r FROM cs)"
 
 
 @query(f"WITH {_COS}, {_RANK} SELECT vec_id, max(label) FILTER (r = 1) AS label, max(label) FILTER (r = 2) AS runner_up, round(max(score) FILTER (r = 1) - max(score) FILTER (r = 2), 6) AS margin FROM k GROUP BY vec_id")
-def margin(spark, sf_dir, every=False):
+def margin(spark, sf_dir):
     w = Window.partitionBy("vec_id").orderBy(F.desc("score"), "label")
-    rows = _cosines(spark, sf_dir, every=every).select("vec_id", "label", "score", F.row_number().over(w).alias("r"), F.lead("label").over(w).alias("runner_up"), (F.col("score") - F.lead("score").over(w)).alias("margin"))
+    rows = _cosines(spark, sf_dir).select("vec_id", "label", "score", F.row_number().over(w).alias("r"), F.lead("label").over(w).alias("runner_up"), (F.col("score") - F.lead("score").over(w)).alias("margin"))
     return rows.where("r = 1").select("vec_id", "label", "runner_up", F.round("margin", 6).alias("margin"))
 
 
 @query(f"WITH {_COS}, {_RANK} SELECT vec_id, r::INTEGER AS rank, label, round(score, 6) AS score, CASE WHEN max(score) OVER (PARTITION BY vec_id) >= 0.8 AND max(score) FILTER (r = 1) OVER (PARTITION BY vec_id) - max(score) FILTER (r = 2) OVER (PARTITION BY vec_id) >= 0.035 THEN 'matched' ELSE 'unmapped' END AS status FROM k QUALIFY r <= 3")
-def decode_topk(spark, sf_dir, every=False):
+def decode_topk(spark, sf_dir):
     w = Window.partitionBy("vec_id").orderBy(F.desc("score"), "label")
     all_ = Window.partitionBy("vec_id")
-    rows = _cosines(spark, sf_dir, every=every).withColumn("rank", F.row_number().over(w)).where("rank <= 3")
+    rows = _cosines(spark, sf_dir).withColumn("rank", F.row_number().over(w)).where("rank <= 3")
     first, second = (F.max(F.when(F.col("rank") == k, F.col("score"))).over(all_) for k in (1, 2))
     status = F.when((first >= 0.8) & (first - second >= 0.035), "matched").otherwise("unmapped")
     return rows.select("vec_id", "rank", "label", F.round("score", 6).alias("score"), status.alias("status"))
@@ -190,25 +187,20 @@ def duplicate_ids(spark, sf_dir):
 
 
 @query(f"WITH {_COS}, f AS (SELECT vec_id, label, round(score, 3) AS score FROM cs), a AS (SELECT vec_id, arg_max(label, (score, -label)) AS l FROM cs GROUP BY vec_id), b AS (SELECT vec_id, arg_max(label, (score, -label)) AS l FROM f GROUP BY vec_id) SELECT count(*) AS cases, count(*) FILTER (a.l <> b.l) AS mismatches, (SELECT round(max(abs(cs.score - f.score)), 6) FROM cs JOIN f USING (vec_id, label)) AS max_delta FROM a JOIN b USING (vec_id)")
-def backend_diff(spark, sf_dir, every=False):
+def backend_diff(spark, sf_dir):
     """Decisions of full and of rounded scores, compared."""
-    c = _cosines(spark, sf_dir, every=every).select("vec_id", "label", "score", F.round("score", 3).alias("other"))
+    c = _cosines(spark, sf_dir).select("vec_id", "label", "score", F.round("score", 3).alias("other"))
     best = c.groupBy("vec_id").agg(F.max_by("label", F.struct("score", -F.col("label"))).alias("a"), F.max_by("label", F.struct("other", -F.col("label"))).alias("b"), F.max(F.abs(F.col("score") - F.col("other"))).alias("d"))
     return best.agg(F.count("*").alias("cases"), F.count_if(F.col("a") != F.col("b")).alias("mismatches"), F.round(F.max("d"), 6).alias("max_delta"))
 
 
 @query(f"WITH {_COS}, {_RANK}, m AS (SELECT vec_id, max(score) FILTER (r = 1) - max(score) FILTER (r = 2) AS margin FROM k GROUP BY vec_id) SELECT vec_id, round(margin, 6) AS margin FROM m WHERE margin < 0.01")
-def knife_edges(spark, sf_dir, every=False):
+def knife_edges(spark, sf_dir):
     w = Window.partitionBy("vec_id").orderBy(F.desc("score"), "label")
-    rows = _cosines(spark, sf_dir, every=every).select("vec_id", F.row_number().over(w).alias("r"), (F.col("score") - F.lead("score").over(w)).alias("margin"))
+    rows = _cosines(spark, sf_dir).select("vec_id", F.row_number().over(w).alias("r"), (F.col("score") - F.lead("score").over(w)).alias("margin"))
     return rows.where("r = 1 AND margin < 0.01").select("vec_id", F.round("margin", 6).alias("margin"))
 
 
-# the same of every vector, with centroids of every vector
-for _f in (centroids, cosine_scores, softmax_scores, margin, decode_topk, backend_diff, knife_edges):
-    query(ORACLES[_f.__name__].replace(" WHERE vec_id % 4 <> 0", "").replace(" WHERE vec_id % 4 = 0", ""), f"{_f.__name__}_all")(partial(_f, every=True))
-
-
 # --- labels and metrics ---
 _LABELLED = "l AS (SELECT d.doc_id, quality, toxic, CASE WHEN contains(lower(text), 'idiot') OR contains(lower(text), 'scum') THEN 1 ELSE 0 END AS p_toxic, CASE WHEN contains(text, '!!') OR contains(text, '***') THEN 0 ELSE 1 END AS p_quality FROM documents d JOIN labels USING (doc_id))"
 _PAIRS = f"{_LABELLED}, r AS (SELECT doc_id AS id, 'quality' AS label, quality AS y, p_quality AS p FROM l UNION ALL SELECT doc_id, 'toxic', toxic, p_toxic FROM l)"
@@ -276,7 +268,7 @@ def label_select(spark, sf_dir):
     return evaluation.chosen(_scores(spark, sf_dir), "vec_id")
 
 
-@query(f"WITH {_SCORES} SELECT vec_id, coalesce(list(label ORDER BY pos) FILTER (score >= 0.5), [arg_max(label, (score, -pos))]) AS labels FROM sl GROUP BY vec_id")
+@query(f"WITH {_SCORES} SELECT vec_id, coalesce(list(label ORDER BY pos) FILTER (score >= 0.5 AND label <> 'NONE'), [arg_max(label, (score, -pos))]) AS labels FROM sl GROUP BY vec_id")
 def label_select_argmax(spark, sf_dir):
     return evaluation.chosen_or_best(_scores(spark, sf_dir), "vec_id")
 

@@ -68,8 +68,9 @@ g AS (SELECT doc_id, text, unnest(list_concat(list_filter(string_split(clean, '
 
 @query(_GRAMS + " SELECT doc_id, count(*) AS n, count(DISTINCT gram) AS n_distinct FROM g GROUP BY doc_id")
 def char_ngrams(spark, sf_dir):
-    grams = text.gram_rows(table(spark, sf_dir, "documents")).groupBy("doc_id", "gram").agg(F.count("*").alias("k"))
-    return grams.groupBy("doc_id").agg(F.sum("k").alias("n"), F.count("*").alias("n_distinct"))
+    """Numbers of words and n-grams, and of different ones, of each document that has any; no shuffle."""
+    grams = table(spark, sf_dir, "documents").select("doc_id", text.normalised(F.col("text")).alias("clean")).select("doc_id", text.grams(F.col("clean")).alias("g"))
+    return grams.where("size(g) > 0").select("doc_id", F.size("g").cast("long").alias("n"), F.size(F.array_distinct("g")).cast("long").alias("n_distinct"))
 
 
 _CUE_ROWS = " UNION ALL ".join([f"SELECT doc_id, {i} AS slot, {text.CUE_WEIGHT}::DOUBLE AS weight FROM documents WHERE contains(lower(text), '{c}')" for i, c in enumerate(text.CUES)] + [f"SELECT doc_id, {slot} AS slot, {w}::DOUBLE AS weight FROM documents WHERE regexp_matches(text, '{p}')" for p, slot, w in text.PATTERN_CUES])
@@ -95,13 +96,17 @@ def hash_features_blake(spark, sf_dir):
     return rows.select("doc_id", "slot", (F.round("value", 6) + 0.0).alias("value"))
 
 
-@query(f"SELECT doc_id, {fnv_sql('substr(text, 1, 64)')} AS h FROM documents")
+_TITLE = "regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1)"
+
+
+@query(f"SELECT page_id, {fnv_sql(_TITLE)} AS h FROM pages")
 def fnv1a_title(spark, sf_dir):
-    """Hash of each document's first line's worth of characters, as its title."""
-    return table(spark, sf_dir, "documents").select("doc_id", hashing.fnv1a(F.substring("text", 1, 64)).alias("h"))
+    """Hash of each page's title."""
+    title = F.regexp_extract("html", r"(?s)<title[^>]*>(.*?)</title>", 1)
+    return table(spark, sf_dir, "pages").select("page_id", hashing.fnv1a(title).alias("h"))
 
 
-@query()
+@query(f"SELECT doc_id, {fnv_sql('text')} AS h FROM documents")
 def fnv1a_document(spark, sf_dir):
     """Hash of each document's whole text."""
     return table(spark, sf_dir, "documents").select("doc_id", hashing.fnv1a(F.col("text")).alias("h"))
@@ -144,21 +149,15 @@ def word_trigram_encode(spark, sf_dir):
     return text.word_trigrams(table(spark, sf_dir, "documents")).select("doc_id", "slot", (F.round("value", 6) + 0.0).alias("value"))
 
 
-_MODES = "['upper', 'lower', 'double', 'punct', 'tab', 'nbsp', 'none']"
+_MODES = "['" + "', '".join(text.NOISE) + "']"
 
 
-@query(rf"""WITH m AS (SELECT doc_id, text, {_MODES}[(doc_id % 7)::INTEGER + 1] AS mode FROM documents)
-SELECT doc_id, mode, sha256(CASE mode WHEN 'upper' THEN upper(text) WHEN 'lower' THEN lower(text) WHEN 'double' THEN replace(text, ' ', '  ') WHEN 'punct' THEN regexp_replace(text, '([.,])', ' \1 ', 'g') WHEN 'tab' THEN replace(text, ' ', chr(9)) WHEN 'nbsp' THEN replace(text, ' ', chr(160)) ELSE text END) AS noisy_sha256 FROM m WHERE NOT contains(text, 'ß')""")
+@query(rf"""WITH m AS (SELECT doc_id, text, {_MODES}[(doc_id % 8)::INTEGER + 1] AS mode FROM documents)
+SELECT doc_id, mode, sha256(CASE mode WHEN 'upper' THEN upper(replace(text, 'ß', 'SS')) WHEN 'lower' THEN lower(text) WHEN 'double' THEN replace(text, ' ', '  ') WHEN 'punct' THEN regexp_replace(text, '([.,])', ' \1 ', 'g') WHEN 'tab' THEN replace(text, ' ', chr(9)) WHEN 'nbsp' THEN replace(text, ' ', chr(160))
+WHEN 'zwsp' THEN regexp_replace(text, '([0-9A-Za-z_])([0-9A-Za-z_])', '\1' || chr(8203) || '\2', 'g') ELSE text END) AS noisy_sha256 FROM m""")
 def format_noise(spark, sf_dir):
-    """Format noise by the id's remainder (texts with a sharp s are left out: engines differ on its upper case)."""
-    mode = F.element_at(F.array(*map(F.lit, ("upper", "lower", "double", "punct", "tab", "nbsp", "none"))), (F.col("doc_id") % 7).cast("int") + 1)
-    return table(spark, sf_dir, "documents").where(~F.col("text").contains("ß")).select("doc_id", mode.alias("mode"), F.sha2(text.noise(F.col("text"), mode).cast("binary"), 256).alias("noisy_sha256"))
-
-
-@query()
-def format_noise_all(spark, sf_dir):
-    """Format noise in all eight modes by the id's remainder, of every document. Its SQL would differ on the upper case of a sharp s."""
-    mode = F.element_at(F.array(*map(F.lit, ("upper", "lower", "double", "punct", "tab", "nbsp", "zwsp", "none"))), F.pmod("doc_id", F.lit(8)).cast("int") + 1)
+    """Format noise in all eight modes by the id's remainder, of every document. (The SQL spells the sharp s, whose upper case engines differ on.)"""
+    mode = F.element_at(F.array(*map(F.lit, text.NOISE)), F.pmod("doc_id", F.lit(8)).cast("int") + 1)
     return table(spark, sf_dir, "documents").select("doc_id", mode.alias("mode"), F.sha2(text.noise(F.col("text"), mode).cast("binary"), 256).alias("noisy_sha256"))
 
 

@@ -199,7 +199,7 @@ def test_whole_texts_in_noise_and_hashes(spark, tmp_path):
         assert hashed[i] == h
     assert hashed[0] != hashed[1] and hashed[99] is None
     plain = [str.upper, str.lower, lambda t: t.replace(" ", "  "), lambda t: re.sub("([.,])", r" \1 ", t), lambda t: t.replace(" ", "\t"), lambda t: t.replace(" ", "\u00a0"), lambda t: re.sub(r"(\w)(\w)", "\\1\u200b\\2", t, flags=re.ASCII), str]
-    noisy = {r.doc_id: r for r in catalog.queries()["format_noise_all"](spark, str(tmp_path)).collect()}
+    noisy = {r.doc_id: r for r in catalog.queries()["format_noise"](spark, str(tmp_path)).collect()}
     assert len(noisy) == len(texts) + 1 and len({r.mode for r in noisy.values()}) == 8
     for i, t in enumerate(texts):
         assert noisy[i].noisy_sha256 == hashlib.sha256(plain[i % 8](t).encode()).hexdigest(), noisy[i].mode
@@ -209,5 +209,53 @@ def test_every_vector_is_scored(spark, sf):
     from mossgraph import catalog
 
     want = {r.vec_id for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id").collect()}
-    for name in ("cosine_scores_all", "margin_all"):
+    for name in ("cosine_scores", "margin"):
         assert {r.vec_id for r in catalog.queries()[name](spark, sf).select("vec_id").collect()} == want
+
+
+def test_blake_features(spark):
+    """Signed hashing by BLAKE2b of two texts, gram by gram."""
+    import hashlib
+
+    texts = ["Call 555-123-4567 now,  now", "", None, "é b"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for r in text.hashed(rows, exact=True).collect():
+        got.setdefault(r.doc_id, {})[r.slot] = r.value
+    for i, t in enumerate(texts):
+        clean, want = " ".join((t or "").lower().split()), {}
+        for gram in [*clean.split(), *(clean[k : k + n] for n in (3, 4, 5) for k in range(len(clean) - n + 1))]:
+            h = int.from_bytes(hashlib.blake2b(f"42:{gram}".encode(), digest_size=8).digest(), "little")
+            want[h % 384] = want.get(h % 384, 0.0) + (1.0 if (h // 384) % 2 == 0 else -1.0)
+        if i == 0:
+            want[4] = want.get(4, 0.0) + 2.5  # "call"
+            want[3] = want.get(3, 0.0) + 2.0  # a telephone number
+        size = sum(v * v for v in want.values()) ** 0.5
+        assert got.get(i, {}) == pytest.approx({s: v / size for s, v in want.items()}) if want else i not in got
+
+
+def test_labels_over_the_threshold_leave_none_out(spark):
+    scores = [(1, 0, "NONE", 0.9), (1, 2, "EMAIL", 0.6), (2, 0, "NONE", 0.9), (2, 2, "EMAIL", 0.4), (3, 0, "NONE", 0.1), (3, 2, "EMAIL", 0.2)]
+    got = evaluation.chosen_or_best(spark.createDataFrame(scores, "id int, idx int, label string, score double"), "id").collect()
+    assert {r.id: r.labels for r in got} == {1: ["EMAIL"], 2: ["NONE"], 3: ["EMAIL"]}
+
+
+def test_scores_of_large_readouts(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = spark.createDataFrame([(i, rng.normal(size=5).tolist()) for i in range(20)], "id int, u array<double>")
+    readout = spark.createDataFrame([(k, rng.normal(size=5).tolist()) for k in "abc"], "label string, centroid array<double>")
+    one, other = ({(r.id, r.label): (r.score, r.p) for r in f(rows, readout, "id").collect()} for f in (facts.scored, facts.scored_rows))
+    assert len(one) == 60 and all(one[k] == pytest.approx(other[k]) for k in one)
+    monkeypatch.setattr(facts, "MOST_NUMBERS", 3)
+    with pytest.raises(ValueError):
+        facts.scored(rows, readout, "id")
+    case = spark.createDataFrame([(1, *[facts.DOMAIN[f][0] for f in facts.FIELDS]), (2, None, "odd", *[facts.DOMAIN[f][0] for f in facts.FIELDS[2:]])], f"case_id int, {', '.join(f + ' string' for f in facts.FIELDS)}")
+    for r in facts.encoded(case).join(case, "case_id").collect():
+        want = np.zeros(96)
+        for f in facts.FIELDS:
+            h = 2166136261
+            for c in f"{f}:{r[f] or 'unknown'}".lower():
+                h = ((h ^ ord(c)) * 16777619) & 0xFFFFFFFF
+            want[h % 96] += 1.0 if h >> 9 & 1 else -1.0
+            want[(h % 96 + 31) % 96] += 0.38 if h >> 13 & 1 else -0.38
+        assert np.allclose(r.u, want / np.linalg.norm(want))
