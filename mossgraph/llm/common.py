@@ -94,7 +94,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 #: Bytes of text that a Python worker takes up at once (a longer text comes alone).
-PORTION = 4 << 20
+PORTION = 2 << 20
 
 
 def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -39,8 +39,9 @@ from .common import frugal, spans, spare, stored
 
 #: Characters of a chunk; a document of less than two chunks isn't split.
 CHUNK = 1 << 14
-BATCH = 1 << 21
-KEPT = 1 << 18
+BATCH = 1 << 20
+#: Words and pairs of pieces whose results a task keeps.
+KEPT, PAIRS = 1 << 17, 1 << 15
 BLOCK = 16
 _NONE = -1e30
 _NO_RANK = 1 << 30
@@ -233,7 +234,7 @@ class Encoder:
         key = before, piece
         found = self.pairs.get(key)
         if found is None:
-            if len(self.pairs) > KEPT:
+            if len(self.pairs) > PAIRS:
                 self.pairs.clear()
             found = self.pairs[key] = self.vocab.merged(before + piece) == ([before, piece] if before else [piece])
         return found
@@ -342,11 +343,28 @@ _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
+    """One for each Python worker, with nothing kept from other tasks."""
     if path not in _encoders:
         _encoders[path] = Encoder(vocabulary(path))
+    _encoders[path].kept.clear()
+    _encoders[path].pairs.clear()
     return _encoders[path]
 
 
+def _forgetting(run):
+    """Frees what a task's encoder keeps when the task ends."""
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            for code in _encoders.values():
+                code.kept.clear()
+                code.pairs.clear()
+
+    return frugal(bounded)
+
+
 def _types(df: DataFrame, columns: list[str]) -> str:
     return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.select(*columns).schema)
 
@@ -391,7 +409,7 @@ class _Parts:
             return pa.table([rows.column(row), rows.column("__part"), pa.array(at[:-1], pa.int32()), pa.array(at[1:], pa.int32())], [row, "__part", "__enter", "__leave"])
 
         made = stored(self.large.mapInArrow(frugal(split), f"`{row}` long, {self.types}__part int, __parts int, __behind string, __own string, __ahead string"))
-        each = made.select(row, "__part", "__behind", "__own", "__ahead").repartition(F.col(row), F.col("__part")).mapInArrow(frugal(matrices), f"`{row}` long, __part int, __width int, `{m}` binary")
+        each = made.select(row, "__part", "__behind", "__own", "__ahead").repartition(F.col(row), F.col("__part")).mapInArrow(_forgetting(matrices), f"`{row}` long, __part int, __width int, `{m}` binary")
         found = each.groupBy(row).applyInArrow(combined, f"`{row}` long, __part int, __enter int, __leave int")
         return made.join(found, [row, "__part"])
 
@@ -407,7 +425,7 @@ class _Parts:
                     texts = part.column(text).to_pylist()
                     yield _batch(part, columns, [make(code, ids, " " + t if t else "", 0, 1) for ids, t in zip(code.encode(texts), texts, strict=True)], names)
 
-        return self.small.mapInArrow(frugal(run), self.types + schema)
+        return self.small.mapInArrow(_forgetting(run), self.types + schema)
 
     def traced(self, schema: str, names: list[str], make) -> DataFrame:
         """Rows of chunks: row, ``columns`` and what ``make`` gives, as ``names``."""
@@ -421,7 +439,7 @@ class _Parts:
                     got.append(make(code, *code.trace(behind, own, ahead, enter, leave), k, n))
                 yield _batch(batch, columns, got, names)
 
-        return self.chunks().mapInArrow(frugal(run), f"`{self.row}` long, {self.types}{schema}")
+        return self.chunks().mapInArrow(_forgetting(run), f"`{self.row}` long, {self.types}{schema}")
 
 
 _KINDS = {"part": pa.int32(), "parts": pa.int32(), "ids": pa.list_(pa.int32()), "n_pieces": pa.int64(), "raw": pa.binary(), "ids_sha256": pa.string(), "round_trip": pa.bool_()}
