@@ -20,6 +20,14 @@ def fnv1a(text: Column) -> Column:
     return F.aggregate(codes, F.lit(FNV_BASIS).cast("long"), lambda h, c: (h.bitwiseXOR(F.ascii(c).cast("long")) * FNV_PRIME).bitwiseAND(F.lit(MASK).cast("long")))
 
 
+def fnv1a_of(text: str) -> int:
+    """The same of a text at hand, for tokens that are hashed once."""
+    h = FNV_BASIS
+    for c in text:
+        h = (h ^ ord(c)) * FNV_PRIME & MASK
+    return h
+
+
 def lcg(x: Column) -> Column:
     """The generator's next state, 0 to 2 ** 32 - 1."""
     return (x * LCG_MULTIPLIER + LCG_INCREMENT).bitwiseAND(F.lit(MASK).cast("long"))

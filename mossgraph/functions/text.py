@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import fnv1a, gram_hash
-from .vectors import let
+from .hashing import fnv1a_of, gram_hash
 
 #: Patterns of the redaction, and what stands for them.
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
@@ -52,13 +51,6 @@ def characters(text: Column) -> Column:
     return F.filter(F.split(text, ""), lambda c: c != "")
 
 
-def grams(clean: Column, sizes: tuple[int, ...] = SIZES) -> Column:
-    """Words, then all character n-grams, of normalised text."""
-    starts = lambda c, n: F.when(F.size(c) >= n, F.sequence(F.lit(1), F.size(c) - n + 1)).otherwise(F.array().cast("array<int>"))
-    of = lambda c, n: F.transform(starts(c, n), lambda i: F.array_join(F.slice(c, i, n), ""))
-    return let(lambda c: F.concat(F.filter(F.split(clean, " "), lambda w: w != ""), *[of(c, n) for n in sizes]), c=characters(clean))
-
-
 def cue_weights(text: Column) -> Column:
     """slot and weight of the keywords and patterns that a text holds, one entry a slot."""
     low = F.lower(text)
@@ -76,40 +68,15 @@ def cues(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", F.explode(cue_weights(F.col("text"))).alias("c")).select("doc_id", "c.slot", "c.weight")
 
 
-def normalise(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """Rows with ``value`` divided by its key's Euclidean norm."""
-    norms = rows.groupBy(key).agg(F.sqrt(F.sum(F.col(value) * F.col(value))).alias("norm"))
-    return rows.join(norms, key).withColumn(value, F.when(F.col("norm") > 0, F.col(value) / F.col("norm")).otherwise(0.0)).drop("norm")
-
-
-def hashed(documents: DataFrame, dim: int = DIM, seed: int = SEED, exact: bool = False, key: str = "doc_id") -> DataFrame:
-    """key, slot, value: signed hashing of words and n-grams with cues, of unit length. ``exact``: by BLAKE2b instead of MD5.
-
-    Grams are cut and counted text by text in Arrow batches, and each different one is hashed once in a batch; neither
-    grams nor slots are shuffled, and a row's slots leave it as one small array.
-    """
-    rows = documents.select(key, normalised(F.coalesce("text", F.lit(""))).alias("clean"), cue_weights(F.coalesce("text", F.lit(""))).alias("cues"))
-    hash_of = gram_hash(seed, exact)
+def _slot_rows(rows: DataFrame, key: str, slots_of: Callable[[], Callable[[dict], dict[int, float]]]) -> DataFrame:
+    """key, slot, value: what ``slots_of`` gives for every row, at unit length. It is made once for a task, and runs on Arrow batches, so that a text's tokens are counted where it lies; its slots leave as one small array, without a shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[int, float]] = {}
+        slots = slots_of()
         for batch in batches:
             out = []
-            for clean, found in zip(batch.column("clean").to_pylist(), batch.column("cues").to_pylist(), strict=True):
-                count = Counter(w for w in clean.split(" ") if w)
-                for n in SIZES:
-                    count.update(clean[i : i + n] for i in range(len(clean) - n + 1))
-                values: dict[int, float] = {}
-                for gram, n in count.items():
-                    at = known.get(gram)
-                    if at is None:
-                        if len(known) > MOST_KNOWN:
-                            known.clear()
-                        h = hash_of(gram)
-                        at = known[gram] = h % dim, 1.0 if (h // dim) % 2 == 0 else -1.0
-                    values[at[0]] = values.get(at[0], 0.0) + at[1] * n
-                for c in found:
-                    values[c["slot"]] = values.get(c["slot"], 0.0) + c["weight"]
+            for row in batch.select([c for c in batch.schema.names if c != key]).to_pylist():
+                values = slots(row)
                 norm = math.sqrt(math.fsum(v * v for v in values.values()))
                 out.append([{"slot": s, "value": v / norm if norm else 0.0} for s, v in values.items()])
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(out, pa.list_(pa.struct([("slot", pa.int32()), ("value", pa.float64())])))], [key, "v"])
@@ -118,6 +85,67 @@ def hashed(documents: DataFrame, dim: int = DIM, seed: int = SEED, exact: bool =
     return rows.mapInArrow(run, f"{key} {kind}, v array<struct<slot:int,value:double>>").select(key, F.explode("v").alias("v")).select(key, "v.slot", "v.value")
 
 
+def _remembered(f: Callable[[str], object]) -> Callable[[str], object]:
+    """``f`` with its results kept, ``MOST_KNOWN`` at a time."""
+    known: dict[str, object] = {}
+
+    def look(x: str) -> object:
+        found = known.get(x)
+        if found is None:
+            if len(known) > MOST_KNOWN:
+                known.clear()
+            found = known[x] = f(x)
+        return found
+
+    return look
+
+
+def _gram_counts(clean: str) -> Counter:
+    """Words and character n-grams of normalised text."""
+    count = Counter(w for w in clean.split(" ") if w)
+    for n in SIZES:
+        count.update(clean[i : i + n] for i in range(len(clean) - n + 1))
+    return count
+
+
+def gram_numbers(documents: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, n, n_distinct: how many words and n-grams every text has, and how many different ones."""
+    rows = documents.select(key, normalised(F.coalesce("text", F.lit(""))).alias("clean"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = [_gram_counts(t) for t in batch.column("clean").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array([sum(c.values()) for c in counts], pa.int64()), pa.array([len(c) for c in counts], pa.int64())], [key, "n", "n_distinct"])
+
+    return rows.mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, n long, n_distinct long")
+
+
+def hashed(documents: DataFrame, dim: int = DIM, seed: int = SEED, exact: bool = False, key: str = "doc_id") -> DataFrame:
+    """key, slot, value: signed hashing of words and n-grams with cues, of unit length. ``exact``: by BLAKE2b instead of MD5."""
+    text = F.coalesce("text", F.lit(""))
+    hash_of = gram_hash(seed, exact)
+
+    def slots_of() -> Callable[[dict], dict[int, float]]:
+        def place(gram: str) -> tuple[int, float]:
+            h = hash_of(gram)
+            return h % dim, 1.0 if (h // dim) % 2 == 0 else -1.0
+
+        at = _remembered(place)
+
+        def slots(row: dict) -> dict[int, float]:
+            values: dict[int, float] = {}
+            for gram, n in _gram_counts(row["clean"]).items():
+                slot, sign = at(gram)
+                values[slot] = values.get(slot, 0.0) + sign * n
+            for c in row["cues"]:
+                values[c["slot"]] = values.get(c["slot"], 0.0) + c["weight"]
+            return values
+
+        return slots
+
+    return _slot_rows(documents.select(key, normalised(text).alias("clean"), cue_weights(text).alias("cues")), key, slots_of)
+
+
 def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), 0)
 
@@ -129,17 +157,28 @@ def thinned(text: Column) -> Column:
 
 def word_trigrams(documents: DataFrame, key: str = "doc_id", dim: int = WORD_DIM) -> DataFrame:
     """key, slot, value: hashed words, and for words of more than 3 characters their trigrams at a lower weight; unit length."""
-    w = documents.select(key, F.explode(words(F.col("text"))).alias("w")).groupBy(key, "w").agg(F.count("*").alias("n"))
-    c = characters(F.col("w"))
-    tri = F.when(F.length("w") > 3, F.transform(F.sequence(F.lit(1), F.size(c) - 2), lambda i: F.struct(F.concat(F.lit("#"), F.element_at(c, i), F.element_at(c, i + 1), F.element_at(c, i + 2)).alias("t"), F.lit(TRIGRAM_WEIGHT).alias("weight")))).otherwise(F.array().cast("array<struct<t:string,weight:double>>"))
-    tokens = F.concat(F.array(F.struct(F.col("w").alias("t"), F.lit(1.0).alias("weight"))), tri)
-    signed = lambda h, weight: F.struct((h % dim).cast("int").alias("slot"), F.when(F.shiftright(h, 8).bitwiseAND(F.lit(1).cast("long")) == 1, weight).otherwise(-weight).alias("v"))
-    # every different word is hashed once, whatever its number of documents
-    known = w.select("w").distinct().select("w", F.transform(tokens, lambda x: let(signed, h=fnv1a(x["t"]), weight=x["weight"])).alias("s"))
-    slots = w.join(known, "w").select(key, "n", F.explode("s").alias("s")).groupBy(key, "s.slot").agg(F.sum(F.col("s.v") * F.col("n")).alias("value"))
-    packed = slots.groupBy(key).agg(F.collect_list(F.struct("slot", "value")).alias("v"))  # dim entries at most
-    size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x["value"] * x["value"]))
-    return packed.select(key, size.alias("size"), F.explode("v").alias("x")).select(key, "x.slot", F.when(F.col("size") > 0, F.col("x.value") / F.col("size")).otherwise(0.0).alias("value"))
+
+    def slots_of() -> Callable[[dict], dict[int, float]]:
+        def parts(word: str) -> dict[int, float]:
+            out: dict[int, float] = {}
+            tokens = [(word, 1.0)] + [("#" + word[i : i + 3], TRIGRAM_WEIGHT) for i in range(len(word) - 2) if len(word) > 3]
+            for token, weight in tokens:
+                h = fnv1a_of(token)
+                out[h % dim] = out.get(h % dim, 0.0) + (weight if h >> 8 & 1 else -weight)
+            return out
+
+        at = _remembered(parts)
+
+        def slots(row: dict) -> dict[int, float]:
+            values: dict[int, float] = {}
+            for word, n in Counter(row["words"]).items():
+                for slot, v in at(word).items():
+                    values[slot] = values.get(slot, 0.0) + v * n
+            return values
+
+        return slots
+
+    return _slot_rows(documents.select(key, words(F.coalesce("text", F.lit(""))).alias("words")), key, slots_of)
 
 
 NOISE = ("upper", "lower", "double", "punct", "tab", "nbsp", "zwsp", "none")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from ..functions.hashing import FNV_BASIS, FNV_PRIME, MASK, fnv1a
+from ..functions.hashing import fnv1a, fnv1a_of
 
 #: Facts and what each may be.
 DOMAIN = {
@@ -92,9 +92,7 @@ def _slots(token: Column) -> Column:
 
 
 def _known(field: str, value: str) -> list[float]:
-    h = FNV_BASIS
-    for c in f"{field}:{value}".lower():
-        h = ((h ^ ord(c)) * FNV_PRIME) & MASK
+    h = fnv1a_of(f"{field}:{value}".lower())
     out = [0.0] * DIM
     for slot, bit, size in ((h % DIM, BITS[0], 1.0), ((h % DIM + SHIFT) % DIM, BITS[1], SECOND)):
         out[slot] += size if h >> bit & 1 else -size

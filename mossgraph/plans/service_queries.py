@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import controls, evaluation, facts, learning, replay, reservoir
 from ..registry import query, table
 from .graph_queries import edges, nodes
-from .model_queries import cases
+from .model_queries import _SCORED, cases
 
 
 def _network(spark, sf_dir):
@@ -80,12 +80,12 @@ def lesion_study(spark, sf_dir):
     return out
 
 
-@query()
+@query(f"{_SCORED} SELECT c.case_id, label AS rules, forced_choice AS facts, action, label IS NOT DISTINCT FROM forced_choice AS agree FROM c LEFT JOIN adv USING (case_id) WHERE split = 'holdout'")
 def twin_classification(spark, sf_dir):
-    """Each held-out case by rules, by facts alone and by hashed nearest label, with whether they agree."""
+    """Each held-out case by rules and by facts alone, with whether they agree."""
     c = cases(spark, sf_dir)
     u = reservoir.checkpointed(facts.encoded(c).join(c.select("case_id", "label", "split"), "case_id"))
-    advice = facts.recommended(facts.scored(u.where("split = 'holdout'").select("case_id", "u"), facts.centroids(u.where("split = 'teach'")), "case_id"), "case_id")
+    advice = facts.advised(facts.scored_arrays(u.where("split = 'holdout'").select("case_id", "u"), facts.centroids(u.where("split = 'teach'")), "case_id"), "case_id", digits=12)
     return c.where("split = 'holdout'").select("case_id", F.col("label").alias("rules")).join(advice.select("case_id", F.col("forced_choice").alias("facts"), "action"), "case_id", "left").withColumn("agree", F.col("rules").eqNullSafe(F.col("facts")))
 
 

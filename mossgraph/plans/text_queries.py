@@ -68,9 +68,8 @@ g AS (SELECT doc_id, text, unnest(list_concat(list_filter(string_split(clean, '
 
 @query(_GRAMS + " SELECT doc_id, count(*) AS n, count(DISTINCT gram) AS n_distinct FROM g GROUP BY doc_id")
 def char_ngrams(spark, sf_dir):
-    """Numbers of words and n-grams, and of different ones, of each document that has any; no shuffle."""
-    grams = table(spark, sf_dir, "documents").select("doc_id", text.normalised(F.col("text")).alias("clean")).select("doc_id", text.grams(F.col("clean")).alias("g"))
-    return grams.where("size(g) > 0").select("doc_id", F.size("g").cast("long").alias("n"), F.size(F.array_distinct("g")).cast("long").alias("n_distinct"))
+    """Numbers of words and n-grams, and of different ones, of each document that has any."""
+    return text.gram_numbers(table(spark, sf_dir, "documents")).where("n > 0")
 
 
 _CUE_ROWS = " UNION ALL ".join([f"SELECT doc_id, {i} AS slot, {text.CUE_WEIGHT}::DOUBLE AS weight FROM documents WHERE contains(lower(text), '{c}')" for i, c in enumerate(text.CUES)] + [f"SELECT doc_id, {slot} AS slot, {w}::DOUBLE AS weight FROM documents WHERE regexp_matches(text, '{p}')" for p, slot, w in text.PATTERN_CUES])
