@@ -85,6 +85,24 @@ def _slot_rows(rows: DataFrame, key: str, slots_of: Callable[[], Callable[[dict]
     return rows.mapInArrow(run, f"{key} {kind}, v array<struct<slot:int,value:double>>").select(key, F.explode("v").alias("v")).select(key, "v.slot", "v.value")
 
 
+def _slot_vectors(rows: DataFrame, key: str, slots_of: Callable[[], Callable[[dict], dict[int, float]]], dim: int) -> DataFrame:
+    """key, u: the slots of every row as a vector, at unit length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots = slots_of()
+        for batch in batches:
+            out = []
+            for row in batch.select([c for c in batch.schema.names if c != key]).to_pylist():
+                u, values = [0.0] * dim, slots(row)
+                norm = math.sqrt(math.fsum(v * v for v in values.values()))
+                for s, v in values.items():
+                    u[s] = v / norm if norm else 0.0
+                out.append(u)
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(out, pa.list_(pa.float64()))], [key, "u"])
+
+    return rows.mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, u array<double>")
+
+
 def _remembered(f: Callable[[str], object]) -> Callable[[str], object]:
     """``f`` with its results kept, ``MOST_KNOWN`` at a time."""
     known: dict[str, object] = {}
@@ -122,6 +140,15 @@ def gram_numbers(documents: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def hashed(documents: DataFrame, dim: int = DIM, seed: int = SEED, exact: bool = False, key: str = "doc_id") -> DataFrame:
     """key, slot, value: signed hashing of words and n-grams with cues, of unit length. ``exact``: by BLAKE2b instead of MD5."""
+    return _slot_rows(*_hashing(documents, dim, seed, exact, key))
+
+
+def hash_vectors(documents: DataFrame, dim: int = DIM, seed: int = SEED, exact: bool = True, key: str = "doc_id") -> DataFrame:
+    """key, u: the same as dense vectors."""
+    return _slot_vectors(*_hashing(documents, dim, seed, exact, key), dim)
+
+
+def _hashing(documents: DataFrame, dim: int, seed: int, exact: bool, key: str) -> tuple:
     text = F.coalesce("text", F.lit(""))
     hash_of = gram_hash(seed, exact)
 
@@ -143,7 +170,7 @@ def hashed(documents: DataFrame, dim: int = DIM, seed: int = SEED, exact: bool =
 
         return slots
 
-    return _slot_rows(documents.select(key, normalised(text).alias("clean"), cue_weights(text).alias("cues")), key, slots_of)
+    return documents.select(key, normalised(text).alias("clean"), cue_weights(text).alias("cues")), key, slots_of
 
 
 def words(text: Column) -> Column:

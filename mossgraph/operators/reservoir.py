@@ -13,10 +13,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import activation
+from ..functions.vectors import activation, dot
 
-#: Graphs with more edges than this are never broadcast (16 bytes an edge).
-BROADCAST_EDGES = 20_000_000
+#: Graphs above this size are never broadcast: 512 MB, at 12 bytes an edge and 24 a node.
+BROADCAST_BYTES = 512 << 20
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -102,7 +102,7 @@ class Compressed:
 
     def __init__(self, src: np.ndarray, dst: np.ndarray, w: np.ndarray, n: int) -> None:
         order = np.lexsort((src, dst))
-        self.src, self.w, self.n = src[order], w[order][:, None], n
+        self.src, self.w, self.n = src[order].astype(np.int32), w[order][:, None], n
         self.rows, self.first = np.unique(dst[order], return_index=True)
 
     def incoming(self, x: np.ndarray) -> np.ndarray:
@@ -113,18 +113,41 @@ class Compressed:
 
 
 def compressed(edges: DataFrame, nodes: DataFrame) -> tuple[Compressed, list] | None:
-    """The graph for broadcasting and its nodes in order; None if it has too many edges."""
-    if edges.count() > BROADCAST_EDGES:
+    """The graph for broadcasting and its nodes in order; None if it has more than ``BROADCAST_BYTES``."""
+    if edges.count() * 12 + nodes.count() * 24 > BROADCAST_BYTES:
         return None
-    names = sorted(r[0] for r in nodes.select("node").distinct().collect())
-    index = {k: i for i, k in enumerate(names)}
-    got = edges.select("src", "dst", "w").toPandas()
-    ends = [np.array([index[k] for k in got[c]], np.int64) for c in ("src", "dst")]
-    return Compressed(*ends, got["w"].to_numpy(float), len(names)), names
+    names = nodes.select("node").distinct().orderBy("node").toArrow().column("node").to_numpy(zero_copy_only=False)
+    got = edges.select("src", "dst", "w").toArrow()
+    ends = [np.searchsorted(names, got.column(c).to_numpy(zero_copy_only=False)) for c in ("src", "dst")]
+    return Compressed(*ends, got.column("w").to_numpy().astype(float), len(names)), names.tolist()
+
+
+def states(examples: DataFrame, edges: DataFrame, nodes: DataFrame, inputs: int, outputs: int, dim: int, input_scale: float, steps: int, leak: float, scale: float, key: str, seed: int = 42) -> DataFrame:
+    """key, energy, last: for every example (key, u) the states of the output nodes after ``steps``. Roles are drawn from the seed.
+
+    A graph of a checked size goes to every task; a larger one is run by joins over (example, node), to the same numbers.
+    """
+    made = compressed(edges, nodes)
+    if made is not None:
+        g, names = made
+        ins, outs = picked_roles(names, seed, inputs, outputs)
+        return batch_states(examples, g, input_weights(len(names), ins, dim, input_scale, seed), steps, leak, scale, outs, key=key).select(key, "energy", "last")
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("node").cast("string")).cast("binary"))
+    first = [r[0] for r in nodes.select("node").distinct().orderBy(order).limit(inputs + outputs).collect()]  # roles are bounded by their number
+    ins, rest = first[:inputs], first[inputs:] or first
+    win = input_weights(inputs, np.arange(len(ins)), dim, input_scale, seed)[: len(ins)]
+    table = edges.sparkSession.createDataFrame([(n, row.tolist()) for n, row in zip(ins, win, strict=True)], "node long, weights array<double>")
+    drive = examples.select(key, F.col("u").alias("v")).join(F.broadcast(table)).select(key, "node", dot(F.col("v"), F.col("weights")).alias("u"))  # inputs are few
+    start = examples.select(key).join(nodes.select("node").distinct()).select(key, "node", F.lit(0.0).alias("x"))  # the states themselves: a row for each example and node
+    x = run(start, edges, drive, steps, cut_every=1, leak=leak, scale=scale, keys=(key,))
+    x = checkpointed(x)
+    places = edges.sparkSession.createDataFrame([(k, rest[k % len(rest)]) for k in range(outputs)], "pos int, node long")
+    last = x.join(F.broadcast(places), "node").groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("last"))  # one entry an output
+    return x.groupBy(key).agg(F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("energy")).join(last, key)
 
 
 def batch_states(examples: DataFrame, graph: Compressed, win: np.ndarray, steps: int, leak: float, scale: float, picks: np.ndarray, washout: int = 0, key: str = "id", batch: int = 128) -> DataFrame:
-    """key, energy, mean, last: for every example (key, u: its drive vector) the states of nodes ``picks``, the mean over steps after the washout and the last. ``win``: node by drive dimension."""
+    """key, energy, mean, last: for every example (key, u: its drive vector, or one for each step) the states of nodes ``picks``, the mean over steps after the washout and the last. ``win``: node by drive dimension."""
     shared = examples.sparkSession.sparkContext.broadcast((graph, win))
     kind = examples.schema[key].dataType.simpleString()
 
@@ -134,10 +157,11 @@ def batch_states(examples: DataFrame, graph: Compressed, win: np.ndarray, steps:
             for at in range(0, rows.num_rows, batch):
                 part = rows.slice(at, batch)
                 u = np.array(part.column("u").to_pylist(), float)
-                z, x = w @ u.T, np.zeros((g.n, len(u)))
+                x = np.zeros((g.n, len(u)))
+                z = [w @ u.T] * steps if u.ndim == 2 else [w @ u[:, t].T for t in range(steps)]
                 mean = np.zeros((len(picks), len(u)))
                 for t in range(steps):
-                    x = (1 - leak) * x + leak * np.tanh(scale * g.incoming(x) + z)
+                    x = (1 - leak) * x + leak * np.tanh(scale * g.incoming(x) + z[t])
                     if t >= washout:
                         mean += x[picks]
                 energy = np.sqrt((x * x).mean(0))

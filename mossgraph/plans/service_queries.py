@@ -42,18 +42,17 @@ def replay_session(spark, sf_dir):
     return replay.replayed(inputs, net, w, atlas, 64).select("item_id", "step", F.round("rms", 6).alias("rms"), "status", "match")
 
 
+def _heard(u, e, n):
+    """Energy and output states, as ``u``, of every case after the fact-driven steps."""
+    inputs = max(64, n.count() // 180)
+    return reservoir.states(u, reservoir.checkpointed(e), n, inputs, facts.FEATURES, facts.DIM, facts.INPUT_SCALE, facts.STEPS, facts.LEAK, 0.01, "case_id").select("case_id", "energy", F.col("last").alias("u"))
+
+
 @query()
 def village_hear(spark, sf_dir):
     """Four steps of the fact-driven reservoir for every case, read out by the centroids of the teaching cases."""
     c = cases(spark, sf_dir)
-    e, n = reservoir.checkpointed(edges(spark, sf_dir)), nodes(spark, sf_dir)
-    made = reservoir.compressed(e, n)
-    if made is None:
-        raise ValueError("the graph is too large for the batched form")
-    g, names = made
-    inputs, outputs = reservoir.picked_roles(names, 42, max(64, len(names) // 180), facts.FEATURES)
-    win = reservoir.input_weights(len(names), inputs, facts.DIM, facts.INPUT_SCALE)
-    got = reservoir.checkpointed(reservoir.batch_states(facts.encoded(c), g, win, facts.STEPS, facts.LEAK, 0.01, outputs, key="case_id").select("case_id", "energy", F.col("last").alias("u")))
+    got = reservoir.checkpointed(_heard(facts.encoded(c), edges(spark, sf_dir), nodes(spark, sf_dir)))
     teach = got.join(c.where("split = 'teach'").select("case_id", "label"), "case_id")
     scores = facts.scored(got.join(c.where("split = 'holdout'").select("case_id"), "case_id", "left_semi"), facts.centroids(teach), "case_id")
     return facts.recommended(scores, "case_id", got.select("case_id", "energy")).select("case_id", "action", "forced_choice", F.round("confidence", 6).alias("confidence"), "reason")
@@ -68,10 +67,7 @@ def lesion_study(spark, sf_dir):
     out, readout = None, None
     for kind, fraction in (("intact", 0.0), ("remove_fraction", 0.05), ("remove_fraction", 0.25), ("remove_high_degree", 0.05), ("remove_low_degree", 0.05)):
         kept = e if kind == "intact" else controls.cut(e, controls.lesion_nodes(kind, e, n, fraction))
-        g, names = reservoir.compressed(kept, n)
-        inputs, outputs = reservoir.picked_roles(names, 42, max(64, len(names) // 180), facts.FEATURES)
-        win = reservoir.input_weights(len(names), inputs, facts.DIM, facts.INPUT_SCALE)
-        states = reservoir.batch_states(u, g, win, facts.STEPS, facts.LEAK, 0.01, outputs, key="case_id").select("case_id", "energy", F.col("last").alias("u"))
+        states = _heard(u, kept, n)
         if readout is None:
             readout = reservoir.checkpointed(facts.centroids(states.join(c.where("split = 'teach'").select("case_id", "label"), "case_id")))
         held = states.join(c.where("split = 'holdout'").select("case_id"), "case_id", "left_semi")

@@ -259,3 +259,13 @@ def test_scores_of_large_readouts(spark, monkeypatch):
             want[h % 96] += 1.0 if h >> 9 & 1 else -1.0
             want[(h % 96 + 31) % 96] += 0.38 if h >> 13 & 1 else -0.38
         assert np.allclose(r.u, want / np.linalg.norm(want))
+
+
+def test_states_of_large_graphs(spark, ring, monkeypatch):
+    nodes, edges = ring
+    rows = spark.createDataFrame([(k, np.random.default_rng(k).normal(size=5).tolist()) for k in range(4)], "id long, u array<double>")
+    ask = lambda: {r.id: (r.energy, r.last) for r in reservoir.states(rows, edges, nodes, 10, 20, 5, 1.15, 4, 0.28, 0.7, "id").collect()}
+    small = ask()
+    monkeypatch.setattr(reservoir, "BROADCAST_BYTES", 0)
+    large = ask()
+    assert len(small) == 4 and all(np.allclose(small[k][1], large[k][1], atol=1e-9) and abs(small[k][0] - large[k][0]) < 1e-9 for k in small)
