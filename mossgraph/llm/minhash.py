@@ -290,13 +290,13 @@ def deduplicated(documents: DataFrame) -> DataFrame:
     """
     id_, mark = spare(documents.columns, "__id"), spare(documents.columns, "__mark")
     found = stored(verdicts(documents))
-    gone = found.where("id IS NOT NULL AND NOT kept").select(F.col("id").alias(id_)).distinct()
+    gone = stored(found.where("id IS NOT NULL AND NOT kept").select(F.col("id").alias(id_)).distinct())  # by its own size Spark sees whether the texts must move
     named = documents.where(F.col("doc_id").isNotNull()).join(gone, F.col("doc_id").cast("long") == F.col(id_), "left_anti")
     if found.where("id IS NULL").isEmpty():
         return named
     text = F.coalesce("text", F.lit(""))
     nameless = documents.where(F.col("doc_id").isNull()).withColumn(mark, F.sha2(text, 256))
     has_words = text.rlike(r"[^\x20\x09-\x0D]")
-    stay = found.where("id IS NULL AND n_shingles > 0 AND kept").select(F.col("mark").alias(mark)).distinct()
+    stay = stored(found.where("id IS NULL AND n_shingles > 0 AND kept").select(F.col("mark").alias(mark)).distinct())
     one = nameless.where(has_words).dropDuplicates([mark]).join(stay, mark, "left_semi")
     return named.unionByName(nameless.where(~has_words).drop(mark)).unionByName(one.drop(mark))
