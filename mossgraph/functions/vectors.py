@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -75,6 +77,20 @@ def projected(vector: Column, matrix: np.ndarray) -> Column:
     return unit(F.transform(columns, lambda c: dot(vector, c)))
 
 
+def projected_rows(rows: DataFrame, key: str, vector: str, matrix: np.ndarray, name: str) -> DataFrame:
+    """``rows``' key and vector with ``name``, the projection by a matrix too wide for literals, at unit length."""
+    shared = rows.sparkSession.sparkContext.broadcast(matrix)  # its size doesn't depend on the rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array(batch.column(vector).to_pylist(), float).reshape(-1, len(shared.value)) @ shared.value
+            size = np.linalg.norm(x, axis=1, keepdims=True)
+            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column(vector), pa.array((x / np.where(size > 0, size, 1.0)).tolist(), pa.list_(pa.float64()))], [key, vector, name])
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(key, vector).mapInArrow(run, f"{key} {kind}, {vector} array<double>, {name} array<double>")
+
+
 def direct_drive(vector: Column, steps: int = 12) -> Column:
     return F.array_repeat(vector, steps)
 

@@ -13,9 +13,10 @@ CONTROLS = ("biological", "random_weights", "target_shuffle", "random_erdos", "r
 
 
 def numbered(rows: DataFrame, order: list, name: str = "rn") -> DataFrame:
-    """Rows numbered from 1 in an order: sorted by ranges, counted by partition, then offset, so that no task holds all rows."""
-    sorted_ = rows.orderBy(*order).withColumn("__part", F.spark_partition_id()).withColumn("__place", F.monotonically_increasing_id())
-    held = sorted_.persist()
+    """Rows numbered from 1 in an order: sorted by ranges, counted by partition, then offset, so that no task holds all rows. The sorted rows are checkpointed first: a lost executor can't make them be sorted anew."""
+    from .reservoir import checkpointed
+
+    held = checkpointed(rows.orderBy(*order).withColumn("__part", F.spark_partition_id()).withColumn("__place", F.monotonically_increasing_id()))
     counts = held.groupBy("__part").agg(F.count("*").alias("__n"))
     starts = counts.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"))  # a row for each partition
     inside = F.row_number().over(Window.partitionBy("__part").orderBy("__place"))

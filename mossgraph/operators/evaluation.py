@@ -70,6 +70,12 @@ def metrics(rows: DataFrame) -> DataFrame:
     return exact.join(classes)
 
 
+def binary(rows: DataFrame) -> DataFrame:
+    """One row: accuracy and F1 of sensitive or not, of rows (y, p: booleans)."""
+    tp, wrong = F.count_if(F.col("y") & F.col("p")), F.count_if(F.col("y") != F.col("p"))
+    return rows.agg(F.avg((F.col("y") == F.col("p")).cast("double")).alias("binary_accuracy"), _ratio(2.0 * tp, 2 * tp + wrong).alias("binary_f1"))
+
+
 def paired_deltas(trials: DataFrame, model: str, reference: str) -> DataFrame:
     """pair_id, data_seed, delta of pairs that both models have."""
     a = trials.where(F.col("model") == model).select("pair_id", "data_seed", F.col("macro_f1").alias("a"))

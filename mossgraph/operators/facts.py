@@ -202,3 +202,55 @@ def notes(action: Column, subject: Column) -> Column:
     for a, pair in NOTES.items():
         out = out.when(action == a, F.array(*[F.replace(F.lit(n), F.lit("{}"), about) for n in pair]))
     return out.otherwise(F.array().cast("array<string>"))
+
+
+def field_centroids(examples: DataFrame, truth: DataFrame, key: str = "case_id") -> DataFrame:
+    """field, value, centroid (unit length) of the eight facts and the action: the mean vector of each value's examples (key, u)."""
+    names = [*FIELDS, "label"]
+    values = truth.select(key, F.explode(F.array(*[F.struct(F.lit(n if n != "label" else "action").alias("field"), F.col(n).alias("value")) for n in names])).alias("f")).select(key, "f.*")
+    named = examples.join(values, key).select(F.struct("field", "value").alias("label"), "u")
+    return centroids(named).select("label.field", "label.value", vectors.unit(F.col("centroid")).alias("centroid"))
+
+
+def observed(cases: DataFrame) -> DataFrame:
+    """field, domain: the sorted values that each fact has among the cases."""
+    long = cases.select(F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.col(n).alias("value")) for n in FIELDS])).alias("f"))
+    return long.groupBy("f.field").agg(F.sort_array(F.collect_set("f.value")).alias("domain"))  # the values of one fact
+
+
+def parse_accuracy(parsed: DataFrame, truth: DataFrame, key: str = "case_id") -> DataFrame:
+    """One row: cases, fields, correct fields, exact parses, of parsed facts against the true ones."""
+    right = [F.col(f"p.{f}").eqNullSafe(F.col(f"t.{f}")).cast("int") for f in FIELDS]
+    rows = truth.alias("t").join(parsed.alias("p"), F.col(f"t.{key}") == F.col(f"p.{key}")).select(sum(right[1:], right[0]).alias("n"))
+    return rows.agg(F.count("*").alias("cases"), (F.count("*") * len(FIELDS)).alias("fields"), F.sum("n").alias("correct"), F.count_if(F.col("n") == len(FIELDS)).alias("exact"))
+
+
+def corrected(cases: DataFrame, corrections: DataFrame, stamp: str) -> DataFrame:
+    """Cases with the corrected ones appended as teaching cases: corrections are (case_id, label). The old ones stay; an unknown label is an error."""
+    label = F.when(F.col("label").isin(*ACTIONS), F.col("label")).otherwise(F.raise_error(F.lit("unknown action")).cast("string"))
+    fixes = corrections.select("case_id", label.alias("__label"))
+    added = cases.join(fixes, "case_id").withColumns({"label": F.col("__label"), "split": F.lit("teach"), "case_id": F.concat(F.col("case_id").cast("string"), F.lit(f"-correction-{stamp}"))}).drop("__label")
+    return cases.withColumn("case_id", F.col("case_id").cast("string")).unionByName(added)
+
+
+def benchmark(cases: DataFrame, key: str = "case_id", **advices: DataFrame) -> DataFrame:
+    """key, expected and a column for each predictor (key, action), side by side; a predictor without an answer has null."""
+    rows = cases.select(key, F.col("label").alias("expected"))
+    for name, advice in advices.items():
+        rows = rows.join(advice.select(key, F.col("action").alias(name)), key, "left")
+    return rows
+
+
+def benchmark_accuracy(rows: DataFrame, *names: str) -> DataFrame:
+    """name, cases, answered, correct of each predictor's column."""
+    long = rows.select("expected", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("action")) for n in names])).alias("x")).select("expected", "x.*")
+    return long.groupBy("name").agg(F.count("*").alias("cases"), F.count("action").alias("answered"), F.count_if(F.col("action") == F.col("expected")).alias("correct"))
+
+
+#: What is said with an action, and without one.
+SAID = "The fly can point to the supplied facts and the village charter label, but it cannot explain the path through the wiring."
+UNSAID = "The fly declines to advise. The petition is outside what it has been taught, too quiet, or too evenly balanced."
+
+
+def advice_text(action: Column) -> Column:
+    return F.when(action == "abstain", UNSAID).otherwise(F.concat_ws(" ", action_name(action), F.lit(SAID)))

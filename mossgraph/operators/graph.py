@@ -118,3 +118,56 @@ def display(edges: DataFrame, nodes: DataFrame, stride: int, limit: int) -> Data
     """The first ``limit`` edges, by source and destination, between every stride-th node (node, idx)."""
     some = nodes.where(F.col("idx") % stride == 0)
     return induced(edges, some, loops=True).orderBy("src", "dst").limit(limit)
+
+
+def aligned(bodies: DataFrame, annotations: DataFrame, located: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
+    """Bodies (idx, node) in graph order with the annotation of each (node and more columns); what is missing stays null, and a place is kept only whole. Bodies with several annotations are an error."""
+    twice = annotations.groupBy("node").agg(F.count("*").alias("times"))
+    checked = annotations.join(twice, "node").withColumn("node", F.when(F.col("times") == 1, F.col("node")).otherwise(F.raise_error(F.lit("a body has several annotations")).cast(annotations.schema["node"].dataType))).drop("times")
+    whole = None
+    for c in located:
+        whole = F.col(c).isNotNull() if whole is None else whole & F.col(c).isNotNull()
+    place = {c: F.when(whole, F.col(c)) for c in located}
+    return bodies.join(checked.withColumns(place), "node", "left")
+
+
+def display_degrees(edges: DataFrame, nodes: DataFrame, stride: int, limit: int) -> DataFrame:
+    """node, in_degree, out_degree, shown of every stride-th node (node, idx): degrees in the whole graph, and its edges among the first ``limit`` shown."""
+    some = nodes.where(F.col("idx") % stride == 0).select("node")
+    d = some.join(degrees(edges).select("node", "in_degree", "out_degree"), "node", "left").fillna(0, ["in_degree", "out_degree"])
+    shown = display(edges, nodes, stride, limit).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("shown"))
+    return d.join(shown, "node", "left").fillna(0, ["shown"])
+
+
+def routed_inputs(nodes: DataFrame, k: int, order: Column, preferred: tuple[str, ...] = ("antennal_lobe_like", "mushroom_body")) -> DataFrame:
+    """k input nodes of nodes (node, region): those of the preferred regions first, then the rest, each in the given order."""
+    return nodes.select("node", (~F.col("region").isin(*preferred)).cast("int").alias("turn"), order.alias("o")).orderBy("turn", "o", "node").limit(k).select("node", (F.col("turn") == 0).alias("preferred"))
+
+
+def points(state: DataFrame, active: int, stride: int) -> DataFrame:
+    """node, x, kind: the most active nodes of state (node, x), and every stride-th other one as context, none twice."""
+    first = state.where("abs(x) > 1e-7").orderBy(F.desc(F.abs("x")), "node").limit(active).select("node", "x", F.lit("active").alias("kind"))
+    context = state.where(F.col("node") % stride == 0).join(first.select("node"), "node", "left_anti")
+    return first.unionByName(context.select("node", "x", F.lit("context").alias("kind")))
+
+
+def ordered_fingerprint(edges: DataFrame, block: int = 1000) -> DataFrame:
+    """digest of the edges in order of source and destination: digests of blocks of rows, then of the blocks' digests, until one is left, so no task holds all rows."""
+    from .controls import numbered
+    from .reservoir import checkpointed
+
+    text = F.concat_ws(":", "src", "dst", F.format_string("%.6f", "w"))
+    now = numbered(edges.select("src", "dst", text.alias("t")), ["src", "dst"]).select(((F.col("rn") - 1) / block).cast("long").alias("b"), "rn", "t")
+    while True:
+        joined_ = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "t"))), lambda x: x["t"]), "\n")  # a block's rows
+        digests = checkpointed(now.groupBy("b").agg(F.sha2(joined_.cast("binary"), 256).alias("t")))
+        if digests.count() <= 1:
+            return digests.select(F.col("t").alias("digest"))
+        now = digests.select((F.col("b") / block).cast("long").alias("b"), F.col("b").alias("rn"), "t")
+
+
+def canvas(points_: DataFrame, width: float, height: float, pad: float = 16.0) -> DataFrame:
+    """node, across, down, intensity of points (node, x, z, activity): scaled to a canvas by their bounds; intensity is the root of the share of the greatest magnitude."""
+    b = points_.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("z").alias("z0"), F.max("z").alias("z1"), F.greatest(F.max(F.abs("activity")), F.lit(1e-8)).alias("peak"))
+    place = lambda v, a, z, size: pad + (F.col(v) - F.col(a)) / F.greatest(F.lit(1.0), F.col(z) - F.col(a)) * (size - 2 * pad)
+    return points_.join(F.broadcast(b)).select("node", place("x", "x0", "x1", width).alias("across"), place("z", "z0", "z1", height).alias("down"), F.sqrt(F.abs("activity") / F.col("peak")).alias("intensity"))

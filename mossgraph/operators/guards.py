@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,21 +30,22 @@ def admitted(rows: DataFrame, key: str, row_id: str, ts: str, limit: int, second
     """
     kind = rows.schema[row_id].dataType.simpleString()
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        from collections import deque
-
-        pdf = pdf.sort_values([ts, row_id])
-        recent: deque = deque()
-        out = []
-        for t in pdf[ts]:
-            while recent and (t - recent[0]).total_seconds() >= seconds:
-                recent.popleft()
-            out.append(len(recent) < limit)
-            if out[-1]:
-                recent.append(t)
-        return pd.DataFrame({row_id: pdf[row_id].to_numpy(), "admitted": out})
-
-    return rows.select(key, row_id, ts).groupBy(key).applyInPandas(walk, f"{row_id} {kind}, admitted boolean")
+    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, recent = None, deque()
+        for pdf in frames:  # a key's rows may run over many batches; only its last times are carried on
+            out = []
+            for k, t in zip(pdf[key], pdf[ts], strict=True):
+                if k != now:
+                    now, recent = k, deque()
+                while recent and (t - recent[0]).total_seconds() >= seconds:
+                    recent.popleft()
+                out.append(len(recent) < limit)
+                if out[-1]:
+                    recent.append(t)
+            yield pd.DataFrame({row_id: pdf[row_id].to_numpy(), "admitted": out})
+
+    dealt = rows.select(key, row_id, ts).repartition(F.col(key)).sortWithinPartitions(key, ts, row_id)
+    return dealt.mapInPandas(walk, f"{row_id} {kind}, admitted boolean")
 
 
 def valid_texts(rows: DataFrame, column: str = "text", most: int = 4000) -> DataFrame:

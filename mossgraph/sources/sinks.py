@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import struct
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,3 +57,39 @@ def summary_table(summary: DataFrame) -> DataFrame:
     """Models in their fixed order with mean and deviation as text."""
     place = F.coalesce(F.array_position(F.array(*map(F.lit, MODEL_ORDER)), F.col("model")), F.lit(0))
     return summary.select("model", F.format_string("%.4f +- %.4f", "mean", "std_pop").alias("macro_f1"), F.when(place == 0, 99).otherwise(place).alias("place")).orderBy("place", "model").drop("place")
+
+
+def binary_graph(edges: DataFrame, n: int) -> tuple[bytes, str]:
+    """A compressed-row graph file of edges (src, dst, w) between 0 and n - 1, and its digest. The format is one file, so the graph must fit the driver; ``validation.graph_bytes`` tells its size beforehand."""
+    from .tables import GRAPH_MAGIC
+
+    rows = edges.select("src", "dst", "w").orderBy("src", "dst").toArrow()
+    src = rows.column("src").to_numpy()
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(src, minlength=n))]).astype("<u4")
+    raw = GRAPH_MAGIC + struct.pack("<II", n, len(src)) + offsets.tobytes() + rows.column("dst").to_numpy().astype("<u4").tobytes() + rows.column("w").to_numpy().astype("<f4").tobytes()
+    return raw, hashlib.sha256(raw).hexdigest()
+
+
+def binary_anatomy(bodies: DataFrame) -> tuple[bytes, str]:
+    """An anatomy file of bodies (idx, body_id, x, y, z, flags) in order of idx, and its digest. Missing places have the mark of the format; a flag that claims a missing place is an error."""
+    from .tables import ANATOMY_MAGIC, MISSING
+
+    wrong = bodies.where((F.col("flags").bitwiseAND(F.lit(8)) > 0) & (F.col("x").isNull() | F.col("y").isNull() | F.col("z").isNull()))
+    if not wrong.isEmpty():
+        raise ValueError("flags claim a missing place")
+    rows = bodies.fillna(MISSING, ["x", "y", "z"]).orderBy("idx").select("body_id", "x", "y", "z", "flags").toArrow()
+    at = np.column_stack([rows.column(c).to_numpy() for c in "xyz"]).astype("<i4")
+    flags = rows.column("flags").to_numpy().astype("u1")
+    raw = ANATOMY_MAGIC + struct.pack("<II", len(flags), int((flags & 8 > 0).sum())) + rows.column("body_id").to_numpy().astype("<u4").tobytes() + at.tobytes() + flags.tobytes()
+    return raw, hashlib.sha256(raw).hexdigest()
+
+
+def content_addressed(spark, payload: dict, path: str) -> str:
+    """Writes JSON under a name that holds its digest; a second time nothing changes. Returns the name."""
+    from .tables import exists
+
+    text = json.dumps(payload, sort_keys=True, separators=(",", ":"))
+    name = f"{path}/{hashlib.sha256(text.encode()).hexdigest()}.json"
+    if not exists(spark, name):
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(name)
+    return name

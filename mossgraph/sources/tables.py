@@ -147,3 +147,30 @@ def verified(files: DataFrame, manifest: DataFrame) -> DataFrame:
     """name, status of files (name, sha256) against a manifest of the same columns: ok, changed, missing or stray."""
     both = files.select("name", F.col("sha256").alias("a")).join(manifest.select("name", F.col("sha256").alias("b")), "name", "full")
     return both.select("name", F.when(F.col("a").isNull(), "missing").when(F.col("b").isNull(), "stray").when(F.col("a") == F.col("b"), "ok").otherwise("changed").alias("status"))
+
+
+def experiments(spark: SparkSession, path: str) -> DataFrame:
+    """run, model, seed, encoder, macro_f1 of the result files experiment_*, by run."""
+    rows = spark.read.option("multiLine", True).schema("model_type string, seed long, encoder string, metrics_test struct<macro_f1: double>").json(f"{path}/experiment_*")
+    run = F.regexp_extract(F.input_file_name(), r"(experiment_[^/]+)/[^/]*$", 1)
+    return rows.select(run.alias("run"), F.col("model_type").alias("model"), "seed", "encoder", F.col("metrics_test.macro_f1").alias("macro_f1")).orderBy("run")
+
+
+def feather(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """Rows of Arrow IPC (Feather) files: every file is read by the task that has it, batch by batch."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import from_arrow_schema
+
+    files = spark.read.format("binaryFile").load(path)
+    first = files.select("content").first()["content"]  # for the schema only
+    schema = pa.ipc.open_file(pa.py_buffer(bytes(first))).schema
+    names = columns or schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column("content"):
+                reader = pa.ipc.open_file(raw.as_buffer())
+                for k in range(reader.num_record_batches):
+                    yield reader.get_batch(k).select(names)
+
+    return files.select("content").mapInArrow(run, from_arrow_schema(pa.schema([schema.field(n) for n in names])))

@@ -269,3 +269,48 @@ def test_states_of_large_graphs(spark, ring, monkeypatch):
     monkeypatch.setattr(reservoir, "BROADCAST_BYTES", 0)
     large = ask()
     assert len(small) == 4 and all(np.allclose(small[k][1], large[k][1], atol=1e-9) and abs(small[k][0] - large[k][0]) < 1e-9 for k in small)
+
+
+def test_anatomy_files_and_names_by_content(spark, tmp_path):
+    bodies = spark.createDataFrame([(1, 20, None, None, None, 1), (0, 10, 5, 6, 7, 9)], "idx long, body_id long, x long, y long, z long, flags int")
+    raw, digest = sinks.binary_anatomy(bodies)
+    (tmp_path / "a.bin").write_bytes(raw)
+    got = [tuple(r) for r in tables.binary_anatomy(spark, str(tmp_path / "a.bin")).orderBy("node").collect()]
+    assert got == [(0, 10, 5, 6, 7, 9), (1, 20, None, None, None, 1)] and len(digest) == 64
+    with pytest.raises(ValueError, match="missing place"):
+        sinks.binary_anatomy(bodies.withColumn("flags", F.lit(8)))
+    edges = spark.createDataFrame([(0, 1, 2.0), (1, 0, 0.5), (1, 1, 1.0)], "src long, dst long, w double")
+    raw, _ = sinks.binary_graph(edges, 2)
+    (tmp_path / "g.bin").write_bytes(raw)
+    assert sorted(tuple(r) for r in tables.binary_graph(spark, str(tmp_path / "g.bin")).collect()) == [(0, 1, 2.0), (1, 0, 0.5), (1, 1, 1.0)]
+    one, two = (sinks.content_addressed(spark, {"b": 1, "a": [2]}, str(tmp_path / "c")) for _ in range(2))
+    assert one == two and spark.read.text(one).first().value == '{"a":[2],"b":1}'
+
+
+def test_feather_and_experiment_files(spark, tmp_path):
+    import json
+
+    import pyarrow as pa
+    from pyarrow import feather
+
+    for k in range(2):
+        feather.write_feather(pa.table({"body": [k, k + 10], "kind": ["a", None]}), str(tmp_path / f"f{k}.feather"))
+        (tmp_path / f"experiment_{k}").mkdir()
+        (tmp_path / f"experiment_{k}" / "result.json").write_text(json.dumps({"model_type": "linear", "seed": k, "encoder": "hashing", "metrics_test": {"macro_f1": 0.5 + k}, "other": 1}, indent=1))
+    assert sorted(r.body for r in tables.feather(spark, str(tmp_path / "*.feather"), ["body"]).collect()) == [0, 1, 10, 11]
+    assert [(r.run, r.seed, r.macro_f1) for r in tables.experiments(spark, str(tmp_path)).collect()] == [("experiment_0", 0, 0.5), ("experiment_1", 1, 1.5)]
+
+
+def test_guards_of_parameters(spark):
+    from mossgraph.operators import validation
+
+    rows = spark.createDataFrame([(12,)], "steps int")
+    assert rows.select(validation.step_guard(F.col("steps"))).first()[0] == 12
+    with pytest.raises(Exception, match="timesteps must be 12"):
+        rows.select(validation.step_guard(F.col("steps") + 1)).collect()
+    assert rows.select(validation.graph_bytes(F.lit(0), F.lit(5))).first()[0] is None
+    with pytest.raises(Exception, match="several annotations"):
+        graph.aligned(spark.range(2).selectExpr("id idx", "id node"), spark.createDataFrame([(1, 2, 3, 4)] * 2, "node long, x int, y int, z int")).collect()
+    cases = spark.createDataFrame([(1, "let-rest", "teach")], "case_id int, label string, split string")
+    with pytest.raises(Exception, match="unknown action"):
+        facts.corrected(cases, spark.createDataFrame([(1, "nope")], "case_id int, label string"), "1").collect()
