@@ -168,6 +168,19 @@ def ridge_solve(spark, sf_dir):
     return learning.ridge(spark, _emb(spark, sf_dir).withColumn("y", F.col("label").cast("double")), "u", "y").select("i", F.round("weight", 5).alias("weight"))
 
 
+@query("SELECT i::INTEGER AS i, 0.0::DOUBLE AS residual FROM range((SELECT max(len(embedding)) FROM embeddings)) r(i)")
+def ridge_residual(spark, sf_dir):
+    """What the solved weights leave of the normal equations, by sums over all rows: nothing."""
+    from ..operators import learning
+
+    rows = _emb(spark, sf_dir).withColumn("y", F.col("label").cast("double"))
+    w = learning.ridge(spark, rows, "u", "y")
+    packed = w.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "weight"))), lambda x: x["weight"]).alias("w"))  # one entry a dimension
+    error = rows.join(F.broadcast(packed)).select("u", (vectors.dot(F.col("u"), F.col("w")) - F.col("y")).alias("e"))
+    sums = error.select("e", F.posexplode("u").alias("i", "x")).groupBy("i").agg(F.sum(F.col("e") * F.col("x").cast("double")).alias("g"))
+    return sums.join(w, "i").select("i", (F.round(F.col("g") + learning.RIDGE * F.col("weight"), 4) + 0.0).alias("residual"))
+
+
 @query()
 def logistic_readout(spark, sf_dir):
     from ..operators import learning
@@ -355,7 +368,8 @@ def rate_limit_window(spark, sf_dir):
     return guards.window_counts(table(spark, sf_dir, "events"), "user_id", "ts", 60).select("event_id", "in_window")
 
 
-@query()
+@query("""WITH RECURSIVE a AS (SELECT user_id, min(ts) AS t FROM events GROUP BY user_id UNION ALL SELECT a.user_id, min(e.ts) FROM a JOIN events e ON e.user_id = a.user_id AND e.ts >= a.t + INTERVAL 3600 SECONDS GROUP BY a.user_id)
+SELECT event_id, a.t IS NOT NULL AND row_number() OVER (PARTITION BY e.user_id, e.ts ORDER BY event_id) = 1 AS admitted FROM events e LEFT JOIN a ON a.user_id = e.user_id AND a.t = e.ts""")
 def rate_limit_stateful(spark, sf_dir):
     return guards.admitted(table(spark, sf_dir, "events"), "user_id", "event_id", "ts", 1, 3600.0)
 

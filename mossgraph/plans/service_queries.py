@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import controls, evaluation, facts, learning, replay, reservoir
 from ..registry import query, table
 from .graph_queries import edges, nodes
-from .model_queries import _SCORED, cases
+from .model_queries import _SCORED, _TRIALS, _trials, cases
 
 
 def _network(spark, sf_dir):
@@ -99,9 +99,8 @@ def readout_search(spark, sf_dir):
     return wide.orderBy(F.desc("validation"), "candidate").limit(1).select("c", F.round("validation", 4).alias("validation"), F.round("test", 4).alias("test"))
 
 
-@query()
+@query(f"WITH {_TRIALS} SELECT model, printf('%.4f +- %.4f', avg(macro_f1), stddev_pop(macro_f1)) AS macro_f1 FROM t GROUP BY model")
 def summary_report(spark, sf_dir):
     from ..sources.sinks import summary_table
-    from .model_queries import _trials
 
     return summary_table(evaluation.model_summary(_trials(spark, sf_dir)))

@@ -55,25 +55,51 @@ def born(seed: int, *key: Column) -> Column:
     return F.format_string("%02d/%02d/%d", _number(1, 12, seed, F.lit("m"), *key), _number(1, 28, seed, F.lit("d"), *key), _number(1940, 2005, seed, F.lit("y"), *key))
 
 
-def filled(label: Column, seed: int, *key: Column) -> Column:
-    """A sentence with a generated value of the label."""
-    parts = {
-        "PERSON": (F.lit("The contact is "), person(seed, *key)),
-        "EMAIL": (F.lit("Write to "), email(seed, *key)),
-        "PHONE": (F.lit("Call "), phone(seed, *key)),
-        "ADDRESS": (F.lit("Deliver to "), address(seed, *key)),
-        "SSN": (F.lit("SSN on file: "), ssn(seed, *key)),
-        "CREDIT_CARD": (F.lit("Charge card "), card(seed, *key)),
-        "DATE_OF_BIRTH": (F.lit("Born on "), born(seed, *key)),
-        "FINANCIAL": (F.lit("Salary is "), _number(30000, 90000, seed, F.lit("pay"), *key).cast("string")),
-        "MEDICAL": (F.lit("Patient diagnosed, file "), _number(1000, 9999, seed, F.lit("file"), *key).cast("string")),
-        "CREDENTIAL": (F.lit("The password is pw"), _number(1000, 9999, seed, F.lit("pw"), *key).cast("string")),
-        "OTHER_SENSITIVE": (F.lit("Passport no. P"), _number(100000, 999999, seed, F.lit("pass"), *key).cast("string")),
+def split_email(seed: int, *key: Column) -> Column:
+    """An address of which a third have a zero-width space after the first character."""
+    whole = email(seed, *key)
+    return F.when(uniform(seed, F.lit("zw"), *key) < 0.35, F.concat(F.substring(whole, 1, 1), F.lit("\u200b"), F.substring(whole, 2, 1000))).otherwise(whole)
+
+
+#: Sentences of each label; the value stands at the braces.
+SENTENCES = {
+    "PERSON": ("The contact is {}.", "{} signed for the parcel this morning.", "Please seat {} next to the speaker.", "Minutes were taken by {}."),
+    "EMAIL": ("Write to {}.", "The draft went to {} by mistake.", "Replies reach us at {}.", "Copy {} on the thread."),
+    "PHONE": ("Call {}.", "The night line is {}.", "Leave word at {} after six.", "Texts go to {}."),
+    "ADDRESS": ("Deliver to {}.", "The keys are kept at {}.", "They moved to {} in spring.", "Meet at {} before noon."),
+    "SSN": ("SSN on file: {}.", "The form lists social security {}.", "Her number, {}, was read aloud.", "Check {} against the payroll."),
+    "CREDIT_CARD": ("Charge card {}.", "The order was paid with {}.", "Card number {} was declined.", "Refund goes back to {}."),
+    "DATE_OF_BIRTH": ("Born on {}.", "Date of birth {} per the intake form.", "The record gives {} as birthday.", "DOB: {}."),
+    "FINANCIAL": ("Salary is {}.", "The loan stands at {}.", "Net income came to {} last year.", "They settled for {} in cash."),
+    "MEDICAL": ("Patient diagnosed, file {}.", "Chart {} mentions a relapse.", "The biopsy under {} was benign.", "Dose raised, see note {}."),
+    "CREDENTIAL": ("The password is pw{}.", "Use api key k-{} for staging.", "Login with secret s{}.", "The token t{} expires tonight."),
+    "OTHER_SENSITIVE": ("Passport no. P{}.", "License plate and permit {} were noted.", "Visa case {} is pending.", "Member card {} was found."),
+}
+#: What surrounds a sentence in the hardest set.
+WRAPPERS = ("{}", "As discussed in the last meeting: {} Nothing further was agreed.", "---- forwarded ---- {} ---- end ----", "Note to file. {} This note has no legal effect.")
+
+
+def filled(label: Column, seed: int, *key: Column, kind: str = "base") -> Column:
+    """A sentence with a generated value of the label; in the hardest set addresses may be split and sentences wrapped."""
+    digits = lambda low, high, name: _number(low, high, seed, F.lit(name), *key).cast("string")
+    values = {
+        "PERSON": person(seed, *key),
+        "EMAIL": split_email(seed, *key) if kind == "harder" else email(seed, *key),
+        "PHONE": phone(seed, *key),
+        "ADDRESS": address(seed, *key),
+        "SSN": ssn(seed, *key),
+        "CREDIT_CARD": card(seed, *key),
+        "DATE_OF_BIRTH": born(seed, *key),
+        "FINANCIAL": digits(30000, 90000, "pay"),
+        "MEDICAL": digits(1000, 9999, "file"),
+        "CREDENTIAL": digits(1000, 9999, "pw"),
+        "OTHER_SENSITIVE": digits(100000, 999999, "pass"),
     }
     out = F
-    for name, (lead, value) in parts.items():
-        out = out.when(label == name, F.concat(lead, value, F.lit(".")))
-    return out.otherwise(_pick(NEGATIVE, seed, F.lit("neg"), *key))
+    for name, value in values.items():
+        out = out.when(label == name, F.replace(_pick(SENTENCES[name], seed, F.lit("sentence"), *key), F.lit("{}"), value))
+    said = out.otherwise(_pick(NEGATIVE, seed, F.lit("neg"), *key))
+    return F.replace(_pick(WRAPPERS, seed, F.lit("wrap"), *key), F.lit("{}"), said) if kind == "harder" else said
 
 
 def split(spark: SparkSession, kind: str, n: int, seed: int) -> DataFrame:
@@ -85,7 +111,7 @@ def split(spark: SparkSession, kind: str, n: int, seed: int) -> DataFrame:
     first = F.when(i < len(names), F.element_at(F.array(*map(F.lit, names)), (i + 1).cast("int"))).otherwise(F.when(u < negatives, F.lit("NONE")).otherwise(_pick(names, seed, F.lit("label"), i)))
     second = F.when((i >= len(names)) & (u >= negatives) & (u < negatives + pairs), _pick(names, seed, F.lit("second"), i))
     labels = F.array_distinct(F.filter(F.array("a", "b"), lambda x: x.isNotNull()))
-    body = F.concat_ws(" ", filled(F.col("a"), seed, i), F.when(F.col("b").isNotNull(), filled(F.col("b"), seed + 1, i)))
+    body = F.concat_ws(" ", filled(F.col("a"), seed, i, kind=kind), F.when(F.col("b").isNotNull(), filled(F.col("b"), seed + 1, i, kind=kind)))
     noisy = text.noise(body, _pick(text.NOISE, seed, F.lit("noise"), i))
     out = rows.withColumn("a", first).withColumn("b", second)
     return out.select(F.when(uniform(seed, F.lit("mask"), i) < masked * 0.5, text.digits_masked(noisy)).otherwise(noisy).alias("text"), labels.alias("labels"), (F.col("a") != "NONE").alias("contains_sensitive"), F.when(F.col("b").isNotNull(), "hard").when(F.col("a") == "NONE", "medium").otherwise("easy").alias("difficulty"))

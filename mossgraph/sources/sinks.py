@@ -18,9 +18,12 @@ def save_graph(nodes: DataFrame, edges: DataFrame, meta: dict, path: str) -> Non
     edges.sparkSession.createDataFrame([(json.dumps(meta, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
 
-def save_splits(rows: DataFrame, path: str) -> None:
-    """JSON lines, a folder for each split."""
+def save_splits(rows: DataFrame, path: str, meta: dict | None = None) -> None:
+    """JSON lines, a folder for each split; with ``meta``, also that beside the numbers of rows and labels of each split."""
     rows.write.mode("overwrite").partitionBy("split").json(path)
+    if meta is not None:
+        counts = {r["split"]: {"rows": r["n"], "sensitive": r["s"]} for r in rows.groupBy("split").agg(F.count("*").alias("n"), F.count_if("contains_sensitive").alias("s")).collect()}
+        rows.sparkSession.createDataFrame([(json.dumps(meta | {"splits": counts}, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}_meta")
 
 
 def save_result(result: dict, path: str, model: str, stamp: str) -> None:
