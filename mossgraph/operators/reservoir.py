@@ -167,7 +167,10 @@ def batch_states(examples: DataFrame, graph: Compressed, win: np.ndarray, steps:
                 energy = np.sqrt((x * x).mean(0))
                 yield pa.RecordBatch.from_arrays([part.column(key), pa.array(energy), pa.array((mean / (steps - washout)).T.tolist()), pa.array(x[picks].T.tolist())], [key, "energy", "mean", "last"])
 
-    return examples.select(key, "u").mapInArrow(work, f"{key} {kind}, energy double, mean array<double>, last array<double>")
+    spark = examples.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # a few rows are much work here, and small inputs arrive in few partitions
+    return examples.select(key, "u").repartition(tasks).mapInArrow(work, f"{key} {kind}, energy double, mean array<double>, last array<double>")
 
 
 def input_weights(nodes: int, inputs: np.ndarray, dim: int, scale: float, seed: int = 42) -> np.ndarray:
