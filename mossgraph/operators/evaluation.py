@@ -143,3 +143,15 @@ def changes(rows: DataFrame, partition: str, order: list, value: str) -> DataFra
     """Rows whose value differs from the one before (null counts as a value); first rows don't."""
     w = Window.partitionBy(partition).orderBy(*order)
     return rows.withColumn("before", F.lag(value).over(w)).withColumn("__n", F.row_number().over(w)).where((F.col("__n") > 1) & ~F.col(value).eqNullSafe(F.col("before"))).drop("__n")
+
+
+def feedback(events: DataFrame, model: str, correct: str) -> DataFrame:
+    """model, answers, hits: counts only; no text is kept."""
+    return events.groupBy(model).agg(F.count(correct).alias("answers"), F.sum(F.col(correct).cast("int")).alias("hits"))
+
+
+def positions(sample: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """The sample with ``position``, each key's place (from 0) among all rows in order of the key."""
+    from .controls import numbered
+
+    return sample.join(numbered(rows.select(key), [key], "place").select(key, (F.col("place") - 1).alias("position")), key)

@@ -151,13 +151,12 @@ def points(state: DataFrame, active: int, stride: int) -> DataFrame:
     return first.unionByName(context.select("node", "x", F.lit("context").alias("kind")))
 
 
-def ordered_fingerprint(edges: DataFrame, block: int = 1000) -> DataFrame:
-    """digest of the edges in order of source and destination: digests of blocks of rows, then of the blocks' digests, until one is left, so no task holds all rows."""
+def ordered_digest(rows: DataFrame, order: list[str], text: Column, block: int = 1000) -> DataFrame:
+    """digest of the rows' texts in an order without ties: digests of blocks of rows, then of the blocks' digests, until one is left, so no task holds all rows."""
     from .controls import numbered
     from .reservoir import checkpointed
 
-    text = F.concat_ws(":", "src", "dst", F.format_string("%.6f", "w"))
-    now = numbered(edges.select("src", "dst", text.alias("t")), ["src", "dst"]).select(((F.col("rn") - 1) / block).cast("long").alias("b"), "rn", "t")
+    now = numbered(rows.select(*order, text.alias("t")), order).select(((F.col("rn") - 1) / block).cast("long").alias("b"), "rn", "t")
     while True:
         joined_ = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "t"))), lambda x: x["t"]), "\n")  # a block's rows
         digests = checkpointed(now.groupBy("b").agg(F.sha2(joined_.cast("binary"), 256).alias("t")))
@@ -166,6 +165,11 @@ def ordered_fingerprint(edges: DataFrame, block: int = 1000) -> DataFrame:
         now = digests.select((F.col("b") / block).cast("long").alias("b"), F.col("b").alias("rn"), "t")
 
 
+def ordered_fingerprint(edges: DataFrame) -> DataFrame:
+    """digest of the edges in order of source and destination."""
+    return ordered_digest(edges, ["src", "dst"], F.concat_ws(":", "src", "dst", F.format_string("%.6f", "w")))
+
+
 def canvas(points_: DataFrame, width: float, height: float, pad: float = 16.0) -> DataFrame:
     """node, across, down, intensity of points (node, x, z, activity): scaled to a canvas by their bounds; intensity is the root of the share of the greatest magnitude."""
     b = points_.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("z").alias("z0"), F.max("z").alias("z1"), F.greatest(F.max(F.abs("activity")), F.lit(1e-8)).alias("peak"))

@@ -17,6 +17,29 @@ def embedding_gate(rows: DataFrame, key: str, vector: str) -> DataFrame:
     return x.agg(F.count_distinct(key).alias("vectors"), F.count("*").alias("numbers"), F.count_if(F.isnan(v)).alias("not_numbers"), F.round(F.max(F.abs(v)), 6).alias("largest"))
 
 
+def off_unit(rows: DataFrame, key: str, vector: str, slack: float = 1e-3) -> DataFrame:
+    """key, norm of vectors whose length isn't 1 within ``slack`` (or isn't a number)."""
+    from ..functions.vectors import norm
+
+    n = norm(F.col(vector))
+    return rows.select(key, n.alias("norm")).where(~F.coalesce(F.abs(F.col("norm") - 1) <= slack, F.lit(False)) | F.isnan("norm"))
+
+
+def provenance(rows: DataFrame, key: str, vector: str, manifest: dict) -> DataFrame:
+    """The rows, if a manifest's numbers hold: rows, dimensions, the digest of ids and vectors in order, and unit length where it says so. Else an error."""
+    from .graph import ordered_digest
+
+    text = F.concat_ws(":", F.col(key).cast("string"), F.concat_ws(",", F.transform(vector, lambda x: F.format_string("%.6f", x.cast("double")))))
+    seen = rows.agg(F.count("*").alias("rows"), F.min(F.size(vector)).alias("least"), F.max(F.size(vector)).alias("most")).first()
+    if (seen["rows"], seen["least"], seen["most"]) != (manifest["rows"], manifest["dimensions"], manifest["dimensions"]):
+        raise ValueError(f"rows or dimensions differ from the manifest: {seen}")
+    if ordered_digest(rows, [key], text).first()["digest"] != manifest["digest"]:
+        raise ValueError("the digest differs from the manifest")
+    if manifest.get("unit") and not off_unit(rows, key, vector).isEmpty():
+        raise ValueError("vectors aren't of unit length")
+    return rows
+
+
 def window_counts(rows: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:
     """Rows of the same key in the trailing window, the row itself and its peers included."""
     w = Window.partitionBy(key).orderBy(F.unix_micros(F.col(ts).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)

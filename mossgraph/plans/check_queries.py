@@ -234,3 +234,39 @@ _SAY = " ".join(f"WHEN action = '{k}' THEN '{v} {facts.SAID}'" for k, v in facts
 @query(f"{_SCORED} SELECT case_id, CASE WHEN action = 'abstain' THEN '{facts.UNSAID}' {_SAY} END AS text FROM adv")
 def advice_text(spark, sf_dir):
     return _advice(spark, sf_dir)[1].select("case_id", facts.advice_text(F.col("action")).alias("text"))
+
+
+_CANON = "'{' || " + " || ',' || ".join(f"'\"{f}\":\"' || {f} || '\"'" for f in sorted([*facts.FIELDS, "label"])) + " || '}'"
+
+
+@query(f"WITH {CASES}, t AS (SELECT row_number() OVER (ORDER BY case_id) - 1 AS rn, case_id || ':' || {_CANON} AS t FROM c), b AS (SELECT rn // 1000 AS b, sha256(string_agg(t, chr(10) ORDER BY rn)) AS t FROM t GROUP BY 1), d AS (SELECT b // 1000 AS d, sha256(string_agg(t, chr(10) ORDER BY b)) AS t FROM b GROUP BY 1) SELECT CASE WHEN (SELECT count(*) FROM b) = 1 THEN (SELECT max(t) FROM b) ELSE (SELECT max(t) FROM d) END AS digest")
+def locked_cases(spark, sf_dir):
+    """Digest of all cases in order, as canonical JSON."""
+    text = F.concat_ws(":", F.col("case_id").cast("string"), F.to_json(F.struct(*sorted([*facts.FIELDS, "label"]))))
+    return graph.ordered_digest(cases(spark, sf_dir), ["case_id"], text)
+
+
+@query("WITH v AS (SELECT vec_id, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) * CASE WHEN vec_id % 7 = 0 THEN 2 ELSE 1 END AS norm FROM embeddings) SELECT vec_id, round(norm, 4) AS norm FROM v WHERE NOT abs(norm - 1) <= 0.001")
+def embedding_norms(spark, sf_dir):
+    """Vectors that aren't of unit length; every seventh is doubled."""
+    from ..operators import guards
+
+    rows = table(spark, sf_dir, "embeddings").withColumn("embedding", F.transform("embedding", lambda x: x.cast("double") * F.when(F.col("vec_id") % 7 == 0, 2.0).otherwise(1.0)))
+    return guards.off_unit(rows, "vec_id", "embedding").select("vec_id", F.round("norm", 4).alias("norm"))
+
+
+@query("SELECT event_type, count(*) AS answers, count(*) FILTER (event_id % 3 = 0) AS hits FROM events GROUP BY event_type")
+def feedback_counts(spark, sf_dir):
+    from ..operators import evaluation
+
+    return evaluation.feedback(table(spark, sf_dir, "events").withColumn("correct", F.col("event_id") % 3 == 0), "event_type", "correct")
+
+
+@query("WITH s AS (SELECT doc_id, row_number() OVER (PARTITION BY quality * 2 + toxic ORDER BY md5('3:' || doc_id), doc_id) AS turn, quality * 2 + toxic AS label FROM labels), i AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS position FROM labels) SELECT doc_id, position FROM (SELECT doc_id FROM s ORDER BY turn, label LIMIT 80) JOIN i USING (doc_id)")
+def sample_positions(spark, sf_dir):
+    """Places of a stratified sample's rows among all labels."""
+    from ..operators import evaluation
+
+    labels = table(spark, sf_dir, "labels")
+    sample = evaluation.stratified(labels.select("doc_id", (F.col("quality") * 2 + F.col("toxic")).cast("int").alias("label")), "label", "doc_id", 80, 3).select("doc_id")
+    return evaluation.positions(sample, labels, "doc_id")

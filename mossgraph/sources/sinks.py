@@ -96,3 +96,12 @@ def content_addressed(spark, payload: dict, path: str) -> str:
     if not exists(spark, name):
         spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(name)
     return name
+
+
+def publish(spark, path: str, to: str) -> DataFrame:
+    """Writes the manifest (name, bytes, sha256) of the files under ``path`` and returns their check against it, read back."""
+    from .tables import file_digests, verified
+
+    files = file_digests(spark, path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "bytes", "sha256")
+    files.coalesce(1).write.mode("errorifexists").json(to)
+    return verified(files, spark.read.schema("name string, bytes long, sha256 string").json(to))

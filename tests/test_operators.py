@@ -314,3 +314,23 @@ def test_guards_of_parameters(spark):
     cases = spark.createDataFrame([(1, "let-rest", "teach")], "case_id int, label string, split string")
     with pytest.raises(Exception, match="unknown action"):
         facts.corrected(cases, spark.createDataFrame([(1, "nope")], "case_id int, label string"), "1").collect()
+
+
+def test_provenance_and_manifests(spark, tmp_path):
+    rows = spark.createDataFrame([(1, [0.6, 0.8]), (2, [1.0, 0.0])], "id long, v array<double>")
+    text = F.concat_ws(":", F.col("id").cast("string"), F.concat_ws(",", F.transform("v", lambda x: F.format_string("%.6f", x))))
+    good = {"rows": 2, "dimensions": 2, "unit": True, "digest": graph.ordered_digest(rows, ["id"], text).first()["digest"]}
+    assert guards.provenance(rows, "id", "v", good).count() == 2
+    for bad, why in (({"rows": 3}, "rows or dimensions"), ({"digest": "x"}, "digest")):
+        with pytest.raises(ValueError, match=why):
+            guards.provenance(rows, "id", "v", good | bad)
+    long = rows.withColumn("v", F.transform("v", lambda x: x * 2))
+    with pytest.raises(ValueError, match="unit length"):
+        guards.provenance(long, "id", "v", good | {"digest": graph.ordered_digest(long, ["id"], text).first()["digest"]})
+    many = spark.range(2500).select("id", F.col("id").cast("string").alias("t"))
+    one, two = (graph.ordered_digest(df, ["id"], F.col("t"), 100).first()["digest"] for df in (many, many.repartition(7)))
+    assert one == two
+    (tmp_path / "files").mkdir()
+    for name in ("a", "b"):
+        (tmp_path / "files" / name).write_text(name)
+    assert {r.name: r.status for r in sinks.publish(spark, str(tmp_path / "files"), str(tmp_path / "manifest")).collect()} == {"a": "ok", "b": "ok"}
