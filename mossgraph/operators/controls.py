@@ -45,7 +45,9 @@ def random_erdos(edges: DataFrame, nodes: DataFrame, seed: int = 0) -> DataFrame
     Pairs are drawn by number (source and destination from a hash of seed and draw number), a tenth more than needed in
     each round until enough differ, so pairs are never enumerated.
     """
-    named = numbered(nodes.select("node").distinct(), ["node"], "i").persist()
+    from .reservoir import checkpointed
+
+    named = checkpointed(numbered(nodes.select("node").distinct(), ["node"], "i"))
     n, m = named.count(), edges.count()
     if m > n * (n - 1):
         raise ValueError("more edges than pairs of nodes")
@@ -131,7 +133,9 @@ def randomise_region(edges: DataFrame, nodes: DataFrame, region: str, seed: int
     Targets of a source are consecutive places, after a start drawn from a hash of the source, in a drawn order of all
     nodes, so candidates are never enumerated.
     """
-    named = numbered(nodes.select("node"), [draw(seed, F.col("node")), "node"], "i").persist()
+    from .reservoir import checkpointed
+
+    named = checkpointed(numbered(nodes.select("node"), [draw(seed, F.col("node")), "node"], "i"))
     n = named.count()
     hit = edges.join(nodes.where(F.col("region") == region).select(F.col("node").alias("src")), "src", "left_semi")
     rank = F.row_number().over(Window.partitionBy("src").orderBy("dst"))

@@ -13,7 +13,8 @@ LONGEST = {"id": 100, "family": 100, "title": 160, "villager": 120, "prop": 80,
 INSTEAD = {"family": "custom", "title": "Custom petition", "villager": "A villager", "prop": "petition", "petition": "A petition was brought to the desk."}
 FACT_LENGTH, STEPS, MOST_SEED = 80, 12, 0xFFFFFFFF
 #: Commands of a worker, with their fields and the greatest length of each.
-COMMANDS = {"load": {}, "parse": {"text": 2000}, "advise": {"text": 2000}, "note": {"action": 80}, "cancel": {}}
+COMMANDS = {"enable": {}, "cancel": {}, "dispose": {}, "encode": {"petition": 1000}, "verbalize": {"facts": 2000, "action": 80, "confidenceBand": 6}, "benchmark": {"cases": 200_000}}
+BANDS = ("low", "medium", "high")
 
 
 def problems(rows: DataFrame, key: str, checks: dict[str, Column]) -> DataFrame:
@@ -44,7 +45,7 @@ def case_problems(cases: DataFrame) -> DataFrame:
 
 
 def command_problems(commands: DataFrame) -> DataFrame:
-    """id, problem of commands (id, type, fields: map of texts): the type, exactly its fields, and their lengths."""
+    """id, problem of commands (id, type, fields: map of texts): the type, exactly its fields, their lengths, and for counsel a known action and confidence band."""
     out = {"type": F.col("type").isin(*COMMANDS)}
     keys = F.sort_array(F.map_keys(F.coalesce("fields", F.create_map().cast("map<string,string>"))))
     exact = F.lit(False)
@@ -54,7 +55,9 @@ def command_problems(commands: DataFrame) -> DataFrame:
         exact = exact | ((F.col("type") == name) & (keys == wanted))
         for f, most in fields.items():
             fits = fits & ((F.col("type") != name) | text_fits(F.try_element_at("fields", F.lit(f)), most))
-    return problems(commands, "id", out | {"fields": exact, "length": fits})
+    of = lambda f: F.try_element_at("fields", F.lit(f))
+    known = (F.col("type") != "verbalize") | (of("action").isin(*facts.ACTIONS) & of("confidenceBand").isin(*BANDS))
+    return problems(commands, "id", out | {"fields": exact, "length": fits, "values": known})
 
 
 def model_problems(models: DataFrame, schema: str, fingerprint: str, outputs: int) -> DataFrame:

@@ -46,13 +46,14 @@ def case_normalise(spark, sf_dir):
     return validation.normal_cases(_odd(spark, sf_dir).withColumn("id", F.lit("")))
 
 
-_COMMANDS = "k AS (SELECT conv_id || ':' || turn AS id, ['load', 'parse', 'advise', 'dance'][(turn % 4)::INTEGER + 1] AS type, text FROM conversations)"
+_COMMANDS = "k AS (SELECT conv_id || ':' || turn AS id, ['enable', 'encode', 'verbalize', 'dance'][(turn % 4)::INTEGER + 1] AS type, text FROM conversations)"
 
 
-@query(f"WITH {_COMMANDS} " + _union("k", "id", {"type": "type <> 'dance'", "fields": "type IN ('parse', 'advise')", "length": "type IN ('load', 'dance') OR (length(trim(text, ' ')) > 0 AND length(text) <= 2000)"}))
+@query(f"WITH {_COMMANDS} " + _union("k", "id", {"type": "type <> 'dance'", "fields": "type = 'encode'", "length": "type IN ('enable', 'dance') OR type = 'encode' AND length(trim(text, ' ')) > 0 AND length(text) <= 1000", "values": "type <> 'verbalize'"}))
 def command_problems(spark, sf_dir):
-    kinds = F.array(*map(F.lit, ("load", "parse", "advise", "dance")))
-    rows = table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("id"), F.element_at(kinds, (F.col("turn") % 4).cast("int") + 1).alias("type"), F.create_map(F.lit("text"), "text").alias("fields"))
+    """Commands with a petition as their only field, which just one of their kinds has."""
+    kinds = F.array(*map(F.lit, ("enable", "encode", "verbalize", "dance")))
+    rows = table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("id"), F.element_at(kinds, (F.col("turn") % 4).cast("int") + 1).alias("type"), F.create_map(F.lit("petition"), "text").alias("fields"))
     return validation.command_problems(rows)
 
 
