@@ -60,7 +60,7 @@ def test_stages_on_odd_rows(spark, sf):
             continue
         assert got.columns == rows.columns, name
         after = got.collect()
-        assert all(getattr(r, n) == n for r in after for n in names)
+        assert all(r[n] == n for r in after for n in names)
         if name == "secrets":
             assert len(after) == len(before) and {r.text for r in after if r.doc_id == 9004} == {"[assign]"} and all(r.n_chars == len(r.text or "") for r in after)
         else:
