@@ -54,8 +54,8 @@ def village_hear(spark, sf_dir):
     c = cases(spark, sf_dir)
     got = reservoir.checkpointed(_heard(facts.encoded(c), edges(spark, sf_dir), nodes(spark, sf_dir)))
     teach = got.join(c.where("split = 'teach'").select("case_id", "label"), "case_id")
-    scores = facts.scored(got.join(c.where("split = 'holdout'").select("case_id"), "case_id", "left_semi"), facts.centroids(teach), "case_id")
-    return facts.recommended(scores, "case_id", got.select("case_id", "energy")).select("case_id", "action", "forced_choice", F.round("confidence", 6).alias("confidence"), "reason")
+    scores = facts.scored_arrays(got.join(c.where("split = 'holdout'").select("case_id"), "case_id", "left_semi"), facts.centroids(teach), "case_id")
+    return facts.advised(scores, "case_id", got.select("case_id", "energy")).select("case_id", "action", "forced_choice", F.round("confidence", 6).alias("confidence"), "reason")
 
 
 @query()
@@ -71,7 +71,7 @@ def lesion_study(spark, sf_dir):
         if readout is None:
             readout = reservoir.checkpointed(facts.centroids(states.join(c.where("split = 'teach'").select("case_id", "label"), "case_id")))
         held = states.join(c.where("split = 'holdout'").select("case_id"), "case_id", "left_semi")
-        row = facts.accuracy(facts.recommended(facts.scored(held, readout, "case_id"), "case_id"), c).withColumn("lesion", F.lit(f"{kind} {fraction:g}"))
+        row = facts.accuracy(facts.advised(facts.scored_arrays(held, readout, "case_id"), "case_id"), c).withColumn("lesion", F.lit(f"{kind} {fraction:g}"))
         out = row if out is None else out.unionByName(row)
     return out
 
