@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,7 +109,7 @@ def encoded(cases: DataFrame) -> DataFrame:
     parts = []
     for f in FIELDS:
         value = F.coalesce(f, F.lit("unknown"))
-        known = F.create_map(*[x for v in (*DOMAIN[f], "unknown") for x in (F.lit(v), F.lit(_known(f, v)))])
+        known = F.from_json(F.lit(json.dumps({v: _known(f, v) for v in (*DOMAIN[f], "unknown")})), "map<string,array<double>>")  # a constant
         parts.append(F.coalesce(F.try_element_at(known, value), _slots(F.concat(F.lit(f"{f}:"), value))))
     total = parts[0]
     for p in parts[1:]:

@@ -25,15 +25,15 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
     return add
 
 
-#: Tables of long texts, and bytes above which a single file of them is dealt out.
-TEXTS, ONE_TASK = ("documents", "pages"), 2 << 20
+#: Tables whose rows are much work (texts; orders, which stand in for cases), and bytes above which a single file of them is dealt out.
+WORK, ONE_TASK = ("documents", "pages", "orders"), 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of a folder. A single file of texts may be one row group, which is one task however many cores there are, so it is dealt out; many files are read as they lie."""
+    """A table of a folder. A single file may be one row group, which is one task however many cores there are, so where rows are much work it is dealt out; many files are read as they lie."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
     rows = spark.read.parquet(path)
-    if name in TEXTS:
+    if name in WORK:
         where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(where)
         if found.getFileCount() == 1 and ONE_TASK < found.getLength() < 128 << 20:
