@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import automaton, ctw, fingerprints, ftrl, minhash, pieces, raking, subwords, topk_blocks, url_templates
+from . import automaton, ctw, fingerprints, ftrl, minhash, pieces, raking, strata, subwords, topk_blocks, url_templates
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.summaries(table(spark, sf_dir, "documents"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return strata.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -60,9 +64,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    every = (op1_ctw, op2_topk, op3_quality, op4_fingerprints, op5_secrets, op6_mixing, op7_toxicity, op8_url_filter, op9_near_duplicates, op10_sentencepiece, pipeline)
+    every = (op1_ctw, op2_topk, op3_quality, op4_fingerprints, op5_secrets, op6_mixing, op7_toxicity, op8_url_filter, op9_near_duplicates, op10_sentencepiece, op13_ranked_search, pipeline)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk": topk_blocks.ORACLE, "op6_mixing": raking.oracle(), "op8_url_filter": url_templates.oracle()}
+    return {"op2_topk": topk_blocks.ORACLE, "op6_mixing": raking.oracle(), "op8_url_filter": url_templates.oracle(), "op13_ranked_search": strata.ORACLE}
