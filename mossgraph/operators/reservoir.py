@@ -1,7 +1,7 @@
 """Fixed recurrent graphs: x <- (1 - leak) * x + leak * tanh(scale * A x + input), with activity flowing from src to dst.
 
-Two physical forms give the same numbers. The relational one joins state with edges and sums by destination, at any
-size. The vectorised one runs many examples through a broadcast compressed graph; it is taken only below a checked number of edges.
+Three physical forms give the same numbers. The relational one joins one state with edges and sums by destination. Many
+examples at once run through a broadcast compressed graph, below a checked size, or else through the graph in blocks (``blocks``).
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import activation, dot
+from ..functions.vectors import activation
 
 #: Graphs above this size are never broadcast: 512 MB, at 12 bytes an edge and 24 a node.
 BROADCAST_BYTES = 512 << 20
@@ -125,25 +125,17 @@ def compressed(edges: DataFrame, nodes: DataFrame) -> tuple[Compressed, list] |
 def states(examples: DataFrame, edges: DataFrame, nodes: DataFrame, inputs: int, outputs: int, dim: int, input_scale: float, steps: int, leak: float, scale: float, key: str, seed: int = 42) -> DataFrame:
     """key, energy, last: for every example (key, u) the states of the output nodes after ``steps``. Roles are drawn from the seed.
 
-    A graph of a checked size goes to every task; a larger one is run by joins over (example, node), to the same numbers.
+    A graph of a checked size goes to every task; a larger one is run in blocks, to the same numbers.
     """
     made = compressed(edges, nodes)
     if made is not None:
         g, names = made
         ins, outs = picked_roles(names, seed, inputs, outputs)
         return batch_states(examples, g, input_weights(len(names), ins, dim, input_scale, seed), steps, leak, scale, outs, key=key).select(key, "energy", "last")
-    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("node").cast("string")).cast("binary"))
-    first = [r[0] for r in nodes.select("node").distinct().orderBy(order).limit(inputs + outputs).collect()]  # roles are bounded by their number
-    ins, rest = first[:inputs], first[inputs:] or first
-    win = input_weights(inputs, np.arange(len(ins)), dim, input_scale, seed)[: len(ins)]
-    table = edges.sparkSession.createDataFrame([(n, row.tolist()) for n, row in zip(ins, win, strict=True)], "node long, weights array<double>")
-    drive = examples.select(key, F.col("u").alias("v")).join(F.broadcast(table)).select(key, "node", dot(F.col("v"), F.col("weights")).alias("u"))  # inputs are few
-    start = examples.select(key).join(nodes.select("node").distinct()).select(key, "node", F.lit(0.0).alias("x"))  # the states themselves: a row for each example and node
-    x = run(start, edges, drive, steps, cut_every=1, leak=leak, scale=scale, keys=(key,))
-    x = checkpointed(x)
-    places = edges.sparkSession.createDataFrame([(k, rest[k % len(rest)]) for k in range(outputs)], "pos int, node long")
-    last = x.join(F.broadcast(places), "node").groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("last"))  # one entry an output
-    return x.groupBy(key).agg(F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("energy")).join(last, key)
+    from . import blocks
+
+    net = blocks.built(edges, nodes, inputs, outputs, dim, input_scale, seed)
+    return blocks.batch_states(examples, net, steps, leak, scale, key=key).select(key, "energy", "last")
 
 
 def batch_states(examples: DataFrame, graph: Compressed, win: np.ndarray, steps: int, leak: float, scale: float, picks: np.ndarray, washout: int = 0, key: str = "id", batch: int = 128) -> DataFrame:
@@ -187,7 +179,7 @@ def picked_roles(names: list, seed: int, inputs: int, outputs: int) -> tuple[np.
 
     order = sorted(range(len(names)), key=lambda i: hashlib.md5(f"{seed}:{names[i]}".encode()).hexdigest())
     rest = order[inputs:] or order
-    return np.array(order[:inputs]), np.array([rest[i % len(rest)] for i in range(outputs)])
+    return np.array(order[:inputs], np.int64), np.array([rest[i % len(rest)] for i in range(outputs if rest else 0)], np.int64)
 
 
 def weighted_sample(edges: DataFrame, k: int, uniform: Column) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.hashing import draw, uniform
-from ..operators import controls, graph, reservoir
+from ..operators import blocks, controls, graph, reservoir
 from ..registry import ORACLES, query, table
 
 EDGES = """e AS (SELECT src, dst, count(*)::DOUBLE AS w FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS dst FROM lineitem) WHERE dst IS NOT NULL AND src <> dst GROUP BY ALL)"""
@@ -226,6 +226,16 @@ def reservoir_vectorised(spark, sf_dir):
     return got.where("id = 1").select(F.posexplode("last").alias("pos", "x")).join(places, "pos").select("node", F.round("x", 6).alias("x"))
 
 
+@query(ORACLES["reservoir_4step"])
+def reservoir_blocks(spark, sf_dir):
+    """The 4-step states by the graph in blocks, each of 512 nodes."""
+    n, e, drive, _ = _setup(spark, sf_dir)
+    net = blocks.built(e, n, 0, 0, 1, 1.0, weights=drive.where("u <> 0").select("node", F.array("u").alias("weights")), size=512)
+    dyn, numbers, groups = blocks.started(net, spark.createDataFrame([(1, [1.0])], "id long, u array<double>"), "id")
+    dyn, _ = blocks.run(net, dyn, groups, 4, LEAK, SCALE)
+    return blocks.states_of(net, dyn, numbers, "id").select("node", F.round("x", 6).alias("x"))
+
+
 # --- controls and lesions ---
 _PERMUTE = "a AS (SELECT *, row_number() OVER (ORDER BY src, dst) AS rn FROM e), b AS (SELECT w AS w2, dst AS dst2, row_number() OVER (ORDER BY md5('{0}:' || src || ':' || dst), src, dst) AS rn FROM e)"
 

@@ -2,32 +2,39 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import controls, evaluation, facts, learning, replay, reservoir
+from ..operators import blocks, controls, evaluation, facts, learning, replay, reservoir
 from ..registry import query, table
 from .graph_queries import edges, nodes
 from .model_queries import _SCORED, _TRIALS, _trials, cases
 
 
-def _network(spark, sf_dir):
+def _network(spark, sf_dir, wide=False):
+    """The replay network: broadcast, or in blocks if it is large (or ``wide``)."""
     e, n = reservoir.checkpointed(edges(spark, sf_dir)), nodes(spark, sf_dir)
-    made = reservoir.compressed(e, n)
+    made = None if wide else reservoir.compressed(e, n)
     if made is None:
-        raise ValueError("the graph is too large for closed-loop replay; take a subgraph")
+        inputs = max(1, n.select("node").distinct().count() // 8)
+        return replay.Wide(blocks.built(e, n, inputs, replay.FEATURES, replay.DIM, replay.INPUT_SCALE), 0.01)
     g, names = made
     inputs, outputs = reservoir.picked_roles(names, 42, max(1, len(names) // 8), replay.FEATURES)
     return replay.Network(g, reservoir.input_weights(len(names), inputs, replay.DIM, replay.INPUT_SCALE), outputs, 0.01)
 
 
-def _taught(spark, sf_dir):
-    net = _network(spark, sf_dir)
+def _taught(spark, sf_dir, wide=False):
+    net = _network(spark, sf_dir, wide)
     inputs = reservoir.checkpointed(replay.drives(table(spark, sf_dir, "benchmark")))
     states = reservoir.checkpointed(replay.read(inputs, net))
     return net, inputs, states, replay.fit(states)
 
 
+def _session(spark, sf_dir, steps, wide=False):
+    net, inputs, states, w = _taught(spark, sf_dir, wide)
+    atlas = controls.numbered(states.select("item_id", "features"), ["item_id"]).select((F.col("rn") - 1).alias("pos"), "features")
+    return replay.replayed(inputs, net, w, atlas, steps).select("item_id", "step", F.round("rms", 6).alias("rms"), "status", "match")
+
+
 @query()
 def replay_training(spark, sf_dir):
     _, _, states, w = _taught(spark, sf_dir)
@@ -37,27 +44,44 @@ def replay_training(spark, sf_dir):
 @query()
 def replay_session(spark, sf_dir):
     """64 closed-loop steps from every card."""
-    net, inputs, states, w = _taught(spark, sf_dir)
-    atlas = np.array([r["features"] for r in states.select("item_id", "features").orderBy("item_id").collect()])  # cards are few by contract: 48 at most in a session, all of the table here
-    return replay.replayed(inputs, net, w, atlas, 64).select("item_id", "step", F.round("rms", 6).alias("rms"), "status", "match")
+    return _session(spark, sf_dir, 64)
+
+
+@query()
+def replay_session_blocks(spark, sf_dir):
+    """Four closed-loop steps from every card, by the graph in blocks."""
+    return _session(spark, sf_dir, 4, wide=True)
 
 
-def _heard(u, e, n):
+def _heard(u, e, n, wide=False):
     """Energy and output states, as ``u``, of every case after the fact-driven steps."""
     inputs = max(64, n.count() // 180)
+    if wide:
+        net = blocks.built(e, n, inputs, facts.FEATURES, facts.DIM, facts.INPUT_SCALE)
+        return blocks.batch_states(u, net, facts.STEPS, facts.LEAK, 0.01, key="case_id").select("case_id", "energy", F.col("last").alias("u"))
     return reservoir.states(u, reservoir.checkpointed(e), n, inputs, facts.FEATURES, facts.DIM, facts.INPUT_SCALE, facts.STEPS, facts.LEAK, 0.01, "case_id").select("case_id", "energy", F.col("last").alias("u"))
 
 
-@query()
-def village_hear(spark, sf_dir):
-    """Four steps of the fact-driven reservoir for every case, read out by the centroids of the teaching cases."""
+def _advice(spark, sf_dir, wide=False):
     c = cases(spark, sf_dir)
-    got = reservoir.checkpointed(_heard(facts.encoded(c), edges(spark, sf_dir), nodes(spark, sf_dir)))
+    got = reservoir.checkpointed(_heard(facts.encoded(c), reservoir.checkpointed(edges(spark, sf_dir)), nodes(spark, sf_dir), wide))
     teach = got.join(c.where("split = 'teach'").select("case_id", "label"), "case_id")
     scores = facts.scored_arrays(got.join(c.where("split = 'holdout'").select("case_id"), "case_id", "left_semi"), facts.centroids(teach), "case_id")
     return facts.advised(scores, "case_id", got.select("case_id", "energy")).select("case_id", "action", "forced_choice", F.round("confidence", 6).alias("confidence"), "reason")
 
 
+@query()
+def village_hear(spark, sf_dir):
+    """Four steps of the fact-driven reservoir for every case, read out by the centroids of the teaching cases."""
+    return _advice(spark, sf_dir)
+
+
+@query()
+def village_hear_blocks(spark, sf_dir):
+    """The same by the graph in blocks."""
+    return _advice(spark, sf_dir, wide=True)
+
+
 @query()
 def lesion_study(spark, sf_dir):
     """Accuracy of a frozen centroid readout of the reservoir's activity, intact and after each lesion."""
