@@ -85,21 +85,32 @@ def test_raking_reaches_margins(spark):
     assert abs(sum(r.weight for r in got if r.source == "a") / total - 0.5) < 1e-3 and abs(sum(r.weight for r in got if r.lang == "y") / total - 0.7) < 1e-3
 
 
-def test_expected_margins_in_production(spark):
-    """Shares of expected tokens by margin with the query's own parameters. One topic's target is beyond its tokens, so the total is short and its share too."""
-    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01", "sf0.1"])
+def test_expected_margins_in_production(spark, size):
+    """Expected tokens by margin with the query's own parameters: every value's within 1 % of its target, and no target is beyond what there is."""
+    docs = spark.read.parquet(f"/root/testdata/{size}/documents.parquet")
     cells = raking.raked(raking.features(docs).groupBy(*raking.MARGINS).agg(F.sum("n_tokens").alias("tokens")))
-    assert cells.where("probability > 1 OR probability < 0").count() == 0
-    rows = {(r.margin, r.value): r for r in raking.margins(cells).collect()}
-    whole = {m: [sum(getattr(x, c) for (k, _), x in rows.items() if k == m) for c in ("expected", "target")] for m in raking.MARGINS}
-    for (m, _), r in rows.items():
-        if r.target > r.tokens:
-            assert m == "topic" and abs(r.expected - r.tokens) < 0.001 * r.tokens
-        elif m != "topic":
-            assert abs(r.expected / whole[m][0] - r.target / whole[m][1]) < 0.005, r
-    got = raking.probabilities(docs).where("sampled").agg(F.sum("n_tokens")).first()[0]
-    want = sum(r.expected for (m, _), r in rows.items() if m == "lang")
-    assert abs(got - want) < 0.03 * want
+    assert cells.where("probability > 1 OR probability < 0").count() == 0 and cells.first().residual <= raking.TOLERANCE
+    rows = raking.margins(cells).collect()
+    every = sum(r.tokens for r in rows if r.margin == "lang")
+    for m in raking.MARGINS:
+        assert abs(sum(r.target for r in rows if r.margin == m) - raking.RATE * every) < 1e-6 * every
+    for r in rows:
+        assert r.target <= raking.MOST * r.tokens * (1 + 1e-9) and abs(r.expected / r.target - 1) < 0.01, r
+        assert r.target >= r.wanted * (1 - 1e-9) or abs(r.target / r.tokens - raking.MOST) < 1e-9, r
+    if size == "sf0.1":
+        assert {r.value for r in rows if r.target < r.wanted * (1 - 1e-9)} == {"line", "noise", "shout", "table", "es"}
+        got = raking.probabilities(docs).where("sampled").agg(F.sum("n_tokens")).first()[0]
+        assert abs(got - raking.RATE * every) < 0.03 * every
+
+
+def test_targets_that_contradict_each_other(spark, monkeypatch):
+    """A source that speaks one language only can't have more than the language: the rounds end, and the residual says so."""
+    monkeypatch.setattr(raking, "LIMIT", 24)
+    cells = spark.createDataFrame([("a", "x", "t", 500), ("b", "y", "t", 500)], "source string, lang string, topic string, tokens long")
+    shares = {"source": spark.createDataFrame([("a", 0.9), ("b", 0.1)], "source string, share double"), "lang": spark.createDataFrame([("x", 0.1), ("y", 0.9)], "lang string, share double")}
+    got = raking.raked(cells, shares, rate=0.4).collect()
+    assert all(r.residual > 0.5 and 0 <= r.probability <= 1 for r in got)
 
 
 def test_raking_of_odd_rows(spark):
