@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import check_queries, graph_queries, model_queries, service_queries, text_queries  # noqa: F401  (registers the queries)
+from .plans import check_queries, file_queries, graph_queries, model_queries, service_queries, text_queries  # noqa: F401  (registers the queries)
 from .registry import ORACLES, QUERIES
 
 

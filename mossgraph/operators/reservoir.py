@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import activation
@@ -19,16 +19,20 @@ from ..functions.vectors import activation
 BROADCAST_BYTES = 512 << 20
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Lineage ends here, in the shared checkpoint folder."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+def checkpoint_dir(spark: SparkSession) -> None:
+    """Sets the checkpoint folder where none is set: spark.checkpoint.dir, or a folder of this machine if that is absent, as in tests."""
+    if not spark.sparkContext.getCheckpointDir():
+        where = spark.conf.get("spark.checkpoint.dir", None)
         if not where:
             import tempfile
 
             where = tempfile.mkdtemp(prefix="mossgraph-")
-        sc.setCheckpointDir(where)
+        spark.sparkContext.setCheckpointDir(where)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Lineage ends here, in the shared checkpoint folder."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 
@@ -84,6 +88,22 @@ def spectral_scale(edges: DataFrame, start: DataFrame, target: float = 0.9, step
     return last.agg(radius.alias("radius"), F.when(radius < 1e-12, 1.0).otherwise(target / radius).alias("factor"))
 
 
+def spectral_radius(edges: DataFrame, nodes: DataFrame, steps: int = 40) -> float:
+    """The radius as ``spectral_scale`` estimates it from ones at all nodes; by the broadcast form below its bound. 0 where activity vanishes."""
+    made = compressed(edges, nodes)
+    if made is None:
+        return spectral_scale(edges, nodes.select("node", F.lit(1.0).alias("x")), 1.0, steps).first()["radius"]
+    g, names = made
+    x, radius = np.ones((len(names), 1)), 0.0
+    for _ in range(steps):
+        z = g.incoming(x)
+        radius = float(np.sqrt((z * z).sum()))
+        if radius < 1e-300:
+            return 0.0
+        x = z / radius
+    return radius
+
+
 def region_activity(state: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.join(state, "node", "left").groupBy("region").agg(F.avg(F.abs(F.coalesce("x", F.lit(0.0)))).alias("activity"))
 

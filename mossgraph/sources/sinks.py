@@ -88,13 +88,21 @@ def binary_anatomy(bodies: DataFrame) -> tuple[bytes, str]:
 
 
 def content_addressed(spark, payload: dict, path: str) -> str:
-    """Writes JSON under a name that holds its digest; a second time nothing changes. Returns the name."""
-    from .tables import exists
-
-    text = json.dumps(payload, sort_keys=True, separators=(",", ":"))
-    name = f"{path}/{hashlib.sha256(text.encode()).hexdigest()}.json"
-    if not exists(spark, name):
-        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(name)
+    """Writes JSON under a name that holds its digest, by a file of another name that is renamed; a second time nothing changes. Returns the name."""
+    import uuid
+
+    from .files import opened
+
+    text = json.dumps(payload, sort_keys=True, separators=(",", ":")).encode()
+    name = f"{path}/{hashlib.sha256(text).hexdigest()}.json"
+    fs, at = opened(name)
+    if fs.get_file_info(at).is_file:
+        return name
+    fs.create_dir(at.rsplit("/", 1)[0], recursive=True)
+    made = f"{at}.{uuid.uuid4().hex}.tmp"
+    with fs.open_output_stream(made) as out:
+        out.write(text)
+    fs.move(made, at)
     return name
 
 

@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .files import ANATOMY_MAGIC, GRAPH_MAGIC, MISSING, REPLAY_MAGIC, registered  # noqa: F401
+
 TEXT = "text string, labels array<string>, contains_sensitive boolean, difficulty string, task string"
 #: Data sets in order of preference.
 PREFERENCE = ("sensitive_harder", "sensitive_hard", "sensitive")
-#: First bytes of the binary files.
-GRAPH_MAGIC, ANATOMY_MAGIC, REPLAY_MAGIC = b"LFLYMC1\x00", b"LFLYAN1\x00", b"LFDREAM1"
-MISSING = -(1 << 31)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -80,52 +76,14 @@ def resolve(df: DataFrame, names: tuple[str, ...]) -> str:
     raise KeyError(f"none of {names} among {df.columns}")
 
 
-def binary_graph(spark: SparkSession, path: str, magic: bytes = GRAPH_MAGIC, positive: bool = True) -> DataFrame:
-    """src, dst, w of compressed-row files: magic, nodes, edges, offsets, targets, weights. Wrong sizes, offsets, targets or weights are errors."""
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            for raw in rows["content"]:
-                raw = bytes(raw)
-                if len(raw) < 16 or raw[:8] != magic:
-                    raise ValueError("not a graph file")
-                n, m = struct.unpack_from("<II", raw, 8)
-                if len(raw) != 16 + 4 * (n + 1) + 8 * m:
-                    raise ValueError("sizes don't match")
-                offsets = np.frombuffer(raw, "<u4", n + 1, 16)
-                dst = np.frombuffer(raw, "<u4", m, 16 + 4 * (n + 1))
-                w = np.frombuffer(raw, "<f4", m, 16 + 4 * (n + 1) + 4 * m)
-                if offsets[0] != 0 or offsets[-1] != m or (np.diff(offsets.astype(np.int64)) < 0).any():
-                    raise ValueError("wrong offsets")
-                if (dst >= n).any() or not np.isfinite(w).all() or (positive and (w <= 0).any()):
-                    raise ValueError("wrong connections")
-                src = np.repeat(np.arange(n), np.diff(offsets.astype(np.int64)))
-                yield pd.DataFrame({"src": src.astype(np.int64), "dst": dst.astype(np.int64), "w": w.astype(float)})
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, "src long, dst long, w double")
+def binary_graph(spark: SparkSession, path: str, magic: bytes = GRAPH_MAGIC, positive: bool = True, **options) -> DataFrame:
+    """src, dst, w of compressed-row files: magic, nodes, edges, offsets, targets, weights. Wrong sizes, offsets, targets or weights are errors. Large files are read by ranges of rows and edges."""
+    return registered(spark).read.format("mossgraph_csr").options(magic=magic.hex(), positive="true" if positive else "false", **options).load(path)
 
 
 def binary_anatomy(spark: SparkSession, path: str) -> DataFrame:
-    """node, body_id, x, y, z, flags of anatomy files; coordinates that are missing or not flagged are null."""
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            for raw in rows["content"]:
-                raw = bytes(raw)
-                if len(raw) < 16 or raw[:8] != ANATOMY_MAGIC:
-                    raise ValueError("not an anatomy file")
-                n, located = struct.unpack_from("<II", raw, 8)
-                if len(raw) != 16 + 17 * n or located > n:
-                    raise ValueError("sizes don't match")
-                ids, xyz, flags = np.frombuffer(raw, "<u4", n, 16), np.frombuffer(raw, "<i4", 3 * n, 16 + 4 * n).reshape(n, 3), np.frombuffer(raw, "u1", n, 16 + 16 * n)
-                there = (flags & 8 > 0) & (xyz != MISSING).all(1)
-                out = pd.DataFrame({"node": np.arange(n), "body_id": ids.astype(np.int64), "flags": flags.astype(int)})
-                for k, c in enumerate("xyz"):
-                    out[c] = pd.array(np.where(there, xyz[:, k], 0), "Int64")
-                    out.loc[~there, c] = pd.NA
-                yield out[["node", "body_id", "x", "y", "z", "flags"]]
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, "node long, body_id long, x long, y long, z long, flags int")
+    """node, body_id, x, y, z, flags of anatomy files; coordinates that are missing or not flagged are null. Large files are read by ranges of bodies."""
+    return registered(spark).read.format("mossgraph_anatomy").load(path)
 
 
 def results(spark: SparkSession, path: str, version: str) -> DataFrame:
