@@ -43,12 +43,14 @@ def random_erdos(edges: DataFrame, nodes: DataFrame, seed: int = 0) -> DataFrame
     """As many edges between other pairs, without loops or repeats, with the weights in another order.
 
     Pairs are drawn by number (source and destination from a hash of seed and draw number), a tenth more than needed in
-    each round until enough differ, so pairs are never enumerated.
+    each round until enough differ, so pairs are never enumerated. No edges give none.
     """
     from .reservoir import checkpointed
 
     named = checkpointed(numbered(nodes.select("node").distinct(), ["node"], "i"))
     n, m = named.count(), edges.count()
+    if m == 0:
+        return edges.select("src", "dst", "w")
     if m > n * (n - 1):
         raise ValueError("more edges than pairs of nodes")
     pick = lambda k: F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "id"), F.lit(n)) + 1

@@ -46,10 +46,10 @@ def chosen_or_best(scores: DataFrame, key: str, threshold: float = 0.5) -> DataF
     return rows.select(key, F.when(F.size(over) > 0, over).otherwise(F.array("best")).alias("labels"))
 
 
-def counts(rows: DataFrame) -> DataFrame:
-    """label, tp, fp, fn, tn, support of rows (id, label, y, p)."""
+def counts(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """label, tp, fp, fn, tn, support of rows (id, label, y, p), for each of ``by``."""
     y, p = F.col("y") == 1, F.col("p") == 1
-    return rows.groupBy("label").agg(F.count_if(y & p).alias("tp"), F.count_if(~y & p).alias("fp"), F.count_if(y & ~p).alias("fn"), F.count_if(~y & ~p).alias("tn"), F.count_if(y).alias("support"))
+    return rows.groupBy(*by, "label").agg(F.count_if(y & p).alias("tp"), F.count_if(~y & p).alias("fp"), F.count_if(y & ~p).alias("fn"), F.count_if(~y & ~p).alias("tn"), F.count_if(y).alias("support"))
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -57,23 +57,23 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(0.0)
 
 
-def per_class(rows: DataFrame) -> DataFrame:
-    c = counts(rows)
+def per_class(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    c = counts(rows, by)
     p, r = _ratio(F.col("tp"), F.col("tp") + F.col("fp")), _ratio(F.col("tp"), F.col("tp") + F.col("fn"))
     return c.select("*", p.alias("precision"), r.alias("recall"), _ratio(2.0 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"))
 
 
-def metrics(rows: DataFrame) -> DataFrame:
-    """One row: exact match, macro and micro scores."""
-    classes = per_class(rows).agg(F.avg("precision").alias("macro_precision"), F.avg("recall").alias("macro_recall"), F.avg("f1").alias("macro_f1"), _ratio(2.0 * F.sum("tp"), 2 * F.sum("tp") + F.sum("fp") + F.sum("fn")).alias("micro_f1"))
-    exact = rows.groupBy("id").agg(F.bool_and(F.col("y") == F.col("p")).alias("same")).agg(F.count("*").alias("examples"), F.avg(F.col("same").cast("double")).alias("exact_match"))
-    return exact.join(classes)
+def metrics(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row (for each of ``by``): exact match, macro and micro scores."""
+    classes = per_class(rows, by).groupBy(*by).agg(F.avg("precision").alias("macro_precision"), F.avg("recall").alias("macro_recall"), F.avg("f1").alias("macro_f1"), _ratio(2.0 * F.sum("tp"), 2 * F.sum("tp") + F.sum("fp") + F.sum("fn")).alias("micro_f1"))
+    exact = rows.groupBy(*by, "id").agg(F.bool_and(F.col("y") == F.col("p")).alias("same")).groupBy(*by).agg(F.count("*").alias("examples"), F.avg(F.col("same").cast("double")).alias("exact_match"))
+    return exact.join(classes, list(by)) if by else exact.join(classes)
 
 
-def binary(rows: DataFrame) -> DataFrame:
-    """One row: accuracy and F1 of sensitive or not, of rows (y, p: booleans)."""
+def binary(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row (for each of ``by``): accuracy and F1 of sensitive or not, of rows (y, p: booleans)."""
     tp, wrong = F.count_if(F.col("y") & F.col("p")), F.count_if(F.col("y") != F.col("p"))
-    return rows.agg(F.avg((F.col("y") == F.col("p")).cast("double")).alias("binary_accuracy"), _ratio(2.0 * tp, 2 * tp + wrong).alias("binary_f1"))
+    return rows.groupBy(*by).agg(F.avg((F.col("y") == F.col("p")).cast("double")).alias("binary_accuracy"), _ratio(2.0 * tp, 2 * tp + wrong).alias("binary_f1"))
 
 
 def paired_deltas(trials: DataFrame, model: str, reference: str) -> DataFrame:

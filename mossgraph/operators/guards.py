@@ -26,11 +26,13 @@ def off_unit(rows: DataFrame, key: str, vector: str, slack: float = 1e-3) -> Dat
 
 
 def provenance(rows: DataFrame, key: str, vector: str, manifest: dict) -> DataFrame:
-    """The rows, if a manifest's numbers hold: rows, dimensions, the digest of ids and vectors in order, and unit length where it says so. Else an error."""
+    """The rows, if a manifest's numbers hold: rows, dimensions, the digest of ids and vectors in order, and unit length where it says so. Else an error. No rows agree with a manifest of none."""
     from .graph import ordered_digest
 
     text = F.concat_ws(":", F.col(key).cast("string"), F.concat_ws(",", F.transform(vector, lambda x: F.format_string("%.6f", x.cast("double")))))
     seen = rows.agg(F.count("*").alias("rows"), F.min(F.size(vector)).alias("least"), F.max(F.size(vector)).alias("most")).first()
+    if seen["rows"] == manifest["rows"] == 0:
+        return rows
     if (seen["rows"], seen["least"], seen["most"]) != (manifest["rows"], manifest["dimensions"], manifest["dimensions"]):
         raise ValueError(f"rows or dimensions differ from the manifest: {seen}")
     if ordered_digest(rows, [key], text).first()["digest"] != manifest["digest"]:

@@ -62,7 +62,7 @@ def model_problems(spark, sf_dir):
     """Models made of embeddings: eight equal centroids each, of another schema, graph, seed or shape now and then."""
     i = F.col("vec_id")
     e = table(spark, sf_dir, "embeddings")
-    size = e.select(F.size("embedding")).first()[0]
+    size = (e.select(F.size("embedding")).first() or [0])[0]
     w = F.transform("embedding", lambda x: x.cast("double") * F.when(i % 3 == 0, 100).otherwise(1))
     rows = e.select(i.alias("id"), F.when(i % 5 == 0, "old").otherwise("v1").alias("schema"), F.when(i % 7 == 0, "g2").otherwise("g1").alias("fingerprint"), (i * 30000000).alias("seed"), F.array(*map(F.lit, facts.ACTIONS)).alias("labels"), F.array_repeat(w, F.when(i % 11 == 0, 7).otherwise(8)).alias("centroids"))
     return validation.model_problems(rows, "v1", "g1", size)

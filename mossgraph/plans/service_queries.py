@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import blocks, controls, evaluation, facts, learning, replay, reservoir
+from ..operators import blocks, candidates, controls, evaluation, facts, models, replay, reservoir
 from ..registry import query, table
 from .graph_queries import edges, nodes
 from .model_queries import _SCORED, _TRIALS, _trials, cases
@@ -109,18 +109,59 @@ def twin_classification(spark, sf_dir):
     return c.where("split = 'holdout'").select("case_id", F.col("label").alias("rules")).join(advice.select("case_id", F.col("forced_choice").alias("facts"), "action"), "case_id", "left").withColumn("agree", F.col("rules").eqNullSafe(F.col("facts")))
 
 
+PENALTIES = (0.01, 0.1, 1.0)
+
+
 @query()
 def readout_search(spark, sf_dir):
-    """Penalties of the logistic readout compared on a validation part; the first best is frozen and scored on the test part."""
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("u"), F.array((F.col("label") % 2).cast("int")).alias("y"))
-    train = rows.where("vec_id % 4 < 2")
-    out = None
-    for k, penalty in enumerate((0.01, 0.1, 1.0)):
-        scored = learning.logistic_scores(train, rows.where("vec_id % 4 >= 2"), "vec_id", "u", "y", 1, penalty)
-        part = scored.join(rows.select("vec_id", "y"), "vec_id").groupBy((F.col("vec_id") % 4 == 3).alias("test")).agg(F.avg(((F.col("p")[0] >= 0.5).cast("int") == F.col("y")[0]).cast("double")).alias("accuracy")).withColumn("candidate", F.lit(k)).withColumn("c", F.lit(penalty))
-        out = part if out is None else out.unionByName(part)
-    wide = out.groupBy("candidate", "c").agg(F.max(F.when(~F.col("test"), F.col("accuracy"))).alias("validation"), F.max(F.when(F.col("test"), F.col("accuracy"))).alias("test"))
-    return wide.orderBy(F.desc("validation"), "candidate").limit(1).select("c", F.round("validation", 4).alias("validation"), F.round("test", 4).alias("test"))
+    """Penalties of the logistic readout, all fitted in the same passes and compared on a validation part; the first best is frozen and scored on the test part."""
+    part = F.when(F.col("vec_id") % 4 < 2, "train").when(F.col("vec_id") % 4 == 2, "validation").otherwise("test")
+    rows = reservoir.checkpointed(table(spark, sf_dir, "embeddings").where("vec_id IS NOT NULL AND embedding IS NOT NULL").select(F.lit("vectors").alias("features"), "vec_id", F.col("embedding").alias("x"), F.array((F.col("label") % 2).cast("int")).alias("y"), part.alias("split")))
+    race = [candidates.Candidate(str(c), "vectors", c) for c in PENALTIES]
+    readouts = candidates.fitted(rows.where("split = 'train'"), race, 1)
+    p = candidates.probabilities(rows.where("split <> 'train'"), race, readouts, "vec_id").join(rows.select("vec_id", "y", "split"), "vec_id")
+    right = ((F.col("p")[0] >= 0.5).cast("int") == F.col("y")[0]).cast("double")
+    wide = p.groupBy("candidate").agg(F.avg(F.when(F.col("split") == "validation", right)).alias("validation"), F.avg(F.when(F.col("split") == "test", right)).alias("test"))
+    return wide.withColumn("c", F.col("candidate").cast("double")).orderBy(F.desc("validation"), "c").limit(1).select("c", F.round("validation", 4).alias("validation"), F.round("test", 4).alias("test"))
+
+
+def _classified(spark, sf_dir):
+    """Documents with what they hold, as rows of a text classifier: id, text, labels, split."""
+    has = lambda pattern, name: F.when(F.col("text").rlike(pattern), name)
+    labels = F.filter(F.array(has(r"[A-Za-z0-9.]+@[A-Za-z0-9.]+", "EMAIL"), has(r"(?i)(password|secret|token|api_?key)", "CREDENTIAL"), has(r"\b\d{3}-\d{2}-\d{4}\b", "SSN"), has(r"\+?\d[\d ()-]{8,}\d", "PHONE")), lambda x: x.isNotNull())
+    split = F.when(F.col("doc_id") % 5 < 3, "train").when(F.col("doc_id") % 5 == 3, "validation").otherwise("test")
+    rows = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    return reservoir.checkpointed(rows.select(F.col("doc_id").alias("id"), "text", F.when(F.size(labels) > 0, labels).otherwise(F.array(F.lit("NONE"))).alias("labels"), split.alias("split")))
+
+
+#: A bundle's settings in the queries: fewer steps and outputs than the models' default, over all nodes of the graph.
+BUNDLE = {"timesteps": 4, "outputs": 48, "input_dim": 16, "readout_steps": 12}
+
+
+@query()
+def model_comparison(spark, sf_dir):
+    """Every kind of logistic model under two seeds on all documents, side by side."""
+    got = models.comparison(["linear", "connectome", "random_weights"], [42, 43], _classified(spark, sf_dir), reservoir.checkpointed(edges(spark, sf_dir)), nodes(spark, sf_dir), **BUNDLE)
+    return got.select("model", "seed", "split", "examples", *(F.round(c, 4).alias(c) for c in ("exact_match", "macro_f1", "micro_f1", "binary_accuracy")))
+
+
+@query()
+def lesions_retrained(spark, sf_dir):
+    """The connectome model after lesions, its readouts fitted anew."""
+    specs = [("remove_fraction", 0.25, None), ("remove_high_degree", 0.05, None)]
+    got = models.lesions(_classified(spark, sf_dir), reservoir.checkpointed(edges(spark, sf_dir)), nodes(spark, sf_dir), specs, **BUNDLE)
+    return got.select("lesion", *(F.round(c, 4).alias(c) for c in ("macro_f1", "delta_macro_f1", "original_macro_f1")))
+
+
+@query()
+def profile_search(spark, sf_dir):
+    """Profiles of the connectome model (leak and feature mode) with two penalties each, chosen on the validation part alone; the worse half leaves after six passes."""
+    data = _classified(spark, sf_dir).where("split <> 'test'")
+    e, n = reservoir.checkpointed(edges(spark, sf_dir)), nodes(spark, sf_dir)
+    bundles = {f"leak {leak} {mode}": models.built("connectome", e, n, leak=leak, feature_mode=mode, **BUNDLE) for leak in (0.3, 0.6) for mode in ("states", "hybrid")}
+    race = [candidates.Candidate(f"{name} c {c}", name, c) for name in bundles for c in (0.1, 1.0)]
+    best, got = models.searched(race, models.featured(bundles, data), rungs=(6,), steps=BUNDLE["readout_steps"])
+    return got.select("candidate", F.round("macro_f1", 4).alias("macro_f1"), (F.col("candidate") == best.name).alias("chosen"))
 
 
 @query(f"WITH {_TRIALS} SELECT model, printf('%.4f +- %.4f', avg(macro_f1), stddev_pop(macro_f1)) AS macro_f1 FROM t GROUP BY model")
