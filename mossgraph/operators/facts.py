@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -214,6 +217,46 @@ def field_centroids(examples: DataFrame, truth: DataFrame, key: str = "case_id")
     return centroids(named).select("label.field", "label.value", vectors.unit(F.col("centroid")).alias("centroid"))
 
 
+def field_decode(examples: DataFrame, fitted: DataFrame, key: str = "case_id", digits: int = 9) -> DataFrame:
+    """key, field, value, margin: for every example (key, u) and field the value whose centroid (of ``fitted``: field, value, centroid) it is nearest to, and by how much it beats the next one.
+
+    All centroids are one matrix, sorted by field and value, whose fields are segments of its rows: one product for each batch,
+    then greatest and second greatest of each segment. Scores are rounded to ``digits``; ties go to the first value. A field of one
+    value has no margin. The values of all fields together have ``MOST_NUMBERS`` numbers at most, else an error.
+    """
+    rows = sorted(map(tuple, fitted.select("field", "value", "centroid").limit(MOST_NUMBERS // DIM + 1).collect()), key=lambda r: (r[0], r[1] is not None, r[1]))
+    if len(rows) * DIM > MOST_NUMBERS:
+        raise ValueError("too many values for one matrix")
+    fields = [r[0] for r in rows]
+    starts = [i for i, f in enumerate(fields) if i == 0 or f != fields[i - 1]]
+    shared = examples.sparkSession.sparkContext.broadcast((np.array([r[2] for r in rows]).reshape(len(rows), DIM), [r[1] for r in rows]))
+    kind = examples.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matrix, values = shared.value
+        for batch in batches:
+            n = batch.num_rows
+            if not n or not starts:
+                continue
+            scores = np.round(np.array(batch.column(1).to_pylist(), float).reshape(n, -1) @ matrix.T, digits)
+            for a, b in zip(starts, [*starts[1:], len(fields)], strict=True):
+                part = scores[:, a:b]
+                best = part.argmax(1)
+                top = part[np.arange(n), best]
+                rest = part.copy()
+                rest[np.arange(n), best] = -np.inf
+                margin = pa.array(top - rest.max(1), mask=np.full(n, b - a == 1))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fields[a]] * n), pa.array([values[a + k] for k in best], pa.string()), margin], [key, "field", "value", "margin"])
+
+    return examples.select(key, "u").mapInArrow(run, f"{key} {kind}, field string, value string, margin double")
+
+
+def parsed(decoded: DataFrame, key: str = "case_id") -> DataFrame:
+    """key and the eight facts of what ``field_decode`` has read."""
+    read = F.map_from_entries(F.collect_list(F.struct("field", "value")))  # nine entries
+    return decoded.groupBy(key).agg(read.alias("m")).select(key, *(F.try_element_at("m", F.lit(f)).alias(f) for f in FIELDS))
+
+
 def observed(cases: DataFrame) -> DataFrame:
     """field, domain: the sorted values that each fact has among the cases."""
     long = cases.select(F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.col(n).alias("value")) for n in FIELDS])).alias("f"))

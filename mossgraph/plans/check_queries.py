@@ -191,6 +191,28 @@ def field_centroids(spark, sf_dir):
     return rows.where("abs(v) > 1e-6").select("field", "value", "slot", (F.round("v", 5) + 0.0).alias("x"))
 
 
+_DECODED = f"WITH {CASES}, {ENCODED}, l AS ({_LONG}), k AS (SELECT field, value, count(*) AS n FROM l GROUP BY ALL), s AS (SELECT field, value, slot, sum(v) AS s FROM l JOIN u USING (case_id) GROUP BY ALL), m AS (SELECT field, value, slot, s / n AS v FROM s JOIN k USING (field, value)), q AS (SELECT field, value, slot, v / sqrt(sum(v * v) OVER (PARTITION BY field, value)) AS x FROM m), d0 AS (SELECT case_id, field, value, sum(u.v * q.x) AS score FROM u JOIN q USING (slot) GROUP BY ALL), d AS (SELECT c.case_id, k.field, k.value, round(coalesce(score, 0), 9) AS score FROM c CROSS JOIN k LEFT JOIN d0 ON d0.case_id = c.case_id AND d0.field = k.field AND d0.value = k.value), r AS (SELECT *, row_number() OVER w AS r, lead(score) OVER w AS next FROM d WINDOW w AS (PARTITION BY case_id, field ORDER BY score DESC, value))"
+
+
+def _decoded(spark, sf_dir):
+    c = cases(spark, sf_dir)
+    teach = c.where("split = 'teach'")
+    return c, facts.field_decode(facts.encoded(c), facts.field_centroids(facts.encoded(teach), teach))
+
+
+@query(f"{_DECODED} SELECT case_id, field, value, round(score - next, 5) + 0.0 AS margin FROM r WHERE r = 1")
+def field_decode(spark, sf_dir):
+    """Every case's facts and action, read back from its vector by the nearest centroid of each field."""
+    return _decoded(spark, sf_dir)[1].select("case_id", "field", "value", (F.round("margin", 5) + 0.0).alias("margin"))
+
+
+@query(f"{_DECODED}, p AS (SELECT case_id, field, value FROM r WHERE r = 1), t AS (SELECT case_id, field, value FROM (UNPIVOT (SELECT case_id, {', '.join(facts.FIELDS)} FROM c) ON {', '.join(facts.FIELDS)} INTO NAME field VALUE value)), o AS (SELECT case_id, sum((p.value = t.value)::INTEGER) AS n FROM t JOIN p USING (case_id, field) GROUP BY case_id) SELECT count(*) AS cases, count(*) * 8 AS fields, sum(n)::BIGINT AS correct, count(*) FILTER (n = 8) AS exact FROM o")
+def decode_accuracy(spark, sf_dir):
+    """How many facts are read back right."""
+    c, read = _decoded(spark, sf_dir)
+    return facts.parse_accuracy(facts.parsed(read), c)
+
+
 _DOMAINS = " UNION ALL ".join(f"SELECT '{f}' AS field, list_sort(list(DISTINCT {f})) AS domain FROM c WHERE split = 'teach'" for f in facts.FIELDS)
 
 

@@ -161,7 +161,7 @@ def profile_search(spark, sf_dir):
     bundles = {f"leak {leak} {mode}": models.built("connectome", e, n, leak=leak, feature_mode=mode, **BUNDLE) for leak in (0.3, 0.6) for mode in ("states", "hybrid")}
     race = [candidates.Candidate(f"{name} c {c}", name, c) for name in bundles for c in (0.1, 1.0)]
     best, got = models.searched(race, models.featured(bundles, data), rungs=(6,), steps=BUNDLE["readout_steps"])
-    return got.select("candidate", F.round("macro_f1", 4).alias("macro_f1"), (F.col("candidate") == best.name).alias("chosen"))
+    return got.select("candidate", F.round("macro_f1", 4).alias("macro_f1"), (F.col("candidate") == (best.name if best else "")).alias("chosen"))
 
 
 @query(f"WITH {_TRIALS} SELECT model, printf('%.4f +- %.4f', avg(macro_f1), stddev_pop(macro_f1)) AS macro_f1 FROM t GROUP BY model")
