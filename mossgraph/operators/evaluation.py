@@ -88,7 +88,7 @@ def cluster_means(deltas: DataFrame) -> DataFrame:
 
 
 def sign_permutation(means: DataFrame) -> DataFrame:
-    """One row: two-sided p of the clusters' mean under all 2 ** k sign choices, for k of 16 at most; else under 10,000 drawn ones, with the usual correction."""
+    """One row: two-sided p of the clusters' mean under all 2 ** k sign choices, for k of 16 at most; else under 10,000 drawn ones, with the usual correction. Without clusters both are null."""
     k = means.count()
     ordered = means.orderBy("data_seed")
     values = F.transform(F.array_sort(F.collect_list(F.struct("data_seed", "mean"))), lambda x: x["mean"])
@@ -97,11 +97,11 @@ def sign_permutation(means: DataFrame) -> DataFrame:
     flips = means.sparkSession.range(1 << k if exact else 10_000)
     sign = lambda i: F.when((F.floor(F.col("id") / F.pow(F.lit(2.0), i)) % 2) == 1, 1.0).otherwise(-1.0) if exact else F.when(uniform(2026, F.col("id"), i) < 0.5, 1.0).otherwise(-1.0)
     total = F.aggregate(F.transform("m", lambda x, i: x * sign(i)), F.lit(0.0), lambda s, x: s + x)
-    rows = flips.join(F.broadcast(packed)).select((total / k).alias("perm"), "observed")
+    rows = flips.join(F.broadcast(packed)).select((total / max(k, 1)).alias("perm"), "observed")
     slack = 1e-12 if exact else 0.0
     hits = F.count_if(F.abs("perm") >= F.abs("observed") - slack)
     p = hits / F.count("*") if exact else (1 + hits) / 10_001.0
-    return rows.agg(F.max("observed").alias("observed"), p.alias("p_value"), F.lit(k).cast("long").alias("clusters"))
+    return rows.agg(F.max("observed").alias("observed"), F.when(F.lit(k > 0), p).alias("p_value"), F.lit(k).cast("long").alias("clusters"))
 
 
 def bootstrap(means: DataFrame, draws: int = 10_000, seed: int = 2026) -> DataFrame:
