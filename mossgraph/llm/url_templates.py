@@ -1,7 +1,7 @@
 """URL filter by a path-template tree. DataFrame operations only.
 
 Per host, paths become shapes: each segment's digit runs turn into ``{n}`` and long hexadecimal runs into ``{h}``. The
-tree over the shapes is then generalised level by level, down to the longest path. A position with more than ``max_children`` different segments
+tree over the shapes is then generalised from the hosts down to the longest path. A position with more than ``max_children`` different segments
 under its parent becomes ``*``; so do sibling branches whose labelled share of bad pages is within ``z`` standard errors
 of their parent's. What is left are templates; one whose smoothed share of good labelled pages (its purity) is below
 ``least_purity`` is rejected, and its pages with it.
@@ -14,8 +14,8 @@ and by its likes elsewhere, and one without either by the whole.
 
 Skew: pages are aggregated to (host, shape) before anything is shuffled by host, and each level works on these counts by
 joins, which Spark splits where one host or template has most of the rows; no window or group holds a host.
-There are as many rounds as the longest prefix that two shapes of a host share has segments, and one or two more; of a branch with a single shape the rest follows at once,
-so one very long path costs nothing. Paths count whole, however many segments they have.
+The tree is a radix tree: what all shapes of a branch go on with is one edge, however many segments it has, and its shares follow
+in one step. So there are as many rounds as a path has branchings. Paths count whole, however many segments they have.
 Nulls: a null url, or one without ``://``, has an empty host and path, and no rule fits it. Repeated rows count each and
 return each. An empty table gives an empty result. Other columns of ``pages`` are ignored.
 """
@@ -72,36 +72,33 @@ def judge(pages: DataFrame, rules=RULES, max_children: int = 50, z: float = 2.0,
     total = shapes.agg(*sums).first()
     whole = ((total["labelled"] or 0) - (total["bad"] or 0) + strength * prior) / ((total["labelled"] or 0) + strength)
     roots = shapes.groupBy("host").agg(*sums).select("host", share(F.lit(whole)).alias("here"))
-    tree = shapes.join(roots, "host").select("host", "shape", F.lit("").alias("template"), "labelled", "bad", "parts", F.col("here").alias("above"), "here")
-    ended, columns, level = [], ["host", "shape", "template", "labelled", "bad", "above"], 0
-    while True:
-        level += 1
-        seg = F.try_element_at("parts", F.lit(level))
-        tree = stored(tree.withColumn("seg", F.coalesce(seg, F.lit("\x00"))))
-        if tree.isEmpty():
-            break
-        children = tree.groupBy("host", "template", "seg").agg(*sums)
-        parents = children.groupBy("host", "template").agg(F.count("*").alias("width"), F.sum("labelled").alias("p_labelled"), F.sum("bad").alias("p_bad"))
+    tree = stored(shapes.join(roots, "host").select("host", "shape", F.lit("").alias("template"), "labelled", "bad", F.col("parts").alias("rest"), F.col("here").alias("above"), "here"))
+    ended = []
+    while not tree.isEmpty():
+        # what all shapes of a branch go on with is one edge of the tree: the least and the greatest of them share no more than that
+        groups = tree.groupBy("host", "template").agg(F.min("rest").alias("low"), F.max("rest").alias("high"), F.sum("labelled").alias("p_labelled"), F.sum("bad").alias("p_bad"))
+        differ = F.array_position(F.zip_with("low", "high", lambda x, y: x.eqNullSafe(y)), F.lit(False))
+        groups = groups.select("host", "template", "p_labelled", "p_bad", F.when(differ > 0, differ - 1).otherwise(F.size("low")).cast("int").alias("common"))
+        own = (F.col("p_labelled") - F.col("p_bad")) / F.greatest(F.col("p_labelled"), F.lit(1))
+        fade = F.pow(strength / (F.col("p_labelled") + strength), F.col("common") - 1)
+        edge = F.when(F.col("common") > 0, F.concat(F.lit("/"), F.array_join(F.slice("rest", 1, F.col("common")), "/"))).otherwise("")
+        along = lambda power, old: F.when(F.col("common") > 0, own + (F.col("here") - own) * power).otherwise(F.col(old)).alias(old)
+        rest = F.slice("rest", F.col("common") + 1, F.size("rest"))
+        moved = tree.join(groups, ["host", "template"]).select("host", "shape", F.concat("template", edge).alias("template"), "labelled", "bad", rest.alias("rest"), along(fade, "above"), along(fade * strength / (F.col("p_labelled") + strength), "here"), "p_labelled", "p_bad")
+        moved = stored(moved.withColumn("seg", F.coalesce(F.try_element_at("rest", F.lit(1)), F.lit("\x00"))))
+        # its end is a branching
+        children = moved.groupBy("host", "template", "seg").agg(*sums, F.max("p_labelled").alias("p_labelled"), F.max("p_bad").alias("p_bad"), F.max("here").alias("before"))
+        widths = children.groupBy("host", "template").agg(F.count("*").alias("width"))
         rate, pooled = F.col("bad") / F.col("labelled"), F.col("p_bad") / F.col("p_labelled")
         near = F.abs(rate - pooled) <= z * F.sqrt(pooled * (1 - pooled) / F.col("labelled"))
         similar = F.coalesce(F.when((F.col("labelled") > 0) & (F.col("labelled") < F.col("p_labelled")), near), F.lit(False))
-        wild = children.join(parents, ["host", "template"]).select("host", "template", "seg", ((F.col("width") > max_children) | similar).alias("wild"))
         goes_on = F.col("seg") != "\x00"
-        step = F.when(~goes_on, "").otherwise(F.concat(F.lit("/"), F.when(F.col("wild"), "*").otherwise(F.col("seg"))))
-        moved = stored(tree.join(wild, ["host", "template", "seg"]).select("host", "shape", "labelled", "bad", F.concat("template", step).alias("template"), "parts", goes_on.alias("goes_on"), "above", "here"))
-        branches = moved.groupBy("host", "template", "goes_on").agg(*sums, F.max("here").alias("before"), F.count("*").alias("shapes")).select("host", "template", "goes_on", "shapes", share(F.col("before")).alias("share"))
-        pick = lambda new, old: F.when(F.col("goes_on"), new).otherwise(F.col(old)).alias(old)
-        after = moved.join(branches, ["host", "template", "goes_on"]).select("host", "shape", "template", "labelled", "bad", "parts", pick(F.col("here"), "above"), pick(F.col("share"), "here"), (~F.col("goes_on")).alias("over"), (F.col("shapes") == 1).alias("alone"))
-        after = stored(after)
-        # a branch of a single shape has nothing to merge: the rest of its path stands as it is, its shares follow in one step
-        left = F.size("parts") - level
-        own = (F.col("labelled") - F.col("bad")) / F.greatest(F.col("labelled"), F.lit(1))
-        fade = F.pow(strength / (F.col("labelled") + strength), left - 1)
-        rest = F.concat("template", F.lit("/"), F.array_join(F.slice("parts", level + 1, left), "/")).alias("template")
-        ended.append(after.where("over").select(columns))
-        alone = after.where("NOT over AND alone").select("host", "shape", F.when(left > 0, rest).otherwise(F.col("template")).alias("template"), "labelled", "bad", F.when(left > 0, own + (F.col("here") - own) * fade).otherwise(F.col("above")).alias("above"))
-        ended.append(alone)
-        tree = after.where("NOT over AND NOT alone").drop("over", "alone")
+        name = F.when(~goes_on, "").otherwise(F.concat(F.lit("/"), F.when((F.col("width") > max_children) | similar, "*").otherwise(F.col("seg"))))
+        steps = stored(children.join(widths, ["host", "template"]).select("host", "template", "seg", goes_on.alias("goes_on"), F.concat("template", name).alias("next"), "labelled", "bad", "before"))
+        branches = steps.where("goes_on").groupBy("host", F.col("next").alias("next")).agg(*sums, F.max("before").alias("before")).select("host", "next", share(F.col("before")).alias("share"))
+        ended.append(moved.where(~goes_on).select("host", "shape", "template", "labelled", "bad", "above"))
+        onward = moved.where(goes_on).join(steps.select("host", "template", "seg", "next"), ["host", "template", "seg"]).join(branches, ["host", "next"])
+        tree = stored(onward.select("host", "shape", F.col("next").alias("template"), "labelled", "bad", F.slice("rest", 2, F.size("rest")).alias("rest"), F.col("here").alias("above"), F.col("share").alias("here")))
     found = stored(reduce(DataFrame.unionAll, ended)) if ended else shapes.select("host", "shape", F.lit("").alias("template"), "labelled", "bad", F.lit(0.0).alias("above"))
     likes = shapes.groupBy("shape").agg(*sums).select("shape", share(F.lit(whole)).alias("elsewhere"))
     leaves = found.join(likes, "shape").groupBy("host", "template").agg(*sums, F.max("above").alias("above"), F.avg("elsewhere").alias("elsewhere"))

@@ -187,3 +187,19 @@ def test_deep_paths_against_sql(spark):
     pages = spark.createDataFrame(list(enumerate([*urls, "http://c.info", None])), "page_id long, url string")
     for limit in (50, 2):
         same(url_templates.judge(pages, max_children=limit), url_templates.oracle(depth=8, max_children=limit), pages=pages.toPandas())
+
+
+def test_rounds_follow_branchings(spark, monkeypatch):
+    """A long path that all urls share is one edge: as many tables are written for 25 shared segments as for 5, and the result is that of the SQL, which goes level by level."""
+    tables = []
+    own = url_templates.stored
+    monkeypatch.setattr(url_templates, "stored", lambda df: tables.append(1) or own(df))
+    counts = []
+    for shared in (5, 25):
+        head = "/".join(f"s{k}" for k in range(shared))
+        urls = [f"http://{host}/{head}/{tail}" for host in ("example.com/de", "a.net", "c.info") for tail in ("x/1", "x/2/u", "y", "y/z/u", "y/z")] + [f"http://c.info/{head}"] * 2
+        pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+        tables.clear()
+        same(url_templates.judge(pages), url_templates.oracle(depth=shared + 4), pages=pages.toPandas())
+        counts.append(len(tables))
+    assert counts[0] == counts[1]
