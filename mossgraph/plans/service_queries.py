@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..operators import blocks, candidates, controls, evaluation, facts, models, replay, reservoir
+from ..operators import blocks, candidates, controls, evaluation, facts, models, replay, reservoir, sessions
 from ..registry import query, table
+from ..streaming import serial
 from .graph_queries import edges, nodes
 from .model_queries import _SCORED, _TRIALS, _trials, cases
 
@@ -169,3 +172,43 @@ def summary_report(spark, sf_dir):
     from ..sources.sinks import summary_table
 
     return summary_table(evaluation.model_summary(_trials(spark, sf_dir)))
+
+
+# Events as commands to the user's session, with two minutes between frames.
+_KINDS = {"signup": "train", "view": "start", "click": "resume", "error": "pause", "purchase": "export"}
+_TICK = 120_000_000
+_SESSIONS = f"""WITH c AS (SELECT user_id, event_id, epoch_us(ts) AS t, CASE event_type {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _KINDS.items())} END AS command FROM events WHERE ts IS NOT NULL AND event_id IS NOT NULL),
+m AS (SELECT *, coalesce(max(command = 'train') OVER w, false) AS model, lead(CASE WHEN command <> 'export' THEN t END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY t, event_id) AS next FROM c WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING)),
+r AS (SELECT *, command IN ('start', 'resume') AND model AS runs, count(*) FILTER (command = 'train' OR (command = 'start' AND model)) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS epoch FROM m),
+f AS (SELECT *, CASE WHEN NOT runs THEN 0 WHEN next IS NULL THEN 256 ELSE least(256, (next - t + {_TICK - 1}) // {_TICK}) END AS wanted, last_value(CASE WHEN command <> 'export' THEN t END IGNORE NULLS) OVER (PARTITION BY user_id, epoch ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_at,
+    last_value(CASE WHEN command <> 'export' THEN runs END IGNORE NULLS) OVER (PARTITION BY user_id, epoch ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ran FROM r),
+g AS (SELECT *, coalesce(sum(wanted) OVER v, 0) AS before, coalesce(last_value(CASE WHEN command <> 'export' THEN wanted END IGNORE NULLS) OVER v, 0) AS own FROM f WINDOW v AS (PARTITION BY user_id, epoch ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+h AS (SELECT *, least(256, CASE WHEN command <> 'export' THEN before ELSE least(256, before - own) + CASE WHEN ran THEN (t - last_at + {_TICK - 1}) // {_TICK} ELSE 0 END END) AS started FROM g)
+SELECT user_id, event_id, command, CASE WHEN model THEN NULL WHEN command = 'start' THEN 'Read a corpus first' WHEN command = 'export' THEN 'No session to export' WHEN command = 'resume' THEN 'No paused session' END AS problem,
+    (8 * started)::BIGINT AS first_step, least(wanted, 256 - started)::BIGINT AS frames, (8 * (started + least(wanted, 256 - started)))::BIGINT AS last_step,
+    CASE WHEN runs THEN CASE WHEN next IS NULL OR next >= t + (256 - started) * {_TICK} THEN 'complete' ELSE 'superseded' END WHEN NOT model THEN 'ready' WHEN command = 'export' THEN 'downloaded' ELSE 'paused' END AS status FROM h"""
+
+
+def _commands(rows):
+    kind = F.create_map(*(F.lit(x) for pair in _KINDS.items() for x in pair))
+    return rows.select("user_id", "event_id", "ts", F.try_element_at(kind, F.col("event_type")).alias("command"))
+
+
+@query(_SESSIONS)
+def replay_commands(spark, sf_dir):
+    """Every event as a command to its user's session."""
+    return sessions.answered(_commands(table(spark, sf_dir, "events")), "user_id", "ts", "event_id", "command", _TICK)
+
+
+@query(_SESSIONS)
+def replay_commands_stream(spark, sf_dir):
+    """The same by a stream with a serial state. A row long after all others, without an id, lets the watermark pass them."""
+    events = table(spark, sf_dir, "events")
+    reservoir.checkpoint_dir(spark)
+    at = f"{spark.sparkContext.getCheckpointDir()}/mossgraph-{uuid.uuid4().hex}"
+    events.agg((F.coalesce(F.max("ts"), F.to_timestamp(F.lit("1970-01-02"))) + F.expr("INTERVAL 30 DAYS")).cast(events.schema["ts"].dataType).alias("ts")).select(*(F.col("ts") if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema)).write.parquet(f"{at}/end")
+    read = lambda path: spark.readStream.schema(events.schema).parquet(path)  # noqa: E731 (a stream takes a pattern or a folder, not the name of one file)
+    rows = read(f"{sf_dir.rstrip('/')}/events.parque[t]").unionAll(read(f"{at}/end"))
+    out = serial.folded(_commands(rows), serial.Sessions(_TICK), "user_id", "ts", "event_id", "command")
+    serial.started(out, f"{at}/out", f"{at}/state").awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{at}/out")

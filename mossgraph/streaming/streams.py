@@ -18,37 +18,35 @@ def activity(events: DataFrame, window: str = "1 hour", late: str = "10 minutes"
 
 
 def admitted(events: DataFrame, limit: int, seconds: float) -> DataFrame:
-    """event_id, admitted: sliding-window admission by user, in the order of arrival; refused rows don't count. The state of a user is the last ``limit`` admitted times."""
+    """event_id, admitted: sliding-window admission by user, at once, trigger by trigger in the order of arrival; refused rows don't count. The state of a user is the last ``limit`` admitted times, kept for good. ``serial.Admission`` waits for the watermark instead, so its order is that of time, and forgets."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         recent = list(state.get[0]) if state.exists else []
-        for pdf in frames:
-            pdf = pdf.sort_values(["ts", "event_id"])
-            out = []
-            for t in pdf["ts"].map(lambda x: x.timestamp()):
-                recent = [r for r in recent if t - r < seconds]
-                out.append(len(recent) < limit)
-                if out[-1]:
-                    recent.append(t)
-            yield pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "admitted": out})
+        pdf = pd.concat(frames).sort_values(["ts", "event_id"])
+        out = []
+        for t in pdf["ts"].map(lambda x: x.timestamp()):
+            recent = [r for r in recent if t - r < seconds]
+            out.append(len(recent) < limit)
+            if out[-1]:
+                recent.append(t)
+        yield pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "admitted": out})
         state.update((recent,))
 
     return events.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts")).groupBy("user_id").applyInPandasWithState(step, "event_id long, admitted boolean", "recent array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
 def changes(events: DataFrame) -> DataFrame:
-    """event_id of rows whose type differs from the user's one before, across batches."""
+    """event_id of rows whose type differs from the user's one before, across batches, at once; ``serial.Changes`` does so in the order of time."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
         known = state.exists
-        for pdf in frames:
-            out = []
-            for i, kind in pdf.sort_values(["ts", "event_id"])[["event_id", "event_type"]].itertuples(index=False):
-                if known and kind != last:
-                    out.append(i)
-                last, known = kind, True
-            yield pd.DataFrame({"event_id": pd.Series(out, dtype="int64")})
+        out = []
+        for i, kind in pd.concat(frames).sort_values(["ts", "event_id"])[["event_id", "event_type"]].itertuples(index=False):
+            if known and kind != last:
+                out.append(i)
+            last, known = kind, True
+        yield pd.DataFrame({"event_id": pd.Series(out, dtype="int64")})
         state.update((last,))
 
     return events.select("user_id", "event_id", "ts", "event_type").groupBy("user_id").applyInPandasWithState(step, "event_id long", "last string", "append", GroupStateTimeout.NoTimeout)
