@@ -5,10 +5,14 @@ dimension ("term") and its vectors as a forward index. For a query, a block's bo
 query's value can make of them at most. Queries meet blocks in descending order of their bounds, score the block's forward index, and
 stop when the next bound is below their k-th score so far; blocks whose bound equals it are still read, for ties.
 
-Scale: queries and candidates are packed into groups of bounded size, and each pair of groups is one task's cell: a
-stated set of queries against all rows, in blocks. A cell returns k rows a query; a window then merges the cells' lists,
-of which Spark drops all but k before the shuffle. Groups of candidates are ranges of ids, by a count; a range that holds
+Scale: candidates are groups of bounded size, each with its own greatest and least values. A query's bounds come from those summaries
+alone, a row for each group. It visits the group of its highest bound first; the k-th score found there (of all rows under its
+query_id) is then shared: only the groups whose bounds reach it are visited, and there blocks start from that score. Vectors travel
+for such visits only, so where bounds prune, work and shuffles fall with them; where they don't, every query meets every group, in blocks.
+A group's queries are dealt out by their number, so no task holds more than about ``QUERIES`` of them. A visit returns k rows a query;
+a window then merges the lists, of which Spark drops all but k before the shuffle. Groups of candidates are ranges of ids, by a count; a range that holds
 more rows than ``CANDIDATES``, as many rows share an id, is dealt out further by row number, so no group grows with the input.
+Bounds of summaries are rounded up by more than doubles can err, so rounding never costs a row.
 
 Vectors that are null or hold a null or non-finite component take no part, nor do rows with a null id. Vectors of
 unequal length are compared over the shorter's components. Scores beyond a long's range count as its nearest end, whatever the
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-BLOCK, CANDIDATES, QUERIES = 256, 16384, 4096
+BLOCK, CANDIDATES, QUERIES, BUNDLE = 256, 16384, 4096, 1024
 SCALE = 64
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
 #: Products below this bound are exact in float64.
@@ -58,8 +62,8 @@ def integers(m: np.ndarray, exact: bool) -> np.ndarray:
     return np.array([[whole(x) for x in r] for r in m.tolist()], object).reshape(m.shape)
 
 
-def search_cell(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, candidates: np.ndarray, k: int, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query id, candidate id and score of the k best candidates of each query; candidates in ascending order of id."""
+def search_cell(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, candidates: np.ndarray, k: int, block: int = BLOCK, reach: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query id, candidate id and score of the k best candidates of each query; candidates in ascending order of id. Scores below a query's ``reach`` may be left out."""
     width = min(queries.shape[1], candidates.shape[1])
     queries, candidates = queries[:, :width], candidates[:, :width]
     top = lambda m: float(np.abs(m).max(initial=0)) * SCALE
@@ -76,9 +80,10 @@ def search_cell(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, can
     worst = -2 * EXACT if exact else LEAST - 1
     best = np.full((len(q), k), worst, kind)
     who = np.full((len(q), k), np.iinfo(np.int64).max, np.int64)
+    reach = np.full(len(q), worst, kind) if reach is None else np.array([worst if x is None else x for x in reach], kind)
     for r in range(len(cuts)):
         at = turn[:, r]
-        live = np.flatnonzero(bounds[np.arange(len(q)), at] >= best[:, -1])
+        live = np.flatnonzero(bounds[np.arange(len(q)), at] >= np.maximum(best[:, -1], reach))
         if not len(live):
             break
         for b in np.unique(at[live]):
@@ -121,23 +126,115 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, column: str = "embe
     counts = dict(ranged().groupBy("c").count().collect())  # a number for each range
     deals = [-(-counts.get(r, 1) // (2 * CANDIDATES)) for r in range(len(marks) + 1)]  # above 1: a range with more rows than a group may have
     first = np.cumsum([0, *deals]).tolist()
-    each = F.sequence(F.lit(0), F.lit(down - 1)), F.sequence(F.lit(0), F.lit(first[-1] - 1))
-    c = ranged(first, deals).select("vec_id", "v", "c", F.explode(each[0]).alias("q"), F.lit(False).alias("asks"))
-    q = rows.where(is_query).select("vec_id", "v", F.explode(each[1]).alias("c"), F.pmod("row", F.lit(down)).cast("int").alias("q"), F.lit(True).alias("asks"))
+    groups = stored(ranged(first, deals))
+    summaries = stored(groups.mapInArrow(_extremes, _SUMMARY).groupBy("c").applyInArrow(_merged, _SUMMARY))
+    queries = rows.where(is_query).withColumn("q", F.pmod("row", F.lit(down)).cast("int"))
+
+    best = bounded(queries.withColumns({"kth": F.lit(None).cast("long"), "met": F.lit(-1)}), summaries, down, first[-1], _best, "row long, c int, bound double")
+    best = best.groupBy("row").agg(F.max(F.struct("bound", (-F.col("c")).alias("c"))).alias("top")).select("row", (-F.col("top")["c"]).alias("c"))
+    best = stored(best)
+    early = stored(_ranked(visited(best, queries.withColumn("kth", F.lit(None).cast("long")), groups, k), k))
+    if first[-1] == 1:
+        return early
+    kth = early.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("kth"))
+    asks = stored(queries.join(kth, "vec_id", "left").join(best.withColumnRenamed("c", "met"), "row"))
+    left = stored(bounded(asks, summaries, down, first[-1], _reached, "c int, rows array<long>"))
+    late = visited(left.select("c", F.explode("rows").alias("row")), asks, groups, k)
+    return _ranked(early.drop("rank").unionByName(late), k)
+
+
+_SUMMARY = "c int, high array<double>, low array<double>"
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return found.select("query_id", rank.cast("int").alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+
+
+def _summary(found: dict[int, tuple[np.ndarray, np.ndarray]]) -> pa.Table:
+    lists = [pa.array([v[i].tolist() for v in found.values()], pa.list_(pa.float64())) for i in (0, 1)]
+    return pa.table([pa.array(list(found), pa.int32()), *lists], ["c", "high", "low"])
+
+
+def _wider(a: np.ndarray, b: np.ndarray, pick: np.ufunc) -> np.ndarray:
+    """Elementwise; what one lacks is zero."""
+    width = max(len(a), len(b))
+    return pick(np.pad(a, (0, width - len(a))), np.pad(b, (0, width - len(b))))
+
+
+def _extremes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Greatest and least values of each group in this task."""
+    found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for batch in batches:
+        v, c = packed(batch.column("v")), batch.column("c").to_numpy()
+        for g in np.unique(c).tolist():
+            high, low = v[c == g].max(0), v[c == g].min(0)
+            old = found.get(g)
+            found[g] = (high, low) if old is None else (_wider(old[0], high, np.maximum), _wider(old[1], low, np.minimum))
+    yield from _summary(found).to_batches()
+
+
+def _merged(rows: pa.Table) -> pa.Table:
+    return _summary({rows.column("c")[0].as_py(): (packed(rows.column("high")).max(0), packed(rows.column("low")).min(0))})
+
+
+def bounded(queries: DataFrame, summaries: DataFrame, down: int, across: int, pick, schema: str) -> DataFrame:
+    """``pick`` of the bounds of a block of ``queries`` (vec_id, v, row, q, kth, met) in a bundle of summaries."""
+    bundles = -(-across // BUNDLE)
+    each = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    none = lambda kind: F.lit(None).cast(kind)
+    left = queries.select("q", each(bundles).alias("bundle"), "row", "v", "kth", F.col("met").cast("int").alias("c"), none("array<double>").alias("low"))
+    right = summaries.select(each(down).alias("q"), F.floor(F.col("c") / BUNDLE).cast("int").alias("bundle"), none("long").alias("row"), F.col("high").alias("v"), none("long").alias("kth"), "c", "low")
+
+    def run(rows: pa.Table) -> pa.Table:
+        asks = rows.column("low").is_null().to_numpy()
+        asked, held = rows.filter(pa.array(asks)), rows.filter(pa.array(~asks))
+        if not asked.num_rows or not held.num_rows:
+            return pick(None, None, None, None, None)
+        q, high, low = packed(asked.column("v")), packed(held.column("v")), packed(held.column("low"))
+        width = min(q.shape[1], high.shape[1])
+        q, high, low = q[:, :width], high[:, :width], low[:, :width]
+        with np.errstate(all="ignore"):
+            most = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
+            err = 1e-9 * (np.abs(q) @ np.maximum(np.abs(high), np.abs(low)).T)
+            bounds = np.nan_to_num((most + err) * float(SCALE * SCALE), nan=np.inf, posinf=np.inf, neginf=float(LEAST))
+        return pick(asked.column("row").to_numpy(), held.column("c").to_numpy(), np.clip(bounds, float(LEAST), float(MOST)), asked.column("kth").to_pylist(), asked.column("c").to_numpy())
+
+    return left.unionByName(right).groupBy("q", "bundle").applyInArrow(run, schema)
+
+
+def _best(rows, groups, bounds, kth, met) -> pa.Table:
+    """Each query's group of the highest bound."""
+    at = [] if rows is None else bounds.argmax(1)
+    cols = ([], [], []) if rows is None else (rows, groups[at], bounds[np.arange(len(rows)), at])
+    return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.float64()), strict=True)], ["row", "c", "bound"])
+
+
+def _reached(rows, groups, bounds, kth, met) -> pa.Table:
+    """For each group, the queries whose k-th score its bound reaches, but those that have met it."""
+    found: list[tuple[int, np.ndarray]] = []
+    if rows is not None:
+        need = np.array([-np.inf if x is None else x - 1e-9 * abs(x) for x in kth])
+        live = (bounds >= need[:, None]) & (groups[None, :] != met[:, None])
+        found = [(g, rows[live[:, j]]) for j, g in enumerate(groups.tolist()) if live[:, j].any()]
+    return pa.table([pa.array([g for g, _ in found], pa.int32()), pa.array([r.tolist() for _, r in found], pa.list_(pa.int64()))], ["c", "rows"])
+
+
+def visited(pairs: DataFrame, queries: DataFrame, groups: DataFrame, k: int) -> DataFrame:
+    """query_id, vec_id, score: the k best of each query in every group that it visits (``pairs``: c, row)."""
+    load = pairs.groupBy("c").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts"))
+    asks = pairs.join(load, "c").join(queries.select("row", "vec_id", "v", "kth"), "row").select("c", F.pmod("row", F.col("parts")).cast("int").alias("part"), "vec_id", "v", "kth", F.lit(True).alias("asks"))
+    held = groups.join(load, "c").select("c", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "vec_id", "v", F.lit(None).cast("long").alias("kth"), F.lit(False).alias("asks"))
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = list(batches)
-        rows = pa.Table.from_batches(parts)
+        rows = pa.Table.from_batches(list(batches))
         asks = rows.column("asks").to_numpy()
         asked, held = rows.filter(pa.array(asks)), rows.filter(pa.array(~asks)).sort_by("vec_id")
         if asked.num_rows and held.num_rows:
-            got = search_cell(asked.column("vec_id").to_numpy(), packed(asked.column("v")), held.column("vec_id").to_numpy(), packed(held.column("v")), k)
+            got = search_cell(asked.column("vec_id").to_numpy(), packed(asked.column("v")), held.column("vec_id").to_numpy(), packed(held.column("v")), k, reach=asked.column("kth").to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(got[1]), pa.array([int(x) for x in got[2].ravel()], pa.int64())], ["query_id", "vec_id", "score"])
 
-    cells = q.unionAll(c.select(q.columns)).groupBy("q", "c")
-    found = cells.applyInArrow(run, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.select("query_id", rank.cast("int").alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+    return asks.unionByName(held).groupBy("c", "part").applyInArrow(run, "query_id long, vec_id long, score long")
 
 
 ORACLE = """

@@ -203,3 +203,21 @@ def test_rounds_follow_branchings(spark, monkeypatch):
         same(url_templates.judge(pages), url_templates.oracle(depth=shared + 4), pages=pages.toPandas())
         counts.append(len(tables))
     assert counts[0] == counts[1]
+
+
+@pytest.mark.parametrize("bundle", [3, 1024])
+def test_groups_below_the_kth_score_are_not_visited(spark, monkeypatch, bundle):
+    """Eight clusters of ids, each along an axis of its own: a query's own cluster gives its k best, and of the 140 other pairs of a query and a group at most one each is visited (ranges of ids end near, not at, a cluster's end). Bundles of summaries of any size give the same."""
+    monkeypatch.setattr(topk_blocks, "CANDIDATES", 50)
+    monkeypatch.setattr(topk_blocks, "QUERIES", 4)
+    monkeypatch.setattr(topk_blocks, "BUNDLE", bundle)
+    rng = random.Random(5)
+    for spread, least, most in ((0.0, 0, 20), (9.0, 100, 140)):
+        rows = [(i, [10.0 * (d == i // 50) + rng.random() * spread for d in range(8)]) for i in range(400)]
+        visits = []
+        own = topk_blocks.visited
+        with monkeypatch.context() as m:
+            m.setattr(topk_blocks, "visited", lambda pairs, *rest, own=own, visits=visits: visits.append(pairs.count()) or own(pairs, *rest))
+            got = topk_blocks.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0)
+            assert sorted(tuple(r) for r in got.collect()) == brute_top(rows)
+        assert visits[0] == 20 and least <= visits[1] <= most
