@@ -75,6 +75,16 @@ def test_against_a_plain_tree(spark, sf, monkeypatch):
     check(spark, rows)
 
 
+def test_whole_texts(spark, sf, monkeypatch):
+    """The longest documents and some others, whole, in chunks that a long text fills by itself."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").where("text IS NOT NULL").orderBy("doc_id").collect()]
+    rows.sort(key=lambda r: (-len(r[1]), r[0]))
+    long = [r for r in rows if len(r[1]) < 150_000][:2]
+    monkeypatch.setattr(ctw, "CHUNK", 20_000)
+    check(spark, long + rows[-12:])
+    assert len(long[0][1]) > 10_000
+
+
 def test_odd_tables(spark):
     check(spark, [(i, "only these words") for i in range(1)], 1)
     none = spark.createDataFrame([], "doc_id long, text string")
