@@ -29,17 +29,18 @@ def answered(commands: DataFrame, key: str, time: str, number: str, kind: str, t
     A session's rows are sorted in one task, as each depends on those before; sorts spill.
     """
     rows = commands.where(F.col(time).isNotNull() & F.col(number).isNotNull()).select(F.col(key), F.unix_micros(F.col(time).cast("timestamp")).alias("__at"), F.col(number).cast("long").alias("event_id"), F.col(kind).cast("string").alias("command"))
-    order = W.partitionBy(key).orderBy("__at", "event_id", F.coalesce("command", F.lit("")))
+    rows = rows.withColumn("__tie", F.coalesce("command", F.lit("")))
+    order = W.partitionBy(key).orderBy("__at", "event_id", "__tie")
     so_far = order.rowsBetween(W.unboundedPreceding, W.currentRow)
     interrupts = ~F.col("command").eqNullSafe("export")
     rows = rows.withColumns({"__model": F.coalesce(F.max(F.col("command") == "train").over(so_far), F.lit(False)), "__stop": F.when(interrupts, F.col("__at"))})
-    rows = rows.withColumn("__next", F.expr(f"lead(__stop) IGNORE NULLS OVER (PARTITION BY `{key}` ORDER BY __at, event_id, coalesce(command, ''))"))
+    rows = rows.withColumn("__next", F.expr(f"lead(__stop) IGNORE NULLS OVER (PARTITION BY `{key}` ORDER BY __at, event_id, __tie)"))
     known = F.coalesce(F.col("command").isin(*COMMANDS), F.lit(False))
     rows = rows.withColumns({"__runs": F.coalesce(F.col("command").isin(*RUNS) & F.col("__model"), F.lit(False)), "__epoch": F.count(F.when((F.col("command") == "train") | ((F.col("command") == "start") & F.col("__model")), 1)).over(so_far)})
     most = MOST // PER_FRAME
     wanted = F.when(F.col("__runs"), F.least(F.lit(most), F.coalesce(F.ceil((F.col("__next") - F.col("__at")) / tick), F.lit(most)))).otherwise(0)
     rows = rows.withColumn("__wanted", wanted)
-    within = W.partitionBy(key, "__epoch").orderBy("__at", "event_id", F.coalesce("command", F.lit("")))
+    within = W.partitionBy(key, "__epoch").orderBy("__at", "event_id", "__tie")
     before = F.coalesce(F.sum("__wanted").over(within.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     # an export doesn't end a run: it finds the frames that the run has made by then
     earlier = within.rowsBetween(W.unboundedPreceding, -1)

@@ -68,12 +68,17 @@ def model_problems(spark, sf_dir):
     return validation.model_problems(rows, "v1", "g1", size)
 
 
-@query("WITH m AS (SELECT vec_id AS id, vec_id % 6 = 0 AS big FROM embeddings) " + _union("m", "id", {"schema": "true", "fingerprint": "true", "seed": "true", "weights": "id % 9 <> 0", "diagnostics": "NOT big"}))
+@query("WITH m AS (SELECT vec_id AS id, vec_id * 30000000 AS seed, list_transform(embedding, lambda x: x::DOUBLE) AS w, vec_id % 11 = 0 AS short FROM embeddings) " + _union("m", "id", {"schema": "true", "fingerprint": "true", "seed": "seed BETWEEN 0 AND 4294967295", "weights": "NOT short AND len(list_filter(w, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0", "diagnostics": "list_sum(list_transform(w[1:8], lambda x: abs(x))) <= sqrt(list_sum(list_transform(w, lambda x: x * x)))"}))
 def replay_model_problems(spark, sf_dir):
+    """Maps of three rows made of embeddings, one row short now and then; the errors are two norms of the vector, of which either may be the greater."""
     i = F.col("vec_id")
-    row = F.when(i % 9 == 0, F.array(F.lit(0.5), F.lit(float("nan")))).otherwise(F.array(F.lit(0.5), F.lit(-0.25)))
-    rows = table(spark, sf_dir, "embeddings").select(i.alias("id"), F.lit("v1").alias("schema"), F.lit("g1").alias("fingerprint"), (i % 1000).alias("seed"), F.array(row, row, row).alias("weights"), F.when(i % 6 == 0, 2.0).otherwise(0.5).alias("error"), F.lit(1.0).alias("without"))
-    return validation.replay_problems(rows, "v1", "g1", 3, 2)
+    e = table(spark, sf_dir, "embeddings")
+    size = (e.select(F.size("embedding")).first() or [0])[0]
+    w = F.transform("embedding", lambda x: x.cast("double"))
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+    error, without = total(F.transform(F.slice(w, 1, 8), F.abs)), F.sqrt(total(F.transform(w, lambda x: x * x)))
+    rows = e.select(i.alias("id"), F.lit("v1").alias("schema"), F.lit("g1").alias("fingerprint"), (i * 30000000).alias("seed"), F.array_repeat(w, F.when(i % 11 == 0, 2).otherwise(3)).alias("weights"), error.alias("error"), without.alias("without"))
+    return validation.replay_problems(rows, "v1", "g1", 3, size)
 
 
 _DRAFTS = "d AS (SELECT * REPLACE (CASE WHEN case_id % 10 = 0 THEN 'unheard' ELSE matter END AS matter), (case_id % 120) / 100.0::DOUBLE AS confidence, case_id % 17 <> 0 AS local FROM c)"

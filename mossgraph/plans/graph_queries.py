@@ -93,11 +93,16 @@ def region_classify(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), graph.region_of(F.col("p_name")).alias("region"))
 
 
-@query(f"SELECT label, count(*) AS n, list_sort(list(DISTINCT CASE {_CASES} ELSE '{graph.OTHER_REGION}' END)) AS regions FROM (SELECT label, upper(label) AS t FROM (SELECT unnest(['KCab', 'mbon3', 'APL', 'epg', 'Delta7', 'ELLx', 'T4a', 'LPi', 'xOLy', 'orn', 'ALp', 'DNs1', 'MN', 'SMP', '']) AS label)) GROUP BY label")
+_KINDS = ("KCab", "mbon3", "APL", "epg", "Delta7", "ELLx", "T4a", "LPi", "xOLy", "orn", "ALp", "DNs1", "MN", "SMP", "")
+
+
+@query(f"""SELECT label, count(*) AS n, list_sort(list(DISTINCT CASE {_CASES} ELSE '{graph.OTHER_REGION}' END)) AS regions
+FROM (SELECT label, upper(coalesce(nullif(label || coalesce(p_name, ''), ''), 'unknown')) AS t FROM (SELECT ({list(_KINDS)})[p_partkey % {len(_KINDS)} + 1] AS label, p_name FROM part)) GROUP BY label""")
 def region_rules(spark, sf_dir):
-    """Every rule of the classifier on cell types that meet it."""
-    kinds = spark.createDataFrame([(k,) for k in ("KCab", "mbon3", "APL", "epg", "Delta7", "ELLx", "T4a", "LPi", "xOLy", "orn", "ALp", "DNs1", "MN", "SMP", "")], "label string")
-    return kinds.groupBy("label").agg(F.count("*").alias("n"), F.sort_array(F.collect_set(graph.region_of(F.col("label")))).alias("regions"))
+    """Every rule of the classifier: parts as cell types, whose names begin with one of the kinds that the rules tell apart."""
+    kind = F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("p_partkey") % len(_KINDS)).cast("int") + 1)
+    types = table(spark, sf_dir, "part").select(kind.alias("label"), F.concat(kind, F.coalesce("p_name", F.lit(""))).alias("type"))
+    return types.groupBy("label").agg(F.count("*").alias("n"), F.sort_array(F.collect_set(graph.region_of(F.col("type")))).alias("regions"))
 
 
 @query(f"{WITH} SELECT (SELECT count(*) FROM n) AS n_nodes, (SELECT count(DISTINCT region) FROM n) AS n_regions, count(*) AS n_edges, sum(w) AS total_weight FROM e")
