@@ -106,6 +106,15 @@ def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield batch.slice(a, b - a)
 
 
+def hand_back() -> None:
+    """Gives memory that this process no longer uses back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def frugal(run: Callable) -> Callable:
     """A function for mapInArrow that takes its batches in portions and hands its memory back when a task ends, as Python workers live on for the next one."""
 
@@ -114,10 +123,6 @@ def frugal(run: Callable) -> Callable:
         try:
             yield from run(portions(batches))
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
-            if trim:
-                trim(0)
+            hand_back()
 
     return bounded

@@ -15,7 +15,8 @@ margins given may contradict each other; the greatest miss is ``residual``.
 Topics come from ``topic``, by default the text's form: the first of some marks that it holds. Any expression over the text can stand for it. Tokens are maximal runs without ASCII white space.
 
 Scale: texts are read once and only features are kept; everything after works on cells, which are summed in each task
-before they are shuffled. Totals over all cells and what a margin's values share out are summed in tasks too; the windows are over the
+before they are shuffled. Each round is a query of its own over a written table: a plan of many rounds has an exchange for each of
+their margins, and the driver keeps and describes all of them anew whenever one ends. Totals over all cells and what a margin's values share out are summed in tasks too; the windows are over the
 cells of one source, language or topic. Documents find their cell by a join whose skew Spark splits.
 Nulls: null text has no tokens; null source, language or doc_id are values of their own (empty text for the first two).
 Cells without tokens keep weight 0 and probability 1; an empty text in another cell is drawn like the rest of it. Rows with one doc_id are drawn alike. Repeated rows count and return each, very long texts count
@@ -29,7 +30,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import spare, stored
+from .common import replaced, spare, stored
 
 MARGINS = ("source", "lang", "topic")
 TOKEN = r"[^\x20\x09-\x0D]+"
@@ -70,6 +71,7 @@ def level(values: DataFrame, total: float) -> dict[str, float]:
 
 def raked(cells: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, rate: float = RATE, temper: float = TEMPER) -> DataFrame:
     """source, lang, topic, tokens, weight, probability of cells (source, lang, topic, tokens), residual, and for each margin m t_m and s_m, the target in tokens and what the value's share wanted. A target table has the margin's column and ``share``."""
+    cells = stored(cells)
     every = float(cells.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0])
     w = cells.withColumn("w", F.col("tokens").cast("double"))
     for m in MARGINS:
@@ -90,13 +92,14 @@ def raked(cells: DataFrame, targets: dict[str, DataFrame] | None = None, rounds:
     for m in MARGINS:
         asked = levels.get(m, 0.0) * F.col(f"s_{m}") if levels.get(m, 0.0) < float("inf") else F.col(f"n_{m}") * MOST
         w = w.withColumn(f"t_{m}", F.least(F.col(f"n_{m}") * MOST, F.when(F.col(f"s_{m}") > 0, asked).otherwise(0.0))).withColumn(f"s_{m}", F.col(f"s_{m}") * rate * every / (whole.get(m) or 1.0))
-    done = 0
+    last, done = w, 0
     while True:
         for _ in range(rounds):
             for m in MARGINS:
                 over = F.sum("w").over(Window.partitionBy(m))
                 w = w.withColumn("w", F.when(over > 0, F.least(F.col("tokens").cast("double"), F.col("w") * F.col(f"t_{m}") / over)).otherwise(0.0))
-        w, done = stored(w), done + rounds
+            last = w = replaced(last, w)
+        done += rounds
         miss = _margins(w, F.col("w")).agg(F.max(F.when(F.col("target") > 0, F.abs(F.col("expected") / F.col("target") - 1)))).first()[0] or 0.0
         if miss <= TOLERANCE or done >= LIMIT:
             break

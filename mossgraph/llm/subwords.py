@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frugal, mix64, remainder, spans, spare
+from .common import frugal, hand_back, mix64, remainder, spans, spare
 
 SIZES = (3, 4)
 SLICE = 1 << 19
@@ -223,7 +223,11 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", fold: i
 
     got = rows.mapInArrow(frugal(hashed), "y int, slots binary, x binary").toArrow()
     data = sorted(zip(got.column("y").to_pylist(), got.column("slots").to_pylist(), got.column("x").to_pylist(), strict=True))
-    return train([(y, np.frombuffer(s, np.uint32), np.frombuffer(x, np.float32)) for y, s, x in data], share, bits)
+    del got  # the driver holds the sample once
+    model = train([(y, np.frombuffer(s, np.uint32), np.frombuffer(x, np.float32)) for y, s, x in data], share, bits)
+    del data
+    hand_back()
+    return model
 
 
 def score(documents: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:

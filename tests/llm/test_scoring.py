@@ -2,6 +2,7 @@
 
 import math
 import re
+import weakref
 import zlib
 from collections import Counter, defaultdict
 
@@ -27,6 +28,25 @@ def test_held_out_accuracy(spark):
         assert len(rows) > 50 and np.mean([p == y for p, y in rows]) > 0.97
 
 
+def test_fit_holds_its_sample_once(spark, monkeypatch):
+    docs, labels = data(spark)
+    tables, alive, train, to_arrow = [], [], subwords.train, type(docs).toArrow
+
+    def fetched(df):
+        got = to_arrow(df)
+        tables.append(weakref.ref(got))
+        return got
+
+    def seen(*args):
+        alive.append(sum(t() is not None for t in tables))
+        return train(*args)
+
+    monkeypatch.setattr(type(docs), "toArrow", fetched)
+    monkeypatch.setattr(subwords, "train", seen)
+    assert subwords.fit(docs, labels, bits=12).weights.any()
+    assert len(tables) == 1 and alive == [0]
+
+
 def test_odd_rows(spark):
     _, labels = data(spark)
     docs = spark.createDataFrame([(1, None, 0.1), (2, "", 0.2), (2, "", 0.2), (None, "scum idiot", 0.0), (4, "x" * 1_300_000 + " scum", 0.3)], DOCS)

@@ -1,6 +1,7 @@
 """Top-k search, raking and the url filter: SQL on small tables, and odd rows."""
 
 import math
+import os
 import random
 import zlib
 from fractions import Fraction
@@ -9,7 +10,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from mossgraph.llm import queries, raking, topk_blocks, url_templates
+from mossgraph.llm import common, queries, raking, topk_blocks, url_templates
 
 
 def same(df, sql, **tables):
@@ -113,6 +114,24 @@ def test_targets_that_contradict_each_other(spark, monkeypatch):
     assert all(r.residual > 0.5 and 0 <= r.probability <= 1 for r in got)
 
 
+def test_raking_runs_each_round_by_itself(spark, monkeypatch):
+    """No query has the windows of more than one round, however many rounds are asked for, and tables of earlier rounds are gone."""
+    windows, paths, plain = [], [], common.stored
+
+    def seen(df):
+        windows.append(df._jdf.queryExecution().sparkPlan().toString().count("Window ["))
+        out = plain(df)
+        paths.extend({f.rsplit("/", 1)[0].removeprefix("file://") for f in out.inputFiles()})
+        return out
+
+    monkeypatch.setattr(common, "stored", seen)
+    monkeypatch.setattr(raking, "stored", seen)
+    cells = spark.createDataFrame([(a, b, "t", 100 * i + 7 * j + 10) for i, a in enumerate("abc") for j, b in enumerate("xy")], "source string, lang string, topic string, tokens long")
+    got = raking.raked(cells, rounds=9)
+    assert got.count() == 6 and max(windows) == len(raking.MARGINS) and sum(windows) >= 10 * len(raking.MARGINS)
+    assert sum(map(os.path.exists, paths)) == 3  # cells, values, weights
+
+
 def test_raking_of_odd_rows(spark):
     rows = [(1, None, None, None, 7), (2, "", "en", "s", 7), (None, "a b c", "en", "s", 7), (3, "a b\nc", "de", "s", 7), (3, "a b\nc", "de", "s", 7)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, weight int")
