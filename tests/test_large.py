@@ -18,3 +18,9 @@ def test_cases_beyond_a_million(spark, tmp_path):
     orders = "SELECT i AS o_orderkey, i % 50 AS o_custkey, (i * 7919 % 500000)::DOUBLE AS o_totalprice, ['1-URGENT', '2-HIGH', '3-MEDIUM', '5-LOW'][(i % 4)::INTEGER + 1] AS o_orderpriority FROM range(1001001) t(i)"
     at, con = written(tmp_path, orders=orders, customer="SELECT i AS c_custkey, (i % 25)::INTEGER AS c_nationkey, (i - 9)::DOUBLE AS c_acctbal FROM range(50) t(i)")
     assert [tuple(r) for r in catalog.queries()["locked_cases"](spark, at).collect()] == con.execute(catalog.oracle_sql()["locked_cases"]).fetchall()
+
+
+def test_edges_beyond_a_million(spark, tmp_path):
+    lineitem = "SELECT i // 2 AS l_orderkey, i % 2 AS l_linenumber, i AS l_partkey, 0 AS l_suppkey, 0 AS l_quantity, 0 AS l_extendedprice FROM range(2002002) t(i)"
+    at, con = written(tmp_path, lineitem=lineitem, part="SELECT i AS p_partkey, 'Brand#11' AS p_brand FROM range(3) t(i)")
+    assert [tuple(r) for r in catalog.queries()["ordered_fingerprint"](spark, at).collect()] == con.execute(catalog.oracle_sql()["ordered_fingerprint"]).fetchall()
