@@ -41,6 +41,7 @@ def test_a_batch_of_texts_is_not_held_as_grams(spark):
 def test_hashes_of_texts(monkeypatch, most, known):
     monkeypatch.setattr(text, "MOST_TEXT", most)
     monkeypatch.setattr(text, "MOST_KNOWN", known)
+    monkeypatch.setattr(text, "MOST_GRAMS", known)
     asked = []
 
     def place(gram):
