@@ -18,10 +18,10 @@ def test_products_take_bounded_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 40e6 < m * cols * 8
-    k = int(g.rows[3])
-    end = g.first[4]
-    assert np.allclose(z[k], (x[g.src[g.first[3] : end]] * g.w[g.first[3] : end]).sum(0))
-    assert np.allclose(z[n - 1], (x[g.src[g.first[-1] :]] * g.w[g.first[-1] :]).sum(0))
+    rows, first, src, w = g.strips[0]
+    assert np.allclose(z[rows[3]], (x[src[first[3] : first[4]]] * w[first[3] : first[4], None]).sum(0))
+    assert np.allclose(z[n - 1], (x[src[first[-1] :]] * w[first[-1] :, None]).sum(0))
+    assert np.allclose(g.incoming(x[:, :1]), z[:, :1])
 
 
 @pytest.fixture(scope="module")
